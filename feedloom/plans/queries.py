@@ -309,3 +309,89 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.rank(hot, "hotness").select(
         "pos", "url", "normalized_url", "title", "keyword_score", "bookmark_count",
         "comment_count", "hotness_score")
+
+
+# ------------------------------------------------------- comment delta ------
+
+from ..operators import delta as _delta  # noqa: E402
+
+_DELTA_CTE = S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + r"""
+, e0 as (select pos, url, title, description,
+          case when nkey <> '' then nkey else url end as entry_key, published_at from items),
+prior as (
+  select case when e.entry_key = e.url then e.entry_key else e.url end as entry_key,
+    coalesce(strftime(max(date_trunc('minute', c.ts)) filter (where date_trunc('minute', c.ts) < timestamp '2024-01-20 00:00:00'),
+                      '%Y-%m-%dT%H:%M:%SZ'), '1970-01-01T00:00:00Z') as last_comment_timestamp,
+    'T' || cast(e.pos as varchar) as thread_id
+  from e0 e left join comments c on c.url = e.url
+  where e.published_at < timestamp '2024-01-20 00:00:00'
+  group by e.pos, e.url, e.entry_key),
+first as (select * from (select *, row_number() over (partition by entry_key order by pos) rn from e0) where rn = 1),
+ent as (
+  select f.entry_key, f.pos, f.url, f.title, f.description,
+    s1.entry_key is not null as by_key,
+    s1.entry_key is null and f.url <> f.entry_key and s2.entry_key is not null as by_url,
+    case when s1.entry_key is not null then s1.last_comment_timestamp
+         when f.url <> f.entry_key and s2.entry_key is not null then s2.last_comment_timestamp
+         else '1970-01-01T00:00:00Z' end as last_txt,
+    case when s1.entry_key is not null then s1.thread_id
+         when f.url <> f.entry_key and s2.entry_key is not null then s2.thread_id
+         else sha256('parent|' || f.entry_key) end as thread_id
+  from first f left join prior s1 on s1.entry_key = f.entry_key left join prior s2 on s2.entry_key = f.url),
+links as (select distinct url, entry_key from e0),
+newc as (
+  select n.entry_key, n.thread_id, c."user", c.comment, c.ts_text, c.ord,
+    strptime(c.ts_text, '%Y/%m/%d %H:%M') as ct
+  from comments c join links l on l.url = c.url join ent n on n.entry_key = l.entry_key
+  where strptime(c.ts_text, '%Y/%m/%d %H:%M') > strptime(n.last_txt, '%Y-%m-%dT%H:%M:%SZ')),
+plan as (
+  select n.entry_key, n.url, not (n.by_key or n.by_url) as parent_post,
+    coalesce(k.cnt, 0) as new_comments, k.mx, n.last_txt, n.thread_id, n.by_url
+  from ent n left join (select entry_key, count(*) as cnt, max(ct) as mx from newc group by entry_key) k
+    on k.entry_key = n.entry_key)
+"""
+
+
+def _delta_result(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return _delta.comment_delta(items, tables.comments_view(spark, sf_dir),
+                                tables.prior_state_view(spark, sf_dir))
+
+
+@register("comment_delta", _DELTA_CTE + """
+select 'parent' as kind, entry_key, thread_id, null as "user", null as comment_time,
+  description as text, thread_id as message_id
+from ent where not (by_key or by_url)
+union all
+select 'comment', entry_key, thread_id, "user", strftime(ct, '%Y-%m-%dT%H:%M:%SZ'),
+  '*' || "user" || '* さん: ' || comment, sha256(entry_key || '|' || "user" || '|' || ts_text || '|' || comment)
+from newc""")
+def q_comment_delta(spark, sf_dir):
+    r = _delta_result(spark, sf_dir)
+    return r.outbox.select("kind", "entry_key", "thread_id", "user", "comment_time", "text", "message_id")
+
+
+@register("comment_delta_plan", _DELTA_CTE + """
+select entry_key, url, parent_post, new_comments from plan""")
+def q_comment_delta_plan(spark, sf_dir):
+    return _delta_result(spark, sf_dir).plan.select("entry_key", "url", "parent_post", "new_comments")
+
+
+@register("plan_totals", _DELTA_CTE + """
+select sum(cast(parent_post as bigint)) as parent_posts, coalesce(sum(new_comments), 0) as comment_posts from plan""")
+def q_plan_totals(spark, sf_dir):
+    return _delta.plan_totals(_delta_result(spark, sf_dir).plan)
+
+
+@register("comment_delta_state", _DELTA_CTE + """
+select entry_key,
+  case when mx is not null and mx > strptime(last_txt, '%Y-%m-%dT%H:%M:%SZ')
+       then strftime(mx, '%Y-%m-%dT%H:%M:%SZ') else last_txt end as last_comment_timestamp,
+  thread_id
+from plan
+union all
+select p.entry_key, p.last_comment_timestamp, p.thread_id from prior p
+where not exists (select 1 from ent n where n.entry_key = p.entry_key)
+  and not exists (select 1 from ent n where n.by_url and n.url = p.entry_key)""")
+def q_comment_delta_state(spark, sf_dir):
+    return _delta_result(spark, sf_dir).new_state

@@ -111,3 +111,30 @@ def item_variants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url": F.concat(F.split_part(F.col("url"), F.lit("#"), F.lit(1)),
                         F.when(has_q, F.lit("&")).otherwise(F.lit("?")), F.lit("utm_medium=rss"))})
     return original.unionByName(variant)
+
+
+# The "previous run" of the comment-delta job that the stored state reflects.
+PRIOR_RUN = _dt.datetime(2024, 1, 20, 0, 0, 0)
+
+
+def prior_state_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State as a run at :data:`PRIOR_RUN` would have left it.
+
+    Entries: items published before that run.  Last comment time: the
+    latest comment before the run (else the epoch).  Entries whose link
+    differs from its dedup key are stored under the raw link, the legacy
+    layout that the delta job re-keys.
+    """
+    from ..functions.times import EPOCH_RFC3339, comment_time, rfc3339, ts_lit
+    from ..operators.delta import entry_key
+
+    cut = ts_lit(PRIOR_RUN)
+    items = items_view(spark, sf_dir).filter(F.col("published_at") < cut).select(
+        "pos", "url", entry_key("url").alias("key"))
+    c = comments_view(spark, sf_dir).select("url", comment_time(F.col("timestamp")).alias("ct"))
+    c = c.filter(F.col("ct") < cut).groupBy("url").agg(F.max("ct").alias("ct"))
+    j = items.join(c, "url", "left")
+    return j.select(
+        F.when(F.col("key") == F.col("url"), F.col("key")).otherwise(F.col("url")).alias("entry_key"),
+        F.coalesce(rfc3339(F.col("ct")), F.lit(EPOCH_RFC3339)).alias("last_comment_timestamp"),
+        F.concat(F.lit("T"), F.col("pos").cast("string")).alias("thread_id"))
