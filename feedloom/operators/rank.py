@@ -104,3 +104,18 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
 def filter_published_since(df: DataFrame, now: _dt.datetime, window) -> DataFrame:
     from .filters import time_window
     return time_window(df, window, now)
+
+
+def rank_keys(df: DataFrame, by: str | None) -> list[Column] | None:
+    """Ascending sort keys equivalent to :func:`rank_order` (usable inside a
+    struct for ``min_by`` or for :func:`with_rank`)."""
+    mode = (by or "").strip().lower()
+    if mode in ("", "none"):
+        return None
+    if mode == "hotness":
+        score = F.coalesce(F.col("hotness_score"), F.lit(0.0)) if "hotness_score" in df.columns else F.lit(0.0)
+        return [-score, F.col("pos")]
+    if mode in ("published", "time"):
+        pub = published_time(df)
+        return [pub.isNull(), -F.unix_micros(pub), F.col("pos")]
+    raise ValueError(f"unsupported rank {by!r}")

@@ -395,3 +395,70 @@ where not exists (select 1 from ent n where n.entry_key = p.entry_key)
   and not exists (select 1 from ent n where n.by_url and n.url = p.entry_key)""")
 def q_comment_delta_state(spark, sf_dir):
     return _delta_result(spark, sf_dir).new_state
+
+
+# -------------------------------------------------------------- explain -----
+
+from ..operators.explain import explain_items as _explain_items  # noqa: E402
+from . import stages as _stages  # noqa: E402
+
+EXPLAIN_INCLUDE = ["the", "und"]
+EXPLAIN_EXCLUDE = ["license"]
+EXPLAIN_MIN_HOTNESS = 2.0
+
+
+def _explain_stage_list():
+    return [_stages.NormalizeStage(), _stages.MergeStage(),
+            *_stages.filter_rank_stages(include=EXPLAIN_INCLUDE, exclude=EXPLAIN_EXCLUDE,
+                                        exclude_domain=DOMAIN_EXCLUDE, since=WINDOW,
+                                        rank_by="hotness", min_hotness=EXPLAIN_MIN_HOTNESS, now=NOW)]
+
+
+def _explain_sql():
+    t = _kw_text_sql()
+    score = " + ".join(f"cast(contains({t}, {S.q(p)}) as integer)" for p in EXPLAIN_INCLUDE)
+    hits = (f"array_to_string(list_filter([{', '.join(S.q(p) for p in EXPLAIN_EXCLUDE)}], "
+            f"lambda p: contains({t}, p)), ',')")
+    dm = " or ".join(f"(dom = {S.q(p)} or ends_with(dom, {S.q('.' + p)}))" for p in DOMAIN_EXCLUDE)
+    hot = S.hotness("0", "0", "published_at")
+    return S.with_(S.ITEMS_CTE) + f"""
+, m as (select *, row_number() over (partition by nkey order by pos) = 1 as mk,
+          {S.domain('nkey')} as dom from items),
+k as (select *, ({score}) as score, {hits} as hits, {hot} as hot from m),
+f as (select *,
+  mk and hits = '' and score > 0 as a2,
+  mk and hits = '' and score > 0 and dom <> '' and not ({dm}) as a3x,
+  published_at is not null and published_at >= {S.NOW} - interval 240 hour as tw
+  from k),
+g as (select *, coalesce(a3x, false) or (a2 and dom = '') as a3 from f),
+h as (select *, a3 and tw as a4, a3 and tw and hot >= {EXPLAIN_MIN_HOTNESS} as a5 from g)
+select pos, a5 as kept,
+  array_to_string(list_filter([
+    'normalize: set normalized_url/id',
+    case when mk then 'merge: kept key=' || nkey else 'merge: dropped duplicate key=' || nkey end,
+    case when mk and hits <> '' then 'keyword_filter: dropped by exclude=' || hits end,
+    case when mk then case when score = 0 then 'keyword_filter: dropped by no include match'
+                           else 'keyword_filter: score=' || cast(score as varchar) end end,
+    case when a2 then case when dom <> '' and ({dm}) then 'domain_filter: dropped by exclude domain=' || dom
+                           else 'domain_filter: domain=' || case when dom = '' then '(empty)' else dom end end end,
+    case when a3 then case when published_at is null then 'time_window_filter: dropped by missing published time'
+                           when not tw then 'time_window_filter: dropped by older than 240h0m0s'
+                           else 'time_window_filter: within 240h0m0s' end end,
+    case when a4 then 'hotness_score: score=' || printf('%.3f', hot) end,
+    case when a4 then case when hot < {EXPLAIN_MIN_HOTNESS}
+                           then 'min_hotness: dropped by min={EXPLAIN_MIN_HOTNESS:.3f} score=' || printf('%.3f', hot)
+                           else 'min_hotness: score=' || printf('%.3f', hot) end end,
+    case when a5 then 'rank: by=hotness' end], lambda x: x is not null), ' | ') as reasons,
+  case when a5 then score end as keyword_score,
+  case when a5 then hot end as hotness_score,
+  case when a5 then dom end as domain
+from h"""
+
+
+@register("explain_items", _explain_sql())
+def q_explain_items(spark, sf_dir):
+    ex = _explain_items(_items(spark, sf_dir), _explain_stage_list(), _stages.Context(now=NOW))
+    return ex.select("pos", "kept", F.array_join("reasons", " | ").alias("reasons"),
+                     F.col("item.keyword_score").alias("keyword_score"),
+                     F.col("item.hotness_score").alias("hotness_score"),
+                     F.col("item.domain").alias("domain"))
