@@ -462,3 +462,174 @@ def q_explain_items(spark, sf_dir):
                      F.col("item.keyword_score").alias("keyword_score"),
                      F.col("item.hotness_score").alias("hotness_score"),
                      F.col("item.domain").alias("domain"))
+
+
+# ------------------------------------------------- sources, sinks, chains ---
+
+import uuid as _uuid  # noqa: E402
+
+from ..operators import lint as _lint  # noqa: E402
+from ..sinks import digest as _digest, feeds as _feeds, jsonl as _jsonl  # noqa: E402
+from ..sources import feeds as _src_feeds, jsonl as _src_jsonl  # noqa: E402
+
+DOC_SIZE = 20          # items per generated feed document
+BAD_DOC_MARK = "spam-farm"
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    base = _session.checkpoint_dir(spark).rstrip("/")
+    return f"{base}/feedloom-work/{name}-{_uuid.uuid4().hex}"
+
+
+def _feed_stream_dir(spark, sf_dir, stamp_now: bool = False) -> str:
+    """Write the items as a concatenated RSS stream (one document per 20
+    consecutive items; a document holding a spam-farm link is written with
+    a broken root so that it fails to parse) and return its folder.  With
+    ``stamp_now`` items without a time get the writer's "now", as the feed
+    writer does."""
+    items = _items(spark, sf_dir)
+    if stamp_now:
+        items = items.withColumn("published_at", F.coalesce(F.col("published_at"), ts_lit(NOW)))
+    items = items.withColumn("_doc", F.floor(F.col("pos") / DOC_SIZE).cast("long"))
+    items = items.withColumn("_title", F.concat(F.lit("feed "), F.col("_doc").cast("string")))
+    bad = items.groupBy("_doc").agg(F.max(F.contains("url", F.lit(BAD_DOC_MARK)).cast("int")).alias("_bad"))
+    lines = _feeds.feed_stream_lines(items, "_doc", "_title").join(
+        bad.withColumnRenamed("_doc", "k1"), "k1")
+    lines = lines.withColumn("line", F.when((F.col("_bad") == 1) & (F.col("k2") == 0),
+                                            F.replace("line", F.lit('<rss version="2.0">'), F.lit("<html>")))
+                             .otherwise(F.col("line"))).drop("_bad")
+    path = work_dir(spark, "feeds")
+    _feeds.write_feed_stream(lines, path)
+    return path
+
+
+_BAD_DOCS_CTE = f"""
+, docs as (select pos // {DOC_SIZE} as doc, max(cast(contains(url, '{BAD_DOC_MARK}') as int)) as bad
+           from items group by 1)"""
+
+
+@register("feed_roundtrip", S.with_(S.ITEMS_CTE) + _BAD_DOCS_CTE + f"""
+select i.url, case when i.nkey <> '' then i.nkey else i.url end as id, i.title,
+  strftime(coalesce(i.published_at, {S.NOW}), '%Y-%m-%d %H:%M:%S') as published,
+  'feed ' || cast(i.pos // {DOC_SIZE} as varchar) as source
+from items i join docs d on d.doc = i.pos // {DOC_SIZE} where d.bad = 0""")
+def q_feed_roundtrip(spark, sf_dir):
+    path = _feed_stream_dir(spark, sf_dir, stamp_now=True)
+    got = _src_feeds.read_feeds(spark, path)
+    return got.select("url", "id", "title", _fmt_ts(F.col("published_at")).alias("published"), "source")
+
+
+@register("lint_counts", S.with_(S.ITEMS_CTE) + _BAD_DOCS_CTE + """
+select count(*) as total, count(*) filter (where bad = 0) as valid, count(*) filter (where bad = 1) as invalid,
+  count(*) filter (where bad = 1) = 0 as ok from docs""")
+def q_lint_counts(spark, sf_dir):
+    path = _feed_stream_dir(spark, sf_dir)
+    docs = _src_feeds.parse_feeds(_src_feeds.read_feed_text(spark, path))
+    return _lint.lint(docs)
+
+
+@register("jsonl_roundtrip", S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + """
+select i.url, i.nkey as id, i.nkey as normalized_url, i.title, i.description,
+  strftime(i.published_at, '%Y-%m-%d %H:%M:%S') as published, i.source,
+  i.lang as categories, coalesce(cast(b.n as varchar), '') as bookmark_count
+from items i left join bcounts b on b.url = i.url""")
+def q_jsonl_roundtrip(spark, sf_dir):
+    path = work_dir(spark, "jsonl")
+    _jsonl.write_jsonl(_enriched(spark, sf_dir), path)
+    got = _src_jsonl.read_items_jsonl(spark, path)
+    return got.select("url", "id", "normalized_url", "title", "description",
+                      _fmt_ts(F.col("published_at")).alias("published"), "source",
+                      F.array_join("categories", ",").alias("categories"), "bookmark_count")
+
+
+def _digest_sql():
+    t = S.go_trim("i.title")
+    label = f"(case when {t} = '' then i.url else {t} end)"
+    label = f"replace(replace({label}, '[', '\\['), ']', '\\]')"
+    summ = S.clean(S.go_trim(S.unescape("i.description")))
+    summ = f"(case when length({summ}) <= 180 then {summ} else left({summ}, 180) || '...' end)"
+    return S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + f"""
+, w as (select i.*, coalesce(cast(b.n as varchar), '') as cnt from items i left join bcounts b on b.url = i.url
+        where i.published_at >= {S.NOW} - interval 240 hour),
+l as (
+  select 0 as k1, 0 as k2, 0 as k3, '# feed2cli digest' as line
+  union all select 0, 1, 0, ''
+  union all select 0, 2, 0, 'Window: 2024-01-21T00:00:00Z - 2024-01-31T00:00:00Z'
+  union all select 0, 3, 0, ''
+  union all select 0, 4, 0, 'Items: ' || cast((select count(*) from w) as varchar)
+  union all select 0, 5, 0, ''
+  union all select 1, -epoch_us(i.published_at), i.pos * 2,
+    '- [' || {label} || '](' || i.url || ') - ' || strftime(i.published_at, '%Y-%m-%dT%H:%M:%SZ')
+    || case when i.cnt not in ('', '0') then ' - Hatena Bookmark: ' || i.cnt else '' end
+  from w i
+  union all select 1, -epoch_us(i.published_at), i.pos * 2 + 1, '  ' || {summ}
+  from w i where {summ} <> '')
+select * from l"""
+
+
+@register("digest", _digest_sql())
+def q_digest(spark, sf_dir):
+    return _digest.digest_lines(_enriched(spark, sf_dir), NOW, window=WINDOW)
+
+
+PLUGIN_WORD = "the"
+
+
+@register("external_command", S.with_(S.ITEMS_CTE) + f"""
+select pos, url, title from items where contains(lower(title), '{PLUGIN_WORD}')""")
+def q_external_command(spark, sf_dir):
+    import os
+    from ..operators.plugin import external_command
+    script = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))),
+                          "scripts", "plugins", "keep_title_word.py")
+    out = external_command(_items(spark, sf_dir), "python3", [script, PLUGIN_WORD], timeout="120s",
+                           name="keep_title_word")
+    return out.select("pos", "url", "title")
+
+
+CHAIN_CONFIG = {
+    "stages": [
+        {"type": "normalize"},
+        {"type": "merge"},
+        {"type": "keyword", "include": KEYWORD_INCLUDE, "exclude": KEYWORD_EXCLUDE, "min_score": 1},
+        {"type": "domain-filter", "exclude": DOMAIN_EXCLUDE},
+        {"type": "since", "since": WINDOW},
+        {"type": "hatena"},
+        {"type": "hotness"},
+        {"type": "min-hotness", "min": MIN_HOTNESS},
+        {"type": "source", "default_source": DEFAULT_SOURCE},
+        {"type": "summary"},
+        {"type": "rank", "by": "hotness"},
+    ]
+}
+
+
+def _chain_sql():
+    t = _kw_text_sql()
+    score = " + ".join(f"cast(contains({t}, {S.q(p)}) as integer)" for p in KEYWORD_INCLUDE)
+    excl = " or ".join(f"contains({t}, {S.q(p)})" for p in KEYWORD_EXCLUDE)
+    dm = " or ".join(f"(dom = {S.q(p)} or ends_with(dom, {S.q('.' + p)}))" for p in DOMAIN_EXCLUDE)
+    fne = f"coalesce(nullif({S.go_trim('description')}, ''), nullif({S.go_trim('title')}, ''), '')"
+    cl = S.clean(fne)
+    return S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + f"""
+, m as (select * from (select *, row_number() over (partition by nkey order by pos) rn from items) where rn = 1),
+k as (select *, ({score}) as keyword_score, ({excl}) as excluded, {S.domain('nkey')} as dom from m),
+f as (select * from k where not excluded and keyword_score > 0 and (dom = '' or not ({dm}))
+        and published_at >= {S.NOW} - interval 240 hour),
+h as (select f.*, coalesce(cast(b.n as varchar), '') as bookmark_count,
+        {S.hotness('coalesce(b.n, 0)', 'coalesce(c.n, 0)', 'f.published_at')} as hotness_score
+      from f left join bcounts b on b.url = f.url left join ccounts c on c.url = f.url)
+select pos, url, keyword_score, hotness_score, source,
+  (case when length({cl}) <= 160 then {cl} else left({cl}, 157) || '...' end) as summary,
+  case when bookmark_count not in ('', '0') then 'Hatena Bookmark: ' || bookmark_count
+       when source <> '' then 'source: ' || source else 'source feed item' end as reading_reason
+from h where hotness_score >= {MIN_HOTNESS}"""
+
+
+@register("config_chain", _chain_sql())
+def q_config_chain(spark, sf_dir):
+    ctx = _stages.Context(now=NOW, comments=tables.comments_view(spark, sf_dir),
+                          bookmark_counts=tables.bookmark_counts_view(spark, sf_dir))
+    out = _stages.run_stages(_items(spark, sf_dir), _stages.build_stages(CHAIN_CONFIG), ctx)
+    return out.select("pos", "url", "keyword_score", "hotness_score", "source", "summary", "reading_reason")
