@@ -633,3 +633,62 @@ def q_config_chain(spark, sf_dir):
                           bookmark_counts=tables.bookmark_counts_view(spark, sf_dir))
     out = _stages.run_stages(_items(spark, sf_dir), _stages.build_stages(CHAIN_CONFIG), ctx)
     return out.select("pos", "url", "keyword_score", "hotness_score", "source", "summary", "reading_reason")
+
+
+# ------------------------------------------------------------ streaming -----
+
+from ..streaming import jobs as _stream  # noqa: E402
+
+
+@register("stream_jsonl_ingest", S.with_(S.ITEMS_CTE) + _kw_sql().split(S.with_(S.ITEMS_CTE), 1)[1]
+          .replace("select pos, url, keyword_score from", "select url, keyword_score from"))
+def q_stream_jsonl_ingest(spark, sf_dir):
+    """Items arrive as JSON Lines files; the stream applies normalize +
+    keyword filter per micro-batch (one file per trigger)."""
+    src, out, ck = work_dir(spark, "in"), work_dir(spark, "out"), work_dir(spark, "ck")
+    _jsonl.jsonl_records(_items(spark, sf_dir)).select("line").repartition(4).write.text(src)
+    stream = _stream.ingest_items_stream(spark, src, max_files_per_trigger=1)
+    kept = filters.keyword_filter(normalize_items(stream), KEYWORD_INCLUDE, KEYWORD_EXCLUDE, KEYWORD_MIN_SCORE)
+    _stream.run_available_now(kept.select("url", "keyword_score"), ck, fmt="parquet", path=out)
+    return spark.read.parquet(out)
+
+
+@register("stream_comment_delta", _DELTA_CTE + """
+select 'comment' as kind, entry_key, thread_id, "user", strftime(ct, '%Y-%m-%dT%H:%M:%SZ') as comment_time,
+  '*' || "user" || '* さん: ' || comment as text,
+  sha256(entry_key || '|' || "user" || '|' || ts_text || '|' || comment) as message_id
+from newc""")
+def q_stream_comment_delta(spark, sf_dir):
+    """Comments arrive as a stream; per-entry state (last time sent) lives
+    in ``applyInPandasWithState``; entries/state lookups are static."""
+    src, out, ck = work_dir(spark, "comments"), work_dir(spark, "outbox"), work_dir(spark, "ck")
+    tables.comments_view(spark, sf_dir).repartitionByRange(4, "ord").write.parquet(src)
+    items = _items(spark, sf_dir)
+    entries = _delta._entries(items, tables.prior_state_view(spark, sf_dir))
+    links = items.select("url", _delta.entry_key("url").alias("entry_key")).distinct()
+    lookup = links.join(entries.select("entry_key", "last_time", "thread_id"), "entry_key")
+    stream = _stream.read_comments_stream(spark, src)
+    _stream.run_available_now(_stream.comment_delta_stream(stream, lookup), ck, fmt="parquet", path=out)
+    return spark.read.parquet(out)
+
+
+@register("stream_dedup_archive", S.with_(S.ITEMS_CTE) + """
+select pos, url, nkey as dedup_key from (
+  select *, row_number() over (partition by nkey order by pos) rn from items) where rn = 1""")
+def q_stream_dedup_archive(spark, sf_dir):
+    """Two arrivals: the items, then their tracking-parameter variants; the
+    archive keeps the first arrival of every key (foreachBatch + anti-join)."""
+    src, arch, ck = work_dir(spark, "items"), work_dir(spark, "archive"), work_dir(spark, "ck")
+    variants = tables.item_variants_view(spark, sf_dir)
+    originals = _items(spark, sf_dir)
+    schema = originals.schema
+    originals.write.parquet(f"{src}/part=0")
+    sink = _stream.dedup_archive_batch(arch)
+    stream = spark.readStream.schema(schema).parquet(f"{src}/*")
+    _stream.run_available_now(stream, ck, sink=sink)
+    (variants.filter(F.col("pos") % 2 == F.when(F.contains("url", F.lit("?")), 0).otherwise(1))
+     .withColumn("pos", F.col("pos") + F.lit(1 << 40)).select(*schema.names).write.parquet(f"{src}/part=1"))
+    stream = spark.readStream.schema(schema).parquet(f"{src}/*")
+    _stream.run_available_now(stream, ck, sink=sink)
+    a = spark.read.parquet(arch)
+    return a.select("pos", "url", F.col("_key").alias("dedup_key"))

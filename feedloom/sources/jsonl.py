@@ -12,12 +12,15 @@ from ..schema import COMMENT_STRUCT, ITEM_JSONL_VERSION, JSONL_ITEM_SCHEMA
 ACCEPTED_VERSIONS = (ITEM_JSONL_VERSION,)
 
 
-def parse_item_lines(lines: DataFrame, col: str = "value", accepted=ACCEPTED_VERSIONS) -> DataFrame:
+def parse_item_lines(lines: DataFrame, col: str = "value", accepted=ACCEPTED_VERSIONS,
+                     pos=None) -> DataFrame:
     """Parse JSON lines into the items table; blank lines are skipped, a
     malformed line or an unknown ``schema_version`` fails the job (raised
-    when the data is read, naming the offending record)."""
+    when the data is read, naming the offending record).  ``pos`` defaults
+    to the scan order (batch reads); streams pass their own column."""
     line = F.trim(F.col(col))
-    x = lines.filter(line != "").withColumn("_pos", F.monotonically_increasing_id())
+    x = lines.filter(line != "").withColumn(
+        "_pos", F.monotonically_increasing_id() if pos is None else pos)
     ok_json = F.try_parse_json(F.col(col)).isNotNull() & F.startswith(F.ltrim(F.col(col)), F.lit("{"))
     rec = F.from_json(F.col(col), JSONL_ITEM_SCHEMA)
     ver = F.coalesce(rec["schema_version"], F.lit(""))

@@ -36,7 +36,10 @@ def ingest_items_stream(spark: SparkSession, path: str, max_files_per_trigger: i
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = r.load(path)
-    return parse_item_lines(lines).drop("pos").withColumn("pos", F.monotonically_increasing_id())
+    # arrival order inside a stream is not a row order: pos is the file's
+    # modification time (micros); consumers needing a total order assign it
+    # per micro-batch (see dedup_archive_batch)
+    return parse_item_lines(lines, pos=F.unix_micros(F.col("_metadata.file_modification_time")))
 
 
 DELTA_OUT = T.StructType([
