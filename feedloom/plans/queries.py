@@ -692,3 +692,38 @@ def q_stream_dedup_archive(spark, sf_dir):
     _stream.run_available_now(stream, ck, sink=sink)
     a = spark.read.parquet(arch)
     return a.select("pos", "url", F.col("_key").alias("dedup_key"))
+
+
+# -------------------------------------------------------------- messages ----
+
+from ..sinks import messages as _messages  # noqa: E402
+
+
+@register("notification_messages", S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + """
+select i.pos, 'post' as kind, '<' || i.url || '|' || i.title || '>' as text,
+  i.description || chr(10) || chr(10)
+  || case when b.n is not null and cast(b.n as varchar) <> '0' then 'Hatena Bookmark: *' || cast(b.n as varchar) || '*' || chr(10) else '' end
+  || case when coalesce(c.n, 0) > 0 then 'Hatena Comments: ' || cast(c.n as varchar) || chr(10) else '' end as attachment,
+  sha256('post|' || cast(i.pos as varchar) || '|' || i.url) as message_id
+from items i left join bcounts b on b.url = i.url left join ccounts c on c.url = i.url""")
+def q_notification_messages(spark, sf_dir):
+    return _messages.notification_messages(_enriched(spark, sf_dir))
+
+
+def _go_quote_sql(x: str) -> str:
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        x = f"replace({x}, {S.q(a) if a != chr(10) and a != chr(13) and a != chr(9) else 'chr(' + str(ord(a)) + ')'}, {S.q(b)})"
+    return f"('\"' || {x} || '\"')"
+
+
+@register("dry_run_plan", S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + f"""
+, e as (select i.*, coalesce(cast(b.n as varchar), '') as cnt, coalesce(c.n, 0) as cc,
+          row_number() over (order by i.pos) as n
+        from items i left join bcounts b on b.url = i.url left join ccounts c on c.url = i.url)
+select 0 as k1, 0 as k2, 0 as k3, 'slack dry-run: channel=(unset) posts=' || cast((select count(*) from e) as varchar) as line
+union all
+select 1, n, 0, cast(n as varchar) || '. message title=' || {_go_quote_sql('title')} || ' url=' || {_go_quote_sql('url')} from e
+union all
+select 1, n, 1, '   hatena_bookmark_count=' || cnt || ' comments=' || cast(cc as varchar) from e where cnt <> ''""")
+def q_dry_run_plan(spark, sf_dir):
+    return _messages.dry_run_lines(_enriched(spark, sf_dir))
