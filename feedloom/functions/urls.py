@@ -76,8 +76,13 @@ def normalize_url(c) -> Column:
     hostport = F.substring_index(authority, "@", -1)
     port_ok = F.when(F.startswith(hostport, F.lit("[")), hostport.rlike(r"^\[[^\]]*\](:[0-9]*)?$")).otherwise(
         ~hostport.rlike(r":[^:]*[^0-9:][^:]*$"))
+    # escapes are validated in host, path and fragment (the query is split
+    # into pairs later and a bad pair is dropped there)
+    fragment = F.regexp_extract(raw, _URL_RE, 6)
+    bad_escape = authority.rlike(_BAD_ESCAPE) | F.regexp_extract(raw, _URL_RE, 3).rlike(_BAD_ESCAPE) \
+        | fragment.rlike(_BAD_ESCAPE)
     parsed = (raw.rlike(_URL_RE) & (authority != "") & ~raw.rlike(_BAD_ANY)
-              & ~authority.rlike(_BAD_HOST) & ~raw.rlike(_BAD_ESCAPE) & port_ok)
+              & ~authority.rlike(_BAD_HOST) & ~bad_escape & port_ok)
     return F.when(raw == "", F.lit("")).when(parsed, rebuilt).otherwise(raw)
 
 
