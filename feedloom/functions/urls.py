@@ -12,7 +12,7 @@ trailing slashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col_, go_trim
@@ -55,60 +55,122 @@ def _escape_path(path: Column) -> Column:
     return F.when(path.rlike("[^" + _PATH_OK[1:]), F.array_join(enc, "")).otherwise(path)
 
 
-def normalize_url(c) -> Column:
-    """Normalized dedup key of a raw link ('' for blank input)."""
-    raw = go_trim(F.coalesce(col_(c), F.lit("")))
-    scheme = F.regexp_extract(raw, _URL_RE, 1)
-    authority = F.regexp_extract(raw, _URL_RE, 2)
-    path = F.regexp_extract(raw, _URL_RE, 3)
-    has_q = F.regexp_extract(raw, _URL_RE, 4) != ""
-    query = F.regexp_extract(raw, _URL_RE, 5)
-    at = F.instr(F.reverse(authority), "@")
-    userinfo = F.when(at > 0, F.substring(authority, 1, F.length(authority) - at + 1)).otherwise(F.lit(""))
-    host = F.lower(F.when(at > 0, F.substring_index(authority, "@", -1)).otherwise(authority))
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it for ``body`` (a one-element
+    ``transform``): Catalyst does not share subexpressions that sit inside
+    conditional branches or lambdas, so heavy inputs are bound instead."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _stage_parts(raw: Column) -> Column:
+    """One regexp pass per URL component."""
+    return F.struct(
+        raw.alias("raw"),
+        raw.rlike(_URL_RE).alias("m"),
+        F.regexp_extract(raw, _URL_RE, 1).alias("scheme"),
+        F.regexp_extract(raw, _URL_RE, 2).alias("auth"),
+        F.regexp_extract(raw, _URL_RE, 3).alias("path"),
+        (F.regexp_extract(raw, _URL_RE, 4) != "").alias("has_q"),
+        F.regexp_extract(raw, _URL_RE, 5).alias("query"),
+        F.regexp_extract(raw, _URL_RE, 6).alias("frag"),
+    )
+
+
+def _stage_fields(p: Column) -> Column:
+    """Normalized fields from the parts struct ``p``."""
+    raw, auth, path, query = p["raw"], p["auth"], p["path"], p["query"]
+    at = F.instr(F.reverse(auth), "@")
+    userinfo = F.when(at > 0, F.substring(auth, 1, F.length(auth) - at + 1)).otherwise(F.lit(""))
+    hostport = F.substring_index(auth, "@", -1)
+    host = F.lower(hostport)
     host = F.when(F.startswith(host, F.lit("m.")), F.substr(host, F.lit(3))).otherwise(host)
-    path = F.regexp_replace(F.regexp_replace(path, "/amp/$", ""), "/amp$", "")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    nq = normalized_query(query)
-    q_part = F.when(nq != "", F.concat(F.lit("?"), nq)).when(
-        has_q & (query == ""), F.lit("?")).otherwise(F.lit(""))
-    rebuilt = F.concat(F.lower(scheme), F.lit("://"), userinfo, host, _escape_path(path), q_part)
-    hostport = F.substring_index(authority, "@", -1)
+    stripped = F.regexp_replace(F.regexp_replace(path, "/amp/$", ""), "/amp$", "")
     port_ok = F.when(F.startswith(hostport, F.lit("[")), hostport.rlike(r"^\[[^\]]*\](:[0-9]*)?$")).otherwise(
         ~hostport.rlike(r":[^:]*[^0-9:][^:]*$"))
     # escapes are validated in host, path and fragment (the query is split
     # into pairs later and a bad pair is dropped there)
-    fragment = F.regexp_extract(raw, _URL_RE, 6)
-    bad_escape = authority.rlike(_BAD_ESCAPE) | F.regexp_extract(raw, _URL_RE, 3).rlike(_BAD_ESCAPE) \
-        | fragment.rlike(_BAD_ESCAPE)
-    parsed = (raw.rlike(_URL_RE) & (authority != "") & ~raw.rlike(_BAD_ANY)
-              & ~authority.rlike(_BAD_HOST) & ~bad_escape & port_ok)
-    return F.when(raw == "", F.lit("")).when(parsed, rebuilt).otherwise(raw)
+    bad_escape = auth.rlike(_BAD_ESCAPE) | path.rlike(_BAD_ESCAPE) | p["frag"].rlike(_BAD_ESCAPE)
+    parsed = (p["m"] & (auth != "") & ~raw.rlike(_BAD_ANY) & ~auth.rlike(_BAD_HOST) & ~bad_escape & port_ok)
+    return F.struct(
+        raw.alias("raw"), parsed.alias("parsed"), F.lower(p["scheme"]).alias("scheme"),
+        userinfo.alias("userinfo"), host.alias("host"), stripped.alias("path"),
+        normalized_query(query).alias("nq"), (p["has_q"] & (query == "")).alias("force_q"))
+
+
+def _assemble(f: Column) -> Column:
+    path = F.when(f["path"] == "/", f["path"]).otherwise(F.regexp_replace(f["path"], "/+$", ""))
+    q_part = F.when(f["nq"] != "", F.concat(F.lit("?"), f["nq"])).when(f["force_q"], F.lit("?")).otherwise(F.lit(""))
+    rebuilt = F.concat(f["scheme"], F.lit("://"), f["userinfo"], f["host"], _escape_path(path), q_part)
+    return F.when(f["raw"] == "", F.lit("")).when(f["parsed"], rebuilt).otherwise(f["raw"])
+
+
+def _raw(c) -> Column:
+    return go_trim(F.coalesce(col_(c), F.lit("")))
+
+
+def normalize_url(c) -> Column:
+    """Normalized dedup key of a raw link ('' for blank input).
+
+    Column form for ad-hoc use; operators use :func:`with_normalized`,
+    which stages the same steps as projections (whole-stage codegen)."""
+    return _let(_stage_parts(_raw(c)), lambda p: _let(_stage_fields(p), _assemble))
+
+
+def with_normalized(df: DataFrame, src, out: str) -> DataFrame:
+    """Add column ``out`` = normalize(src), one regexp pass per component."""
+    df = df.withColumn("_urlr", _raw(src))
+    df = df.withColumn("_urlp", _stage_parts(F.col("_urlr")))
+    df = df.withColumn("_urlf", _stage_fields(F.col("_urlp")))
+    return df.withColumn(out, _assemble(F.col("_urlf"))).drop("_urlr", "_urlp", "_urlf")
+
+
+def with_key(df: DataFrame, out: str = "_key", normalized_col: str = "normalized_url",
+             url_col: str = "url") -> DataFrame:
+    """Add the dedup key: normalized_url, else normalize(url), else url.
+    The URL is only normalized for rows whose normalized_url is empty."""
+    n = F.coalesce(F.col(normalized_col), F.lit("")) if normalized_col in df.columns else F.lit("")
+    u = F.coalesce(F.col(url_col), F.lit(""))
+    df = with_normalized(df, F.when(n == "", u).otherwise(F.lit("")), "_knu")
+    return df.withColumn(out, F.when(n != "", n).when(F.col("_knu") != "", F.col("_knu")).otherwise(u)).drop("_knu")
+
+
+def with_domain(df: DataFrame, out: str = "_domain", normalized_col: str = "normalized_url",
+                url_col: str = "url") -> DataFrame:
+    """Add the item's domain (host of normalized_url, else of normalize(url),
+    without port and one leading www.)."""
+    n = F.coalesce(F.col(normalized_col), F.lit("")) if normalized_col in df.columns else F.lit("")
+    df = with_normalized(df, F.when(n == "", F.col(url_col)).otherwise(F.lit("")), "_dnu")
+    src = F.when(n != "", n).otherwise(F.col("_dnu"))
+    return df.withColumn(out, F.regexp_replace(url_host(src), r"^www\.", "")).drop("_dnu")
 
 
 def dedup_key(normalized_url, url) -> Column:
     """normalized_url, else normalize(url), else url."""
     n = F.coalesce(col_(normalized_url), F.lit(""))
     u = F.coalesce(col_(url), F.lit(""))
-    return F.when(n != "", n).otherwise(
-        F.when(normalize_url(u) != "", normalize_url(u)).otherwise(u))
+    return F.when(n != "", n).otherwise(_let(normalize_url(u), lambda k: F.when(k != "", k).otherwise(u)))
 
 
 def url_host(c) -> Column:
     """Host name of a URL (no user info, no port, lower case); '' if none."""
-    raw = F.coalesce(col_(c), F.lit(""))
-    authority = F.regexp_extract(raw, _URL_RE, 2)
-    hostport = F.substring_index(authority, "@", -1)
-    host = F.when(F.startswith(hostport, F.lit("[")),
-                  F.regexp_extract(hostport, r"^\[([^\]]*)\]", 1)).otherwise(
-        F.regexp_replace(hostport, r":[0-9]*$", ""))
-    return F.lower(host)
+    authority = F.regexp_extract(F.coalesce(col_(c), F.lit("")), _URL_RE, 2)
+
+    def body(a):
+        hostport = F.substring_index(a, "@", -1)
+        host = F.when(F.startswith(hostport, F.lit("[")),
+                      F.regexp_extract(hostport, r"^\[([^\]]*)\]", 1)).otherwise(
+            F.regexp_replace(hostport, r":[0-9]*$", ""))
+        return F.lower(host)
+    return _let(authority, body)
 
 
 def item_domain(normalized_url, url=None) -> Column:
     """Domain of an item: host of its normalized URL minus one leading www."""
-    src = col_(normalized_url) if url is None else F.when(
-        F.coalesce(col_(normalized_url), F.lit("")) != "", col_(normalized_url)).otherwise(normalize_url(url))
+    if url is None:
+        src = col_(normalized_url)
+    else:
+        n = F.coalesce(col_(normalized_url), F.lit(""))
+        src = F.when(n != "", n).otherwise(normalize_url(url))
     return F.regexp_replace(url_host(src), r"^www\.", "")
 
 

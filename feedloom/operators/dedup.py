@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .items import key_col, union_ordered
+from ..functions.urls import with_key
+from .filters import behind_barrier, optimizer_barrier
+from .items import union_ordered
 
 
 def merge_items(df: DataFrame, keep_empty_keys: bool = False) -> DataFrame:
@@ -23,10 +25,11 @@ def merge_items(df: DataFrame, keep_empty_keys: bool = False) -> DataFrame:
     one row per map task.
     """
     cols = df.columns
-    key = key_col(df)
+    keyed = with_key(df, "_key")
     if keep_empty_keys:
-        key = F.when(key == "", F.concat(F.lit("\u0000"), F.col("pos").cast("string"))).otherwise(key)
-    agg = (df.withColumn("_key", key)
+        keyed = keyed.withColumn("_key", F.when(F.col("_key") == "", F.concat(
+            F.lit("\u0000"), F.col("pos").cast("string"))).otherwise(F.col("_key")))
+    agg = (keyed
            .groupBy("_key")
            .agg(F.min_by(F.struct(*cols), F.col("pos")).alias("_row")))
     return agg.select("_row.*")
@@ -38,8 +41,11 @@ def diff_items(left: DataFrame, right: DataFrame) -> DataFrame:
     Left duplicates are kept; empty right keys are not registered, so an
     empty-key left row always survives.  Left anti join on the key.
     """
-    rkeys = right.select(key_col(right).alias("_key")).filter(F.col("_key") != "")
-    lk = left.withColumn("_key", key_col(left))
+    # distinct keys: a partial aggregate before the shuffle collapses a hot
+    # key on the right to one row per map task
+    rkeys = (optimizer_barrier(with_key(right, "_key").select("_key"))
+             .filter(behind_barrier(F.col("_key") != "")).select("_key").distinct())
+    lk = with_key(left, "_key")
     return lk.join(rkeys, "_key", "left_anti").drop("_key")
 
 
@@ -50,8 +56,8 @@ def archive_upsert(new: DataFrame, archived: DataFrame) -> DataFrame:
     occurrence; the empty key counts as a key here.  Output ``pos`` orders
     all new rows before all archived rows.
     """
-    nkeys = new.select(key_col(new).alias("_key"))
-    old = archived.withColumn("_key", key_col(archived))
+    nkeys = with_key(new, "_key").select("_key").distinct()
+    old = with_key(archived, "_key")
     first_old = (old.groupBy("_key").agg(F.min_by(F.struct(*archived.columns), F.col("pos")).alias("_row")))
     kept_old = first_old.join(nkeys, "_key", "left_anti").select("_row.*")
     return union_ordered(new, kept_old.select(*archived.columns))

@@ -163,3 +163,19 @@ def summarize(df: DataFrame, max_runes: int = DEFAULT_SUMMARY_RUNES) -> DataFram
               .when(src != "", F.concat(F.lit(SUMMARY_REASON_SOURCE), src))
               .otherwise(F.lit(SUMMARY_REASON_DEFAULT)))
     return df.withColumn("summary", summary).withColumn("reading_reason", reason)
+
+
+def summarize_with(df: DataFrame, summarizer) -> DataFrame:
+    """Summary from a pluggable summarizer.
+
+    ``summarizer(df)`` returns a Column ``struct<summary, reason, error>``
+    (a built-in expression or an Arrow ``pandas_udf``).  A non-null error
+    is written to ``summary_error`` and the row is kept unchanged."""
+    s = df.withColumn("_sum", summarizer(df))
+    err = F.col("_sum.error")
+    ok = err.isNull()
+    return (s.withColumn("summary", F.when(ok, F.coalesce(F.col("_sum.summary"), F.lit(""))).otherwise(F.col("summary")))
+            .withColumn("reading_reason", F.when(ok, F.coalesce(F.col("_sum.reason"), F.lit("")))
+                        .otherwise(F.col("reading_reason")))
+            .withColumn("summary_error", err.cast("string"))
+            .drop("_sum"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import session as _session
 from ..schema import EXPLAIN_JSONL_VERSION
-from .items import key_col
+from ..functions.urls import with_key
 from .rank import rank_keys, with_rank
 
 STAGE_STRUCT = "struct<stage:string,kept:boolean,reasons:array<string>>"
@@ -26,9 +26,11 @@ def _append(df: DataFrame, stage: str, kept: Column, reasons: Column) -> DataFra
     """Record a stage on alive rows and clear ``_alive`` where not kept."""
     alive = F.col("_alive")
     rec = F.struct(F.lit(stage).alias("stage"), kept.alias("kept"), reasons.alias("reasons")).cast(STAGE_STRUCT)
+    # `_alive` references the previous flag once per stage: a filter on the
+    # final flag is pushed down by inlining it, which must stay linear
     return df.withColumns({
         "_stages": F.when(alive, F.array_append(F.col("_stages"), rec)).otherwise(F.col("_stages")),
-        "_alive": alive & F.when(alive, kept).otherwise(F.lit(True)),
+        "_alive": alive & kept,
     })
 
 
@@ -55,7 +57,7 @@ def explain_items(items: DataFrame, stages, ctx=None, output: str = "rss",
                 if k not in item_cols:
                     item_cols.append(k)
             df = _append(df.withColumns(derived), st.name, F.col("_keep"), F.col("_why"))
-            df = df.drop("_keep", "_why", *[c for c in df.columns if c.startswith("_fav")])
+            df = df.drop("_keep", "_why", *rule.helpers)
         elif st.kind == "transform":
             prev = [c for c in df.columns if c not in _HELPERS]
             tmp = df.withColumns({f"_prev_{c}": F.col(c) for c in prev})
@@ -110,7 +112,7 @@ def _explain_merge(df: DataFrame, keys: list[Column] | None) -> DataFrame:
     keys = keys or [F.col("pos")]
     spark = df.sparkSession
     _session.checkpoint_dir(spark)
-    df = df.withColumns({"_k": key_col(df), "_o": F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])})
+    df = with_key(df, "_k").withColumn("_o", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
     df = df.checkpoint(eager=True)   # cut lineage: the plan below reads df three times
     if df.filter(F.col("_alive") & (F.col("_k") == "")).limit(1).count():
         alive = df.filter(F.col("_alive")).select("pos", "_k", *[F.col("_o")[f"k{i}"].alias(f"_o{i}")

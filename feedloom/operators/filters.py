@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_score, matching_contains, prepare_patterns
 from ..functions.times import duration_string, parse_duration, published_time, ts_lit
-from ..functions.urls import domain_matches, item_domain, normalize_domain_list
+from ..functions.urls import domain_matches, item_domain, normalize_domain_list, with_domain
 
 
 @dataclass
@@ -22,16 +22,42 @@ class Rule:
     reasons: Column                      # array<string>
     derived: dict[str, Column] = field(default_factory=dict)
     identity: bool = False               # execution returns the input as is
+    helpers: list[str] = field(default_factory=list)   # staged columns to drop
+    barrier: bool = False                # keep the filter above expensive helpers
 
 
 def _reasons(*cols: Column) -> Column:
     return F.filter(F.array(*cols), lambda x: x.isNotNull())
 
 
+def optimizer_barrier(df: DataFrame, name: str = "_barrier") -> DataFrame:
+    """Stop predicate pushdown at this point of the plan.
+
+    Catalyst pushes a filter below the projection that computes the columns
+    it reads and substitutes their expressions into the condition, once per
+    reference.  For cheap columns that is what we want (it reaches the
+    Parquet scan); for an expensive one (URL normalization, lowered full
+    text) it multiplies the work.  A projection holding a non-deterministic
+    value is never crossed by a pushed filter, so the expensive columns are
+    computed exactly once.  The filter must read the marker (see
+    :func:`behind_barrier`), otherwise column pruning removes it first."""
+    return df.withColumn(name, F.spark_partition_id())
+
+
+def behind_barrier(cond: Column, name: str = "_barrier") -> Column:
+    """``cond`` plus a (always true) read of the barrier marker."""
+    return cond & (F.col(name) >= 0)
+
+
 def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
     if rule.identity:
-        return df
-    return df.withColumns(rule.derived).filter(rule.keep) if rule.derived else df.filter(rule.keep)
+        return df.drop(*rule.helpers)
+    keep = rule.keep
+    if rule.barrier:
+        df = optimizer_barrier(df)
+        keep = behind_barrier(keep)
+    out = df.withColumns(rule.derived).filter(keep) if rule.derived else df.filter(keep)
+    return out.drop(*rule.helpers, "_barrier")
 
 
 # -- keyword ------------------------------------------------------------------
@@ -44,10 +70,13 @@ def keyword_text(df: DataFrame) -> Column:
     return F.lower(F.concat_ws(" ", *parts, cats))
 
 
-def keyword_rule(df: DataFrame, include=None, exclude=None, min_score: int = 0) -> Rule:
+def keyword_rule(df: DataFrame, include=None, exclude=None, min_score: int = 0) -> tuple[DataFrame, Rule]:
     include, exclude = list(include or []), list(exclude or [])
     inc, exc = prepare_patterns(include), prepare_patterns(exclude)
-    text = keyword_text(df)
+    # the lowered text is materialized once: the exclude match runs inside a
+    # lambda, where an inline expression would be re-evaluated per pattern
+    df = df.withColumn("_kw_text", keyword_text(df))
+    text = F.col("_kw_text")
     score = keyword_score(text, inc)
     hits = matching_contains(text, exc)
     excluded = F.size(hits) > 0 if exc else F.lit(False)
@@ -59,14 +88,14 @@ def keyword_rule(df: DataFrame, include=None, exclude=None, min_score: int = 0)
             F.concat(F.lit("keyword_filter: score="), score.cast("string"))),
         F.when(below, F.lit(f"keyword_filter: dropped by min_score={min_score}")),
     )
-    return Rule("keyword_filter", ~excluded & ~no_inc & ~below, reasons,
-                {"keyword_score": score.cast("int")})
+    return df, Rule("keyword_filter", ~excluded & ~no_inc & ~below, reasons,
+                    {"keyword_score": score.cast("int")}, helpers=["_kw_text"], barrier=True)
 
 
 def keyword_filter(df: DataFrame, include=None, exclude=None, min_score: int = 0) -> DataFrame:
     """Drop on any exclude hit; score = include patterns contained; drop when
     include is given and nothing matched, or when score < min_score."""
-    return apply_rule(df, keyword_rule(df, include, exclude, min_score))
+    return apply_rule(*keyword_rule(df, include, exclude, min_score))
 
 
 # -- domain -------------------------------------------------------------------
@@ -76,9 +105,10 @@ def domain_col(df: DataFrame) -> Column:
     return item_domain(n, F.col("url"))
 
 
-def domain_rule(df: DataFrame, include=None, exclude=None) -> Rule:
+def domain_rule(df: DataFrame, include=None, exclude=None) -> tuple[DataFrame, Rule]:
     inc, exc = normalize_domain_list(include), normalize_domain_list(exclude)
-    d = domain_col(df)
+    df = with_domain(df, "_dom")
+    d = F.col("_dom")
     empty = d == ""
     ex_hit = domain_matches(d, exc) & ~empty
     in_miss = (~domain_matches(d, inc)) if inc else F.lit(False)
@@ -91,24 +121,25 @@ def domain_rule(df: DataFrame, include=None, exclude=None) -> Rule:
               .when(in_miss, F.concat(F.lit("domain_filter: dropped by include mismatch domain="), d))
               .otherwise(F.concat(F.lit("domain_filter: domain="),
                                   F.when(empty, F.lit("(empty)")).otherwise(d))))
-    return Rule("domain_filter", keep, F.array(reason),
-                {"domain": F.when(~empty, d).otherwise(F.col("domain") if "domain" in df.columns
-                                                        else F.lit(None).cast("string"))})
+    return df, Rule("domain_filter", keep, F.array(reason),
+                    {"domain": F.when(~empty, d).otherwise(F.col("domain") if "domain" in df.columns
+                                                            else F.lit(None).cast("string"))},
+                    helpers=["_dom"], barrier=True)
 
 
 def domain_filter(df: DataFrame, include=None, exclude=None) -> DataFrame:
     """Filter by the item's domain (equal or dotted-suffix match); exclude
     first, then include; an empty domain passes only without include."""
-    return apply_rule(df, domain_rule(df, include, exclude))
+    return apply_rule(*domain_rule(df, include, exclude))
 
 
 # -- time window --------------------------------------------------------------
 
-def time_window_rule(df: DataFrame, since, now) -> Rule:
+def time_window_rule(df: DataFrame, since, now) -> tuple[DataFrame, Rule]:
     ns = parse_duration(since)
     if ns <= 0:
-        return Rule("time_window_filter", F.lit(True),
-                    F.array(F.lit("time_window_filter: no window")), identity=True)
+        return df, Rule("time_window_filter", F.lit(True),
+                        F.array(F.lit("time_window_filter: no window")), identity=True)
     now_dt = now if isinstance(now, _dt.datetime) else _dt.datetime.fromisoformat(str(now))
     cutoff = ts_lit(now_dt - _dt.timedelta(microseconds=ns // 1000))
     pub = published_time(df)
@@ -117,13 +148,13 @@ def time_window_rule(df: DataFrame, since, now) -> Rule:
     reason = (F.when(pub.isNull(), F.lit("time_window_filter: dropped by missing published time"))
               .when(pub < cutoff, F.lit("time_window_filter: dropped by older than " + text))
               .otherwise(F.lit("time_window_filter: within " + text)))
-    return Rule("time_window_filter", keep, F.array(reason))
+    return df, Rule("time_window_filter", keep, F.array(reason))
 
 
 def time_window(df: DataFrame, since, now) -> DataFrame:
     """Keep items published at or after ``now - since``; items without a time
     are dropped, future items kept; ``since <= 0`` keeps everything."""
-    return apply_rule(df, time_window_rule(df, since, now))
+    return apply_rule(*time_window_rule(df, since, now))
 
 
 # -- min hotness --------------------------------------------------------------
@@ -132,21 +163,21 @@ def _fmt3(x: float) -> str:
     return f"{x:.3f}"
 
 
-def min_hotness_rule(df: DataFrame, minimum: float) -> Rule:
+def min_hotness_rule(df: DataFrame, minimum: float) -> tuple[DataFrame, Rule]:
     score = F.coalesce(F.col("hotness_score"), F.lit(0.0)) if "hotness_score" in df.columns else F.lit(0.0)
     s_txt = F.format_string("%.3f", score)
     if minimum > 0:
         keep = score >= F.lit(float(minimum))
         reason = F.when(~keep, F.concat(F.lit(f"min_hotness: dropped by min={_fmt3(minimum)} score="), s_txt)) \
             .otherwise(F.concat(F.lit("min_hotness: score="), s_txt))
-        return Rule("min_hotness", keep, F.array(reason))
-    return Rule("min_hotness", F.lit(True), F.array(F.concat(F.lit("min_hotness: score="), s_txt)),
-                identity=True)
+        return df, Rule("min_hotness", keep, F.array(reason))
+    return df, Rule("min_hotness", F.lit(True), F.array(F.concat(F.lit("min_hotness: score="), s_txt)),
+                    identity=True)
 
 
 def min_hotness(df: DataFrame, minimum: float) -> DataFrame:
     """Keep items whose (3-decimal) hotness score is >= minimum."""
-    return apply_rule(df, min_hotness_rule(df, minimum))
+    return apply_rule(*min_hotness_rule(df, minimum))
 
 
 # -- favourite users ----------------------------------------------------------
@@ -181,7 +212,7 @@ def fav_user_rule(df: DataFrame, comments: DataFrame, users, on: str = "url") ->
     keep = F.col("_fav").isNotNull()
     reason = F.when(keep, F.concat(F.lit("fav_user: matched="), F.col("_fav"))).otherwise(
         F.lit("fav_user: dropped by no matching user"))
-    return joined, Rule("fav_user", keep, F.array(reason), {"fav_users": F.col("_fav")})
+    return joined, Rule("fav_user", keep, F.array(reason), {"fav_users": F.col("_fav")}, helpers=["_fav"])
 
 
 def fav_user(df: DataFrame, comments: DataFrame, users, on: str = "url") -> DataFrame:

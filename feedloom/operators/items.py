@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import dedup_key, normalize_url
+from ..functions.urls import dedup_key, with_normalized
 
 # Bits reserved for the item ordinal inside one source when several sources
 # are unioned; pos = (source ordinal << 40) | item ordinal.
@@ -23,10 +23,12 @@ def key_col(df: DataFrame) -> Column:
 def normalize_items(df: DataFrame) -> DataFrame:
     """Fill ``normalized_url`` when empty, then ``id`` when empty."""
     n = F.coalesce(F.col("normalized_url"), F.lit("")) if "normalized_url" in df.columns else F.lit("")
-    filled = F.when(n != "", n).otherwise(normalize_url(F.col("url")))
-    df = df.withColumn("normalized_url", filled)
+    df = with_normalized(df, F.when(n == "", F.col("url")).otherwise(F.lit("")), "_nnu")
+    df = df.withColumn("normalized_url", F.when(n != "", n).otherwise(F.col("_nnu"))).drop("_nnu")
     i = F.coalesce(F.col("id"), F.lit("")) if "id" in df.columns else F.lit("")
-    return df.withColumn("id", F.when(i != "", i).otherwise(key_col(df)))
+    # after the fill the key is normalized_url, else the raw url
+    key = F.when(F.col("normalized_url") != "", F.col("normalized_url")).otherwise(F.coalesce(F.col("url"), F.lit("")))
+    return df.withColumn("id", F.when(i != "", i).otherwise(key))
 
 
 def union_ordered(*dfs: DataFrame) -> DataFrame:

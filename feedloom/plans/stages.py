@@ -90,7 +90,7 @@ class KeywordStage(Stage):
         self.include, self.exclude, self.min_score = list(include or []), list(exclude or []), int(min_score or 0)
 
     def rule(self, df, ctx):
-        return df, filters.keyword_rule(df, self.include, self.exclude, self.min_score)
+        return filters.keyword_rule(df, self.include, self.exclude, self.min_score)
 
     def apply(self, df, ctx):
         return filters.keyword_filter(df, self.include, self.exclude, self.min_score)
@@ -103,7 +103,7 @@ class DomainStage(Stage):
         self.include, self.exclude = list(include or []), list(exclude or [])
 
     def rule(self, df, ctx):
-        return df, filters.domain_rule(df, self.include, self.exclude)
+        return filters.domain_rule(df, self.include, self.exclude)
 
     def apply(self, df, ctx):
         return filters.domain_filter(df, self.include, self.exclude)
@@ -117,7 +117,7 @@ class TimeWindowStage(Stage):
         self.now = now
 
     def rule(self, df, ctx):
-        return df, filters.time_window_rule(df, self.since_ns / 1e9, self.now or ctx.now)
+        return filters.time_window_rule(df, self.since_ns / 1e9, self.now or ctx.now)
 
     def apply(self, df, ctx):
         return filters.time_window(df, self.since_ns / 1e9, self.now or ctx.now)
@@ -147,7 +147,7 @@ class MinHotnessStage(Stage):
         self.minimum = float(minimum or 0.0)
 
     def rule(self, df, ctx):
-        return df, filters.min_hotness_rule(df, self.minimum)
+        return filters.min_hotness_rule(df, self.minimum)
 
     def apply(self, df, ctx):
         return filters.min_hotness(df, self.minimum)

@@ -107,15 +107,16 @@ def json_array_lines(df: DataFrame) -> DataFrame:
 
 def explain_records(ex: DataFrame) -> DataFrame:
     """(pos, line): explain JSON Lines records."""
-    item = ex.select("item.*")
-    item_cols = item.columns
-    flat = ex.select("pos", "schema_version", "output", "kept", "reasons", "stages",
-                     *[F.col("item")[c].alias(c) for c in item_cols])
+    item_cols = ex.select("item.*").columns
+    flat = ex.select(F.col("pos").alias("_x_pos"), F.col("output").alias("_x_output"),
+                     F.col("kept").alias("_x_kept"), F.col("reasons").alias("_x_reasons"),
+                     F.col("stages").alias("_x_stages"), "item.*")
     rec = F.struct(
-        F.lit(EXPLAIN_JSONL_VERSION).alias("schema_version"), F.col("output"), F.col("kept"),
-        F.when(F.size("reasons") > 0, F.col("reasons")).alias("reasons"),
-        F.when(F.size("stages") > 0, F.transform("stages", lambda s: F.struct(
+        F.lit(EXPLAIN_JSONL_VERSION).alias("schema_version"), F.col("_x_output").alias("output"),
+        F.col("_x_kept").alias("kept"),
+        F.when(F.size("_x_reasons") > 0, F.col("_x_reasons")).alias("reasons"),
+        F.when(F.size("_x_stages") > 0, F.transform("_x_stages", lambda s: F.struct(
             s["stage"].alias("stage"), s["kept"].alias("kept"),
             F.when(F.size(s["reasons"]) > 0, s["reasons"]).alias("reasons")))).alias("stages"),
         item_struct(flat.select(*item_cols), with_version=False).alias("item"))
-    return flat.select("pos", F.to_json(rec).alias("line"))
+    return flat.select(F.col("_x_pos").alias("pos"), F.to_json(rec).alias("line"))

@@ -14,7 +14,7 @@ NOW = dt.datetime(2026, 5, 23, 12, 0, 0)
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[*]", shuffle_partitions=8)
+    s = build_session("local[*]", shuffle_partitions=8, spark__driver__memory="8g")
     yield s
     s.stop()
 
