@@ -14,11 +14,9 @@ def col_(c) -> Column:
 
 
 def go_trim(c) -> Column:
-    """Trim Unicode white space at both ends.  The regexp only runs when the
-    first or last character is white space (a one-character test)."""
-    c = col_(c)
-    edge = F.substring(c, 1, 1).rlike(r"(?U)^\s$") | F.substring(c, -1, 1).rlike(r"(?U)^\s$")
-    return F.when(edge, F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
+    """Trim Unicode white space at both ends.  (The input is referenced once:
+    these helpers nest, and a repeated reference would multiply the work.)"""
+    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
 
 
 def clean_text(c) -> Column:

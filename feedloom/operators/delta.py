@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import EPOCH_RFC3339, comment_time, parse_rfc3339, rfc3339
-from ..functions.urls import normalize_url
+from ..functions.urls import normalize_url, with_key
+from ..session import checkpoint_dir
 
 # Thread message text "*<user>* さん: <comment>".
 COMMENT_TEXT_PREFIX = "*"
@@ -45,8 +46,14 @@ class DeltaResult:
     new_state: DataFrame   # full state after sending everything in outbox
 
 
+def with_entry_key(df: DataFrame) -> DataFrame:
+    """Add ``entry_key`` (staged normalization of the raw link)."""
+    return with_key(df, "entry_key", normalized_col="_no_normalized_", url_col="url")
+
+
 def _entries(items: DataFrame, state: DataFrame) -> DataFrame:
-    e = items.select("pos", "url", "title", "description", entry_key("url").alias("entry_key"))
+    e = items if "entry_key" in items.columns else with_entry_key(items)
+    e = e.select("pos", "url", "title", "description", "entry_key")
     # first item per key carries the parent message; every link of the key
     # contributes comments
     first = e.groupBy("entry_key").agg(F.min_by(F.struct("pos", "url", "title", "description"), "pos").alias("f"))
@@ -70,10 +77,20 @@ def _entries(items: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def comment_delta(items: DataFrame, comments: DataFrame, state: DataFrame) -> DeltaResult:
-    """Compute outbox, plan and new state for one run."""
-    entries = _entries(items, state)
-    links = items.select("url", entry_key("url").alias("entry_key")).distinct()
+def comment_delta(items: DataFrame, comments: DataFrame, state: DataFrame,
+                  materialize: bool = True) -> DeltaResult:
+    """Compute outbox, plan and new state for one run.
+
+    The per-entry lookup (one row per entry key: state found, last time,
+    thread) feeds the outbox, the plan and the next state; with
+    ``materialize`` it is checkpointed once to the shared checkpoint folder
+    instead of re-running the items and state inputs for every output."""
+    keyed = with_entry_key(items.select("pos", "url", "title", "description"))
+    entries = _entries(keyed, state)
+    if materialize:
+        checkpoint_dir(entries.sparkSession)
+        entries = entries.checkpoint(eager=True)
+    links = keyed.select("url", "entry_key").distinct()
     c = (comments.join(links, "url")
          .join(entries.select("entry_key", "last_time", "thread_id", F.col("pos").alias("entry_pos")),
                "entry_key")

@@ -55,12 +55,15 @@ def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE
         F.when(has_count(cnt), F.concat(F.lit(" - Hatena Bookmark: "), cnt)).otherwise(F.lit("")))
     summ = digest_summary(F.coalesce(F.col("description"), F.lit("")), exact_entities)
     k2 = F.when(pub.isNull(), F.lit(_MAX_LONG)).otherwise(-F.unix_micros(pub))
-    it = kept.withColumns({"_k2": k2, "_bullet": bullet, "_summ": summ})
-    rows = D.lines(it, F.col("_bullet"), 1, F.col("_k2"), F.col("pos") * 2)
-    srows = D.lines(it.filter(F.col("_summ") != ""), F.concat(F.lit("  "), F.col("_summ")), 1,
-                    F.col("_k2"), F.col("pos") * 2 + 1)
-    return D.header(spark, *head, k1=0).unionByName(n_line).unionByName(blank) \
-        .unionByName(rows).unionByName(srows)
+    # bullet and summary lines of an item come out of one pass
+    it = kept.select(F.col("pos"), k2.alias("_k2"), bullet.alias("_bullet"), summ.alias("_summ"))
+    pair = F.array(F.struct((F.col("pos") * 2).alias("k3"), F.col("_bullet").alias("line")),
+                   F.when(F.col("_summ") != "", F.struct((F.col("pos") * 2 + 1).alias("k3"),
+                                                        F.concat(F.lit("  "), F.col("_summ")).alias("line"))))
+    rows = it.select(F.lit(1).cast("long").alias("k1"), F.col("_k2").alias("k2"),
+                     F.explode(F.filter(pair, lambda x: x.isNotNull())).alias("_l")) \
+        .select("k1", "k2", F.col("_l.k3").cast("long").alias("k3"), F.col("_l.line").alias("line"))
+    return D.header(spark, *head, k1=0).unionByName(n_line).unionByName(blank).unionByName(rows)
 
 
 def window_text(window) -> str:
