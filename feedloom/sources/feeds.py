@@ -64,8 +64,18 @@ def read_feed_text(spark: SparkSession, path, strict_printable: bool = False,
                    rdf_split: bool = False, source_ord: int = 0) -> DataFrame:
     """Chunks of concatenated feed files: (source, chunk_idx, chunk)."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    files = raw.withColumn("_f", F.dense_rank().over(Window.orderBy("file")) - 1)
-    return chunk_text(files, "value", strict_printable, rdf_split, source_ord)
+    return chunk_text(_with_ordinal(raw, "file"), "value", strict_printable, rdf_split, source_ord)
+
+
+def _with_ordinal(df: DataFrame, name_col: str) -> DataFrame:
+    """Add ``_f``: the 0-based rank of ``name_col`` among distinct names.
+
+    The ranking window runs over the distinct names only (one short row per
+    file or feed), never over the rows carrying the text, and the ordinal
+    table is joined back by name."""
+    names = df.select(name_col).distinct()
+    ords = names.withColumn("_f", F.row_number().over(Window.orderBy(name_col)) - 1)
+    return df.join(ords, name_col)
 
 
 def chunk_text(df: DataFrame, col: str = "value", strict_printable: bool = False,
@@ -154,6 +164,5 @@ def feed_bodies_items(bodies: DataFrame, strict_printable: bool = False) -> Data
     """Items from a captured ``feed_bodies(feed_url, body)`` table (feed URL
     source re-aimed): feeds keep the table order of ``feed_url``; a null
     body is reported by ``parse_feeds`` as an invalid chunk."""
-    b = bodies.withColumn("_f", F.dense_rank().over(Window.orderBy("feed_url")) - 1)
-    b = b.withColumn("value", F.coalesce(F.col("body"), F.lit("")))
+    b = _with_ordinal(bodies, "feed_url").withColumn("value", F.coalesce(F.col("body"), F.lit("")))
     return feed_items(parse_feeds(chunk_text(b, "value", strict_printable)))
