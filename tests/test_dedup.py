@@ -61,3 +61,17 @@ def test_archive_upsert(make_items):
                           dict(url="https://e.com/old"))
     out = dedup.archive_upsert(new, archived).orderBy("pos").collect()
     assert [r.url for r in out] == ["https://e.com/new", "https://e.com/old"]
+
+
+def test_merge_hot_key_is_combined_before_shuffle(spark, make_items):
+    """One key holds a third of the rows: the plan reduces it map-side and
+    the first occurrence still wins."""
+    rows = [dict(url="https://hot.example.com/x?utm_source=" + str(i)) for i in range(100)]
+    rows += [dict(url=f"https://e.com/{i}") for i in range(200)]
+    df = make_items(*rows).repartition(8)
+    out = dedup.merge_items(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan
+    assert plan.index("partial_min_by") > plan.index("Exchange hashpartitioning")  # partial below the exchange
+    got = {r.url for r in out.collect()}
+    assert len(got) == 201 and "https://hot.example.com/x?utm_source=0" in got
