@@ -30,6 +30,14 @@ def first_non_empty(*cols) -> Column:
     return F.coalesce(*trimmed, F.lit(""))
 
 
+def first_non_blank(*cols) -> Column:
+    """First value holding a non-white-space character, untrimmed (callers
+    that clean the text anyway skip a full-length trim this way; the test
+    stops at the first non-space character)."""
+    picks = [F.when(F.coalesce(col_(c), F.lit("")).rlike(r"(?U)\S"), col_(c)) for c in cols]
+    return F.coalesce(*picks, F.lit(""))
+
+
 def truncate_runes(c, n: int) -> Column:
     """Cut to n code points; when longer and n > 3, keep n-3 and add '...'."""
     c = col_(c)
@@ -39,6 +47,22 @@ def truncate_runes(c, n: int) -> Column:
         F.concat(F.substring(c, 1, n - 3), F.lit("...")))
 
 
+def clean_truncate(c, n: int, prep=None) -> Column:
+    """``truncate_runes(clean_text(prep(c)), n)`` without scanning a long text
+    to its end.
+
+    Collapsing white space only shortens text, so the cleaned form of a
+    prefix is a prefix of the cleaned whole.  When a prefix of ``8n + 64``
+    characters already cleans to more than ``n + 16`` characters, the cut
+    lies inside it (the margin absorbs an entity split at the prefix end
+    when ``prep`` decodes entities); otherwise the whole text is cleaned."""
+    c = col_(c)
+    prep = prep or (lambda x: x)
+    head = clean_text(prep(F.substring(c, 1, 8 * n + 64)))
+    cut = F.concat(F.substring(head, 1, n - 3), F.lit("...")) if n > 3 else F.substring(head, 1, n)
+    return F.when(F.char_length(head) > n + 16, cut).otherwise(truncate_runes(clean_text(prep(c)), n))
+
+
 def contains_any(text: Column, patterns: list[str]) -> Column:
     """True when any (pre-lowered, non-blank) pattern is a substring."""
     if not patterns:

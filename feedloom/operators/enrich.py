@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import cap_page, meta_pairs, meta_value, page_title, readable_text
-from ..functions.text import clean_text, first_non_empty, go_trim, has_count, truncate_runes
+from ..functions.text import clean_truncate, first_non_blank, first_non_empty, go_trim, has_count
 
 # Reason texts of the extractive summary.
 SUMMARY_REASON_COUNT = "Hatena Bookmark: "
@@ -156,7 +156,7 @@ def summarize(df: DataFrame, max_runes: int = DEFAULT_SUMMARY_RUNES) -> DataFram
     white space collapsed, cut to ``max_runes`` code points; reason from the
     bookmark count, else the source."""
     n = max_runes if max_runes and max_runes > 0 else DEFAULT_SUMMARY_RUNES
-    summary = truncate_runes(clean_text(first_non_empty("content", "description", "title")), n)
+    summary = clean_truncate(first_non_blank("content", "description", "title"), n)
     count = F.coalesce(F.col("bookmark_count"), F.lit("")) if "bookmark_count" in df.columns else F.lit("")
     src = F.coalesce(F.col("source"), F.lit("")) if "source" in df.columns else F.lit("")
     reason = (F.when(has_count(count), F.concat(F.lit(SUMMARY_REASON_COUNT), count))

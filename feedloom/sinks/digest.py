@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import html_unescape
-from ..functions.text import clean_text, escape_md_link, go_trim, has_count, html_unescape_basic
+from ..functions.text import clean_text, escape_md_link, go_trim, has_count, html_unescape_basic  # noqa: F401
 from ..functions.times import duration_string, parse_duration, published_time, rfc3339
 from ..operators.filters import time_window
 from . import document as D
@@ -22,10 +22,14 @@ _MAX_LONG = (1 << 63) - 1
 
 def digest_summary(c, exact_entities: bool = False):
     """Unescape, trim, collapse white space, cut at 180 characters + '...'."""
-    u = html_unescape(c) if exact_entities else html_unescape_basic(c)
-    s = clean_text(go_trim(u))
-    return F.when(F.char_length(s) <= SUMMARY_LIMIT, s).otherwise(
-        F.concat(F.substring(s, 1, SUMMARY_LIMIT), F.lit("...")))
+    prep = html_unescape if exact_entities else html_unescape_basic
+    n = SUMMARY_LIMIT
+    # the digest keeps n characters and appends '...' (no room taken for it):
+    # clean a bounded prefix, fall back to the whole text when it is short
+    head = clean_text(prep(F.substring(c, 1, 8 * n + 64)))
+    full = clean_text(prep(c))
+    return F.when(F.char_length(head) > n + 16, F.concat(F.substring(head, 1, n), F.lit("..."))).otherwise(
+        F.when(F.char_length(full) <= n, full).otherwise(F.concat(F.substring(full, 1, n), F.lit("..."))))
 
 
 def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE,

@@ -62,3 +62,22 @@ def test_bookmark_enrich(spark, make_items, make_comments):
     c = make_comments(dict(url="https://e/1"), dict(url="https://e/1"), dict(url="https://e/3"))
     out = enrich.bookmark_enrich(df, counts, c).orderBy("pos").collect()
     assert [(r.bookmark_count, r.comment_count) for r in out] == [("12", 2), ("0", 0), ("", 0), ("", 1)]
+
+
+def test_clean_truncate_matches_full_clean(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from feedloom.functions.text import clean_text, clean_truncate, truncate_runes
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(0, 400)):
+            parts.append(rnd.choice(["a", "bé", "x y", " ", "\n\n", "\t", "　", " " * rnd.randint(1, 3000)]))
+        texts.append("".join(parts))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(clean_truncate(F.col("t"), 160).alias("a"),
+                     truncate_runes(clean_text(F.col("t")), 160).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
