@@ -667,6 +667,7 @@ def q_stream_comment_delta(spark, sf_dir):
     entries = _delta._entries(items, tables.prior_state_view(spark, sf_dir))
     links = items.select("url", _delta.entry_key("url").alias("entry_key")).distinct()
     lookup = links.join(entries.select("entry_key", "last_time", "thread_id"), "entry_key")
+    lookup = lookup.checkpoint(eager=True)   # static side: computed once, not per micro-batch
     stream = _stream.read_comments_stream(spark, src)
     _stream.run_available_now(_stream.comment_delta_stream(stream, lookup), ck, fmt="parquet", path=out)
     return spark.read.parquet(out)

@@ -80,8 +80,11 @@ def comment_delta_stream(comments_stream: DataFrame, entries: DataFrame) -> Data
 
     ``entries(url, entry_key, last_time, thread_id)`` is the static lookup
     produced by the batch job's state step (the last time each entry had
-    when the stream started).  Emits rows in ``DELTA_OUT`` shape; write them
-    with ``foreachBatch`` into the outbox (ids are deterministic)."""
+    when the stream started).  The static side of a stream-static join is
+    re-evaluated on every micro-batch, so pass a materialized table (a
+    checkpointed or stored DataFrame).  Emits rows in ``DELTA_OUT`` shape;
+    write them with ``foreachBatch`` into the outbox (ids are
+    deterministic)."""
     e = entries.select("url", "entry_key", F.unix_micros(F.col("last_time")).alias("last_us"), "thread_id")
     ct = comment_time(F.col("timestamp"))
     c = comments_stream.join(e, "url").select(
