@@ -553,7 +553,7 @@ def _digest_sql():
 , w as (select i.*, coalesce(cast(b.n as varchar), '') as cnt from items i left join bcounts b on b.url = i.url
         where i.published_at >= {S.NOW} - interval 240 hour),
 l as (
-  select 0 as k1, 0 as k2, 0 as k3, '# feed2cli digest' as line
+  select 0 as k1, 0 as k2, 0 as k3, '# feedloom digest' as line
   union all select 0, 1, 0, ''
   union all select 0, 2, 0, 'Window: 2024-01-21T00:00:00Z - 2024-01-31T00:00:00Z'
   union all select 0, 3, 0, ''

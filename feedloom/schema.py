@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Fixed values that must equal the reference's wire formats.
-ITEM_JSONL_VERSION = "feed2cli.feed_item.v1"
-EXPLAIN_JSONL_VERSION = "feed2cli.explain.v1"
+# Wire-format versions written by this library.  Readers accept a
+# configurable set (see feedloom.sources.jsonl.read_items_jsonl).
+ITEM_JSONL_VERSION = "feedloom.feed_item.v1"
+EXPLAIN_JSONL_VERSION = "feedloom.explain.v1"
 
 COMMENT_STRUCT = T.StructType([
     T.StructField("user", T.StringType()),

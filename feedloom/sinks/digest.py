@@ -14,7 +14,7 @@ from ..operators.filters import time_window
 from . import document as D
 
 # Fixed values of the digest format.
-DEFAULT_TITLE = "feed2cli digest"
+DEFAULT_TITLE = "feedloom digest"
 DEFAULT_WINDOW = "24h"
 SUMMARY_LIMIT = 180
 _MAX_LONG = (1 << 63) - 1

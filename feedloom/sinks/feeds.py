@@ -17,9 +17,9 @@ from ..functions.text import col_, has_count
 from ..functions.times import published_time, ts_lit
 from . import document as D
 
-# Fixed values of the generated feed header.
-FEED_TITLE = "feed2cli generated feed"
-FEED_DESCRIPTION = "A feed generated by feed2cli"
+# Header of generated feeds (overridable per call in a later round).
+FEED_TITLE = "feedloom generated feed"
+FEED_DESCRIPTION = "A feed generated by feedloom"
 
 
 def xml_escape(c) -> Column:

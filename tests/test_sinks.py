@@ -3,6 +3,7 @@ import json
 
 from conftest import NOW
 
+from feedloom.schema import ITEM_JSONL_VERSION
 from feedloom.sinks import digest, document, feeds, jsonl, messages
 from feedloom.sources import feeds as src_feeds
 from feedloom.sources import jsonl as src_jsonl
@@ -48,7 +49,7 @@ def test_jsonl_roundtrip_and_omits_empty(spark, make_items, tmp_path):
     items = _items(make_items)
     lines = [r.line for r in jsonl.jsonl_records(items).orderBy("pos").collect()]
     rec = json.loads(lines[1])
-    assert rec["schema_version"] == "feed2cli.feed_item.v1"
+    assert rec["schema_version"] == ITEM_JSONL_VERSION
     assert rec["id"] == "https://example.com/two" and "description" not in rec and "categories" not in rec
     out = str(tmp_path / "j")
     jsonl.write_jsonl(items, out)

@@ -68,7 +68,7 @@ def test_read_feed_files(spark, tmp_path):
 
 def test_jsonl_read(spark, tmp_path):
     p = tmp_path / "items.jsonl"
-    p.write_text('{"schema_version":"feed2cli.feed_item.v1","url":"https://example.com/a?utm_source=x","title":"A"}\n'
+    p.write_text('{"schema_version":"feedloom.feed_item.v1","url":"https://example.com/a?utm_source=x","title":"A"}\n'
                  "\n"
                  '{"url":"https://example.com/b","title":"B","published_at":"2026-05-20T10:00:00Z"}\n')
     rows = jsonl.read_items_jsonl(spark, str(p)).orderBy("pos").collect()
@@ -79,7 +79,7 @@ def test_jsonl_read(spark, tmp_path):
 
 def test_jsonl_unknown_version_fails(spark, tmp_path):
     p = tmp_path / "bad.jsonl"
-    p.write_text('{"schema_version":"feed2cli.feed_item.v999","url":"x"}\n')
+    p.write_text('{"schema_version":"feedloom.feed_item.v999","url":"x"}\n')
     with pytest.raises(Exception, match="unsupported schema_version"):
         jsonl.read_items_jsonl(spark, str(p)).collect()
 

@@ -7,7 +7,7 @@ from feedloom import session
 from feedloom.operators import enrich
 from feedloom.operators.explain import explain_items
 from feedloom.plans import stages as S
-from feedloom.schema import ITEM_SCHEMA
+from feedloom.schema import EXPLAIN_JSONL_VERSION, ITEM_SCHEMA
 from feedloom.sinks import jsonl, tables
 from feedloom.sources.feeds import feed_bodies_items
 
@@ -50,7 +50,7 @@ def test_explain_jsonl_records(make_items):
     df = make_items(dict(url="https://example.com/go", title="go"), dict(url="https://example.com/x", title="x"))
     ex = explain_items(df, [S.KeywordStage(["go"])])
     recs = [json.loads(r.line) for r in jsonl.explain_records(ex).orderBy("pos").collect()]
-    assert recs[0]["schema_version"] == "feed2cli.explain.v1" and recs[0]["output"] == "rss"
+    assert recs[0]["schema_version"] == EXPLAIN_JSONL_VERSION and recs[0]["output"] == "rss"
     assert recs[0]["kept"] is True and recs[0]["item"]["metadata"] == {"keyword_score": "1"}
     assert recs[1]["kept"] is False and recs[1]["stages"][0]["reasons"] == ["keyword_filter: dropped by no include match"]
     assert "metadata" not in recs[1]["item"]
