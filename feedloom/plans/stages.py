@@ -33,6 +33,18 @@ class Context:
     on: str = "url"
 
 
+def comments_for(df: DataFrame, ctx: Context):
+    """(comments table, join column) for a stage: the run's comments
+    snapshot (joined by link), else the items' own ``comments`` arrays
+    (JSON input), normalized and joined by ``pos``; None when neither."""
+    if ctx.comments is not None:
+        return ctx.comments, ctx.on
+    if "comments" in df.columns:
+        from ..sources.jsonl import comments_from_items
+        return comments_from_items(df, on="pos"), "pos"
+    return None, ctx.on
+
+
 class Stage:
     name = "stage"
     kind = "dry_run"          # transform | filter | merge | rank | dry_run
@@ -159,20 +171,23 @@ class FavUserStage(Stage):
     def __init__(self, users=None):
         self.users = list(users or [])
 
-    def _comments(self, ctx):
-        if ctx.comments is None:
-            raise ValueError("fav_user stage needs the comments table")
-        return ctx.comments
+    def _comments(self, df, ctx):
+        c, on = comments_for(df, ctx)
+        if c is None:
+            raise ValueError("fav_user stage needs a comments table or items with comments")
+        return c, on
 
     def rule(self, df, ctx):
         if not filters.watch_list(self.users):
             return filters.fav_user_rule(df, None, self.users, ctx.on)
-        return filters.fav_user_rule(df, self._comments(ctx), self.users, ctx.on)
+        c, on = self._comments(df, ctx)
+        return filters.fav_user_rule(df, c, self.users, on)
 
     def apply(self, df, ctx):
         if not filters.watch_list(self.users):
             return df
-        return filters.fav_user(df, self._comments(ctx), self.users, ctx.on)
+        c, on = self._comments(df, ctx)
+        return filters.fav_user(df, c, self.users, on)
 
 
 class RankStage(Stage):
@@ -199,9 +214,10 @@ class TagStage(Stage):
     name, kind, explain_text = "tag", "transform", "tag: merge Hatena comment tags into categories"
 
     def apply(self, df, ctx):
-        if ctx.comments is None:
+        c, on = comments_for(df, ctx)
+        if c is None:
             return df
-        return enrich.tag_enrich(df, ctx.comments, ctx.on)
+        return enrich.tag_enrich(df, c, on)
 
 
 class OgpStage(Stage):

@@ -45,3 +45,15 @@ def test_function_stage_and_run(make_items):
     df = make_items(dict(url="https://a/1"), dict(url="https://a/1"))
     out = S.run_stages(df, [S.NormalizeStage(), S.MergeStage(), S.FunctionStage("noop", lambda d: d)])
     assert out.count() == 1
+
+
+def test_stages_use_item_comment_arrays(spark, tmp_path):
+    from feedloom.sources.jsonl import read_items_jsonl
+    p = tmp_path / "i.jsonl"
+    p.write_text('{"url":"https://a/1","title":"x","categories":["go"],"hatena_bookmark_comments":'
+                 '[{"user":"Alice","comment":"c","timestamp":"2026/05/20 12:00","tags":["rss","go"]}]}\n'
+                 '{"url":"https://a/2","title":"y"}\n')
+    items = read_items_jsonl(spark, str(p))
+    out = S.run_stages(items, [S.TagStage(), S.FavUserStage(["alice"])], S.Context())
+    rows = out.collect()
+    assert [(r.url, r.categories, r.fav_users) for r in rows] == [("https://a/1", ["go", "rss"], "Alice")]
