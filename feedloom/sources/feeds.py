@@ -160,9 +160,14 @@ def read_feeds(spark: SparkSession, path, **kw) -> DataFrame:
     return feed_items(parse_feeds(read_feed_text(spark, path, **kw)))
 
 
-def feed_bodies_items(bodies: DataFrame, strict_printable: bool = False) -> DataFrame:
+def feed_bodies_items(bodies: DataFrame, strict_printable: bool = False, strict: bool = False) -> DataFrame:
     """Items from a captured ``feed_bodies(feed_url, body)`` table (feed URL
-    source re-aimed): feeds keep the table order of ``feed_url``; a null
-    body is reported by ``parse_feeds`` as an invalid chunk."""
-    b = _with_ordinal(bodies, "feed_url").withColumn("value", F.coalesce(F.col("body"), F.lit("")))
+    source re-aimed): feeds keep the table order of ``feed_url``.  A feed
+    that was not captured (null body) is skipped, or with ``strict`` fails
+    the job naming the feed, as a failed fetch aborts the reference run."""
+    body = F.col("body")
+    if strict:
+        body = F.when(body.isNull(), F.raise_error(F.concat(
+            F.lit("feed fetch failed ("), F.col("feed_url"), F.lit("): empty feed")))).otherwise(body)
+    b = _with_ordinal(bodies, "feed_url").withColumn("value", F.coalesce(body.cast("string"), F.lit("")))
     return feed_items(parse_feeds(chunk_text(b, "value", strict_printable)))

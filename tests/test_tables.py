@@ -75,3 +75,10 @@ def test_summarizer_plugin(make_items):
     out = enrich.summarize_with(df, summarizer).orderBy("pos").collect()
     assert (out[0].summary, out[0].reading_reason, out[0].summary_error) == ("A", "custom", None)
     assert (out[1].summary, out[1].summary_error) == ("", "model failed")
+
+
+def test_feed_bodies_strict(spark):
+    import pytest
+    bodies = spark.createDataFrame([("https://f/1", None)], "feed_url string, body string")
+    with pytest.raises(Exception, match="feed fetch failed"):
+        feed_bodies_items(bodies, strict=True).collect()
