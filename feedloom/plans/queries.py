@@ -378,7 +378,8 @@ def q_comment_delta_plan(spark, sf_dir):
 
 
 @register("plan_totals", _DELTA_CTE + """
-select sum(cast(parent_post as bigint)) as parent_posts, coalesce(sum(new_comments), 0) as comment_posts from plan""")
+select cast(sum(cast(parent_post as bigint)) as bigint) as parent_posts,
+  cast(coalesce(sum(new_comments), 0) as bigint) as comment_posts from plan""")
 def q_plan_totals(spark, sf_dir):
     return _delta.plan_totals(_delta_result(spark, sf_dir).plan)
 
@@ -553,7 +554,7 @@ def _digest_sql():
 , w as (select i.*, coalesce(cast(b.n as varchar), '') as cnt from items i left join bcounts b on b.url = i.url
         where i.published_at >= {S.NOW} - interval 240 hour),
 l as (
-  select 0 as k1, 0 as k2, 0 as k3, '# feedloom digest' as line
+  select cast(0 as bigint) as k1, cast(0 as bigint) as k2, cast(0 as bigint) as k3, '# feedloom digest' as line
   union all select 0, 1, 0, ''
   union all select 0, 2, 0, 'Window: 2024-01-21T00:00:00Z - 2024-01-31T00:00:00Z'
   union all select 0, 3, 0, ''
@@ -721,7 +722,7 @@ def _go_quote_sql(x: str) -> str:
 , e as (select i.*, coalesce(cast(b.n as varchar), '') as cnt, coalesce(c.n, 0) as cc,
           row_number() over (order by i.pos) as n
         from items i left join bcounts b on b.url = i.url left join ccounts c on c.url = i.url)
-select 0 as k1, 0 as k2, 0 as k3, 'slack dry-run: channel=(unset) posts=' || cast((select count(*) from e) as varchar) as line
+select cast(0 as bigint) as k1, cast(0 as bigint) as k2, cast(0 as bigint) as k3, 'slack dry-run: channel=(unset) posts=' || cast((select count(*) from e) as varchar) as line
 union all
 select 1, n, 0, cast(n as varchar) || '. message title=' || {_go_quote_sql('title')} || ' url=' || {_go_quote_sql('url')} from e
 union all
