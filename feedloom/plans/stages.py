@@ -290,6 +290,28 @@ def run_stages(df: DataFrame, stages: list[Stage], ctx: Context | None = None) -
     return reduce(lambda acc, st: acc.transform(lambda d: st.apply(d, ctx)), stages, df)
 
 
+class tagged_run:
+    """Context manager tagging every Spark job started inside it, so another
+    thread can cancel the run with :func:`cancel_run` (the chain itself is
+    lazy: jobs start at the sink action)."""
+
+    def __init__(self, spark, tag: str):
+        self.spark, self.tag = spark, tag
+
+    def __enter__(self):
+        self.spark.sparkContext.addJobTag(self.tag)
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.sparkContext.removeJobTag(self.tag)
+        return False
+
+
+def cancel_run(spark, tag: str) -> None:
+    """Cancel the running jobs of a tagged run (from any thread)."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 # --------------------------------------------------------- config builder ---
 
 # Stage type aliases accepted in a chain config.

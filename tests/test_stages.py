@@ -57,3 +57,30 @@ def test_stages_use_item_comment_arrays(spark, tmp_path):
     out = S.run_stages(items, [S.TagStage(), S.FavUserStage(["alice"])], S.Context())
     rows = out.collect()
     assert [(r.url, r.categories, r.fav_users) for r in rows] == [("https://a/1", ["go", "rss"], "Alice")]
+
+
+def test_tagged_run_can_be_cancelled(spark, make_items):
+    import threading
+    import time
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    slow = spark.range(0, 64, 1, 8).withColumn("x", F.udf(lambda v: (time.sleep(0.5), v)[1], "long")("id"))
+    errors = []
+
+    def run():
+        try:
+            with S.tagged_run(spark, "chain-1"):
+                slow.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+    t = threading.Thread(target=run)
+    t.start()
+    time.sleep(2.0)
+    S.cancel_run(spark, "chain-1")
+    t.join(60)
+    assert errors, "the tagged job should have been interrupted"
+    with pytest.raises(Exception):
+        raise errors[0]
+    assert "chain-1" not in spark.sparkContext.getJobTags()
