@@ -130,6 +130,9 @@ def ogp_enrich(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_text(pages: DataFrame, exact_entities: bool = False) -> DataFrame:
     """Per captured page: readable text (or the lookup error)."""
+    if exact_entities:
+        from ..session import ship_package
+        ship_package(pages.sparkSession)
     ok = (F.col("status") >= 200) & (F.col("status") < 300)
     return pages.select(
         "url",

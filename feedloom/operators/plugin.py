@@ -53,6 +53,8 @@ def _to_jsonable(v):
 def external_command(df: DataFrame, command: str, args=(), env=(), timeout=None,
                      stderr_limit: int = DEFAULT_STDERR_LIMIT, name: str = "plugin") -> DataFrame:
     """Pipe items through ``command``; output rows keep the input schema."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     schema: T.StructType = df.schema
     ts_cols = [f.name for f in schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     argv = [command, *list(args or [])]

@@ -70,3 +70,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="feedloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``feedloom`` importable in the Python workers (once per context).
+
+    Operators that run Python on executors (external commands, the
+    streaming per-key state, the exact entity decoder) pickle functions of
+    this package by reference; the workers import it from a zip that Spark
+    distributes with ``addPyFile``."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_feedloom_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="feedloom-pyfiles-")
+    zpath = os.path.join(out, "feedloom.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    sc._feedloom_shipped = True

@@ -37,6 +37,9 @@ def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE
     """Rows (k1, k2, k3, line) of the digest; items in the window, newest
     first, input order on ties."""
     spark = items.sparkSession
+    if exact_entities:
+        from ..session import ship_package
+        ship_package(spark)
     title = title or DEFAULT_TITLE
     ns = parse_duration(window) if window not in (None, "") else 0
     kept = time_window(items, f"{ns}ns", now) if ns > 0 else items

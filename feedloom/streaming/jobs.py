@@ -85,6 +85,8 @@ def comment_delta_stream(comments_stream: DataFrame, entries: DataFrame) -> Data
     checkpointed or stored DataFrame).  Emits rows in ``DELTA_OUT`` shape;
     write them with ``foreachBatch`` into the outbox (ids are
     deterministic)."""
+    from ..session import ship_package
+    ship_package(comments_stream.sparkSession)
     e = entries.select("url", "entry_key", F.unix_micros(F.col("last_time")).alias("last_us"), "thread_id")
     ct = comment_time(F.col("timestamp"))
     c = comments_stream.join(e, "url").select(
