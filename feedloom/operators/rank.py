@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as _dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,11 +100,6 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
             .drop("_pid", "_mid", "_off"))
 
 
-def filter_published_since(df: DataFrame, now: _dt.datetime, window) -> DataFrame:
-    from .filters import time_window
-    return time_window(df, window, now)
-
-
 def rank_keys(df: DataFrame, by: str | None) -> list[Column] | None:
     """Ascending sort keys equivalent to :func:`rank_order` (usable inside a
     struct for ``min_by`` or for :func:`with_rank`)."""

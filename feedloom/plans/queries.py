@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import session as _session
 from ..functions.times import ts_lit
-from ..functions.urls import item_domain, normalize_url
+from ..functions.urls import item_domain
 from ..operators import dedup, enrich, filters, rank
 from ..operators.items import key_col, normalize_items
 from ..sources import tables

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.times import comment_time
-from ..operators.delta import COMMENT_TEXT_MIDDLE, COMMENT_TEXT_PREFIX, entry_key, message_id
+from ..operators.delta import COMMENT_TEXT_MIDDLE, COMMENT_TEXT_PREFIX, message_id
 from ..operators.dedup import merge_items
 from ..operators.items import key_col
 from ..schema import COMMENTS_SCHEMA
