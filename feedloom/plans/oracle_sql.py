@@ -122,3 +122,9 @@ def hotness(b: str, c: str, pub: str) -> str:
 
 def with_(*ctes: str) -> str:
     return "with " + ",".join(ctes) + "\n"
+
+
+def xml_escape(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x

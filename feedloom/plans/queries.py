@@ -729,3 +729,76 @@ union all
 select 1, n, 1, '   hatena_bookmark_count=' || cnt || ' comments=' || cast(cc as varchar) from e where cnt <> ''""")
 def q_dry_run_plan(spark, sf_dir):
     return _messages.dry_run_lines(_enriched(spark, sf_dir))
+
+
+# ----------------------------------------------------- documents and tables --
+
+from ..sinks import feeds as _sink_feeds  # noqa: E402
+from ..sinks import tables as _sink_tables  # noqa: E402
+
+
+def _rss_sql():
+    from ..sinks.feeds import FEED_DESCRIPTION, FEED_TITLE
+    now_txt = NOW.strftime("%a, %d %b %Y %H:%M:%S +0000")
+    head = ('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" '
+            'xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>'
+            + FEED_TITLE + "</title><link></link><description>" + FEED_DESCRIPTION
+            + "</description><pubDate>" + now_txt + "</pubDate>")
+    desc_head = ("i.description || case when b.n is not null and cast(b.n as varchar) <> '0' then chr(10) || "
+                 "'<p>Hatena Bookmark: <b>' || cast(b.n as varchar) || '</b></p>' else '' end || "
+                 "case when c.n is not null then chr(10) || '<p><b>Comments:</b></p><ul>' else '' end")
+    tail = "case when c.n is not null then '</ul>' else '' end"
+    pub = f"strftime(coalesce(i.published_at, {S.NOW}), '%a, %d %b %Y %H:%M:%S +0000')"
+    li = S.xml_escape("'<li>' || cm.\"user\" || ' (' || cm.ts_text || '): ' || cm.comment || '</li>'")
+    return S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + f"""
+, it as (select i.*, b.n as bn, c.n as cn,
+    '<item><title>' || {S.xml_escape('i.title')} || '</title><link>' || {S.xml_escape('i.url')}
+      || '</link><description>' || {S.xml_escape(desc_head)} as head,
+    {S.xml_escape(tail)} || '</description><pubDate>' || {pub} || '</pubDate></item>' as foot
+  from items i left join bcounts b on b.url = i.url left join ccounts c on c.url = i.url)
+select cast(0 as bigint) as k1, cast(0 as bigint) as k2, cast(0 as bigint) as k3, {S.q(head)} as line
+union all select 1, pos, 0, head from it
+union all select 1, pos, {1 << 62}, foot from it
+union all select 1, i.pos, cm.ord + 1, {li} from items i join comments cm on cm.url = i.url where cm.comment <> ''
+union all select 2, 0, 0, '</channel></rss>'"""
+
+
+@register("rss_feed", _rss_sql())
+def q_rss_feed(spark, sf_dir):
+    """RSS document of the enriched items (rows in document order)."""
+    return _sink_feeds.rss_lines(_enriched(spark, sf_dir), tables.comments_view(spark, sf_dir), NOW)
+
+
+@register("state_store_roundtrip", _DELTA_CTE + """
+select entry_key,
+  case when mx is not null and mx > strptime(last_txt, '%Y-%m-%dT%H:%M:%SZ')
+       then strftime(mx, '%Y-%m-%dT%H:%M:%SZ') else last_txt end as last_comment_timestamp,
+  thread_id
+from plan
+union all
+select p.entry_key, p.last_comment_timestamp, p.thread_id from prior p
+where not exists (select 1 from ent n where n.entry_key = p.entry_key)
+  and not exists (select 1 from ent n where n.by_url and n.url = p.entry_key)""")
+def q_state_store_roundtrip(spark, sf_dir):
+    """Prior state saved as version 1, the run's next state saved as
+    version 2 (while version 1 is the input), then the latest version read."""
+    store = _sink_tables.StateStore(spark, work_dir(spark, "state"))
+    store.save(tables.prior_state_view(spark, sf_dir))
+    r = _delta.comment_delta(_items(spark, sf_dir), tables.comments_view(spark, sf_dir), store.load())
+    store.save(r.new_state)
+    return store.load()
+
+
+@register("archive_roundtrip", S.with_(S.ITEMS_CTE) + """
+select pos, url, title, strftime(published_at, '%Y-%m-%d %H:%M:%S') as published,
+  replace(replace('https://feeds.example.com/' || source, 'http://', ''), 'https://', '') as feed_key
+from items""")
+def q_archive_roundtrip(spark, sf_dir):
+    """Items archived per feed (feed link = one feed per document source),
+    written as a new version and read back."""
+    path = work_dir(spark, "archive")
+    items = _items(spark, sf_dir).withColumn(
+        "feed_link", F.concat(F.lit("https://feeds.example.com/"), F.col("source")))
+    _sink_tables.write_archive(items, path)
+    back = spark.read.parquet(f"{path}/v={_sink_tables.versions(spark, path)[-1]}")
+    return back.select("pos", "url", "title", _fmt_ts(F.col("published_at")).alias("published"), "feed_key")
