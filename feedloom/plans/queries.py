@@ -802,3 +802,29 @@ def q_archive_roundtrip(spark, sf_dir):
     _sink_tables.write_archive(items, path)
     back = spark.read.parquet(f"{path}/v={_sink_tables.versions(spark, path)[-1]}")
     return back.select("pos", "url", "title", _fmt_ts(F.col("published_at")).alias("published"), "feed_key")
+
+
+def _atom_sql():
+    from ..sinks.feeds import FEED_DESCRIPTION, FEED_TITLE
+    head = ('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>'
+            + FEED_TITLE + "</title><id></id><updated>" + NOW.strftime("%Y-%m-%dT%H:%M:%SZ")
+            + "</updated><subtitle>" + FEED_DESCRIPTION + "</subtitle>")
+    desc_head = ("i.description || case when b.n is not null and cast(b.n as varchar) <> '0' then chr(10) || "
+                 "'<p>Hatena Bookmark: <b>' || cast(b.n as varchar) || '</b></p>' else '' end")
+    upd = f"strftime(coalesce(i.published_at, {S.NOW}), '%Y-%m-%dT%H:%M:%SZ')"
+    return S.with_(S.ITEMS_CTE, S.EVENTS_CTE) + f"""
+, it as (select i.pos,
+    '<entry><title>' || {S.xml_escape('i.title')} || '</title><updated>' || {upd} || '</updated><id>'
+      || {S.xml_escape('i.url')} || '</id><link href="' || {S.xml_escape('i.url')}
+      || '" rel="alternate"></link><summary type="html">' || {S.xml_escape(desc_head)} as head
+  from items i left join bcounts b on b.url = i.url)
+select cast(0 as bigint) as k1, cast(0 as bigint) as k2, cast(0 as bigint) as k3, {S.q(head)} as line
+union all select 1, pos, 0, head from it
+union all select 1, pos, {1 << 62}, '</summary></entry>' from it
+union all select 2, 0, 0, '</feed>'"""
+
+
+@register("atom_feed", _atom_sql())
+def q_atom_feed(spark, sf_dir):
+    """Atom document of the enriched items (no comment list)."""
+    return _sink_feeds.atom_lines(_enriched(spark, sf_dir), None, NOW)
