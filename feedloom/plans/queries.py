@@ -828,3 +828,32 @@ union all select 2, 0, 0, '</feed>'"""
 def q_atom_feed(spark, sf_dir):
     """Atom document of the enriched items (no comment list)."""
     return _sink_feeds.atom_lines(_enriched(spark, sf_dir), None, NOW)
+
+
+def _explain_jsonl_sql():
+    base = _explain_sql()
+    cte = base[:base.index("\nselect pos, a5 as kept,")]
+    n_stages = ("2 + cast(mk as int) + cast(coalesce(a2, false) as int) + cast(coalesce(a3, false) as int)"
+                " + 2 * cast(coalesce(a4, false) as int) + cast(coalesce(a5, false) as int)")
+    return cte + f"""
+select pos, 'feedloom.explain.v1' as schema_version, case when a5 then 'true' else 'false' end as kept,
+  cast({n_stages} as int) as n_stages, 'normalize: set normalized_url/id' as first_reason,
+  case when a5 then cast(score as varchar) end as keyword_score,
+  case when a5 then printf('%.3f', hot) end as hotness_score,
+  case when a5 and dom <> '' then dom end as domain
+from h"""
+
+
+@register("explain_jsonl", _explain_jsonl_sql())
+def q_explain_jsonl(spark, sf_dir):
+    """Explain records written as JSON Lines, read back field by field."""
+    from ..sinks.jsonl import explain_records
+    ex = _explain_items(_items(spark, sf_dir), _explain_stage_list(), _stages.Context(now=NOW))
+    lines = explain_records(ex)
+    g = lambda p: F.get_json_object("line", p)
+    return lines.select(
+        "pos", g("$.schema_version").alias("schema_version"), g("$.kept").alias("kept"),
+        F.json_array_length(g("$.stages")).alias("n_stages"), g("$.reasons[0]").alias("first_reason"),
+        g("$.item.metadata.keyword_score").alias("keyword_score"),
+        g("$.item.metadata.hotness_score").alias("hotness_score"),
+        g("$.item.metadata.domain").alias("domain"))
