@@ -46,3 +46,32 @@ def lint_report(docs: DataFrame) -> DataFrame:
     errs = lint_errors(docs).select("source", F.col("n").cast("long"),
                                     F.concat(F.lit("- "), F.col("error_line")).alias("line"))
     return head.unionByName(errs)
+
+
+def lint_feed_bodies(bodies: DataFrame) -> DataFrame:
+    """Per captured feed ``(feed_url, body)``: the whole body is one feed.
+    Rows (feed_url, valid, error); a missing body is a failed fetch."""
+    from ..sources.feeds import parse_feeds
+    chunks = bodies.select(F.col("feed_url"), F.lit(0).cast("long").alias("source"),
+                           F.lit(0).alias("chunk_idx"), F.coalesce(F.col("body"), F.lit("")).alias("chunk"),
+                           F.col("body").isNull().alias("_missing"))
+    parsed = parse_feeds(chunks.select("source", "chunk_idx", "chunk", "feed_url", "_missing"))
+    return parsed.select(
+        "feed_url",
+        (F.col("valid") & ~F.col("_missing")).alias("valid"),
+        F.when(F.col("_missing"), F.lit("fetch failed: empty feed"))
+        .when(F.col("blank"), F.lit("Failed to detect feed type"))
+        .otherwise(F.col("error")).alias("error"))
+
+
+def lint_feed_report(results: DataFrame) -> DataFrame:
+    """Report rows (k1, k2, line): the counter line, then ``- <url>: <error>``
+    for every invalid feed, in feed URL order."""
+    head = results.agg(F.count("*").alias("t"), F.count_if("valid").alias("v"),
+                       F.count_if(~F.col("valid")).alias("i")).select(
+        F.lit(0).cast("long").alias("k1"), F.lit("").alias("k2"),
+        F.format_string("feeds: total=%d valid=%d invalid=%d", "t", "v", "i").alias("line"))
+    errs = results.filter(~F.col("valid")).select(
+        F.lit(1).cast("long").alias("k1"), F.col("feed_url").alias("k2"),
+        F.concat(F.lit("- "), F.col("feed_url"), F.lit(": "), F.col("error")).alias("line"))
+    return head.unionByName(errs)

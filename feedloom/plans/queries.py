@@ -857,3 +857,32 @@ def q_explain_jsonl(spark, sf_dir):
         g("$.item.metadata.keyword_score").alias("keyword_score"),
         g("$.item.metadata.hotness_score").alias("hotness_score"),
         g("$.item.metadata.domain").alias("domain"))
+
+
+def _feed_bodies(spark, sf_dir) -> DataFrame:
+    """Captured feed bodies: one RSS document per 20 consecutive items (a
+    document holding a spam-farm link has a broken root); documents hold at
+    most DOC_SIZE items, so assembling one is bounded."""
+    items = _items(spark, sf_dir).withColumn("_doc", F.floor(F.col("pos") / DOC_SIZE).cast("long"))
+    items = items.withColumn("_title", F.concat(F.lit("feed "), F.col("_doc").cast("string")))
+    lines = _feeds.feed_stream_lines(items, "_doc", "_title")
+    bad = items.groupBy("_doc").agg(F.max(F.contains("url", F.lit(BAD_DOC_MARK)).cast("int")).alias("_bad"))
+    lines = lines.join(bad.withColumnRenamed("_doc", "k1"), "k1").withColumn(
+        "line", F.when((F.col("_bad") == 1) & (F.col("k2") == 0),
+                       F.replace("line", F.lit('<rss version="2.0">'), F.lit("<html>"))).otherwise(F.col("line")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k2", "k3", "line"))),
+                                    lambda x: x["line"]), "")
+    return lines.groupBy("k1").agg(body.alias("body")).select(
+        F.format_string("https://feeds.example.com/doc/%05d", F.col("k1")).alias("feed_url"), "body")
+
+
+@register("lint_feed_urls", S.with_(S.ITEMS_CTE) + _BAD_DOCS_CTE + f"""
+select cast(0 as bigint) as k1, '' as k2,
+  'feeds: total=' || cast(count(*) as varchar) || ' valid=' || cast(count(*) filter (where bad = 0) as varchar)
+  || ' invalid=' || cast(count(*) filter (where bad = 1) as varchar) as line from docs
+union all
+select cast(1 as bigint), printf('https://feeds.example.com/doc/%05d', doc),
+  '- ' || printf('https://feeds.example.com/doc/%05d', doc) || ': XML syntax error' from docs where bad = 1""")
+def q_lint_feed_urls(spark, sf_dir):
+    """Lint report over captured feed bodies (one feed per URL)."""
+    return _lint.lint_feed_report(_lint.lint_feed_bodies(_feed_bodies(spark, sf_dir)))

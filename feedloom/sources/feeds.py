@@ -102,8 +102,9 @@ def parse_feeds(chunks: DataFrame) -> DataFrame:
              .when(corrupt, F.lit("XML syntax error"))
              .when(~rooted, F.lit("Failed to detect feed type")))
     title = F.coalesce(F.col("doc.channel.title"), F.col("doc.title"), F.lit(""))
+    extra = [c for c in chunks.columns if c not in ("source", "chunk_idx", "chunk")]
     return p.select("source", "chunk_idx", blank.alias("blank"), error.isNull().alias("valid"),
-                    error.alias("error"), title.alias("feed_title"), "doc")
+                    error.alias("error"), title.alias("feed_title"), "doc", *extra)
 
 
 def _rss_item(i: Column, idx: Column, title: Column) -> Column:

@@ -97,3 +97,13 @@ def test_comments_from_bodies(spark):
                                  ("u2", ""), ("u3", None)], "url string, body string")
     rows = comments_from_bodies(raw).collect()
     assert [(r.url, r.user, r.tags) for r in rows] == [("u1", "a", ["t"])]
+
+
+def test_lint_feed_bodies(spark):
+    bodies = spark.createDataFrame([("https://f/a", RSS.format(t="A", i="1")), ("https://f/b", "not xml</rss>"),
+                                    ("https://f/c", None), ("https://f/d", "<html><body>x</body></html>")],
+                                   "feed_url string, body string")
+    res = lint.lint_feed_bodies(bodies)
+    lines = [r.line for r in lint.lint_feed_report(res).orderBy("k1", "k2").collect()]
+    assert lines == ["feeds: total=4 valid=1 invalid=3", "- https://f/b: XML syntax error",
+                     "- https://f/c: fetch failed: empty feed", "- https://f/d: Failed to detect feed type"]
