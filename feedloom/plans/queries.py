@@ -681,14 +681,13 @@ def q_stream_dedup_archive(spark, sf_dir):
     """Two arrivals: the items, then their tracking-parameter variants; the
     archive keeps the first arrival of every key (foreachBatch + anti-join)."""
     src, arch, ck = work_dir(spark, "items"), work_dir(spark, "archive"), work_dir(spark, "ck")
-    variants = tables.item_variants_view(spark, sf_dir)
     originals = _items(spark, sf_dir)
     schema = originals.schema
     originals.write.parquet(f"{src}/part=0")
     sink = _stream.dedup_archive_batch(arch)
     stream = spark.readStream.schema(schema).parquet(f"{src}/*")
     _stream.run_available_now(stream, ck, sink=sink)
-    (variants.filter(F.col("pos") % 2 == F.when(F.contains("url", F.lit("?")), 0).otherwise(1))
+    (tables.tracking_variants_view(spark, sf_dir)
      .withColumn("pos", F.col("pos") + F.lit(1 << 40)).select(*schema.names).write.parquet(f"{src}/part=1"))
     stream = spark.readStream.schema(schema).parquet(f"{src}/*")
     _stream.run_available_now(stream, ck, sink=sink)

@@ -96,21 +96,26 @@ def page_snapshots_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url", F.lit(200).alias("status"), "html")
 
 
-def item_variants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items plus one tracking-parameter variant of every item.
-
-    The variant is the same link with ``utm_medium=rss`` appended (fragment
-    dropped).  Input order interleaves them: for links that already carry a
-    query the variant arrives first, otherwise the original does.
-    """
+def tracking_variants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tracking-parameter variant of every item: the same link with
+    ``utm_medium=rss`` appended (fragment dropped).  ``pos`` interleaves
+    with :func:`item_variants_view`: for links that already carry a query
+    the variant comes first, otherwise the original does."""
     items = items_view(spark, sf_dir)
     has_q = F.contains(F.col("url"), F.lit("?"))
-    original = items.withColumn("pos", F.col("pos") * 2 + F.when(has_q, 1).otherwise(0))
-    variant = items.withColumns({
+    return items.withColumns({
         "pos": F.col("pos") * 2 + F.when(has_q, 0).otherwise(1),
         "url": F.concat(F.split_part(F.col("url"), F.lit("#"), F.lit(1)),
                         F.when(has_q, F.lit("&")).otherwise(F.lit("?")), F.lit("utm_medium=rss"))})
-    return original.unionByName(variant)
+
+
+def item_variants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items plus their tracking-parameter variants (see
+    :func:`tracking_variants_view`) in one input order."""
+    items = items_view(spark, sf_dir)
+    has_q = F.contains(F.col("url"), F.lit("?"))
+    original = items.withColumn("pos", F.col("pos") * 2 + F.when(has_q, 1).otherwise(0))
+    return original.unionByName(tracking_variants_view(spark, sf_dir))
 
 
 # The "previous run" of the comment-delta job that the stored state reflects.
