@@ -116,12 +116,28 @@ def normalize_url(c) -> Column:
     return _let(_stage_parts(_raw(c)), lambda p: _let(_stage_fields(p), _assemble))
 
 
+_STAGE_CACHE: dict = {}
+
+
+def _staged(df: DataFrame):
+    """The three stage expressions over the fixed helper columns, built once
+    per Spark application (they only name columns, so they can be reused;
+    building them costs hundreds of driver round trips)."""
+    key = df.sparkSession.sparkContext.applicationId
+    if key not in _STAGE_CACHE:
+        _STAGE_CACHE.clear()
+        _STAGE_CACHE[key] = (_stage_parts(F.col("_urlr")), _stage_fields(F.col("_urlp")),
+                             _assemble(F.col("_urlf")))
+    return _STAGE_CACHE[key]
+
+
 def with_normalized(df: DataFrame, src, out: str) -> DataFrame:
     """Add column ``out`` = normalize(src), one regexp pass per component."""
+    parts, fields, assemble = _staged(df)
     df = df.withColumn("_urlr", _raw(src))
-    df = df.withColumn("_urlp", _stage_parts(F.col("_urlr")))
-    df = df.withColumn("_urlf", _stage_fields(F.col("_urlp")))
-    return df.withColumn(out, _assemble(F.col("_urlf"))).drop("_urlr", "_urlp", "_urlf")
+    df = df.withColumn("_urlp", parts)
+    df = df.withColumn("_urlf", fields)
+    return df.withColumn(out, assemble).drop("_urlr", "_urlp", "_urlf")
 
 
 def with_key(df: DataFrame, out: str = "_key", normalized_col: str = "normalized_url",
