@@ -25,8 +25,9 @@ REMOVED_ELEMENTS = ["script", "style", "nav", "footer", "header", "noscript"]
 READABLE_CONTAINERS = ["article", "main", "body"]
 META_KEYS = ["og:title", "og:description", "og:image", "og:site_name", "description"]
 
-_COMMENT = r"(?s)<!--.*?-->"
-_REMOVE = [r"(?is)<" + t + r"\b[^>]*>.*?</" + t + r"\s*>" for t in REMOVED_ELEMENTS]
+# comments and removed elements in one leftmost-first pass (the closing tag
+# is matched by backreference), so a script holding "<!--" is removed whole
+_REMOVE_ALL = (r"(?is)<!--.*?-->|<(" + "|".join(REMOVED_ELEMENTS) + r")\b[^>]*>.*?</\1\s*>")
 _TAG = r"(?s)<[^>]*>"
 
 
@@ -51,9 +52,7 @@ def _text_of(fragment: Column, exact_entities: bool) -> Column:
 
 def readable_text(html, exact_entities: bool = False) -> Column:
     """Readable text of a page ('' when nothing readable)."""
-    doc = F.regexp_replace(F.coalesce(col_(html), F.lit("")), _COMMENT, "")
-    for rx in _REMOVE:
-        doc = F.regexp_replace(doc, rx, "")
+    doc = F.regexp_replace(F.coalesce(col_(html), F.lit("")), _REMOVE_ALL, "")
     candidates = []
     for tag in READABLE_CONTAINERS:
         if tag == "body":

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Java regex with UNICODE_CHARACTER_CLASS: \s covers U+00A0, U+3000, ...
+# (measured faster than spelling the White_Space set out as a class)
 _USPACE = r"(?U)\s+"
+NON_WS = r"(?U)\S"
 
 
 def col_(c) -> Column:
@@ -34,7 +36,7 @@ def first_non_blank(*cols) -> Column:
     """First value holding a non-white-space character, untrimmed (callers
     that clean the text anyway skip a full-length trim this way; the test
     stops at the first non-space character)."""
-    picks = [F.when(F.coalesce(col_(c), F.lit("")).rlike(r"(?U)\S"), col_(c)) for c in cols]
+    picks = [F.when(F.coalesce(col_(c), F.lit("")).rlike(NON_WS), col_(c)) for c in cols]
     return F.coalesce(*picks, F.lit(""))
 
 

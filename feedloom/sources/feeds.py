@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.text import NON_WS
 from ..functions.times import parse_feed_time
 from ..functions.urls import normalize_url
 
@@ -95,7 +96,7 @@ def parse_feeds(chunks: DataFrame) -> DataFrame:
     doc = F.from_xml(body, FEED_SCHEMA,
                      {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     p = chunks.withColumn("doc", doc)
-    blank = F.trim(F.regexp_replace(F.col("chunk"), r"(?U)\s+", "")) == ""
+    blank = ~F.col("chunk").rlike(NON_WS)
     rooted = F.col("chunk").rlike(FEED_ROOT)
     corrupt = F.col("doc._corrupt_record").isNotNull()
     error = (F.when(blank, F.lit("EOF"))
