@@ -101,3 +101,15 @@ def test_with_rank_matches_sort(spark, make_items):
     want = [r.pos for r in rank.rank(h, "hotness").collect()]
     assert got == want
     assert sorted(r.rank for r in ranked.collect()) == list(range(1, 41))
+
+
+def test_time_window_reaches_parquet_scan(spark, make_items, tmp_path):
+    df = make_items(dict(title="new", published_at=NOW - dt.timedelta(hours=1)),
+                    dict(title="old", published_at=NOW - dt.timedelta(hours=48)),
+                    dict(title="raw", published_raw="2026-05-23T11:00:00Z"))
+    path = str(tmp_path / "items")
+    df.write.parquet(path)
+    out = filters.time_window(spark.read.parquet(path), "24h", NOW)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(published_at),GreaterThanOrEqual(published_at" in plan
+    assert sorted(r.title for r in out.collect()) == ["new", "raw"]
