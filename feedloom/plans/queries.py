@@ -885,3 +885,24 @@ select cast(1 as bigint), printf('https://feeds.example.com/doc/%05d', doc),
 def q_lint_feed_urls(spark, sf_dir):
     """Lint report over captured feed bodies (one feed per URL)."""
     return _lint.lint_feed_report(_lint.lint_feed_bodies(_feed_bodies(spark, sf_dir)))
+
+
+@register("stream_delta_batches", _DELTA_CTE + """
+select 'parent' as kind, entry_key, thread_id, null as "user", null as comment_time,
+  description as text, thread_id as message_id
+from ent where not (by_key or by_url)
+union all
+select 'comment', entry_key, thread_id, "user", strftime(ct, '%Y-%m-%dT%H:%M:%SZ'),
+  '*' || "user" || '* さん: ' || comment, sha256(entry_key || '|' || "user" || '|' || ts_text || '|' || comment)
+from newc""")
+def q_stream_delta_batches(spark, sf_dir):
+    """Comments arrive as a stream; every micro-batch runs the batch delta
+    against the versioned state table and appends to the outbox."""
+    src, ck = work_dir(spark, "comments"), work_dir(spark, "ck")
+    state_path, outbox_path = work_dir(spark, "state"), work_dir(spark, "outbox")
+    tables.comments_view(spark, sf_dir).write.parquet(src)
+    _sink_tables.StateStore(spark, state_path).save(tables.prior_state_view(spark, sf_dir))
+    sink = _stream.comment_delta_batches(_items(spark, sf_dir), state_path, outbox_path)
+    _stream.run_available_now(_stream.read_comments_stream(spark, src), ck, sink=sink)
+    return spark.read.parquet(outbox_path).select(
+        "kind", "entry_key", "thread_id", "user", "comment_time", "text", "message_id")

@@ -135,3 +135,25 @@ def run_available_now(df: DataFrame, checkpoint: str, sink=None, query_name: str
     q = w.start(path) if path else w.start()
     q.awaitTermination()
     return q
+
+
+def comment_delta_batches(items: DataFrame, state_path: str, outbox_path: str):
+    """``foreachBatch`` function running the batch comment delta on every
+    micro-batch of comments.
+
+    Each micro-batch is one run: the latest state version is read, the
+    delta (joins and partial aggregations, so a hot entry is split like in
+    the batch job) is computed, new messages are appended to the outbox
+    (idempotent by message id) and the next state version is written.  A
+    retried batch finds either the old state (and re-derives the same
+    message ids) or the new one (and finds nothing new)."""
+    from ..operators.delta import comment_delta
+    from ..sinks.tables import StateStore, append_outbox
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = StateStore(spark, state_path)
+        result = comment_delta(items, batch, store.load())
+        append_outbox(result.outbox.withColumn("batch_id", F.lit(batch_id)), outbox_path)
+        store.save(result.new_state)
+    return run

@@ -36,3 +36,18 @@ def test_comment_delta_stream_two_batches(spark, make_items, make_comments):
     assert got == ["b", "d"]
     assert all(r.thread_id == "T" for r in spark.read.parquet(out).collect())
 
+
+
+def test_delta_batches_replay_is_idempotent(spark, make_items, make_comments):
+    from feedloom.sinks.tables import StateStore
+    items = make_items(dict(url=URL, title="t"))
+    state_path, outbox_path = _dir(spark, "state"), _dir(spark, "outbox")
+    run = jobs.comment_delta_batches(items, state_path, outbox_path)
+    b0 = make_comments(dict(url=URL, user="a", comment="1", timestamp="2026/05/20 12:00"))
+    b1 = make_comments(dict(url=URL, user="b", comment="2", timestamp="2026/05/20 12:05"))
+    run(b0, 0)
+    run(b1, 1)
+    run(b1, 1)          # retried batch
+    out = spark.read.parquet(outbox_path)
+    assert sorted((r.kind, r.user) for r in out.collect()) == [("comment", "a"), ("comment", "b"), ("parent", None)]
+    assert StateStore(spark, state_path).load().first().last_comment_timestamp == "2026-05-20T12:05:00Z"
