@@ -87,8 +87,19 @@ def _page_error(pages_status_col) -> F.Column:
     return F.concat(F.lit("http status "), pages_status_col.cast("string"))
 
 
+def latest_captures(pages: DataFrame) -> DataFrame:
+    """One capture per URL: with a ``fetched_at`` column the latest one
+    (partial ``max_by`` aggregation, so a much-captured URL is reduced before
+    the shuffle); without it the table is taken to hold one row per URL."""
+    if "fetched_at" not in pages.columns:
+        return pages
+    cols = [c for c in pages.columns if c != "url"]
+    return pages.groupBy("url").agg(F.max_by(F.struct(*cols), F.col("fetched_at")).alias("_p")).select("url", "_p.*")
+
+
 def page_meta(pages: DataFrame) -> DataFrame:
     """Per captured page: the whitelisted meta values and the title."""
+    pages = latest_captures(pages)
     html = cap_page(F.col("html"))
     ok = (F.col("status") >= 200) & (F.col("status") < 300)
     p = pages.select("url", "status", html.alias("_html"))
@@ -130,6 +141,7 @@ def ogp_enrich(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_text(pages: DataFrame, exact_entities: bool = False) -> DataFrame:
     """Per captured page: readable text (or the lookup error)."""
+    pages = latest_captures(pages)
     if exact_entities:
         from ..session import ship_package
         ship_package(pages.sparkSession)

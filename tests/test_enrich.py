@@ -81,3 +81,13 @@ def test_clean_truncate_matches_full_clean(spark):
     rows = df.select(clean_truncate(F.col("t"), 160).alias("a"),
                      truncate_runes(clean_text(F.col("t")), 160).alias("b")).collect()
     assert all(r.a == r.b for r in rows)
+
+
+def test_latest_capture_wins(spark, make_items):
+    import datetime as dt
+    pages = spark.createDataFrame(
+        [("https://e/1", 200, "<title>old</title>", dt.datetime(2026, 1, 1)),
+         ("https://e/1", 200, "<title>new</title>", dt.datetime(2026, 2, 1))],
+        "url string, status int, html string, fetched_at timestamp")
+    out = enrich.ogp_enrich(make_items(dict(url="https://e/1")), pages).collect()
+    assert [(r.title, r.page_title) for r in out] == [("new", "new")]
