@@ -35,7 +35,9 @@ def bookmark_enrich(items: DataFrame, counts: DataFrame, comments: DataFrame,
     Comments stay in their own table (joined again by link where needed);
     only their count travels with the item.
     """
-    c = counts.select(F.col(on), F.col("count").alias("_cnt"))
+    c = latest_captures(counts.withColumnRenamed(on, "url")).withColumnRenamed("url", on) \
+        if "fetched_at" in counts.columns else counts
+    c = c.select(F.col(on), F.col("count").alias("_cnt"))
     cc = comment_counts(comments, on)
     base = items.drop(*[x for x in ("comment_count",) if x in items.columns])
     j = base.join(c, on, "left").join(cc, on, "left")
