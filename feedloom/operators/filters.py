@@ -150,6 +150,9 @@ def time_window_rule(df: DataFrame, since, now) -> tuple[DataFrame, Rule]:
         # and simple enough to reach the Parquet scan: row groups whose
         # published_at statistics lie before the window are skipped
         keep = (F.col("published_at").isNull() | (F.col("published_at") >= cutoff)) & keep
+    if "published_date" in df.columns:
+        # tables written by write_items_table: prune date partitions too
+        keep = (F.col("published_date").isNull() | (F.col("published_date") >= F.to_date(cutoff))) & keep
     reason = (F.when(pub.isNull(), F.lit("time_window_filter: dropped by missing published time"))
               .when(pub < cutoff, F.lit("time_window_filter: dropped by older than " + text))
               .otherwise(F.lit("time_window_filter: within " + text)))

@@ -96,3 +96,12 @@ def write_archive(items: DataFrame, path: str, feed_link_col: str = "feed_link")
 def read_archive(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Latest archive version; a missing archive is an empty table."""
     return read_latest(spark, path, schema)
+
+
+def write_items_table(items: DataFrame, path: str, mode: str = "append") -> None:
+    """Write items partitioned by ``published_date`` (UTC day of the
+    published time; items without a time go to the null partition), so
+    time-window filters prune whole partitions."""
+    from ..functions.times import published_time
+    (items.withColumn("published_date", F.to_date(published_time(items)))
+     .write.mode(mode).partitionBy("published_date").parquet(path))

@@ -94,6 +94,9 @@ def comment_delta_stream(comments_stream: DataFrame, entries: DataFrame) -> Data
         F.unix_micros(ct).alias("ct_us"),
         F.date_format(ct, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("comment_time"),
         message_id(F.col("entry_key"), F.col("user"), F.col("timestamp"), F.col("comment")).alias("message_id"))
+    # comments at or before the stored time can never be sent (the per-key
+    # state only moves forward from it): drop them before the shuffle
+    c = c.filter(F.col("ct_us").isNotNull() & (F.col("ct_us") > F.col("last_us")))
     return c.groupBy("entry_key").applyInPandasWithState(
         _delta_fn, DELTA_OUT, DELTA_STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -113,3 +113,16 @@ def test_time_window_reaches_parquet_scan(spark, make_items, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(IsNull(published_at),GreaterThanOrEqual(published_at" in plan
     assert sorted(r.title for r in out.collect()) == ["new", "raw"]
+
+
+def test_time_window_prunes_date_partitions(spark, make_items, tmp_path):
+    from feedloom.sinks.tables import write_items_table
+    df = make_items(dict(title="new", published_at=NOW - dt.timedelta(hours=1)),
+                    dict(title="old", published_at=NOW - dt.timedelta(days=9)),
+                    dict(title="none"))
+    path = str(tmp_path / "items")
+    write_items_table(df, path)
+    out = filters.time_window(spark.read.parquet(path), "24h", NOW)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "published_date" in plan.split("PartitionFilters: [")[1][:200]
+    assert [r.title for r in out.collect()] == ["new"]
