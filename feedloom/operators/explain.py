@@ -17,6 +17,7 @@ from .. import session as _session
 from ..schema import EXPLAIN_JSONL_VERSION
 from ..functions.urls import with_key
 from .rank import rank_keys, with_rank
+from .. import reasons as R
 
 STAGE_STRUCT = "struct<stage:string,kept:boolean,reasons:array<string>>"
 _HELPERS = ("_alive", "_stages", "_orig")
@@ -77,17 +78,17 @@ def explain_items(items: DataFrame, stages, ctx=None, output: str = "rss",
             try:
                 k = rank_keys(df, st.by)
             except ValueError:
-                df = _append(df, "rank", F.lit(False), F.array(F.lit("rank: unsupported rank " + st.by)))
+                df = _append(df, "rank", F.lit(False), F.array(F.lit(R.RANK_UNSUPPORTED + st.by)))
                 continue
             if k is not None:
                 keys = k
-            df = _append(df, "rank", F.lit(True), F.array(F.lit("rank: by=" + mode)))
+            df = _append(df, "rank", F.lit(True), F.array(F.lit(R.RANK_BY + mode)))
         else:
             df = _append(df, st.name, F.lit(True), F.array(F.lit(st.explain_text)))
 
-    pre = [F.lit("explain: " + e) for e in (errors or [])]
+    pre = [F.lit(R.BUILDER_ERROR + e) for e in (errors or [])]
     if not stages:
-        reasons = F.array(*pre, F.lit("no filter/rank criteria"))
+        reasons = F.array(*pre, F.lit(R.NO_CRITERIA))
     else:
         flat = F.flatten(F.transform(F.col("_stages"), lambda s: s["reasons"]))
         reasons = F.concat(F.array(*pre), flat) if pre else flat
@@ -120,12 +121,12 @@ def _explain_merge(df: DataFrame, keys: list[Column] | None) -> DataFrame:
         idx = with_rank(alive, [F.col(f"_o{i}").asc() for i in range(len(keys))], "_i")
         idx = idx.filter(F.col("_k") == "").select("pos", "_i")
         df = df.join(idx, "pos", "left").withColumn(
-            "_k", F.when(F.col("_i").isNotNull(), F.concat(F.lit("__index_"), (F.col("_i") - 1).cast("string")))
+            "_k", F.when(F.col("_i").isNotNull(), F.concat(F.lit(R.EMPTY_KEY_PREFIX), (F.col("_i") - 1).cast("string")))
             .otherwise(F.col("_k"))).drop("_i")
     first = df.filter(F.col("_alive")).groupBy("_k").agg(F.min_by("pos", "_o").alias("_first"))
     df = df.join(first, "_k", "left")
     kept = F.col("pos") == F.col("_first")
-    reason = F.when(kept, F.concat(F.lit("merge: kept key="), F.col("_k"))).otherwise(
-        F.concat(F.lit("merge: dropped duplicate key="), F.col("_k")))
+    reason = F.when(kept, F.concat(F.lit(R.MERGE_KEPT), F.col("_k"))).otherwise(
+        F.concat(F.lit(R.MERGE_DROPPED), F.col("_k")))
     df = df.withColumns({"_mk": kept, "_mr": F.array(reason)})
     return _append(df, "merge", F.col("_mk"), F.col("_mr")).drop("_k", "_o", "_first", "_mk", "_mr")

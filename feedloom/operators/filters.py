@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import keyword_score, matching_contains, prepare_patterns
 from ..functions.times import duration_string, parse_duration, published_time, ts_lit
 from ..functions.urls import domain_matches, item_domain, normalize_domain_list, with_domain
+from .. import reasons as R
 
 
 @dataclass
@@ -83,10 +84,10 @@ def keyword_rule(df: DataFrame, include=None, exclude=None, min_score: int = 0)
     no_inc = (score == 0) if include else F.lit(False)
     below = (score < min_score) if min_score > 0 else F.lit(False)
     reasons = _reasons(
-        F.when(excluded, F.concat(F.lit("keyword_filter: dropped by exclude="), F.array_join(hits, ","))),
-        F.when(no_inc, F.lit("keyword_filter: dropped by no include match")).otherwise(
-            F.concat(F.lit("keyword_filter: score="), score.cast("string"))),
-        F.when(below, F.lit(f"keyword_filter: dropped by min_score={min_score}")),
+        F.when(excluded, F.concat(F.lit(R.KEYWORD_EXCLUDED), F.array_join(hits, ","))),
+        F.when(no_inc, F.lit(R.KEYWORD_NO_INCLUDE)).otherwise(
+            F.concat(F.lit(R.KEYWORD_SCORE), score.cast("string"))),
+        F.when(below, F.lit(f"{R.KEYWORD_MIN_SCORE}{min_score}")),
     )
     return df, Rule("keyword_filter", ~excluded & ~no_inc & ~below, reasons,
                     {"keyword_score": score.cast("int")}, helpers=["_kw_text"], barrier=True)
@@ -116,11 +117,11 @@ def domain_rule(df: DataFrame, include=None, exclude=None) -> tuple[DataFrame, R
         keep = ~empty & ~ex_hit & ~in_miss
     else:
         keep = empty | ~ex_hit
-    reason = (F.when(empty & F.lit(bool(inc)), F.lit("domain_filter: dropped by empty domain"))
-              .when(ex_hit, F.concat(F.lit("domain_filter: dropped by exclude domain="), d))
-              .when(in_miss, F.concat(F.lit("domain_filter: dropped by include mismatch domain="), d))
-              .otherwise(F.concat(F.lit("domain_filter: domain="),
-                                  F.when(empty, F.lit("(empty)")).otherwise(d))))
+    reason = (F.when(empty & F.lit(bool(inc)), F.lit(R.DOMAIN_EMPTY))
+              .when(ex_hit, F.concat(F.lit(R.DOMAIN_EXCLUDED), d))
+              .when(in_miss, F.concat(F.lit(R.DOMAIN_INCLUDE_MISMATCH), d))
+              .otherwise(F.concat(F.lit(R.DOMAIN_KEPT),
+                                  F.when(empty, F.lit(R.DOMAIN_EMPTY_LABEL)).otherwise(d))))
     return df, Rule("domain_filter", keep, F.array(reason),
                     {"domain": F.when(~empty, d).otherwise(F.col("domain") if "domain" in df.columns
                                                             else F.lit(None).cast("string"))},
@@ -139,7 +140,7 @@ def time_window_rule(df: DataFrame, since, now) -> tuple[DataFrame, Rule]:
     ns = parse_duration(since)
     if ns <= 0:
         return df, Rule("time_window_filter", F.lit(True),
-                        F.array(F.lit("time_window_filter: no window")), identity=True)
+                        F.array(F.lit(R.TIME_NO_WINDOW)), identity=True)
     now_dt = now if isinstance(now, _dt.datetime) else _dt.datetime.fromisoformat(str(now))
     cutoff = ts_lit(now_dt - _dt.timedelta(microseconds=ns // 1000))
     pub = published_time(df)
@@ -153,9 +154,9 @@ def time_window_rule(df: DataFrame, since, now) -> tuple[DataFrame, Rule]:
     if "published_date" in df.columns:
         # tables written by write_items_table: prune date partitions too
         keep = (F.col("published_date").isNull() | (F.col("published_date") >= F.to_date(cutoff))) & keep
-    reason = (F.when(pub.isNull(), F.lit("time_window_filter: dropped by missing published time"))
-              .when(pub < cutoff, F.lit("time_window_filter: dropped by older than " + text))
-              .otherwise(F.lit("time_window_filter: within " + text)))
+    reason = (F.when(pub.isNull(), F.lit(R.TIME_MISSING))
+              .when(pub < cutoff, F.lit(R.TIME_OLDER + text))
+              .otherwise(F.lit(R.TIME_WITHIN + text)))
     return df, Rule("time_window_filter", keep, F.array(reason))
 
 
@@ -176,10 +177,10 @@ def min_hotness_rule(df: DataFrame, minimum: float) -> tuple[DataFrame, Rule]:
     s_txt = F.format_string("%.3f", score)
     if minimum > 0:
         keep = score >= F.lit(float(minimum))
-        reason = F.when(~keep, F.concat(F.lit(f"min_hotness: dropped by min={_fmt3(minimum)} score="), s_txt)) \
-            .otherwise(F.concat(F.lit("min_hotness: score="), s_txt))
+        reason = F.when(~keep, F.concat(F.lit(f"{R.MIN_HOTNESS_DROPPED}{_fmt3(minimum)}{R.MIN_HOTNESS_DROPPED_SCORE}"), s_txt)) \
+            .otherwise(F.concat(F.lit(R.MIN_HOTNESS_SCORE), s_txt))
         return df, Rule("min_hotness", keep, F.array(reason))
-    return df, Rule("min_hotness", F.lit(True), F.array(F.concat(F.lit("min_hotness: score="), s_txt)),
+    return df, Rule("min_hotness", F.lit(True), F.array(F.concat(F.lit(R.MIN_HOTNESS_SCORE), s_txt)),
                     identity=True)
 
 
@@ -213,13 +214,13 @@ def fav_user_rule(df: DataFrame, comments: DataFrame, users, on: str = "url") ->
     watch = watch_list(users)
     if not watch:
         keep = F.lit(not users)
-        reason = F.lit("fav_user: no users configured") if not users else F.lit("fav_user: dropped by no matching user")
+        reason = F.lit(R.FAV_NONE_CONFIGURED) if not users else F.lit(R.FAV_NO_MATCH)
         return df, Rule("fav_user", keep, F.array(reason), identity=True)
     fav = fav_users_table(comments, users, on).withColumnRenamed("fav_users", "_fav")
     joined = df.join(fav, on, "left")
     keep = F.col("_fav").isNotNull()
-    reason = F.when(keep, F.concat(F.lit("fav_user: matched="), F.col("_fav"))).otherwise(
-        F.lit("fav_user: dropped by no matching user"))
+    reason = F.when(keep, F.concat(F.lit(R.FAV_MATCHED), F.col("_fav"))).otherwise(
+        F.lit(R.FAV_NO_MATCH))
     return joined, Rule("fav_user", keep, F.array(reason), {"fav_users": F.col("_fav")}, helpers=["_fav"])
 
 

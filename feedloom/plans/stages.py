@@ -21,6 +21,7 @@ from ..functions.times import duration_string, parse_duration
 from ..operators import dedup, enrich, filters, rank
 from ..operators.items import normalize_items
 from ..operators.plugin import DEFAULT_STDERR_LIMIT, external_command
+from .. import reasons as R
 
 
 @dataclass
@@ -48,7 +49,7 @@ def comments_for(df: DataFrame, ctx: Context):
 class Stage:
     name = "stage"
     kind = "dry_run"          # transform | filter | merge | rank | dry_run
-    explain_text = "stage: explain is not implemented; assuming kept"
+    explain_text = R.UNKNOWN_STAGE
 
     def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
         raise NotImplementedError
@@ -58,7 +59,7 @@ class Stage:
 
 
 class NormalizeStage(Stage):
-    name, kind, explain_text = "normalize", "transform", "normalize: set normalized_url/id"
+    name, kind, explain_text = "normalize", "transform", R.NORMALIZE
 
     def apply(self, df, ctx):
         return normalize_items(df)
@@ -87,7 +88,7 @@ class DiffStage(Stage):
 
 
 class BookmarkStage(Stage):
-    name, kind, explain_text = "hatena_bookmark", "dry_run", "hatena_bookmark: would call Hatena APIs"
+    name, kind, explain_text = "hatena_bookmark", "dry_run", R.HATENA_BOOKMARK
 
     def apply(self, df, ctx):
         if ctx.bookmark_counts is None or ctx.comments is None:
@@ -145,7 +146,7 @@ class HotnessStage(Stage):
         from pyspark.sql import functions as F
         score = rank.hotness_expr(df, self.now or ctx.now)
         return df, filters.Rule(self.name, F.lit(True),
-                                F.array(F.concat(F.lit("hotness_score: score="), F.format_string("%.3f", score))),
+                                F.array(F.concat(F.lit(R.HOTNESS_SCORE), F.format_string("%.3f", score))),
                                 {"hotness_score": score})
 
     def apply(self, df, ctx):
@@ -201,7 +202,7 @@ class RankStage(Stage):
 
 
 class SourceLabelStage(Stage):
-    name, kind, explain_text = "source_label", "transform", "source_label: set source label when available"
+    name, kind, explain_text = "source_label", "transform", R.SOURCE_LABEL
 
     def __init__(self, default_source: str = ""):
         self.default_source = default_source or ""
@@ -211,7 +212,7 @@ class SourceLabelStage(Stage):
 
 
 class TagStage(Stage):
-    name, kind, explain_text = "tag", "transform", "tag: merge Hatena comment tags into categories"
+    name, kind, explain_text = "tag", "transform", R.TAG
 
     def apply(self, df, ctx):
         c, on = comments_for(df, ctx)
@@ -221,7 +222,7 @@ class TagStage(Stage):
 
 
 class OgpStage(Stage):
-    name, kind, explain_text = "ogp", "dry_run", "ogp: would fetch article URL and read OGP metadata"
+    name, kind, explain_text = "ogp", "dry_run", R.OGP
 
     def apply(self, df, ctx):
         if ctx.pages is None:
@@ -231,7 +232,7 @@ class OgpStage(Stage):
 
 class ContentStage(Stage):
     name, kind = "content", "dry_run"
-    explain_text = "content: would fetch article URL and extract readable content"
+    explain_text = R.CONTENT
 
     def apply(self, df, ctx):
         if ctx.pages is None:
@@ -240,7 +241,7 @@ class ContentStage(Stage):
 
 
 class SummaryStage(Stage):
-    name, kind, explain_text = "summary", "transform", "summary: local extractive summary without external API"
+    name, kind, explain_text = "summary", "transform", R.SUMMARY
 
     def __init__(self, max_runes: int = enrich.DEFAULT_SUMMARY_RUNES):
         self.max_runes = max_runes
@@ -261,11 +262,11 @@ class ExternalCommandStage(Stage):
 
     @property
     def explain_text(self):
-        r = "plugin: dry-run command=" + self.command
+        r = R.PLUGIN_DRY_RUN + self.command
         if self.args:
-            r += " args=" + " ".join(self.args)
+            r += R.PLUGIN_ARGS + " ".join(self.args)
         if self.timeout_ns > 0:
-            r += " timeout=" + duration_string(self.timeout_ns)
+            r += R.PLUGIN_TIMEOUT + duration_string(self.timeout_ns)
         return r
 
     def apply(self, df, ctx):
