@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from .. import formats as FM
 
 
 def lint_errors(docs: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def lint_errors(docs: DataFrame) -> DataFrame:
     nb = docs.filter(~F.col("blank")).withColumn(
         "n", F.row_number().over(Window.partitionBy("source").orderBy("chunk_idx")))
     return nb.filter(~F.col("valid")).select(
-        "source", "n", F.format_string("feed %d: %s", F.col("n"), F.col("error")).alias("error_line"))
+        "source", "n", F.format_string(FM.LINT_FEED_ERROR, F.col("n"), F.col("error")).alias("error_line"))
 
 
 def lint(docs: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def lint_report(docs: DataFrame) -> DataFrame:
     """Report lines (ord, line): the counter line, then ``- feed N: msg``
     lines in source order; an ordered write of ``line`` gives the text."""
     head = lint(docs).select(F.lit(-1).cast("long").alias("source"), F.lit(0).cast("long").alias("n"),
-                             F.format_string("feeds: total=%d valid=%d invalid=%d", "total", "valid",
+                             F.format_string(FM.LINT_TOTALS, "total", "valid",
                                              "invalid").alias("line"))
     errs = lint_errors(docs).select("source", F.col("n").cast("long"),
                                     F.concat(F.lit("- "), F.col("error_line")).alias("line"))
@@ -70,7 +71,7 @@ def lint_feed_report(results: DataFrame) -> DataFrame:
     head = results.agg(F.count("*").alias("t"), F.count_if("valid").alias("v"),
                        F.count_if(~F.col("valid")).alias("i")).select(
         F.lit(0).cast("long").alias("k1"), F.lit("").alias("k2"),
-        F.format_string("feeds: total=%d valid=%d invalid=%d", "t", "v", "i").alias("line"))
+        F.format_string(FM.LINT_TOTALS, "t", "v", "i").alias("line"))
     errs = results.filter(~F.col("valid")).select(
         F.lit(1).cast("long").alias("k1"), F.col("feed_url").alias("k2"),
         F.concat(F.lit("- "), F.col("feed_url"), F.lit(": "), F.col("error")).alias("line"))

@@ -12,6 +12,7 @@ from ..functions.text import clean_text, escape_md_link, go_trim, has_count, htm
 from ..functions.times import duration_string, parse_duration, published_time, rfc3339
 from ..operators.filters import time_window
 from . import document as D
+from .. import formats as FM
 
 # Fixed values of the digest format.
 DEFAULT_TITLE = "feedloom digest"
@@ -50,7 +51,7 @@ def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE
         head += [f"Window: {fmt(start)} - {fmt(now)}", ""]
     n_line = kept.agg(F.count("*").alias("n")).select(
         F.lit(0).cast("long").alias("k1"), F.lit(len(head)).cast("long").alias("k2"),
-        F.lit(0).cast("long").alias("k3"), F.concat(F.lit("Items: "), F.col("n").cast("string")).alias("line"))
+        F.lit(0).cast("long").alias("k3"), F.concat(F.lit(FM.DIGEST_ITEMS), F.col("n").cast("string")).alias("line"))
     blank = D.header(spark, "", k1=0).withColumn("k2", F.lit(len(head) + 1).cast("long"))
     pub = published_time(kept)
     t = go_trim(F.coalesce(F.col("title"), F.lit("")))
@@ -59,7 +60,7 @@ def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE
     bullet = F.concat(
         F.lit("- ["), escape_md_link(label), F.lit("]("), F.coalesce(F.col("url"), F.lit("")), F.lit(")"),
         F.when(pub.isNotNull(), F.concat(F.lit(" - "), rfc3339(pub))).otherwise(F.lit("")),
-        F.when(has_count(cnt), F.concat(F.lit(" - Hatena Bookmark: "), cnt)).otherwise(F.lit("")))
+        F.when(has_count(cnt), F.concat(F.lit(FM.DIGEST_COUNT), cnt)).otherwise(F.lit("")))
     summ = digest_summary(F.coalesce(F.col("description"), F.lit("")), exact_entities)
     k2 = F.when(pub.isNull(), F.lit(_MAX_LONG)).otherwise(-F.unix_micros(pub))
     # bullet and summary lines of an item come out of one pass

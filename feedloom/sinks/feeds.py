@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import col_, has_count
 from ..functions.times import published_time, ts_lit
 from . import document as D
+from .. import formats as FM
 
 # Header of generated feeds (overridable per call in a later round).
 FEED_TITLE = "feedloom generated feed"
@@ -46,7 +47,7 @@ def feed_lines(items: DataFrame, comments: DataFrame | None = None, now: _dt.dat
     spark = items.sparkSession
     created = F.coalesce(published_time(items), ts_lit(now))
     cnt = F.coalesce(F.col("bookmark_count"), F.lit("")) if "bookmark_count" in items.columns else F.lit("")
-    count_line = F.when(has_count(cnt), F.concat(F.lit("\n<p>Hatena Bookmark: <b>"), cnt, F.lit("</b></p>"))) \
+    count_line = F.when(has_count(cnt), F.concat(F.lit(FM.DESC_COUNT_OPEN), cnt, F.lit(FM.DESC_COUNT_CLOSE))) \
         .otherwise(F.lit(""))
     order = F.col("_order") if "_order" in items.columns else F.col("pos")
     it = items.withColumns({"_ord": order, "_created": created, "_count_line": count_line})
@@ -58,8 +59,8 @@ def feed_lines(items: DataFrame, comments: DataFrame | None = None, now: _dt.dat
     else:
         has_comments = F.lit(False)
     desc_head = F.concat(F.coalesce(F.col("description"), F.lit("")), F.col("_count_line"),
-                         F.when(has_comments, F.lit("\n<p><b>Comments:</b></p><ul>")).otherwise(F.lit("")))
-    tail = F.when(has_comments, F.lit("</ul>")).otherwise(F.lit(""))
+                         F.when(has_comments, F.lit(FM.DESC_COMMENTS_OPEN)).otherwise(F.lit("")))
+    tail = F.when(has_comments, F.lit(FM.DESC_COMMENTS_CLOSE)).otherwise(F.lit(""))
     guid = F.coalesce(F.col("id"), F.lit(""))
     if kind == "rss":
         head = F.concat(F.lit("<item><title>"), xml_escape("title"), F.lit("</title><link>"),

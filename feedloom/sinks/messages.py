@@ -14,6 +14,7 @@ from ..functions.text import col_, has_count
 from ..operators.delta import message_id
 from ..operators.rank import with_rank
 from . import document as D
+from .. import formats as FM
 
 
 def go_quote(c) -> Column:
@@ -35,8 +36,8 @@ def notification_messages(items: DataFrame) -> DataFrame:
     n = comment_count_col(items)
     attachment = F.concat(
         F.coalesce(F.col("description"), F.lit("")), F.lit("\n\n"),
-        F.when(has_count(cnt), F.concat(F.lit("Hatena Bookmark: *"), cnt, F.lit("*\n"))).otherwise(F.lit("")),
-        F.when(n > 0, F.concat(F.lit("Hatena Comments: "), n.cast("string"), F.lit("\n"))).otherwise(F.lit("")))
+        F.when(has_count(cnt), F.concat(F.lit(FM.ATTACH_COUNT_OPEN), cnt, F.lit(FM.ATTACH_COUNT_CLOSE))).otherwise(F.lit("")),
+        F.when(n > 0, F.concat(F.lit(FM.ATTACH_COMMENTS), n.cast("string"), F.lit("\n"))).otherwise(F.lit("")))
     text = F.concat(F.lit("<"), F.coalesce(F.col("url"), F.lit("")), F.lit("|"),
                     F.coalesce(F.col("title"), F.lit("")), F.lit(">"))
     return items.select("pos", F.lit("post").alias("kind"), text.alias("text"), attachment.alias("attachment"),
@@ -48,16 +49,16 @@ def dry_run_lines(items: DataFrame, channel: str = "") -> DataFrame:
     then ``N. message title="..." url="..."`` per item in input order and,
     for items with a count, the count and comment-count line."""
     spark = items.sparkSession
-    ch = channel or "(unset)"
+    ch = channel or FM.UNSET_CHANNEL
     head = items.agg(F.count("*").alias("n")).select(
         F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).cast("long").alias("k3"),
-        F.format_string(f"slack dry-run: channel={ch.replace('%', '%%')} posts=%d", F.col("n")).alias("line"))
+        F.format_string(FM.DRY_RUN_HEADER.replace("%s", ch.replace("%", "%%")), F.col("n")).alias("line"))
     numbered = with_rank(items, [F.col("pos").asc()], "_n")
     cnt = F.coalesce(F.col("bookmark_count"), F.lit("")) if "bookmark_count" in items.columns else F.lit("")
-    first = D.lines(numbered, F.concat(F.col("_n").cast("string"), F.lit(". message title="), go_quote("title"),
+    first = D.lines(numbered, F.concat(F.col("_n").cast("string"), F.lit(FM.DRY_RUN_ITEM), go_quote("title"),
                                        F.lit(" url="), go_quote("url")), 1, F.col("_n"), 0)
     second = D.lines(numbered.filter(cnt != ""),
-                     F.concat(F.lit("   hatena_bookmark_count="), cnt, F.lit(" comments="),
+                     F.concat(F.lit(FM.DRY_RUN_COUNT), cnt, F.lit(FM.DRY_RUN_COMMENTS),
                               comment_count_col(numbered).cast("string")), 1, F.col("_n"), 1)
     del spark
     return head.unionByName(first).unionByName(second)
@@ -65,14 +66,14 @@ def dry_run_lines(items: DataFrame, channel: str = "") -> DataFrame:
 
 def delta_dry_run_lines(plan: DataFrame, channel: str = "") -> DataFrame:
     """Document rows of the comment-delta dry run (per entry, then totals)."""
-    ch = channel or "(unset)"
+    ch = channel or FM.UNSET_CHANNEL
     per = D.lines(plan, F.concat(
-        F.lit("hatena dry-run: title="), go_quote("title"), F.lit(" url="), go_quote("url"),
+        F.lit(FM.DELTA_DRY_RUN_ITEM), go_quote("title"), F.lit(" url="), go_quote("url"),
         F.lit(" parent_post="), F.when(F.col("parent_post"), F.lit("true")).otherwise(F.lit("false")),
         F.lit(" new_comments="), F.col("new_comments").cast("string")), 0, F.col("pos"), 0)
     tot = plan.agg(F.sum(F.col("parent_post").cast("long")).alias("p"),
                    F.coalesce(F.sum("new_comments"), F.lit(0)).alias("c"))
     summary = D.lines(tot, F.format_string(
-        f"hatena dry-run summary: channel={ch.replace('%', '%%')} parent_posts=%d comment_posts=%d",
+        FM.DELTA_DRY_RUN_SUMMARY.replace("%s", ch.replace("%", "%%"), 1),
         F.coalesce(F.col("p"), F.lit(0)), F.col("c")), 1, 0, 0)
     return per.unionByName(summary)
