@@ -906,3 +906,18 @@ def q_stream_delta_batches(spark, sf_dir):
     _stream.run_available_now(_stream.read_comments_stream(spark, src), ck, sink=sink)
     return spark.read.parquet(outbox_path).select(
         "kind", "entry_key", "thread_id", "user", "comment_time", "text", "message_id")
+
+
+@register("comment_delta_dry_run", _DELTA_CTE + f"""
+, pl as (select p.*, e.pos, e.title from plan p join ent e on e.entry_key = p.entry_key)
+select cast(0 as bigint) as k1, cast(pos as bigint) as k2, cast(0 as bigint) as k3,
+  'hatena dry-run: title=' || {_go_quote_sql('title')} || ' url=' || {_go_quote_sql('url')}
+  || ' parent_post=' || case when parent_post then 'true' else 'false' end
+  || ' new_comments=' || cast(new_comments as varchar) as line from pl
+union all
+select 1, 0, 0, 'hatena dry-run summary: channel=(unset) parent_posts='
+  || cast(coalesce(sum(cast(parent_post as bigint)), 0) as varchar)
+  || ' comment_posts=' || cast(coalesce(sum(new_comments), 0) as varchar) from pl""")
+def q_comment_delta_dry_run(spark, sf_dir):
+    """The delta plan as dry-run text lines (per entry, then totals)."""
+    return _messages.delta_dry_run_lines(_delta_result(spark, sf_dir).plan)
