@@ -84,3 +84,18 @@ def test_messages_and_dry_run(spark, make_items):
                                  '1. message title="entry <one> & co" url="https://example.com/entry-one"',
                                  "   hatena_bookmark_count=12 comments=3",
                                  '2. message title="two" url="https://example.com/two"']
+
+
+def test_delta_dry_run_lines(spark, make_items, make_comments):
+    from feedloom.operators import delta
+    from feedloom.schema import STATE_SCHEMA
+    items = make_items(dict(url="https://e.com/a", title='say "hi"'), dict(url="https://e.com/b", title="b"))
+    state = spark.createDataFrame([("https://e.com/a", "2026-05-20T12:00:00Z", "T")], STATE_SCHEMA)
+    c = make_comments(dict(url="https://e.com/a", timestamp="2026/05/20 12:00"),
+                      dict(url="https://e.com/a", timestamp="2026/05/20 12:01"))
+    plan = delta.comment_delta(items, c, state).plan
+    text = document.collect_document(messages.delta_dry_run_lines(plan))
+    assert text.splitlines() == [
+        'hatena dry-run: title="say \\"hi\\"" url="https://e.com/a" parent_post=false new_comments=1',
+        'hatena dry-run: title="b" url="https://e.com/b" parent_post=true new_comments=0',
+        "hatena dry-run summary: channel=(unset) parent_posts=1 comment_posts=1"]
