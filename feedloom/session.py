@@ -61,15 +61,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     tests -- a private temporary folder is created.
     """
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="feedloom-ckpt-")
     sc.setCheckpointDir(configured)
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc.getCheckpointDir()
 
 
 def ship_package(spark: SparkSession) -> None:
