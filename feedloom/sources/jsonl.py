@@ -62,3 +62,32 @@ def comments_from_items(items: DataFrame, on: str = "url") -> DataFrame:
     return c.select(on, (F.shiftleft(F.col("pos"), 20) + F.col("_i")).alias("ord"),
                     F.col("_c.user").alias("user"), F.col("_c.comment").alias("comment"),
                     F.col("_c.timestamp").alias("timestamp"), F.col("_c.tags").alias("tags"))
+
+
+def jsonl_errors(spark: SparkSession, path, accepted=ACCEPTED_VERSIONS) -> DataFrame:
+    """(file, line, error) for every bad line of JSON Lines files, with
+    1-based line numbers counted like a line scanner (blank lines count).
+
+    Line numbers without a single-task pass: every row gets its file block
+    and its index inside the read partition; a per-block line-count table
+    (one row per file block) gives each block's first line number."""
+    from pyspark.sql.window import Window
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_blk"),
+        F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    raw = raw.withColumn("_i", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    blocks = raw.groupBy("file", "_blk", "_pid").agg(F.count("*").alias("_n"), F.min("_i").alias("_i0"))
+    blocks = blocks.withColumn("_first", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    line = F.trim(F.col("value"))
+    ok_json = F.try_parse_json(F.col("value")).isNotNull() & F.startswith(F.ltrim(F.col("value")), F.lit("{"))
+    ver = F.coalesce(F.get_json_object(F.col("value"), "$.schema_version"), F.lit(""))
+    err = (F.when(line == "", F.lit(None))
+           .when(~ok_json, F.lit("invalid JSON record"))
+           .when((ver != "") & ~ver.isin(*accepted), F.concat(F.lit('unsupported schema_version "'), ver, F.lit('"'))))
+    bad = raw.withColumn("error", err).filter(F.col("error").isNotNull())
+    return bad.join(F.broadcast(blocks.select("file", "_blk", "_pid", "_first", "_i0")), ["file", "_blk", "_pid"]) \
+        .select("file", (F.col("_first") + F.col("_i") - F.col("_i0")).alias("line"),
+                F.concat(F.lit("jsonl line "), (F.col("_first") + F.col("_i") - F.col("_i0")).cast("string"),
+                         F.lit(": "), F.col("error")).alias("error"))

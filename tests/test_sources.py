@@ -107,3 +107,16 @@ def test_lint_feed_bodies(spark):
     lines = [r.line for r in lint.lint_feed_report(res).orderBy("k1", "k2").collect()]
     assert lines == ["feeds: total=4 valid=1 invalid=3", "- https://f/b: XML syntax error",
                      "- https://f/c: fetch failed: empty feed", "- https://f/d: Failed to detect feed type"]
+
+
+def test_jsonl_errors_line_numbers(spark, tmp_path):
+    lines = ['{"url":"a"}'] * 3 + [""] + ["{broken"] + ['{"url":"b"}'] * 2000 + ['{"schema_version":"x.v9","url":"c"}']
+    p = tmp_path / "big.jsonl"
+    p.write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")   # force several blocks
+    try:
+        got = sorted((r.line, r.error) for r in jsonl.jsonl_errors(spark, str(p)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(5, "jsonl line 5: invalid JSON record"),
+                   (2006, 'jsonl line 2006: unsupported schema_version "x.v9"')]
