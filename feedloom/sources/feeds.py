@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import NON_WS
 from ..functions.times import parse_feed_time
-from ..functions.urls import normalize_url
+from ..functions.urls import with_key
 
 # Split points and the strict printable rule.
 SPLIT_AFTER = r"(?<=</rss>)|(?<=</feed>)"
@@ -139,15 +139,15 @@ def feed_items(docs: DataFrame) -> DataFrame:
         F.transform(F.col("doc.item"), lambda i, k: _rss_item(i, k, title)))
     x = v.select("source", "chunk_idx", F.explode(arr).alias("it")).filter(F.col("it").isNotNull())
     it = lambda n: F.coalesce(F.col("it." + n), F.lit(""))
-    url = it("url")
-    nkey = normalize_url(url)
-    key = F.when(nkey != "", nkey).otherwise(url)
+    # dedup key of the link (normalize, else the link), staged projections
+    x = with_key(x.withColumn("url", it("url")), "_key", normalized_col="_none_", url_col="url")
+    key = F.col("_key")
     pos = (F.shiftleft(F.col("source"), CHUNK_BITS + ITEM_BITS)
            + F.shiftleft(F.col("chunk_idx").cast("long"), ITEM_BITS) + F.col("it.item_idx").cast("long"))
     return x.select(
         pos.alias("pos"),
         F.when(it("id") != "", it("id")).otherwise(key).alias("id"),
-        url.alias("url"), key.alias("normalized_url"),
+        F.col("url"), key.alias("normalized_url"),
         it("title").alias("title"), it("description").alias("description"), it("content").alias("content"),
         parse_feed_time(F.col("it.published_raw")).alias("published_at"),
         parse_feed_time(F.col("it.updated_raw")).alias("updated_at"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_rfc3339
-from ..functions.urls import normalize_url
+from ..functions.urls import with_normalized
 from ..schema import COMMENT_STRUCT, ITEM_JSONL_VERSION, JSONL_ITEM_SCHEMA
 
 ACCEPTED_VERSIONS = (ITEM_JSONL_VERSION,)
@@ -29,8 +29,10 @@ def parse_item_lines(lines: DataFrame, col: str = "value", accepted=ACCEPTED_VER
                    F.raise_error(F.concat(F.lit('jsonl: unsupported schema_version "'), ver, F.lit('"')))))
     x = x.withColumn("_r", F.when(check.isNull(), rec))
     r = lambda n: F.coalesce(F.col("_r." + n), F.lit(""))
+    # normalized_url filled when missing (staged projections), then the key
+    x = with_normalized(x, F.when(r("normalized_url") == "", r("url")).otherwise(F.lit("")), "_nu")
     url = r("url")
-    n = F.when(r("normalized_url") != "", r("normalized_url")).otherwise(normalize_url(url))
+    n = F.when(r("normalized_url") != "", r("normalized_url")).otherwise(F.col("_nu"))
     key = F.when(n != "", n).otherwise(url)
     return x.select(
         F.col("_pos").alias("pos"),
