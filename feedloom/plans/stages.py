@@ -437,3 +437,11 @@ def enrich_stages(names) -> list[Stage]:
             raise ValueError(f"unsupported enrich {n!r}")
         out.append(ENRICH_STAGES[key]())
     return out
+
+
+def chain_stages(config=None, enrich=None, **filter_rank) -> list[Stage]:
+    """A whole run's stages in order: configured stages, then the enrich
+    list, then the flag-style filter/rank stages (the same order explain
+    evaluates them in)."""
+    return [*(build_stages(config) if config else []), *enrich_stages(enrich or []),
+            *filter_rank_stages(**filter_rank)]

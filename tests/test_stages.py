@@ -84,3 +84,9 @@ def test_tagged_run_can_be_cancelled(spark, make_items):
     with pytest.raises(Exception):
         raise errors[0]
     assert "chain-1" not in spark.sparkContext.getJobTags()
+
+
+def test_chain_stages_order():
+    st = S.chain_stages({"stages": [{"type": "normalize"}, {"type": "merge"}]}, ["summary"],
+                        include=["go"], rank_by="hotness")
+    assert [s.name for s in st] == ["normalize", "merge", "summary", "keyword_filter", "hotness_score", "rank"]
