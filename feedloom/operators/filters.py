@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_score, matching_contains, prepare_patterns
+from ..functions.text import go_trim, keyword_score, matching_contains, prepare_patterns
 from ..functions.times import duration_string, parse_duration, published_time, ts_lit
 from ..functions.urls import domain_matches, item_domain, normalize_domain_list, with_domain
 from .. import reasons as R
@@ -201,18 +201,24 @@ def fav_users_table(comments: DataFrame, users, on: str = "url") -> DataFrame:
 
     Pre-aggregated per (key, user) before the per-key collect, so a key's
     list is bounded by the size of the watch list."""
-    watch = watch_list(users)
-    m = (comments.filter(F.lower(F.col("user")).isin(watch))
-         .groupBy(on, F.lower(F.col("user")).alias("_lu"))
+    c = comments.withColumn("_lu", F.lower(F.col("user")))
+    if isinstance(users, DataFrame):
+        # a watch table (too large for literals): semi join on the lowered
+        # user; the planner broadcasts it only when its actual size is small
+        w = users.select(F.lower(go_trim(F.col(users.columns[0]))).alias("_lu")).filter(F.col("_lu") != "")
+        c = c.join(w.distinct(), "_lu", "left_semi")
+    else:
+        c = c.filter(F.col("_lu").isin(watch_list(users)))
+    m = (c.groupBy(on, "_lu")
          .agg(F.min("ord").alias("_first"), F.min_by("user", "ord").alias("_user")))
     return m.groupBy(on).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_first", "_user"))), lambda s: s["_user"]), ",").alias("fav_users"))
 
 
 def fav_user_rule(df: DataFrame, comments: DataFrame, users, on: str = "url") -> tuple[DataFrame, Rule]:
-    users = list(users or [])
-    watch = watch_list(users)
-    if not watch:
+    users = users if isinstance(users, DataFrame) else list(users or [])
+    watch = users if isinstance(users, DataFrame) else watch_list(users)
+    if not isinstance(watch, DataFrame) and not watch:
         keep = F.lit(not users)
         reason = F.lit(R.FAV_NONE_CONFIGURED) if not users else F.lit(R.FAV_NO_MATCH)
         return df, Rule("fav_user", keep, F.array(reason), identity=True)
@@ -225,9 +231,9 @@ def fav_user_rule(df: DataFrame, comments: DataFrame, users, on: str = "url") ->
 
 
 def fav_user(df: DataFrame, comments: DataFrame, users, on: str = "url") -> DataFrame:
-    """Keep items commented by a watched user; sets ``fav_users``."""
-    watch = watch_list(users)
-    if not watch:
+    """Keep items commented by a watched user; sets ``fav_users``.  ``users``
+    is a list, or a DataFrame whose first column holds the user names."""
+    if not isinstance(users, DataFrame) and not watch_list(users):
         return df
     fav = fav_users_table(comments, users, on)
     base = df.drop("fav_users") if "fav_users" in df.columns else df

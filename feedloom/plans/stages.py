@@ -170,7 +170,11 @@ class FavUserStage(Stage):
     name, kind = "fav_user", "filter"
 
     def __init__(self, users=None):
-        self.users = list(users or [])
+        # a list of names, or a DataFrame of names for large watch lists
+        self.users = users if isinstance(users, DataFrame) else list(users or [])
+
+    def _empty(self) -> bool:
+        return not isinstance(self.users, DataFrame) and not filters.watch_list(self.users)
 
     def _comments(self, df, ctx):
         c, on = comments_for(df, ctx)
@@ -179,13 +183,13 @@ class FavUserStage(Stage):
         return c, on
 
     def rule(self, df, ctx):
-        if not filters.watch_list(self.users):
+        if self._empty():
             return filters.fav_user_rule(df, None, self.users, ctx.on)
         c, on = self._comments(df, ctx)
         return filters.fav_user_rule(df, c, self.users, on)
 
     def apply(self, df, ctx):
-        if not filters.watch_list(self.users):
+        if self._empty():
             return df
         c, on = self._comments(df, ctx)
         return filters.fav_user(df, c, self.users, on)

@@ -126,3 +126,16 @@ def test_time_window_prunes_date_partitions(spark, make_items, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "published_date" in plan.split("PartitionFilters: [")[1][:200]
     assert [r.title for r in out.collect()] == ["new"]
+
+
+def test_fav_user_with_watch_table(spark, make_items, make_comments):
+    from feedloom.operators.explain import explain_items
+    from feedloom.plans import stages as S
+    df = make_items(dict(url="https://e/1"), dict(url="https://e/2"))
+    comments = make_comments(dict(url="https://e/1", user="Bob"), dict(url="https://e/2", user="carol"),
+                             dict(url="https://e/1", user="bob"))
+    watch = spark.createDataFrame([(" BOB ",), ("",)], "name string")
+    out = filters.fav_user(df, comments, watch).collect()
+    assert [(r.url, r.fav_users) for r in out] == [("https://e/1", "Bob")]
+    ex = explain_items(df, [S.FavUserStage(watch)], S.Context(comments=comments)).orderBy("pos").collect()
+    assert [r.reasons for r in ex] == [["fav_user: matched=Bob"], ["fav_user: dropped by no matching user"]]
