@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import go_trim, keyword_score, matching_contains, prepare_patterns
 from ..functions.times import duration_string, parse_duration, published_time, ts_lit
-from ..functions.urls import domain_matches, item_domain, normalize_domain_list, with_domain
+from ..functions.urls import domain_matches, domain_suffixes, item_domain, normalize_domain_list, with_domain
 from .. import reasons as R
 
 
@@ -106,13 +106,44 @@ def domain_col(df: DataFrame) -> Column:
     return item_domain(n, F.col("url"))
 
 
+def _domain_table(t: DataFrame) -> DataFrame:
+    """Pattern table: first column lowered, trimmed, one leading www.
+    stripped, blanks dropped, distinct."""
+    p = F.regexp_replace(F.lower(go_trim(F.col(t.columns[0]))), r"^www\.", "")
+    return t.select(p.alias("_sfx")).filter(F.col("_sfx") != "").distinct()
+
+
+def _suffix_flag(df: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Add boolean ``name``: the row's domain equals a pattern of ``table``
+    or ends with '.' + pattern (equi-join on the domain's dotted suffixes)."""
+    hits = (df.select("pos", F.explode(domain_suffixes(F.col("_dom"))).alias("_sfx"))
+            .join(_domain_table(table), "_sfx", "left_semi").select("pos").distinct()
+            .withColumn(name, F.lit(True)))
+    return df.join(hits, "pos", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
 def domain_rule(df: DataFrame, include=None, exclude=None) -> tuple[DataFrame, Rule]:
-    inc, exc = normalize_domain_list(include), normalize_domain_list(exclude)
+    """Lists are literals; DataFrames (first column = domains) are matched
+    by joins for lists too long to inline.  An empty include table, like an
+    empty include list, applies no include filter."""
     df = with_domain(df, "_dom")
     d = F.col("_dom")
     empty = d == ""
-    ex_hit = domain_matches(d, exc) & ~empty
-    in_miss = (~domain_matches(d, inc)) if inc else F.lit(False)
+    helpers = ["_dom"]
+    if isinstance(exclude, DataFrame):
+        df, helpers = _suffix_flag(df, exclude, "_exh"), helpers + ["_exh"]
+        ex_hit, exc = F.col("_exh") & ~empty, True
+    else:
+        exc = normalize_domain_list(exclude)
+        ex_hit = domain_matches(d, exc) & ~empty
+    if isinstance(include, DataFrame):
+        inc = _domain_table(include).limit(1).count() > 0
+        if inc:
+            df, helpers = _suffix_flag(df, include, "_inh"), helpers + ["_inh"]
+        in_miss = ~F.col("_inh") if inc else F.lit(False)
+    else:
+        inc = normalize_domain_list(include)
+        in_miss = (~domain_matches(d, inc)) if inc else F.lit(False)
     if inc:
         keep = ~empty & ~ex_hit & ~in_miss
     else:
@@ -125,7 +156,7 @@ def domain_rule(df: DataFrame, include=None, exclude=None) -> tuple[DataFrame, R
     return df, Rule("domain_filter", keep, F.array(reason),
                     {"domain": F.when(~empty, d).otherwise(F.col("domain") if "domain" in df.columns
                                                             else F.lit(None).cast("string"))},
-                    helpers=["_dom"], barrier=True)
+                    helpers=helpers, barrier=True)
 
 
 def domain_filter(df: DataFrame, include=None, exclude=None) -> DataFrame:

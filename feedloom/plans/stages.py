@@ -113,7 +113,9 @@ class DomainStage(Stage):
     name, kind = "domain_filter", "filter"
 
     def __init__(self, include=None, exclude=None):
-        self.include, self.exclude = list(include or []), list(exclude or [])
+        # lists of domains, or DataFrames of domains for long lists
+        keep_df = lambda v: v if isinstance(v, DataFrame) else list(v or [])
+        self.include, self.exclude = keep_df(include), keep_df(exclude)
 
     def rule(self, df, ctx):
         return filters.domain_rule(df, self.include, self.exclude)

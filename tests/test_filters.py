@@ -139,3 +139,15 @@ def test_fav_user_with_watch_table(spark, make_items, make_comments):
     assert [(r.url, r.fav_users) for r in out] == [("https://e/1", "Bob")]
     ex = explain_items(df, [S.FavUserStage(watch)], S.Context(comments=comments)).orderBy("pos").collect()
     assert [r.reasons for r in ex] == [["fav_user: matched=Bob"], ["fav_user: dropped by no matching user"]]
+
+
+def test_domain_filter_with_tables_matches_lists(spark, make_items):
+    urls = ["https://sub.example.com/a", "https://evil.example.net/a", "https://www.example.org/x",
+            "https://spam.example.org/y", "", "https://m.badexample.com/z"]
+    df = make_items(*[dict(url=u) for u in urls])
+    inc, exc = ["example.com", "WWW.example.org"], ["spam.example.org"]
+    table = lambda xs: spark.createDataFrame([(x,) for x in xs], "d string")
+    for i, e in [(inc, exc), ([], exc), (inc, [])]:
+        want = sorted((r.pos, r.domain) for r in filters.domain_filter(df, i, e).collect())
+        got = sorted((r.pos, r.domain) for r in filters.domain_filter(df, table(i), table(e)).collect())
+        assert got == want
