@@ -140,3 +140,51 @@ def has_count(c) -> Column:
     """Bookmark count is shown only when it is neither '' nor '0'."""
     c = F.coalesce(col_(c), F.lit(""))
     return (c != "") & (c != "0")
+
+
+# Pattern lists longer than this are matched with one Aho-Corasick pass per
+# text instead of one `contains` per pattern.
+MANY_PATTERNS = 64
+
+
+def _ahocorasick_available() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+        return True
+    except ImportError:
+        return False
+
+
+def keyword_hits(text: Column, patterns: list[str]) -> Column:
+    """``struct<score:int, hits:array<string>>`` for many patterns: score =
+    patterns contained (a repeated pattern counts again), hits = contained
+    patterns in list order.  Arrow-batched; one automaton per batch."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    pats = list(patterns)
+
+    def build():
+        import ahocorasick
+        a = ahocorasick.Automaton()
+        for p in dict.fromkeys(pats):
+            a.add_word(p, p)
+        a.make_automaton()
+        return a
+
+    schema = T.StructType([T.StructField("score", T.IntegerType()),
+                           T.StructField("hits", T.ArrayType(T.StringType()))])
+
+    def match(texts):
+        auto = build()
+        scores, hits = [], []
+        for t in texts:
+            found = {w for _, w in auto.iter(t)} if t else set()
+            h = [p for p in pats if p in found]
+            scores.append(len(h))
+            hits.append(h)
+        return pd.DataFrame({"score": scores, "hits": hits})
+
+    # real type objects (this module uses postponed annotations)
+    match.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(match, schema)(text)

@@ -91,3 +91,11 @@ def test_latest_capture_wins(spark, make_items):
         "url string, status int, html string, fetched_at timestamp")
     out = enrich.ogp_enrich(make_items(dict(url="https://e/1")), pages).collect()
     assert [(r.title, r.page_title) for r in out] == [("new", "new")]
+
+
+def test_exact_entities(spark, make_items):
+    from feedloom.schema import PAGES_SCHEMA
+    html = "<body><article><p>caf&eacute; &#8212; &lt;b&gt; &amp;</p></article></body>"
+    pages = spark.createDataFrame([("https://e/1", 200, html)], PAGES_SCHEMA)
+    out = enrich.content_enrich(make_items(dict(url="https://e/1")), pages, exact_entities=True).first()
+    assert out.content == "café — <b> &"

@@ -151,3 +151,23 @@ def test_domain_filter_with_tables_matches_lists(spark, make_items):
         want = sorted((r.pos, r.domain) for r in filters.domain_filter(df, i, e).collect())
         got = sorted((r.pos, r.domain) for r in filters.domain_filter(df, table(i), table(e)).collect())
         assert got == want
+
+
+def test_keyword_many_patterns_matches_contains_chain(spark, make_items):
+    import random
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    df = make_items(*[dict(title=" ".join(rnd.sample(words, 5)), description=rnd.choice(["", "spam w7"]))
+                      for _ in range(40)])
+    include = words[:100] + ["w3"]          # > 64 patterns (Aho-Corasick path); w3 counted twice
+    exclude = [f"x{i}" for i in range(70)] + ["spam"]
+    big = sorted((r.pos, r.keyword_score) for r in filters.keyword_filter(df, include, exclude).collect())
+    # the same rule evaluated pattern by pattern
+    from feedloom.functions import text as T
+    old = T.MANY_PATTERNS
+    try:
+        filters.MANY_PATTERNS = 10_000
+        small = sorted((r.pos, r.keyword_score) for r in filters.keyword_filter(df, include, exclude).collect())
+    finally:
+        filters.MANY_PATTERNS = old
+    assert big == small and len(big) > 0
