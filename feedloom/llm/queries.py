@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from feedloom.llm import simhash
+from feedloom.llm import simhash, substring_dedup
+from feedloom.llm.oracle import ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return substring_dedup.dedup(docs, window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs, k=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup,
     op9_simhash_near_dedup,
 )}
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
