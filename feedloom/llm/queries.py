@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import simhash, substring_dedup
+from feedloom.llm import byte_bpe, simhash, substring_dedup
 from feedloom.llm.oracle import ORACLE
 
 
@@ -22,9 +23,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, k=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str,
+                  vocabulary: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return byte_bpe.digests(docs, vocabulary, public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
     op9_simhash_near_dedup,
+    op10_byte_bpe,
 )}
 
 __all__ = ["ORACLE", "QUERIES"]
