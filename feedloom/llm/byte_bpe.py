@@ -28,7 +28,7 @@ from feedloom.llm.common import blocks, mix, on_workers, range_hashes
 
 MAX_VOCABULARY_BYTES = 64 << 20
 MEMO_ENTRIES = 200_000  # in each of two generations
-KEYS_PER_BUCKET = 4
+KEYS_PER_BUCKET = 2
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
@@ -66,12 +66,13 @@ class PerfectHash:
             if len(own) == 1:
                 singles.append((b, own[0]))
                 continue
-            h, d = h1[own], 0
-            while True:
-                at = self._displaced(h, np.int64(d))
-                if not taken[at].any() and len(np.unique(at)) == len(own):
-                    break
-                d += 1
+            d, fits = 0, np.empty(0, int)
+            while not len(fits):  # a run of displacements at a time
+                at = np.sort(self._displaced(h1[own], np.arange(d, d + 32)[:, None]), axis=1)
+                fits = np.flatnonzero(~taken[at].any(1) & (at[:, 1:] != at[:, :-1]).all(1))
+                d += 32
+            d += int(fits[0]) - 32
+            at = self._displaced(h1[own], np.int64(d))
             self.shift[b], slot[own], taken[at] = d, at, True
         for (b, i), free in zip(singles, np.flatnonzero(~taken).tolist()):
             self.shift[b], slot[i] = -free - 1, free

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import byte_bpe, simhash, substring_dedup
+from feedloom.llm import byte_bpe, language_id, simhash, substring_dedup
 from feedloom.llm.oracle import ORACLE
 
 
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(docs, window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs, k=4, radius=4).select("doc_id", "fingerprint", "component_id")
@@ -31,6 +35,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str,
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
+    op4_language_id,
     op9_simhash_near_dedup,
     op10_byte_bpe,
 )}
