@@ -20,6 +20,21 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
        sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
 """
 
+_OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+si AS (SELECT DISTINCT item_id, least(5, len(ws)) AS k,
+         unnest(list_transform(range(len(ws) - least(5, len(ws)) + 1), lambda s: array_to_string(ws[s + 1:s + least(5, len(ws))], ' '))) AS g
+       FROM i WHERE len(ws) > 0),
+n AS (SELECT item_id, count(*) AS n FROM si GROUP BY item_id),
+sd AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(greatest(0, len(ws) - k + 1)), lambda s: array_to_string(ws[s + 1:s + k], ' '))) AS g
+       FROM d, (SELECT DISTINCT k FROM si)),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM sd JOIN si USING (k, g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment FROM m JOIN n USING (item_id)
+WHERE shared >= 0.8 * n
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _OP1,
+    "op3_decontamination": _OP3,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import byte_bpe, language_id, simhash, substring_dedup
+from feedloom.llm import byte_bpe, decontamination, language_id, simhash, substring_dedup
 from feedloom.llm.oracle import ORACLE
 
 
@@ -18,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(docs, window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                  _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -35,6 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str,
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
+    op3_decontamination,
     op4_language_id,
     op9_simhash_near_dedup,
     op10_byte_bpe,
