@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, language_id, simhash, substring_dedup
+from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, simhash, substring_dedup
 from feedloom.llm.oracle import ORACLE
 
 
@@ -27,6 +28,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs, k=4, radius=4).select("doc_id", "fingerprint", "component_id")
@@ -42,6 +48,7 @@ QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
     op3_decontamination,
     op4_language_id,
+    op8_line_dedup,
     op9_simhash_near_dedup,
     op10_byte_bpe,
 )}
