@@ -34,6 +34,28 @@ SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment FR
 WHERE shared >= 0.8 * n
 """
 
+# The checksum's byte table is made by its rule; keys jump in a recursive query.
+_OP7 = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+bytes AS (SELECT doc_id, octet_length(encode(text)) + 16 AS size,
+    list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS bs FROM raw),
+sums AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bs),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, tab),
+jump(doc_id, n, key, b, j) AS (
+  SELECT DISTINCT doc_id, n, CASE WHEN doc_id < 0 THEN 18446744073709551616 + doc_id::HUGEINT ELSE doc_id::HUGEINT END,
+    -1::BIGINT, 0::BIGINT FROM documents, (VALUES (40), (41)) v(n)
+  UNION ALL
+  SELECT doc_id, n, k2, j, floor((j + 1) * (2147483648::DOUBLE / (k2 // 8589934592 + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM jump WHERE j < n)),
+put AS (SELECT doc_id, max(b) FILTER (n = 40)::INT AS shard, max(b) FILTER (n = 41)::INT AS grown_shard
+        FROM jump WHERE j >= n GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM sums JOIN put USING (doc_id)
+"""
+
 _OP8 = r"""
 WITH docs AS (SELECT doc_id, text, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS ls FROM documents),
 l0 AS (SELECT DISTINCT doc_id, unnest(ls) AS line FROM docs),
@@ -63,5 +85,6 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dr
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _OP1,
     "op3_decontamination": _OP3,
+    "op7_sharding": _OP7,
     "op8_line_dedup": _OP8,
 }

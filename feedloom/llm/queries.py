@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, simhash, substring_dedup
+from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, sharding, simhash, substring_dedup
 from feedloom.llm.oracle import ORACLE
 
 
@@ -28,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,6 +52,7 @@ QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
     op3_decontamination,
     op4_language_id,
+    op7_sharding,
     op8_line_dedup,
     op9_simhash_near_dedup,
     op10_byte_bpe,
