@@ -34,6 +34,40 @@ SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment FR
 WHERE shared >= 0.8 * n
 """
 
+# Kind, order, pattern, group and least length; written out again, not taken from the engine.
+_OP5_KINDS = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
+               r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("stripe", r"sk_live_[A-Za-z0-9]{24,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+]
+_OP5_SCANS = " UNION ALL ".join(
+    f"""SELECT doc_id, {i} AS k, '{kind}' AS kind,
+    [length(x) FOR x IN string_split_regex(text, '{pattern}')] AS gaps,
+    [length(x) FOR x IN regexp_extract_all(text, '{pattern}', 0)] AS alls,
+    [length(x) FOR x IN regexp_extract_all(text, '{pattern}', {group})] AS owns, {least} AS least FROM d"""
+    for i, (kind, pattern, group, least) in enumerate(_OP5_KINDS))
+_OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+scans AS ({_OP5_SCANS}),
+each AS (SELECT doc_id, k, kind, least, unnest(range(1, len(alls) + 1)) AS i, unnest(alls) AS own_all,
+           unnest(owns) AS own, unnest(gaps[1:len(alls)]) AS gap FROM scans WHERE len(alls) > 0),
+placed AS (SELECT *, sum(gap + own_all) OVER (PARTITION BY doc_id, k ORDER BY i)::BIGINT AS stop FROM each),
+s AS (SELECT doc_id, k, kind, stop - own_all AS start, concat(kind, ':', stop - own_all, ':', stop) AS span
+      FROM placed WHERE own >= least),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
 # The checksum's byte table is made by its rule; keys jump in a recursive query.
 _OP7 = """
 WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -85,6 +119,7 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dr
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _OP1,
     "op3_decontamination": _OP3,
+    "op5_secret_scan": _OP5,
     "op7_sharding": _OP7,
     "op8_line_dedup": _OP8,
 }

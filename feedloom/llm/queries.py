@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, sharding, simhash, substring_dedup
+from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup
 from feedloom.llm.oracle import ORACLE
 
 
@@ -28,6 +28,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    n_base = len(secret_scan.BASE_RULES)
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}")
+              for r in secret_scan.BASE_RULES]
+    base = F.filter("spans", lambda s: s["kind_order"] < n_base)
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
 
@@ -52,6 +63,7 @@ QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
     op3_decontamination,
     op4_language_id,
+    op5_secret_scan,
     op7_sharding,
     op8_line_dedup,
     op9_simhash_near_dedup,
