@@ -68,6 +68,15 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """
 
+_OP6 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (h)
+"""
+
 # The checksum's byte table is made by its rule; keys jump in a recursive query.
 _OP7 = """
 WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -120,6 +129,7 @@ ORACLE: dict[str, str] = {
     "op1_substring_dedup": _OP1,
     "op3_decontamination": _OP3,
     "op5_secret_scan": _OP5,
+    "op6_warc": _OP6,
     "op7_sharding": _OP7,
     "op8_line_dedup": _OP8,
 }

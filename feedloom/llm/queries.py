@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup
+from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup, warc
 from feedloom.llm.oracle import ORACLE
 
 
@@ -39,6 +39,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.listed(F.col("spans")).alias("spans"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"), least_bytes=100)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
 
@@ -64,6 +68,7 @@ QUERIES = {f.__name__: f for f in (
     op3_decontamination,
     op4_language_id,
     op5_secret_scan,
+    op6_warc,
     op7_sharding,
     op8_line_dedup,
     op9_simhash_near_dedup,
