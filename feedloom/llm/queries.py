@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup, warc
+from feedloom.llm import byte_bpe, decontamination, fingerprints, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup, warc
 from feedloom.llm.oracle import ORACLE
 
 
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(docs, window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(_table(spark, sf_dir, "documents", "doc_id", "text"),
                                   _table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -65,6 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str,
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
+    op2_fingerprints,
     op3_decontamination,
     op4_language_id,
     op5_secret_scan,
