@@ -3,16 +3,19 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from feedloom.llm import byte_bpe, queries
+from feedloom.llm.common import blocks, range_hashes
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
 ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+CODEC = byte_bpe.Codec(RANKS, byte_bpe.PerfectHash({b"a": 0}), P.PATTERN)
 
 
 def test_query_equals_the_library(spark):
@@ -45,7 +48,7 @@ def test_edges_round_trip(spark):
 def test_merges_equal_the_library(text):
     for piece in byte_bpe.regex.findall(P.PATTERN, text):
         if piece.encode() not in RANKS:
-            assert list(byte_bpe.merge_bytes(piece.encode(), RANKS)) == ENC.encode_ordinary(piece)
+            assert list(byte_bpe.merge_bytes(piece.encode(), CODEC.byte_ids, CODEC.first, CODEC.merges)) == ENC.encode_ordinary(piece)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 1000])
@@ -55,13 +58,24 @@ def test_perfect_hash_is_minimal_and_exact(n):
     keys = list(some) + [b"", b"no such", b"zzzzqq"]
     data = np.frombuffer(b"".join(keys), np.uint8)
     ends = np.cumsum([len(k) for k in keys])
-    got = ph.lookup(data, np.concatenate([[0], ends[:-1]]), ends)
+    starts = np.concatenate([[0], ends[:-1]])
+    got = ph.lookup(*(range_hashes(data, starts, ends, seed) for seed in (0, 1)))
     assert got.tolist() == [some.get(k, -1) for k in keys]
     assert len(ph.ids) == max(1, n)
 
 
-def test_a_small_memo_changes_nothing(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "MEMO_ENTRIES", 2)
+def test_the_memo_changes_nothing(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_ENTRIES", 3)
     codec = byte_bpe.Codec(RANKS, byte_bpe.PerfectHash({b"a": 0}), P.PATTERN)
-    for w in ["thonnd", "erthat", "ndonre", "thonnd", "qqqwx", "erthat"] * 3:
-        assert list(codec.missed(w)) == ENC.encode_ordinary(w)
+    for words in [["thonnd", "erthat a", "", "ndonre thonnd"], ["qqqwx erthat"], ["thonnd a a"] * 3, ["x"]] * 3:
+        for b in blocks(pa.array(words)):
+            flat, stops = codec.encode_block(b, words)
+            assert [flat[s:e].tolist() for s, e in zip(stops, stops[1:])] == [ENC.encode_ordinary(w) for w in words]
+
+
+def test_equal_first_hashes_are_told_apart():
+    codec = byte_bpe.Codec(RANKS, byte_bpe.PerfectHash({b"a": 0}), P.PATTERN)
+    one = np.array([5, 5, 5], np.uint64)
+    start, count = codec.merged(b"thonndqqqwx", np.array([0, 6, 0]), np.array([6, 11, 6]), one, np.array([1, 2, 1], np.uint64))
+    got = [codec.flat[s:s + n].tolist() for s, n in zip(start, count)]
+    assert got == [ENC.encode_ordinary(w) for w in ("thonnd", "qqqwx", "thonnd")]
