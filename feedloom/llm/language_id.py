@@ -27,6 +27,7 @@ ORDER = 5
 EDGE, SPACE, DIGIT, SIGN, LETTER = range(5)  # symbols below those of the alphabet
 ALPHABET = 240
 UNKNOWN = "und"
+MAX_BROADCAST_LANGUAGES = 10_000
 
 
 # --- characters to symbols ------------------------------------------------------------
@@ -202,7 +203,9 @@ def train(docs: DataFrame, per_language: int = 400) -> Model | None:
     on_workers(spark)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
                       & ~held_out(F.col("doc_id")))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
+    share = saved(rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share")), "shares")
+    if share.count() <= MAX_BROADCAST_LANGUAGES:  # else a plain join
+        share = F.broadcast(share)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     sample = saved(rows.join(share, "lang").where(draw < F.col("share") * (1 << 30))
                    .select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("calibrate")),
