@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import blocks, mix, on_workers, range_hashes
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_ENTRIES = 200_000  # in each of two generations
+MEMO_ENTRIES = 1_000_000  # of tier two, in each worker
 KEYS_PER_BUCKET = 2
 _STEP = np.uint64(0xA24BAED4963EE407)
 
@@ -83,77 +83,127 @@ class PerfectHash:
         with np.errstate(over="ignore"):
             return (mix(h + np.asarray(d).astype(np.uint64) * _STEP) % np.uint64(self.n)).astype(np.int64)
 
-    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Ids of the strings ``data[start:end]``; -1 for others."""
-        h1, h2 = range_hashes(data, starts, ends, 0), range_hashes(data, starts, ends, 1)
+    def lookup(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Ids of strings by their two hashes; -1 for others."""
         d = self.shift[(h1 % np.uint64(len(self.shift))).astype(np.int64)]
         slot = np.where(d < 0, -d - 1, self._displaced(h1, d))
         return np.where((self.h1[slot] == h1) & (self.h2[slot] == h2), self.ids[slot], -1)
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Ids of a pre-token by merging its bytes."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # where the part that starts here ends; 0 once merged away
-    before = list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
+ID_BITS = 24
+
+
+def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The id that two neighbouring ids merge into, for all pairs that do."""
+    out = {}
+    for token, merged in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                out[left << ID_BITS | right] = merged
+    return out
+
+
+def merge_bytes(piece: bytes, byte_ids: list[int], first: list[int | None], merges: dict[int, int]) -> tuple[int, ...]:
+    """Ids of a pre-token by merging its bytes.  A merged id is its rank;
+    ``first`` has the merged ids of all pairs of bytes."""
+    n, merged, push, pop = len(piece), merges.get, heapq.heappush, heapq.heappop
+    ids = [byte_ids[b] for b in piece]  # -1 where merged into the part before
+    ranks = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]  # of each part with the next; stale heap entries differ
+    ranks.append(None)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [r << 32 | i for i, r in enumerate(ranks) if r is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        mid = end[i]
-        if not mid or mid >= n or end[mid] != stop:
-            continue  # one of the parts has changed since
-        end[i], end[mid] = stop, 0
-        if stop < n:
-            before[stop] = i
-            if (r := ranks.get(piece[i:end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
-        if i and (r := ranks.get(piece[before[i]:stop])) is not None:
-            heapq.heappush(heap, (r, before[i], stop))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i:end[i]]])
-        i = end[i]
-    return tuple(out)
+        entry = pop(heap)
+        i = entry & 0xFFFFFFFF
+        rank = ranks[i]
+        if rank is None or entry >> 32 != rank:
+            continue
+        j = after[i]
+        ids[i], ids[j], ranks[j] = rank, -1, None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            ranks[i] = r = merged(rank << ID_BITS | ids[k])
+            if r is not None:
+                push(heap, r << 32 | i)
+        else:
+            ranks[i] = None
+        h = before[i]
+        if h >= 0:
+            ranks[h] = r = merged(ids[h] << ID_BITS | rank)
+            if r is not None:
+                push(heap, r << 32 | h)
+    return tuple([i for i in ids if i >= 0])
 
 
 class Codec:
-    """A vocabulary's tables in a worker."""
+    """A vocabulary's tables in a worker, and the memo of tier two: both hashes
+    of a pre-token, sorted by the first, and where its ids lie in ``flat``."""
 
     def __init__(self, ranks: dict[bytes, int], perfect: PerfectHash, pattern: str):
-        self.ranks, self.perfect = ranks, perfect
+        self.perfect, self.merges = perfect, merge_table(ranks)
+        self.byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.first = [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
-        size = max(ranks.values(), default=-1) + 1
-        self.single = [(i,) for i in range(size)]
-        self.bytes: list[bytes | None] = [None] * size
+        self.bytes: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
             self.bytes[i] = t
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def missed(self, piece: str) -> tuple[int, ...]:
-        got = self.memo.get(piece)
-        if got is None:
-            got = self.old.get(piece) or merge_bytes(piece.encode(), self.ranks)
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.old, self.memo = self.memo, {}
-            if len(piece) <= 64:
-                self.memo[piece] = got
-        return got
-
-    def encode_block(self, block, texts: list[str]) -> list[list[int]]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.h1, self.h2 = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.int32)
+
+    def merged(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h1: np.ndarray, h2: np.ndarray,
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``flat`` and number of the ids of each missed pre-token."""
+        if len(self.h1) > MEMO_ENTRIES:
+            self._forget()
+        keys, first, back = np.unique(h1, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.h1, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.h1)
+        known[inside] = self.h1[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        ids = [merge_bytes(raw[s:e], self.byte_ids, self.first, self.merges)
+               for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        begins = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))])
+        self.h1, self.h2 = np.insert(self.h1, at[new], keys[new]), np.insert(self.h2, at[new], h2[first[new]])
+        self.start, self.count = np.insert(self.start, at[new], begins), np.insert(self.count, at[new], counts)
+        row = np.searchsorted(self.h1, keys)[back]
+        start, count = self.start[row], self.count[row]
+        for i in np.flatnonzero(self.h2[row] != h2):  # other strings with the same first hash
+            own = np.array(merge_bytes(raw[starts[i]:ends[i]], self.byte_ids, self.first, self.merges), np.int32)
+            start[i], count[i] = len(self.flat), len(own)
+            self.flat = np.concatenate([self.flat, own])
+        return start, count
+
+    def encode_block(self, block, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block's documents in one array, and its offsets."""
         pieces = [self.split(t) for t in texts]
         lengths = np.fromiter(map(len, chain.from_iterable(pieces)), np.int64)
         at = np.concatenate([[0], np.cumsum(lengths)])
         byte_at = np.append(np.flatnonzero((block.data & 0xC0) != 0x80), len(block.data))[at]
-        found = self.perfect.lookup(block.data, byte_at[:-1], byte_at[1:]).tolist()
-        out, k = [], 0
-        single, missed = self.single, self.missed
-        for own in pieces:
-            ids = found[k:k + len(own)]
-            k += len(own)
-            out.append(list(chain.from_iterable([single[i] if i >= 0 else missed(p) for p, i in zip(own, ids)])))
-        return out
+        starts, ends = byte_at[:-1], byte_at[1:]
+        h1, h2 = (range_hashes(block.data, starts, ends, seed) for seed in (0, 1))
+        ids = self.perfect.lookup(h1, h2)
+        miss = np.flatnonzero(ids < 0)
+        count = np.ones(len(ids), np.int64)
+        if len(miss):
+            place, count[miss] = self.merged(block.data.tobytes(), starts[miss], ends[miss], h1[miss], h2[miss])
+        stops = np.concatenate([[0], np.cumsum(count)])
+        out = np.empty(int(stops[-1]), np.int32)
+        out[stops[:-1][ids >= 0]] = ids[ids >= 0]
+        if len(miss):
+            n = count[miss]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(stops[miss], n) + step] = self.flat[np.repeat(place, n) + step]
+        return out, stops[np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)]
 
 
 _codecs: dict[int, Codec] = {}
@@ -189,12 +239,10 @@ class Tokenizer:
             for batch in batches:
                 texts = pc.fill_null(batch.column(1), "")
                 for b in blocks(texts, 1 << 20):
-                    ids = codec.encode_block(b, texts.slice(b.lo, len(b)).to_pylist())
-                    stops = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(stops[-1]))
+                    flat, stops = codec.encode_block(b, texts.slice(b.lo, len(b)).to_pylist())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(b.lo, len(b)),
-                         pa.ListArray.from_arrays(pa.array(stops), pa.array(flat))], ["id", "ids"])
+                         pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(flat))], ["id", "ids"])
 
         id_type = docs.select(id_col).schema[0].dataType.simpleString()
         return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {id_type}, ids array<int>") \
