@@ -1,82 +1,106 @@
-"""HTML page helpers: readable text and page metadata, JVM-side regexps.
+"""HTML page helpers: readable text and page metadata.
 
-The page is treated as text: comments and script/style/nav/footer/header/
-noscript blocks are removed, the first ``article`` (else ``main``, else
-``body``) whose text is non-empty is taken, tags are stripped without adding
-separators (text nodes concatenate), entities are decoded and white space is
-collapsed.  Exact entity decoding for unusual pages is :func:`html_unescape`
-(an Arrow-batched pandas UDF over the stdlib decoder).
-"""
+One Arrow-batched UDF walks a page's tags from left to right, with quoted
+attributes and nested elements, over whole pages.  It collects the text of the
+first ``article``, the first ``main`` and the ``body`` (without script, style,
+nav, footer, header and noscript elements and comments), and the ``<meta>`` tags.
+White space and the choice among the containers are left to the JVM, as is the
+page title, whose element holds no others."""
 
 from __future__ import annotations
 
 import html as _html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import clean_text, col_, go_trim, html_unescape_basic
+from .text import clean_text, col_, go_trim, html_unescape
 
-# The page body cap and the removed / searched elements.
-PAGE_BODY_LIMIT_BYTES = 2 * 1024 * 1024
+# The removed elements, the searched ones, and the metadata keys.
 REMOVED_ELEMENTS = ["script", "style", "nav", "footer", "header", "noscript"]
 READABLE_CONTAINERS = ["article", "main", "body"]
 META_KEYS = ["og:title", "og:description", "og:image", "og:site_name", "description"]
 
-# comments and removed elements in one leftmost-first pass (the closing tag
-# is matched by backreference), so a script holding "<!--" is removed whole
-_REMOVE_ALL = (r"(?is)<!--.*?-->|<(" + "|".join(REMOVED_ELEMENTS) + r")\b[^>]*>.*?</\1\s*>")
-_TAG = r"(?s)<[^>]*>"
-
-
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    """Full HTML entity decoding (numeric and named), Arrow-batched."""
-    return s.map(lambda v: None if v is None else _html.unescape(v))
-
-
-def cap_page(c) -> Column:
-    """Keep at most the first 2 MiB of a page body (by UTF-8 bytes)."""
-    c = col_(c)
-    return F.when(F.octet_length(c) <= PAGE_BODY_LIMIT_BYTES, c).otherwise(
-        F.decode(F.substring(F.encode(c, "UTF-8"), 1, PAGE_BODY_LIMIT_BYTES), "UTF-8"))
-
-
-def _text_of(fragment: Column, exact_entities: bool) -> Column:
-    stripped = F.regexp_replace(fragment, _TAG, "")
-    decoded = html_unescape(stripped) if exact_entities else html_unescape_basic(stripped)
-    return clean_text(decoded)
-
-
-def readable_text(html, exact_entities: bool = False) -> Column:
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW_TEXT = {"script", "style", "textarea", "title"}
+_PARTS = T.StructType([
+    T.StructField("containers", T.ArrayType(T.StringType())),
+    T.StructField("metas", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))),
+])
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _page_parts(page: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """Texts of the containers, and (key, value) of the meta tags."""
+    texts = {name: [] for name in READABLE_CONTAINERS}
+    depth = dict.fromkeys([*READABLE_CONTAINERS, *REMOVED_ELEMENTS, "head"], 0)
+    closed, seen_body, outside, metas, at = set(), False, [], [], 0
+
+    def text(end: int) -> None:
+        if end > at and not any(depth[r] for r in REMOVED_ELEMENTS):
+            piece = page[at:end]
+            for name, pieces in texts.items():
+                if depth[name]:
+                    pieces.append(piece)
+            if not depth["head"]:
+                outside.append(piece)
+
+    while m := _TOKEN.search(page, at):
+        text(m.start())
+        at = m.end()
+        if not m[2]:
+            continue
+        name, opens = m[2].lower(), not m[1]
+        if name == "meta" and opens:
+            a = _attributes(m[3])
+            metas.append((a.get("property", "").strip() or a.get("name", "").strip(), a.get("content", "")))
+        if opens and name in _RAW_TEXT and not m[3].rstrip().endswith("/"):
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if name == "textarea":
+                text(end.start() if end else len(page))
+            at = end.end() if end else len(page)
+        elif name in depth:
+            if opens and name not in closed:
+                depth[name] += 1
+                seen_body |= name == "body"
+            elif not opens and depth[name]:
+                depth[name] -= 1
+                if not depth[name] and name in texts:
+                    closed.add(name)
+    text(len(page))
+    if not seen_body:
+        texts["body"] = outside
+    return [_html.unescape("".join(texts[n])) for n in READABLE_CONTAINERS], metas
+
+
+@F.pandas_udf(_PARTS)
+def page_parts(pages: pd.Series) -> pd.DataFrame:
+    found = [_page_parts(p or "") for p in pages]
+    return pd.DataFrame({"containers": [c for c, _ in found],
+                         "metas": [[{"key": k, "value": v} for k, v in m] for _, m in found]})
+
+
+def readable_text(html) -> Column:
     """Readable text of a page ('' when nothing readable)."""
-    doc = F.regexp_replace(F.coalesce(col_(html), F.lit("")), _REMOVE_ALL, "")
-    candidates = []
-    for tag in READABLE_CONTAINERS:
-        if tag == "body":
-            inner = F.when(doc.rlike(r"(?is)<body\b"),
-                           F.regexp_extract(doc, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1)).otherwise(
-                F.regexp_replace(doc, r"(?is)<head\b[^>]*>.*?</head\s*>", ""))
-        else:
-            inner = F.regexp_extract(doc, r"(?is)<" + tag + r"\b[^>]*>(.*?)</" + tag + r"\s*>", 1)
-        candidates.append(F.nullif(_text_of(inner, exact_entities), F.lit("")))
-    return F.coalesce(*candidates, F.lit(""))
-
-
-def _attr(tag: Column, name: str) -> Column:
-    rx = r"(?is)\s" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat_ws("", F.regexp_extract(tag, rx, 1), F.regexp_extract(tag, rx, 2),
-                       F.regexp_extract(tag, rx, 3))
+    containers = page_parts(col_(html))["containers"]
+    cleaned = F.transform(containers, clean_text)
+    return F.coalesce(F.try_element_at(F.filter(cleaned, lambda t: t != ""), F.lit(1)), F.lit(""))
 
 
 def meta_pairs(html) -> Column:
     """``array<struct<key,value>>`` of whitelisted ``<meta>`` tags in page order."""
-    tags = F.regexp_extract_all(F.coalesce(col_(html), F.lit("")), F.lit(r"(?is)<meta\b[^>]*>"), 0)
-    pairs = F.transform(tags, lambda t: F.struct(
-        F.lower(go_trim(F.coalesce(F.nullif(_attr(t, "property"), F.lit("")), _attr(t, "name")))).alias("key"),
-        go_trim(html_unescape_basic(_attr(t, "content"))).alias("value")))
+    pairs = F.transform(page_parts(col_(html))["metas"], lambda p: F.struct(
+        F.lower(go_trim(p["key"])).alias("key"), go_trim(p["value"]).alias("value")))
     return F.filter(pairs, lambda p: p["key"].isin(*META_KEYS) & (p["value"] != ""))
 
 
@@ -89,4 +113,4 @@ def meta_value(pairs: Column, key: str) -> Column:
 def page_title(html) -> Column:
     """Trimmed text of the first ``<title>``."""
     raw = F.regexp_extract(F.coalesce(col_(html), F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return go_trim(html_unescape_basic(raw))
+    return go_trim(html_unescape(raw))

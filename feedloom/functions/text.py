@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5 as _html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,19 +53,9 @@ def truncate_runes(c, n: int) -> Column:
 
 
 def clean_truncate(c, n: int, prep=None) -> Column:
-    """``truncate_runes(clean_text(prep(c)), n)`` without scanning a long text
-    to its end.
-
-    Collapsing white space only shortens text, so the cleaned form of a
-    prefix is a prefix of the cleaned whole.  When a prefix of ``8n + 64``
-    characters already cleans to more than ``n + 16`` characters, the cut
-    lies inside it (the margin absorbs an entity split at the prefix end
-    when ``prep`` decodes entities); otherwise the whole text is cleaned."""
+    """``truncate_runes(clean_text(prep(c)), n)``."""
     c = col_(c)
-    prep = prep or (lambda x: x)
-    head = clean_text(prep(F.substring(c, 1, 8 * n + 64)))
-    cut = F.concat(F.substring(head, 1, n - 3), F.lit("...")) if n > 3 else F.substring(head, 1, n)
-    return F.when(F.char_length(head) > n + 16, cut).otherwise(truncate_runes(clean_text(prep(c)), n))
+    return truncate_runes(clean_text(prep(c) if prep else c), n)
 
 
 def contains_any(text: Column, patterns: list[str]) -> Column:
@@ -95,23 +88,55 @@ def prepare_patterns(patterns) -> list[str]:
     return [p.strip().lower() for p in (patterns or []) if p and p.strip()]
 
 
-# HTML entities decoded by the SQL-expressible unescape path.
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#34;", '"'),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+# Named character references of HTML5, from the standard library's table.  Some
+# old names also count without the closing semicolon; the longest one is taken.
+_NAMED = {k: v for k, v in _html5.items() if k.endswith(";")}
+_OLD_NAMES = sorted((k for k in _html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+# Numeric references 0x80 to 0x9F stand for these characters (Windows-1252).
+_C1 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 
 
-def html_unescape_basic(c) -> Column:
-    """Decode the common named entities (``&amp;`` last) with JVM replaces.
+def _as_map(pairs: dict) -> Column:
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
-    Exact decoding of every entity is :func:`feedloom.functions.html.html_unescape`.
-    """
-    out = col_(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+
+def _code_point(n: Column) -> Column:
+    """The character of a number; U+FFFD where there is none."""
+    known = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+            .when(n.between(0x80, 0x9F) & (F.substring(F.lit(_C1), (n - 0x7F).cast("int"), F.lit(1)) != "\ufffd"),
+                  F.substring(F.lit(_C1), (n - 0x7F).cast("int"), F.lit(1)))
+            .otherwise(known))
+
+
+def html_unescape(c) -> Column:
+    """Decode every HTML character reference, named and numeric, in the JVM.
+
+    The text is split at ``&``; each piece that begins with a reference gets
+    its character instead."""
+    number = r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?"
+
+    def piece(p: Column) -> Column:
+        hexa = F.ltrim(F.regexp_extract(p, number, 1), F.lit("0"))
+        deci = F.ltrim(F.regexp_extract(p, number, 2), F.lit("0"))
+        n = (F.when((F.length(hexa) > 6) | (F.length(deci) > 7), F.lit(1 << 21).cast("long"))
+             .when(hexa != "", F.conv(hexa, 16, 10).cast("long")).when(deci != "", deci.cast("long"))
+             .otherwise(F.lit(0).cast("long")))
+        name = F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]*;", 0)
+        named = F.try_element_at(_as_map(_NAMED), name)
+        old = F.regexp_extract(p, "^(?:" + "|".join(_OLD_NAMES) + ")", 0)
+        after = lambda head: F.substring(p, F.length(head) + 1, F.length(p))
+        return (F.when(p.rlike(number), F.concat(_code_point(n), F.regexp_replace(p, number, "")))
+                .when(named.isNotNull(), F.concat(named, after(name)))
+                .when(old != "", F.concat(F.try_element_at(_as_map({k: _html5[k] for k in _OLD_NAMES}), old), after(old)))
+                .otherwise(F.concat(F.lit("&"), p)))
+
+    def pieces(whole: Column) -> Column:
+        parts = F.split(whole, "&", -1)
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+
+    c = col_(c)
+    return F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit("&")), pieces(x)).otherwise(x))[0]
 
 
 def escape_md_link(c) -> Column:
@@ -140,51 +165,3 @@ def has_count(c) -> Column:
     """Bookmark count is shown only when it is neither '' nor '0'."""
     c = F.coalesce(col_(c), F.lit(""))
     return (c != "") & (c != "0")
-
-
-# Pattern lists longer than this are matched with one Aho-Corasick pass per
-# text instead of one `contains` per pattern.
-MANY_PATTERNS = 64
-
-
-def _ahocorasick_available() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-        return True
-    except ImportError:
-        return False
-
-
-def keyword_hits(text: Column, patterns: list[str]) -> Column:
-    """``struct<score:int, hits:array<string>>`` for many patterns: score =
-    patterns contained (a repeated pattern counts again), hits = contained
-    patterns in list order.  Arrow-batched; one automaton per batch."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    pats = list(patterns)
-
-    def build():
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        for p in dict.fromkeys(pats):
-            a.add_word(p, p)
-        a.make_automaton()
-        return a
-
-    schema = T.StructType([T.StructField("score", T.IntegerType()),
-                           T.StructField("hits", T.ArrayType(T.StringType()))])
-
-    def match(texts):
-        auto = build()
-        scores, hits = [], []
-        for t in texts:
-            found = {w for _, w in auto.iter(t)} if t else set()
-            h = [p for p in pats if p in found]
-            scores.append(len(h))
-            hits.append(h)
-        return pd.DataFrame({"score": scores, "hits": hits})
-
-    # real type objects (this module uses postponed annotations)
-    match.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(match, schema)(text)

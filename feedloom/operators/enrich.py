@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import cap_page, meta_pairs, meta_value, page_title, readable_text
+from ..functions.html import meta_pairs, meta_value, page_title, readable_text
 from ..functions.text import clean_truncate, first_non_blank, first_non_empty, go_trim, has_count
+from ..session import ship_package
 
 # Reason texts of the extractive summary.
 SUMMARY_REASON_COUNT = "Hatena Bookmark: "
@@ -101,11 +102,11 @@ def latest_captures(pages: DataFrame) -> DataFrame:
 
 def page_meta(pages: DataFrame) -> DataFrame:
     """Per captured page: the whitelisted meta values and the title."""
+    ship_package(pages.sparkSession)
     pages = latest_captures(pages)
-    html = cap_page(F.col("html"))
     ok = (F.col("status") >= 200) & (F.col("status") < 300)
-    p = pages.select("url", "status", html.alias("_html"))
-    pairs = meta_pairs(F.col("_html"))
+    p = pages.select("url", "status", F.col("html").alias("_html"), meta_pairs("html").alias("_pairs"))
+    pairs = F.col("_pairs")
     return p.select(
         "url", "status",
         F.when(ok, F.lit(None).cast("string")).otherwise(_page_error(F.col("status"))).alias("_err"),
@@ -141,23 +142,20 @@ def ogp_enrich(items: DataFrame, pages: DataFrame) -> DataFrame:
     return out.drop("_hit", "_err")
 
 
-def page_text(pages: DataFrame, exact_entities: bool = False) -> DataFrame:
+def page_text(pages: DataFrame) -> DataFrame:
     """Per captured page: readable text (or the lookup error)."""
+    ship_package(pages.sparkSession)
     pages = latest_captures(pages)
-    if exact_entities:
-        from ..session import ship_package
-        ship_package(pages.sparkSession)
     ok = (F.col("status") >= 200) & (F.col("status") < 300)
-    return pages.select(
-        "url",
-        F.when(ok, readable_text(cap_page(F.col("html")), exact_entities)).alias("_text"),
+    return pages.select("url", "status", readable_text("html").alias("_text")).select(
+        "url", F.when(ok, F.col("_text")).alias("_text"),
         F.when(ok, F.lit(None).cast("string")).otherwise(_page_error(F.col("status"))).alias("_err"))
 
 
-def content_enrich(items: DataFrame, pages: DataFrame, exact_entities: bool = False) -> DataFrame:
+def content_enrich(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Left join readable text by link: overwrite ``content`` and set
     ``content_text`` (even when empty); a failure sets ``content_error``."""
-    t = page_text(pages, exact_entities).withColumn("_hit", F.lit(True))
+    t = page_text(pages).withColumn("_hit", F.lit(True))
     j = items.join(t, "url", "left")
     looked = F.coalesce(F.col("url"), F.lit("")) != ""
     ok = looked & F.col("_hit").isNotNull() & F.col("_err").isNull()

@@ -10,8 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (MANY_PATTERNS, _ahocorasick_available, go_trim, keyword_hits, keyword_score,
-                              matching_contains, prepare_patterns)
+from ..functions.text import go_trim, keyword_score, matching_contains, prepare_patterns
 from ..functions.times import duration_string, parse_duration, published_time, ts_lit
 from ..functions.urls import domain_matches, domain_suffixes, item_domain, normalize_domain_list, with_domain
 from .. import reasons as R
@@ -79,20 +78,8 @@ def keyword_rule(df: DataFrame, include=None, exclude=None, min_score: int = 0)
     # lambda, where an inline expression would be re-evaluated per pattern
     df = df.withColumn("_kw_text", keyword_text(df))
     text = F.col("_kw_text")
-    if len(inc) > MANY_PATTERNS and _ahocorasick_available():
-        from ..session import ship_package
-        ship_package(df.sparkSession)
-        df = df.withColumn("_kw_inc", keyword_hits(text, inc))
-        score = F.col("_kw_inc.score")
-    else:
-        score = keyword_score(text, inc)
-    if len(exc) > MANY_PATTERNS and _ahocorasick_available():
-        from ..session import ship_package
-        ship_package(df.sparkSession)
-        df = df.withColumn("_kw_exc", keyword_hits(text, exc))
-        hits = F.col("_kw_exc.hits")
-    else:
-        hits = matching_contains(text, exc)
+    score = keyword_score(text, inc)
+    hits = matching_contains(text, exc)
     excluded = F.size(hits) > 0 if exc else F.lit(False)
     no_inc = (score == 0) if include else F.lit(False)
     below = (score < min_score) if min_score > 0 else F.lit(False)
@@ -104,7 +91,7 @@ def keyword_rule(df: DataFrame, include=None, exclude=None, min_score: int = 0)
     )
     return df, Rule("keyword_filter", ~excluded & ~no_inc & ~below, reasons,
                     {"keyword_score": score.cast("int")},
-                    helpers=["_kw_text", "_kw_inc", "_kw_exc"], barrier=True)
+                    helpers=["_kw_text"], barrier=True)
 
 
 def keyword_filter(df: DataFrame, include=None, exclude=None, min_score: int = 0) -> DataFrame:

@@ -6,8 +6,11 @@ plain SQL over the stored tables (``pages``, ``documents``, ``events``).
 
 from __future__ import annotations
 
-from ..functions.html import META_KEYS, READABLE_CONTAINERS, REMOVED_ELEMENTS  # noqa: F401
-from ..functions.text import HTML_ENTITIES
+# The oracle's own constants: references that the stored tables contain, the
+# removed elements and the containers in order of preference.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&")]
+REMOVED = ["script", "style", "nav", "footer", "header", "noscript"]
+CONTAINERS = ["article", "main", "body"]
 
 URL_RX = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)([?]([^#]*))?(#.*)?$"
 WS = r"[\s\x{0B}\x{85}\p{Z}]+"
@@ -19,7 +22,7 @@ def q(s: str) -> str:
 
 
 def unescape(x: str) -> str:
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in ENTITIES:
         x = f"replace({x}, {q(ent)}, {q(ch)})"
     return x
 
@@ -56,14 +59,14 @@ def page_title(html: str) -> str:
 
 def readable_text(html: str) -> str:
     doc = f"regexp_replace(coalesce({html}, ''), '(?s)<!--.*?-->', '', 'g')"
-    for t in REMOVED_ELEMENTS:
+    for t in REMOVED:
         doc = f"regexp_replace({doc}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
 
     def text_of(frag: str) -> str:
         return clean(unescape(f"regexp_replace({frag}, '(?s)<[^>]*>', '', 'g')"))
 
     parts = []
-    for tag in READABLE_CONTAINERS:
+    for tag in CONTAINERS:
         if tag == "body":
             inner = (f"(case when regexp_matches(d.doc, '(?is)<body\\b') then "
                      f"regexp_extract(d.doc, '(?is)<body\\b[^>]*>(.*?)(</body\\s*>|$)', 1) else "
@@ -75,13 +78,19 @@ def readable_text(html: str) -> str:
 
 
 ITEMS_CTE = f"""
+items0 as (
+  select coalesce(p.page_id, d.doc_id) as pos, p.html as html, d.source as dsource, d.lang as dlang, d.text as dtext,
+    case when p.page_id is null then 'https://documents.example.org/d/' || cast(d.doc_id as varchar)
+         else coalesce(p.url, '') end as url
+  from pages p full join documents d on d.doc_id = p.page_id
+),
 items as (
-  select p.page_id as pos, p.url as url, {page_title('p.html')} as title,
-    case when p.page_id % 17 = 0 then null
-         else timestamp '2024-01-01 00:00:00' + to_hours(cast((p.page_id*7) % 720 as int)) end as published_at,
-    coalesce(d.source, '') as source, coalesce(d.lang, '') as lang,
-    coalesce(d.text, '') as description, {norm_url('p.url')} as nkey
-  from pages p left join documents d on d.doc_id = p.page_id
+  select pos, url, {page_title("coalesce(html, '')")} as title,
+    case when pos % 17 = 0 then null
+         else timestamp '2024-01-01 00:00:00' + to_hours(cast((pos*7) % 720 as int)) end as published_at,
+    coalesce(dsource, '') as source, coalesce(dlang, '') as lang,
+    coalesce(dtext, '') as description, {norm_url('url')} as nkey
+  from items0
 )"""
 
 EVENTS_CTE = """

@@ -285,7 +285,7 @@ def _content_sql():
     doc, text = S.readable_text("html")
     return S.with_(S.ITEMS_CTE) + f"""
 , txt as (select d.url, {text} as content from (select url, {doc} as doc from pages) d)
-select i.pos, i.url, t.content, t.content as content_text from items i left join txt t on t.url = i.url"""
+select i.pos, i.url, case when t.url is null then '' else t.content end as content, t.content as content_text from items i left join txt t on t.url = i.url"""
 
 
 @register("content_enrich", _content_sql())
@@ -294,6 +294,57 @@ def q_content_enrich(spark, sf_dir):
     return c.select("pos", "url", "content", "content_text")
 
 
+_META_TAGS = ("<meta content=\"say name='og:title' &amp; more\" property=og:title><META NAME='Description' CONTENT=' plain "
+              "&eacute; '><meta property=\"og:site_name\" content=\"Site &#8212; ")
+
+
+def _page_meta_sql():
+    return """
+select url, 'say name=''og:title'' & more' as og_title, '' as og_description, 'https://img.example.com/' || cast(page_id as varchar) as og_image,
+  'Site — ' || cast(page_id as varchar) as og_site_name, 'plain é' as meta_description from pages"""
+
+
+@register("page_meta", _page_meta_sql())
+def q_page_meta(spark, sf_dir):
+    """Metadata of every page, with meta tags added behind its head tag."""
+    _session.prepare(spark)
+    pages = tables.read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    extra = F.concat(F.lit("<head>" + _META_TAGS), F.col("page_id").cast("string"), F.lit('"><meta property="og:image" content="https://img.example.com/'),
+                     F.col("page_id").cast("string"), F.lit('"><meta property="og:description" content="">'))
+    html = F.concat(F.split_part("html", F.lit("<head>"), F.lit(1)), extra,
+                    F.substring("html", F.instr("html", "<head>") + 6, F.length("html")))
+    m = enrich.page_meta(pages.select("url", F.lit(200).alias("status"), html.alias("html")))
+    return m.select("url", "og_title", "og_description", "og_image", "og_site_name", "meta_description")
+
+
+_REFERENCES = [("a ", "&agrave; ", "à "), ("e ", "&#233; ", "é "), ("o ", "&#x2014; ", "— "), ("n ", "&hellip; ", "… "),
+               ("s ", "&copy ", "© "), ("d ", "&amp;lt; ", "&lt; ")]
+
+
+def _html_entities_sql():
+    plain = "coalesce(text, '')"
+    for find, _, char in _REFERENCES:
+        plain = f"replace({plain}, {S.q(find)}, {S.q(char)})"
+    cl = S.clean(plain)
+    return f"""select doc_id, case when length({cl}) <= 180 then {cl} else left({cl}, 180) || '...' end as summary,
+  sha256({cl}) as whole from documents"""
+
+
+@register("html_entities", _html_entities_sql())
+def q_html_entities(spark, sf_dir):
+    """Digest summaries of texts that hold named, old and numeric references."""
+    from ..functions.text import clean_text, html_unescape
+    from ..sinks.digest import digest_summary
+    _session.prepare(spark)
+    text = F.col("text")
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for i, (find, _, _) in enumerate(_REFERENCES):  # marks first, so that no reference is cut by the next one
+        docs = docs.withColumn("text", F.replace("text", F.lit(find), F.lit(chr(0xE000 + i))))
+    for i, (_, reference, _) in enumerate(_REFERENCES):
+        docs = docs.withColumn("text", F.replace("text", F.lit(chr(0xE000 + i)), F.lit(reference)))
+    return docs.select("doc_id", digest_summary(text).alias("summary"), F.sha2(clean_text(html_unescape(text)), 256).alias("whole"))
+
+
 # ------------------------------------------------------------- flagship -----
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

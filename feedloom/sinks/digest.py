@@ -7,8 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import html_unescape
-from ..functions.text import clean_text, escape_md_link, go_trim, has_count, html_unescape_basic  # noqa: F401
+from ..functions.text import clean_text, escape_md_link, go_trim, has_count, html_unescape
 from ..functions.times import duration_string, parse_duration, published_time, rfc3339
 from ..operators.filters import time_window
 from . import document as D
@@ -21,26 +20,19 @@ SUMMARY_LIMIT = 180
 _MAX_LONG = (1 << 63) - 1
 
 
-def digest_summary(c, exact_entities: bool = False):
-    """Unescape, trim, collapse white space, cut at 180 characters + '...'."""
-    prep = html_unescape if exact_entities else html_unescape_basic
+def digest_summary(c):
+    """Unescape, trim, collapse white space, cut at 180 characters + '...'
+    (the digest keeps 180 characters and takes no room for the dots)."""
     n = SUMMARY_LIMIT
-    # the digest keeps n characters and appends '...' (no room taken for it):
-    # clean a bounded prefix, fall back to the whole text when it is short
-    head = clean_text(prep(F.substring(c, 1, 8 * n + 64)))
-    full = clean_text(prep(c))
-    return F.when(F.char_length(head) > n + 16, F.concat(F.substring(head, 1, n), F.lit("..."))).otherwise(
-        F.when(F.char_length(full) <= n, full).otherwise(F.concat(F.substring(full, 1, n), F.lit("..."))))
+    return F.transform(F.array(clean_text(html_unescape(c))), lambda t: F.when(F.char_length(t) <= n, t).otherwise(
+        F.concat(F.substring(t, 1, n), F.lit("..."))))[0]
 
 
 def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE,
-                 window=DEFAULT_WINDOW, exact_entities: bool = False) -> DataFrame:
+                 window=DEFAULT_WINDOW) -> DataFrame:
     """Rows (k1, k2, k3, line) of the digest; items in the window, newest
     first, input order on ties."""
     spark = items.sparkSession
-    if exact_entities:
-        from ..session import ship_package
-        ship_package(spark)
     title = title or DEFAULT_TITLE
     ns = parse_duration(window) if window not in (None, "") else 0
     kept = time_window(items, f"{ns}ns", now) if ns > 0 else items
@@ -61,7 +53,7 @@ def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE
         F.lit("- ["), escape_md_link(label), F.lit("]("), F.coalesce(F.col("url"), F.lit("")), F.lit(")"),
         F.when(pub.isNotNull(), F.concat(F.lit(" - "), rfc3339(pub))).otherwise(F.lit("")),
         F.when(has_count(cnt), F.concat(F.lit(FM.DIGEST_COUNT), cnt)).otherwise(F.lit("")))
-    summ = digest_summary(F.coalesce(F.col("description"), F.lit("")), exact_entities)
+    summ = digest_summary(F.coalesce(F.col("description"), F.lit("")))
     k2 = F.when(pub.isNull(), F.lit(_MAX_LONG)).otherwise(-F.unix_micros(pub))
     # bullet and summary lines of an item come out of one pass
     it = kept.select(F.col("pos"), k2.alias("_k2"), bullet.alias("_bullet"), summ.alias("_summ"))

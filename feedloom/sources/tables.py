@@ -6,9 +6,10 @@ and ``bookmark_counts`` (one row per link), plus ``page_snapshots`` for the
 page enrichers.  Here they are derived from the stored ``pages``,
 ``documents`` and ``events`` tables:
 
-* items: one per page; title from the page ``<title>``, description and
-  source from the document with the same id, a published time that is
-  missing for every 17th page and otherwise spread over January 2024.
+* items: one per page and one per document without a page (linked by its
+  doc_id); title from the page ``<title>``, description and source from the
+  document with the same id, a published time that is missing for every 17th
+  id and otherwise spread over January 2024.
 * comments: every non-``view`` event, attached to page
   ``event_id mod (number of pages)``; user ``u<user_id>``, tag = event type.
 * bookmark counts: the number of ``view`` events per page.
@@ -25,6 +26,8 @@ from ..functions.html import page_title
 
 # Fixed evaluation time of the derived views.
 VIEW_NOW = _dt.datetime(2024, 1, 31, 0, 0, 0)
+# Link of a document that has no page, before its id.
+DOCUMENT_LINK = "https://documents.example.org/d/"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,19 +35,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items table (full working schema) over pages + documents."""
+    """Items table (full working schema) over all pages and all documents."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source").alias("doc_source"))
-    p = pages.join(docs, pages.page_id == docs.doc_id, "left")
-    published = F.when(F.col("page_id") % 17 == 0, F.lit(None).cast("timestamp")).otherwise(
+    p = pages.join(docs, pages.page_id == docs.doc_id, "full").withColumn(
+        "item_id", F.coalesce(F.col("page_id"), F.col("doc_id")))
+    published = F.when(F.col("item_id") % 17 == 0, F.lit(None).cast("timestamp")).otherwise(
         F.lit("2024-01-01 00:00:00").cast("timestamp")
-        + F.make_dt_interval(F.lit(0), ((F.col("page_id") * 7) % 720).cast("int")))
+        + F.make_dt_interval(F.lit(0), ((F.col("item_id") * 7) % 720).cast("int")))
     lang = F.coalesce(F.col("lang"), F.lit(""))
+    link = F.when(F.col("page_id").isNull(), F.concat(F.lit(DOCUMENT_LINK), F.col("doc_id").cast("string"))).otherwise(
+        F.coalesce(F.col("url"), F.lit("")))
     return p.select(
-        F.col("page_id").cast("long").alias("pos"),
+        F.col("item_id").cast("long").alias("pos"),
         F.lit("").alias("id"),
-        F.coalesce(F.col("url"), F.lit("")).alias("url"),
+        link.alias("url"),
         F.lit("").alias("normalized_url"),
         page_title(F.col("html")).alias("title"),
         F.coalesce(F.col("text"), F.lit("")).alias("description"),
