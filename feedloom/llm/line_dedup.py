@@ -52,7 +52,8 @@ def templates(docs: DataFrame, min_docs: int = 20, depth: int = 3, similarity: f
     lines = _lines(docs, depth, min_tokens)
     leaves = saved(lines.groupBy("leaf").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
                    .select("leaf"), "leaves")
-    lines = saved(lines.join(leaves, "leaf", "left_semi").distinct(), "leaf-lines")
+    # Sorted merge at every size: the table of leaves grows with the corpus, and hot leaves can be split.
+    lines = saved(lines.join(leaves.hint("merge"), "leaf", "left_semi").distinct(), "leaf-lines")
     kinds = saved(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")), "leaf-kinds")
     tokens = kinds.select("leaf", "line", "n", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("pos", "token"))
     constant = saved(tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
