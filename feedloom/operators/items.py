@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import dedup_key, with_normalized
 
-# Bits reserved for the item ordinal inside one source when several sources
-# are unioned; pos = (source ordinal << 40) | item ordinal.
-POS_SOURCE_SHIFT = 40
+# Input order as one number: the source among unioned ones, then the file, the
+# place in the file and the row there.  Readers use the lower 104 bits; 22 bits
+# are left for the source, which keeps the number within 38 digits.
+ORDER = "decimal(38,0)"
+FILE_BITS, PLACE_BITS, ROW_BITS = 31, 40, 33
+SOURCE_STEP = 1 << (FILE_BITS + PLACE_BITS + ROW_BITS)
+
+
+def order_value(file: Column, place: Column, row: Column) -> Column:
+    """``pos`` of a row from its file's ordinal, its place in the file (block
+    start or chunk number) and its number there."""
+    number = lambda c: c.cast("decimal(20,0)").cast(ORDER)
+    step = lambda bits: F.lit(str(1 << bits)).cast(ORDER)
+    placed = ((number(file) * step(PLACE_BITS)).cast(ORDER) + number(place)).cast(ORDER)
+    return ((placed * step(ROW_BITS)).cast(ORDER) + number(row)).cast(ORDER)
 
 
 def key_col(df: DataFrame) -> Column:
@@ -33,10 +45,18 @@ def normalize_items(df: DataFrame) -> DataFrame:
 
 def union_ordered(*dfs: DataFrame) -> DataFrame:
     """Union several item tables keeping a total order: all rows of the first
-    input, then the second, ... (``pos`` is re-based per source)."""
-    parts = [d.withColumn("pos", F.col("pos") + F.lit(i << POS_SOURCE_SHIFT))
-             for i, d in enumerate(dfs)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    input, then the second, ...
+
+    ``pos`` is re-based by source.  A union tells in its ``pos`` column's
+    metadata how many sources it has, so unions of unions do not collide."""
+    parts, sources = [], 0
+    for d in dfs:
+        own = d.schema["pos"].metadata.get("sources", 1)
+        step = F.lit(str(sources * SOURCE_STEP)).cast(ORDER)
+        parts.append(d.withColumn("pos", (F.col("pos").cast(ORDER) + step).cast(ORDER)))
+        sources += own
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return out.withColumn("pos", F.col("pos").alias("pos", metadata={"sources": sources}))
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:

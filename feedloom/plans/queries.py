@@ -110,7 +110,7 @@ old as (select pos, url, nkey from (
   where published_at < timestamp '2024-01-25 00:00:00') where rn = 1)
 select pos, url, nkey as dedup_key from newi
 union all
-select pos + {1 << 40}, url, nkey from old o where not exists (select 1 from newi n where n.nkey = o.nkey)""")
+select pos + {1 << 104}, url, nkey from old o where not exists (select 1 from newi n where n.nkey = o.nkey)""")
 def q_archive_upsert(spark, sf_dir):
     new = _items(spark, sf_dir).filter(F.col("published_at") >= ts_lit(NEW_SNAPSHOT_FROM))
     archived = tables.item_variants_view(spark, sf_dir).filter(F.col("published_at") < ts_lit(ARCHIVE_UNTIL))
@@ -595,6 +595,40 @@ def q_jsonl_roundtrip(spark, sf_dir):
                       F.array_join("categories", ",").alias("categories"), "bookmark_count")
 
 
+@register("jsonl_many_files", S.with_(S.ITEMS_CTE) + """
+select i.url, i.nkey as dedup_key, case when contains(i.url, '?') then 'first' else 'second' end as won_by
+from (select *, row_number() over (partition by nkey order by contains(url, '?') desc, pos) as rn from items) i
+where rn = 1 and nkey <> ''""")
+def q_jsonl_many_files(spark, sf_dir):
+    """A small file of the items whose link has a query, then larger ones with
+    every item once more; a key's winner is the row of the first file."""
+    from ..operators.items import drop_null_rows
+    path = work_dir(spark, "jsonl-many")
+    items = _items(spark, sf_dir).withColumn("source", F.lit("second"))
+    few = items.filter(F.contains("url", F.lit("?"))).withColumn("source", F.lit("first")).withColumn("description", F.lit(""))
+    _jsonl.jsonl_records(few).orderBy("pos").select("line").write.text(f"{path}/a")
+    _jsonl.jsonl_records(items).orderBy("pos").select("line").write.text(f"{path}/b")
+    got = drop_null_rows(_src_jsonl.read_items_jsonl(spark, [f"{path}/a", f"{path}/b"]))
+    m = dedup.merge_items(got.filter(F.col("normalized_url") != ""))
+    return m.select("url", F.col("normalized_url").alias("dedup_key"), F.col("source").alias("won_by"))
+
+
+@register("union_sources", S.with_(S.ITEMS_CTE) + f"""
+, u as (select pos, 'view' as came, url, nkey from items
+  union all select pos + {1 << 104}, 'again', url, nkey from items
+  union all select pos + {1 << 105}, 'third', url, nkey from items where published_at is null)
+select came, count(*) as n, count(distinct pos) as n_pos, min(pos)::VARCHAR as lo, max(pos)::VARCHAR as hi from u group by came""")
+def q_union_sources(spark, sf_dir):
+    """A union of a union and a third source: no two rows share a position."""
+    from ..operators.items import union_ordered
+    items = _items(spark, sf_dir)
+    came = lambda df, name: df.withColumn("came", F.lit(name))
+    two = union_ordered(came(items, "view"), came(items, "again"))
+    three = union_ordered(two, came(items.filter(F.col("published_at").isNull()), "third"))
+    return three.groupBy("came").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("n_pos"),
+                                     F.min("pos").cast("string").alias("lo"), F.max("pos").cast("string").alias("hi"))
+
+
 def _digest_sql():
     t = S.go_trim("i.title")
     label = f"(case when {t} = '' then i.url else {t} end)"
@@ -698,7 +732,7 @@ def q_stream_jsonl_ingest(spark, sf_dir):
     """Items arrive as JSON Lines files; the stream applies normalize +
     keyword filter per micro-batch (one file per trigger)."""
     src, out, ck = work_dir(spark, "in"), work_dir(spark, "out"), work_dir(spark, "ck")
-    _jsonl.jsonl_records(_items(spark, sf_dir)).select("line").repartition(4).write.text(src)
+    _jsonl.jsonl_records(_items(spark, sf_dir)).select("line").write.text(src)
     stream = _stream.ingest_items_stream(spark, src, max_files_per_trigger=1)
     kept = filters.keyword_filter(normalize_items(stream), KEYWORD_INCLUDE, KEYWORD_EXCLUDE, KEYWORD_MIN_SCORE)
     _stream.run_available_now(kept.select("url", "keyword_score"), ck, fmt="parquet", path=out)
@@ -714,7 +748,7 @@ def q_stream_comment_delta(spark, sf_dir):
     """Comments arrive as a stream; per-entry state (last time sent) lives
     in ``applyInPandasWithState``; entries/state lookups are static."""
     src, out, ck = work_dir(spark, "comments"), work_dir(spark, "outbox"), work_dir(spark, "ck")
-    tables.comments_view(spark, sf_dir).repartitionByRange(4, "ord").write.parquet(src)
+    tables.comments_view(spark, sf_dir).repartitionByRange("ord").write.parquet(src)
     items = _items(spark, sf_dir)
     entries = _delta._entries(items, tables.prior_state_view(spark, sf_dir))
     links = items.select("url", _delta.entry_key("url").alias("entry_key")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,8 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring Spark to use it.
 
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    file system path).  Only when nothing is configured -- local runs and
-    tests -- a private temporary folder is created.
+    file system path).  Only when nothing is configured and the master is
+    local -- tests -- a private temporary folder is created; on a cluster a
+    missing setting is an error, as executors do not share such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local($|\[)", sc.master or ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="feedloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

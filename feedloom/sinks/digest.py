@@ -62,7 +62,7 @@ def digest_lines(items: DataFrame, now: _dt.datetime, title: str = DEFAULT_TITLE
                                                         F.concat(F.lit("  "), F.col("_summ")).alias("line"))))
     rows = it.select(F.lit(1).cast("long").alias("k1"), F.col("_k2").alias("k2"),
                      F.explode(F.filter(pair, lambda x: x.isNotNull())).alias("_l")) \
-        .select("k1", "k2", F.col("_l.k3").cast("long").alias("k3"), F.col("_l.line").alias("line"))
+        .select("k1", "k2", F.col("_l.k3").alias("k3"), F.col("_l.line").alias("line"))
     return D.header(spark, *head, k1=0).unionByName(n_line).unionByName(blank).unionByName(rows)
 
 

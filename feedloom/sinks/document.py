@@ -10,13 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS = ["k1", "k2", "k3"]
 
 
 def lines(df: DataFrame, line, k1=0, k2=0, k3=0) -> DataFrame:
-    lit = lambda v: (F.lit(v) if not hasattr(v, "alias") else v).cast("long")
-    return df.select(lit(k1).alias("k1"), lit(k2).alias("k2"), lit(k3).alias("k3"),
+    def key(v, name):
+        c = F.lit(v) if not hasattr(v, "alias") else v
+        wide = isinstance(df.select(c.alias("k")).schema[0].dataType, T.DecimalType)  # an order over several sources
+        return (c if wide else c.cast("long")).alias(name)
+    return df.select(key(k1, "k1"), key(k2, "k2"), key(k3, "k3"),
                      (F.lit(line) if isinstance(line, str) else line).alias("line"))
 
 

@@ -22,22 +22,19 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions under ``path`` (ascending)."""
+def _version_folders(spark: SparkSession, path: str) -> dict[int, bool]:
+    """Number of every version folder, and whether it is complete."""
     fs, p, jvm = _fs(spark, path)
     if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v="):
-            try:
-                n = int(name[2:])
-            except ValueError:
-                continue
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(n)
-    return sorted(out)
+        return {}
+    folders = [st.getPath() for st in fs.listStatus(p) if st.isDirectory()]
+    return {int(f.getName()[2:]): fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))
+            for f in folders if f.getName()[:2] == "v=" and f.getName()[2:].isdigit()}
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions under ``path`` (ascending)."""
+    return sorted(n for n, complete in _version_folders(spark, path).items() if complete)
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -49,9 +46,9 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def write_next(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Write ``df`` as the next version; returns its number."""
-    vs = versions(df.sparkSession, path)
-    n = (vs[-1] + 1) if vs else 1
+    """Write ``df`` as the next version; returns its number.  What a failed
+    write left behind keeps its number and is never read."""
+    n = max(_version_folders(df.sparkSession, path), default=0) + 1
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -74,28 +71,45 @@ class StateStore:
 
 def append_outbox(outbox: DataFrame, path: str) -> DataFrame:
     """Append messages not yet in the outbox table (by ``message_id``), so a
-    re-run or a retried job never queues a message twice.  Returns the rows
-    appended (lazy)."""
+    re-run or a retried job never queues a message twice; of messages with one
+    id in the input one is kept.  Returns the rows appended (lazy)."""
     spark = outbox.sparkSession
     fs, p, _ = _fs(spark, path)
-    new = outbox
+    columns = outbox.columns
+    new = outbox.groupBy("message_id").agg(F.min(F.struct(*columns)).alias("m")).select("m.*").select(*columns)
     if fs.exists(p):
         existing = spark.read.parquet(path).select("message_id")
-        new = outbox.join(existing, "message_id", "left_anti")
+        new = new.join(existing, "message_id", "left_anti").select(*columns)
     new.write.mode("append").parquet(path)
     return new
 
 
-def write_archive(items: DataFrame, path: str, feed_link_col: str = "feed_link") -> int:
-    """Write items as the next archive version, partitioned by feed key
-    (the feed link without ``http(s)://``)."""
-    df = items.withColumn("feed_key", archive_key(F.col(feed_link_col)))
-    return write_next(df, path, ["feed_key"])
+# Archives are cut into this many folders by a hash of the feed key, whatever
+# the number of feeds; files are sorted by feed and published time.
+ARCHIVE_BUCKETS = 256
 
 
-def read_archive(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Latest archive version; a missing archive is an empty table."""
-    return read_latest(spark, path, schema)
+def write_archive(items: DataFrame, path: str, feed_link_col: str = "feed_link") -> int:
+    """Write items as the next archive version, with their feed key (the feed
+    link without ``http(s)://``), newest first within a feed."""
+    from ..functions.times import published_time
+    df = items.withColumn("feed_key", archive_key(F.col(feed_link_col)))
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("feed_key"), F.lit(ARCHIVE_BUCKETS)).cast("int"))
+    order = published_time(df).desc_nulls_last()
+    df = df.repartitionByRange("bucket", "feed_key", order, "pos").sortWithinPartitions("bucket", "feed_key", order, "pos")
+    return write_next(df, path, ["bucket"])
+
+
+def read_archive(spark: SparkSession, path: str, schema: T.StructType, feed_key: str | None = None) -> DataFrame:
+    """Latest archive version (of one feed: newest first); a missing archive is
+    an empty table."""
+    wanted = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    out = read_latest(spark, path, wanted)
+    if feed_key is None:
+        return out.drop("bucket")
+    from ..operators.rank import sort_published
+    bucket = F.pmod(F.xxhash64(F.lit(feed_key)), F.lit(ARCHIVE_BUCKETS)).cast("int")
+    return sort_published(out.filter((F.col("bucket") == bucket) & (F.col("feed_key") == feed_key)).drop("bucket"))
 
 
 def write_items_table(items: DataFrame, path: str, mode: str = "append") -> None:

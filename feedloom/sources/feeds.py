@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..functions.text import NON_WS
 from ..functions.times import parse_feed_time
 from ..functions.urls import with_key
+from ..operators.items import order_value
 
 # Split points and the strict printable rule.
 SPLIT_AFTER = r"(?<=</rss>)|(?<=</feed>)"
@@ -27,7 +28,6 @@ SPLIT_AFTER_WITH_RDF = r"(?<=</rss>)|(?<=</feed>)|(?<=</rdf:RDF>)"
 NON_PRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
 XML_ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]"
 FEED_ROOT = r"<(rss|feed|rdf:RDF)[\s>]"
-CHUNK_BITS, ITEM_BITS = 20, 20
 
 S = T.StringType()
 
@@ -142,8 +142,7 @@ def feed_items(docs: DataFrame) -> DataFrame:
     # dedup key of the link (normalize, else the link), staged projections
     x = with_key(x.withColumn("url", it("url")), "_key", normalized_col="_none_", url_col="url")
     key = F.col("_key")
-    pos = (F.shiftleft(F.col("source"), CHUNK_BITS + ITEM_BITS)
-           + F.shiftleft(F.col("chunk_idx").cast("long"), ITEM_BITS) + F.col("it.item_idx").cast("long"))
+    pos = order_value(F.col("source"), F.col("chunk_idx"), F.col("it.item_idx"))
     return x.select(
         pos.alias("pos"),
         F.when(it("id") != "", it("id")).otherwise(key).alias("id"),

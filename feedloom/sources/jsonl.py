@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.times import parse_rfc3339
 from ..functions.urls import with_normalized
+from ..operators.items import ROW_BITS, order_value
 from ..schema import COMMENT_STRUCT, ITEM_JSONL_VERSION, JSONL_ITEM_SCHEMA
 
 ACCEPTED_VERSIONS = (ITEM_JSONL_VERSION,)
+MAX_BROADCAST_FILES = 50_000
 
 
 def parse_item_lines(lines: DataFrame, col: str = "value", accepted=ACCEPTED_VERSIONS,
                      pos=None) -> DataFrame:
     """Parse JSON lines into the items table; blank lines are skipped, a
     malformed line or an unknown ``schema_version`` fails the job (raised
-    when the data is read, naming the offending record).  ``pos`` defaults
-    to the scan order (batch reads); streams pass their own column."""
+    when the data is read, naming the offending record).  ``pos`` is the
+    column that orders the lines."""
     line = F.trim(F.col(col))
-    x = lines.filter(line != "").withColumn(
-        "_pos", F.monotonically_increasing_id() if pos is None else pos)
+    x = lines.filter(line != "").withColumn("_pos", F.monotonically_increasing_id() if pos is None else pos)
     ok_json = F.try_parse_json(F.col(col)).isNotNull() & F.startswith(F.ltrim(F.col(col)), F.lit("{"))
     rec = F.from_json(F.col(col), JSONL_ITEM_SCHEMA)
     ver = F.coalesce(rec["schema_version"], F.lit(""))
@@ -52,16 +54,37 @@ def parse_item_lines(lines: DataFrame, col: str = "value", accepted=ACCEPTED_VER
     )
 
 
+def row_in_task() -> Column:
+    """Number of a row within its task; rows of one file block keep their order."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+
+
 def read_items_jsonl(spark: SparkSession, path, accepted=ACCEPTED_VERSIONS) -> DataFrame:
-    """Items from JSON Lines files (input order = scan order)."""
-    return parse_item_lines(spark.read.text(path), "value", accepted)
+    """Items from JSON Lines files, in order of file name and line.
+
+    Spark packs file blocks into tasks by size, so the scan order is not the
+    input order: ``pos`` is made of the file's rank by name, the start of the
+    block and the row within it."""
+    raw = spark.read.text(path)
+    files = [(f, i) for i, f in enumerate(sorted(raw.inputFiles()))]
+    names = spark.createDataFrame(files, "_file string, _rank long")
+    if len(files) <= MAX_BROADCAST_FILES:  # else a plain join
+        names = F.broadcast(names)
+    lines = raw.select("value", F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_block"), row_in_task().alias("_row"))
+    lines = lines.join(names, "_file", "left")
+    return parse_item_lines(lines, "value", accepted, order_value(F.col("_rank"), F.col("_block"), F.col("_row")))
 
 
 def comments_from_items(items: DataFrame, on: str = "url") -> DataFrame:
     """Normalized comments table from an items table carrying a ``comments``
     array (JSON input); ``ord`` keeps the order inside each item."""
-    c = items.select(F.col(on), F.col("pos"), F.posexplode("comments").alias("_i", "_c"))
-    return c.select(on, (F.shiftleft(F.col("pos"), 20) + F.col("_i")).alias("ord"),
+    columns = dict.fromkeys([on, "pos"])
+    c = items.select(*columns, F.posexplode("comments").alias("_i", "_c"))
+    # several items may share a link; an item's own comments are numbered already
+    order = F.col("_i").cast("long") if on == "pos" else (
+        F.row_number().over(Window.partitionBy(on).orderBy("pos", "_i")).cast("long") - 1)
+    return c.select(on, order.alias("ord"),
                     F.col("_c.user").alias("user"), F.col("_c.comment").alias("comment"),
                     F.col("_c.timestamp").alias("timestamp"), F.col("_c.tags").alias("tags"))
 
@@ -73,7 +96,6 @@ def jsonl_errors(spark: SparkSession, path, accepted=ACCEPTED_VERSIONS) -> DataF
     Line numbers without a single-task pass: every row gets its file block
     and its index inside the read partition; a per-block line-count table
     (one row per file block) gives each block's first line number."""
-    from pyspark.sql.window import Window
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_blk"),
@@ -89,7 +111,7 @@ def jsonl_errors(spark: SparkSession, path, accepted=ACCEPTED_VERSIONS) -> DataF
            .when(~ok_json, F.lit("invalid JSON record"))
            .when((ver != "") & ~ver.isin(*accepted), F.concat(F.lit('unsupported schema_version "'), ver, F.lit('"'))))
     bad = raw.withColumn("error", err).filter(F.col("error").isNotNull())
-    return bad.join(F.broadcast(blocks.select("file", "_blk", "_pid", "_first", "_i0")), ["file", "_blk", "_pid"]) \
+    return bad.join(blocks.select("file", "_blk", "_pid", "_first", "_i0"), ["file", "_blk", "_pid"]) \
         .select("file", (F.col("_first") + F.col("_i") - F.col("_i0")).alias("line"),
                 F.concat(F.lit("jsonl line "), (F.col("_first") + F.col("_i") - F.col("_i0")).cast("string"),
                          F.lit(": "), F.col("error")).alias("error"))

@@ -25,9 +25,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.times import comment_time
 from ..operators.delta import COMMENT_TEXT_MIDDLE, COMMENT_TEXT_PREFIX, message_id
 from ..operators.dedup import merge_items
-from ..operators.items import key_col
+from ..operators.items import ORDER, key_col, order_value
 from ..schema import COMMENTS_SCHEMA
-from ..sources.jsonl import parse_item_lines
+from ..sources.jsonl import parse_item_lines, row_in_task
 
 
 def ingest_items_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -36,10 +36,12 @@ def ingest_items_stream(spark: SparkSession, path: str, max_files_per_trigger: i
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = r.load(path)
-    # arrival order inside a stream is not a row order: pos is the file's
-    # modification time (micros); consumers needing a total order assign it
-    # per micro-batch (see dedup_archive_batch)
-    return parse_item_lines(lines, pos=F.unix_micros(F.col("_metadata.file_modification_time")))
+    # files in order of their time (milliseconds; at one time by a hash of the
+    # name), blocks in order of their place; a stream cannot number lines, so
+    # lines of one block get their order in the micro-batch (with_line_order)
+    file = F.col("_metadata.file_path")
+    rank = F.unix_millis(F.col("_metadata.file_modification_time")) * 2048 + F.pmod(F.xxhash64(file), F.lit(2048))
+    return parse_item_lines(lines, pos=order_value(rank, F.col("_metadata.file_block_start"), F.lit(0)))
 
 
 DELTA_OUT = T.StructType([
@@ -108,11 +110,19 @@ def read_comments_stream(spark: SparkSession, path: str, max_files_per_trigger:
     return r.parquet(path)
 
 
-def dedup_archive_batch(archive_path: str):
-    """``foreachBatch`` function: append the batch's first-seen keys."""
+def with_line_order(batch: DataFrame) -> DataFrame:
+    """A micro-batch of ingested items with ``pos`` told apart within blocks: a
+    task reads a block's lines in order."""
+    return batch.withColumn("pos", (F.col("pos").cast(ORDER) + row_in_task().cast(ORDER)).cast(ORDER))
+
+
+def dedup_archive_batch(archive_path: str, number_lines: bool = False):
+    """``foreachBatch`` function: append the batch's first-seen keys.  With
+    ``number_lines`` for items of :func:`ingest_items_stream`, whose ``pos``
+    leaves the lines of a block to the micro-batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merged = merge_items(batch)
+        merged = merge_items(with_line_order(batch) if number_lines else batch)
         merged = merged.withColumn("_key", key_col(merged))
         try:
             prior = spark.read.parquet(archive_path).filter(F.col("batch_id") < batch_id).select("_key")
