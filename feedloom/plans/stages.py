@@ -397,7 +397,7 @@ def build_stages(config) -> list[Stage]:
         try:
             config = json.loads(config)
         except json.JSONDecodeError as e:
-            raise ValueError(f"pipeline config must be JSON for now: {e}") from None
+            raise ValueError(f"cannot read the stage list as JSON: {e}") from None
     return [stage_from_spec(s) for s in (config.get("stages") or [])]
 
 

@@ -19,8 +19,8 @@ from . import document as D
 from .. import formats as FM
 
 # Header of generated feeds (overridable per call in a later round).
-FEED_TITLE = "feedloom generated feed"
-FEED_DESCRIPTION = "A feed generated by feedloom"
+FEED_TITLE = "feedloom selection"
+FEED_DESCRIPTION = "Items selected by a feedloom run"
 
 
 def xml_escape(c) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,7 @@ from ..schema import COMMENT_STRUCT, ITEM_JSONL_VERSION, JSONL_ITEM_SCHEMA
 
 ACCEPTED_VERSIONS = (ITEM_JSONL_VERSION,)
 MAX_BROADCAST_FILES = 50_000
+_SCHEME = r"^([A-Za-z0-9+.-]+):/+"  # file names come with one or three slashes
 
 
 def parse_item_lines(lines: DataFrame, col: str = "value", accepted=ACCEPTED_VERSIONS,
@@ -66,11 +69,11 @@ def read_items_jsonl(spark: SparkSession, path, accepted=ACCEPTED_VERSIONS) -> D
     input order: ``pos`` is made of the file's rank by name, the start of the
     block and the row within it."""
     raw = spark.read.text(path)
-    files = [(f, i) for i, f in enumerate(sorted(raw.inputFiles()))]
+    files = [(re.sub(_SCHEME, r"\1:/", f), i) for i, f in enumerate(sorted(raw.inputFiles()))]
     names = spark.createDataFrame(files, "_file string, _rank long")
     if len(files) <= MAX_BROADCAST_FILES:  # else a plain join
         names = F.broadcast(names)
-    lines = raw.select("value", F.col("_metadata.file_path").alias("_file"),
+    lines = raw.select("value", F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "$1:/").alias("_file"),
                        F.col("_metadata.file_block_start").alias("_block"), row_in_task().alias("_row"))
     lines = lines.join(names, "_file", "left")
     return parse_item_lines(lines, "value", accepted, order_value(F.col("_rank"), F.col("_block"), F.col("_row")))

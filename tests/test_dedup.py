@@ -2,9 +2,9 @@ from feedloom.operators import dedup
 
 
 def test_merge_keeps_first(make_items):
-    df = make_items(dict(url="https://example.com/post?utm_source=x"), dict(url="https://example.com/post"))
+    df = make_items(dict(url="https://pier.test/log?utm_source=mail"), dict(url="https://pier.test/log"))
     out = dedup.merge_items(df).collect()
-    assert [r.url for r in out] == ["https://example.com/post?utm_source=x"]
+    assert [r.url for r in out] == ["https://pier.test/log?utm_source=mail"]
 
 
 def test_merge_counts(make_items):
@@ -38,14 +38,14 @@ def test_merge_keys_unique_and_idempotent(make_items):
 
 
 def test_diff(make_items):
-    left = make_items(dict(url="http://a/1"), dict(url="http://a/2"))
-    right = make_items(dict(url="http://a/2"))
-    assert [r.url for r in dedup.diff_items(left, right).collect()] == ["http://a/1"]
+    left = make_items(dict(url="http://h.test/left"), dict(url="http://h.test/both"))
+    right = make_items(dict(url="http://h.test/both"))
+    assert [r.url for r in dedup.diff_items(left, right).collect()] == ["http://h.test/left"]
 
 
 def test_diff_tracking_variant(make_items):
-    left = make_items(dict(url="https://example.com/post?utm_campaign=x"))
-    right = make_items(dict(url="https://example.com/post"))
+    left = make_items(dict(url="https://pier.test/log?utm_campaign=may"))
+    right = make_items(dict(url="https://pier.test/log"))
     assert dedup.diff_items(left, right).count() == 0
 
 

@@ -93,9 +93,32 @@ def test_latest_capture_wins(spark, make_items):
     assert [(r.title, r.page_title) for r in out] == [("new", "new")]
 
 
-def test_exact_entities(spark, make_items):
-    from feedloom.schema import PAGES_SCHEMA
-    html = "<body><article><p>caf&eacute; &#8212; &lt;b&gt; &amp;</p></article></body>"
+def test_all_references_are_decoded(spark, make_items):
+    html = ("<head><title>A&eacute; &mdash; it&#8217;s &#x1F30A;</title></head><body><article><p>caf&eacute; &#8212; &lt;b&gt; "
+            "&amp; &copy 2 &notit; &nosuch; &#0;</p></article></body>")
     pages = spark.createDataFrame([("https://e/1", 200, html)], PAGES_SCHEMA)
-    out = enrich.content_enrich(make_items(dict(url="https://e/1")), pages, exact_entities=True).first()
-    assert out.content == "café — <b> &"
+    out = enrich.content_enrich(make_items(dict(url="https://e/1")), pages).first()
+    assert out.content == "café — <b> & © 2 ¬it; &nosuch; \ufffd"
+    assert enrich.ogp_enrich(make_items(dict(url="https://e/1")), pages).first().page_title == "Aé — it’s 🌊"
+
+
+def test_nested_containers_and_quoted_attributes(spark, make_items):
+    pages = spark.createDataFrame([
+        ("https://e/1", 200, "<body>x<article>one <article>two</article> three</article><article>four</article></body>"),
+        ("https://e/2", 200, "<main><nav>menu <nav>more</nav> still</nav><p title=\"a > b\">kept</p><!-- <p>no</p> --></main>"),
+        ("https://e/3", 200, "<meta content=\"say name='x' here\" name=\"description\"><META Property=og:image content=i.png>"
+                             "<script>'<meta name=description content=no>'</script>plain"),
+        ("https://e/4", 200, "<article> <script>a</script></article><body><p>rest"),
+    ], PAGES_SCHEMA)
+    items = make_items(*[dict(url=f"https://e/{i}") for i in range(1, 5)])
+    assert [r.content for r in enrich.content_enrich(items, pages).orderBy("pos").collect()] == [
+        "one two three", "kept", "plain", "rest"]
+    r = enrich.ogp_enrich(items, pages).orderBy("pos").collect()[2]
+    assert (r.meta_description, r.og_image) == ("say name='x' here", "i.png")
+
+
+def test_pages_are_read_whole(spark, make_items):
+    long = "<body><p>" + "é" * (2 << 20) + "</p><article>behind it</article><meta name=description content=last></body>"
+    pages = spark.createDataFrame([("https://e/1", 200, long)], PAGES_SCHEMA)
+    assert enrich.content_enrich(make_items(dict(url="https://e/1")), pages).first().content == "behind it"
+    assert enrich.ogp_enrich(make_items(dict(url="https://e/1")), pages).first().meta_description == "last"

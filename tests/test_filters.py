@@ -6,9 +6,10 @@ from feedloom.operators import enrich, filters, rank
 
 
 def test_keyword_filter(make_items):
-    df = make_items(dict(title="Go RSS pipeline"), dict(title="Ruby feed", description="skip dog"), dict(title="Other"))
-    out = filters.keyword_filter(df, ["rss", "go"], ["dog"], 2).collect()
-    assert [(r.title, r.keyword_score) for r in out] == [("Go RSS pipeline", 2)]
+    df = make_items(dict(title="Lake tables and columnar files"), dict(title="Columnar news", description="paid lake tour"),
+                    dict(title="Tables only"), dict(title="Nothing here"))
+    out = filters.keyword_filter(df, ["columnar", "lake", "tables"], ["paid"], 2).collect()
+    assert [(r.title, r.keyword_score) for r in out] == [("Lake tables and columnar files", 3)]
 
 
 def test_keyword_min_score_without_include_drops_all(make_items):
@@ -22,14 +23,15 @@ def test_keyword_blank_include_drops_all(make_items):
 
 
 def test_keyword_duplicate_pattern_counts_twice(make_items):
-    df = make_items(dict(title="go"))
-    assert filters.keyword_filter(df, ["go", "GO "], [], 0).first().keyword_score == 2
+    df = make_items(dict(title="tide"))
+    assert filters.keyword_filter(df, ["tide", "TIDE "], [], 0).first().keyword_score == 2
 
 
 def test_domain_filter(make_items):
-    df = make_items(dict(url="https://sub.example.com/a"), dict(url="https://evil.example.net/a"))
-    out = filters.domain_filter(df, ["example.com"], []).collect()
-    assert [(r.url, r.domain) for r in out] == [("https://sub.example.com/a", "sub.example.com")]
+    df = make_items(dict(url="https://blog.harbor.test/7"), dict(url="https://harbor.test.invalid/7"), dict(url="https://harbor.test/8"))
+    out = filters.domain_filter(df, ["harbor.test"], []).orderBy("pos").collect()
+    assert [(r.url, r.domain) for r in out] == [("https://blog.harbor.test/7", "blog.harbor.test"),
+                                                ("https://harbor.test/8", "harbor.test")]
 
 
 def test_domain_filter_empty_domain(make_items):
@@ -51,19 +53,19 @@ def test_time_window(make_items):
 def test_hotness_fav_user_rank(spark, make_items, make_comments):
     df = make_items(dict(title="low", url="https://e/low", bookmark_count="1",
                          published_at=NOW - dt.timedelta(hours=24)),
-                    dict(title="high", url="https://e/high", bookmark_count="10",
-                         published_at=NOW - dt.timedelta(hours=1)))
-    comments = make_comments(dict(url="https://e/low", user="bob"), dict(url="https://e/high", user="alice"),
-                             dict(url="https://e/high", user="Alice"))
+                    dict(title="high", url="https://e/high", bookmark_count="14",
+                         published_at=NOW - dt.timedelta(hours=3)))
+    comments = make_comments(dict(url="https://e/low", user="ines"), dict(url="https://e/high", user="oto"),
+                             dict(url="https://e/high", user="Oto"))
     enriched = enrich.bookmark_enrich(df, spark.createDataFrame([], "url string, count string"), comments)
     enriched = enriched.drop("bookmark_count").join(df.select("pos", "bookmark_count"), "pos")
     hot = rank.hotness_score(enriched, NOW)
-    fav = filters.fav_user(hot, comments, [" ALICE "])
+    fav = filters.fav_user(hot, comments, [" OTO "])
     out = rank.rank(fav, "hotness").collect()
-    assert [(r.title, r.fav_users) for r in out] == [("high", "alice")]
+    assert [(r.title, r.fav_users) for r in out] == [("high", "oto")]
     scores = {r.title: r.hotness_score for r in hot.collect()}
     assert scores["low"] == round(1.5 + 2.0 + 10 * 24 / 48, 3)
-    assert scores["high"] == round(15 + 4.0 + 10 * 24 / 25, 3)
+    assert scores["high"] == round(21 + 4.0 + 10 * 24 / 27, 3)
 
 
 def test_hotness_missing_time_uses_24h(make_items):
@@ -142,10 +144,10 @@ def test_fav_user_with_watch_table(spark, make_items, make_comments):
 
 
 def test_domain_filter_with_tables_matches_lists(spark, make_items):
-    urls = ["https://sub.example.com/a", "https://evil.example.net/a", "https://www.example.org/x",
-            "https://spam.example.org/y", "", "https://m.badexample.com/z"]
+    urls = ["https://blog.harbor.test/7", "https://harbor.test.invalid/7", "https://www.pier.test/x",
+            "https://ads.pier.test/y", "", "https://m.notharbor.test/z"]
     df = make_items(*[dict(url=u) for u in urls])
-    inc, exc = ["example.com", "WWW.example.org"], ["spam.example.org"]
+    inc, exc = ["harbor.test", "WWW.pier.test"], ["ads.pier.test"]
     table = lambda xs: spark.createDataFrame([(x,) for x in xs], "d string")
     for i, e in [(inc, exc), ([], exc), (inc, [])]:
         want = sorted((r.pos, r.domain) for r in filters.domain_filter(df, i, e).collect())
@@ -153,21 +155,17 @@ def test_domain_filter_with_tables_matches_lists(spark, make_items):
         assert got == want
 
 
-def test_keyword_many_patterns_matches_contains_chain(spark, make_items):
+def test_keyword_long_lists_equal_python(spark, make_items):
     import random
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(150)]
-    df = make_items(*[dict(title=" ".join(rnd.sample(words, 5)), description=rnd.choice(["", "spam w7"]))
-                      for _ in range(40)])
-    include = words[:100] + ["w3"]          # > 64 patterns (Aho-Corasick path); w3 counted twice
-    exclude = [f"x{i}" for i in range(70)] + ["spam"]
-    big = sorted((r.pos, r.keyword_score) for r in filters.keyword_filter(df, include, exclude).collect())
-    # the same rule evaluated pattern by pattern
-    from feedloom.functions import text as T
-    old = T.MANY_PATTERNS
-    try:
-        filters.MANY_PATTERNS = 10_000
-        small = sorted((r.pos, r.keyword_score) for r in filters.keyword_filter(df, include, exclude).collect())
-    finally:
-        filters.MANY_PATTERNS = old
-    assert big == small and len(big) > 0
+    rows = [dict(title=" ".join(rnd.sample(words, 5)), description=rnd.choice(["", "spam w7"])) for _ in range(40)]
+    include, exclude = words[:100] + ["w3"], [f"x{i}" for i in range(70)] + ["spam"]   # w3 counts twice
+    want = []
+    for i, r in enumerate(rows):
+        text = f"{r['title']} {r['description']}"
+        score = sum(p in text for p in include)
+        if score and not any(p in text for p in exclude):
+            want.append((i, score))
+    got = sorted((r.pos, r.keyword_score) for r in filters.keyword_filter(make_items(*rows), include, exclude).collect())
+    assert got == want and got

@@ -4,10 +4,10 @@ from feedloom.operators import lint
 from feedloom.sources import feeds, jsonl
 
 RSS = ('<?xml version="1.0"?><rss version="2.0"><channel><title>{t}</title>'
-       '<item><title>{i}</title><link>https://example.com/{i}</link><guid>g-{i}</guid>'
+       '<item><title>{i}</title><link>https://pier.test/{i}</link><guid>g-{i}</guid>'
        '<pubDate>Mon, 02 Jan 2006 15:04:05 -0700</pubDate><category>c1</category></item></channel></rss>')
 ATOM = ('<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>{t}</title>'
-        '<entry><title>{i}</title><link href="https://example.com/{i}"/><id>urn:{i}</id>'
+        '<entry><title>{i}</title><link href="https://pier.test/{i}"/><id>urn:{i}</id>'
         '<updated>2024-01-02T03:04:05Z</updated></entry></feed>')
 
 
@@ -27,21 +27,21 @@ def test_parse_rss_atom_rss(spark):
     text = RSS.format(t="A", i="1") + ATOM.format(t="B", i="2") + RSS.format(t="C", i="3")
     items = feeds.feed_items(feeds.parse_feeds(_chunks(spark, text))).orderBy("pos").collect()
     assert [(r.title, r.source, r.url) for r in items] == [
-        ("1", "A", "https://example.com/1"), ("2", "B", "https://example.com/2"), ("3", "C", "https://example.com/3")]
+        ("1", "A", "https://pier.test/1"), ("2", "B", "https://pier.test/2"), ("3", "C", "https://pier.test/3")]
     assert items[0].id == "g-1" and items[0].categories == ["c1"]
     assert items[0].published_at.isoformat() == "2006-01-02T22:04:05"
     assert items[1].updated_at is not None and items[1].published_at is None
 
 
 def test_parse_skips_bad_chunk(spark):
-    text = "not xml</rss>" + RSS.format(t="A", i="1")
+    text = "plain words </rss>" + RSS.format(t="A", i="1")
     docs = feeds.parse_feeds(_chunks(spark, text))
     assert feeds.feed_items(docs).count() == 1
     assert [r.valid for r in docs.orderBy("chunk_idx").collect()] == [False, True]
 
 
 def test_lint(spark):
-    text = RSS.format(t="A", i="1") + "not xml</rss>\n  \n"
+    text = RSS.format(t="A", i="1") + "plain words </rss>\n  \n"
     docs = feeds.parse_feeds(_chunks(spark, text))
     r = lint.lint(docs).first()
     assert (r.total, r.valid, r.invalid, r.ok) == (2, 1, 1, False)
@@ -68,25 +68,25 @@ def test_read_feed_files(spark, tmp_path):
 
 def test_jsonl_read(spark, tmp_path):
     p = tmp_path / "items.jsonl"
-    p.write_text('{"schema_version":"feedloom.feed_item.v1","url":"https://example.com/a?utm_source=x","title":"A"}\n'
+    p.write_text('{"schema_version":"feedloom.feed_item.v1","url":"https://pier.test/log?utm_source=mail","title":"Log"}\n'
                  "\n"
-                 '{"url":"https://example.com/b","title":"B","published_at":"2026-05-20T10:00:00Z"}\n')
+                 '{"url":"https://pier.test/crew","title":"Crew","published_at":"2025-11-02T07:30:00Z"}\n')
     rows = jsonl.read_items_jsonl(spark, str(p)).orderBy("pos").collect()
     assert [(r.title, r.normalized_url, r.id) for r in rows] == [
-        ("A", "https://example.com/a", "https://example.com/a"), ("B", "https://example.com/b", "https://example.com/b")]
+        ("Log", "https://pier.test/log", "https://pier.test/log"), ("Crew", "https://pier.test/crew", "https://pier.test/crew")]
     assert rows[1].published_at is not None
 
 
 def test_jsonl_unknown_version_fails(spark, tmp_path):
     p = tmp_path / "bad.jsonl"
-    p.write_text('{"schema_version":"feedloom.feed_item.v999","url":"x"}\n')
+    p.write_text('{"schema_version":"another.item.v7","url":"https://pier.test/1"}\n')
     with pytest.raises(Exception, match="unsupported schema_version"):
         jsonl.read_items_jsonl(spark, str(p)).collect()
 
 
 def test_jsonl_broken_line_fails(spark, tmp_path):
     p = tmp_path / "broken.jsonl"
-    p.write_text('{"url":"x"}\n{broken\n')
+    p.write_text('{"url":"https://pier.test/1"}\n["no item"\n')
     with pytest.raises(Exception, match="invalid record"):
         jsonl.read_items_jsonl(spark, str(p)).collect()
 
@@ -100,7 +100,7 @@ def test_comments_from_bodies(spark):
 
 
 def test_lint_feed_bodies(spark):
-    bodies = spark.createDataFrame([("https://f/a", RSS.format(t="A", i="1")), ("https://f/b", "not xml</rss>"),
+    bodies = spark.createDataFrame([("https://f/a", RSS.format(t="A", i="1")), ("https://f/b", "plain words </rss>"),
                                     ("https://f/c", None), ("https://f/d", "<html><body>x</body></html>")],
                                    "feed_url string, body string")
     res = lint.lint_feed_bodies(bodies)

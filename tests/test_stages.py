@@ -22,7 +22,7 @@ def test_build_stages_errors():
         S.build_stages({"stages": [{"type": "time_window"}]})
     with pytest.raises(ValueError, match="invalid timeout"):
         S.build_stages({"stages": [{"type": "plugin", "command": "x", "timeout": "soon"}]})
-    with pytest.raises(ValueError, match="must be JSON"):
+    with pytest.raises(ValueError, match="cannot read the stage list"):
         S.build_stages("{not json")
 
 
