@@ -27,6 +27,19 @@ def comment_counts(comments: DataFrame, on: str = "url") -> DataFrame:
     return comments.groupBy(on).agg(F.count("*").alias("comment_count"))
 
 
+def lookup_key(on: str = "url") -> F.Column:
+    """The column that items are looked up by.  Blank links are never found;
+    they get keys of their own, so that they do not meet in one task."""
+    return F.when(F.coalesce(F.col(on).cast("string"), F.lit("")) == "", F.concat(
+        F.lit("\u0000"), F.col("pos").cast("string"))).otherwise(F.col(on).cast("string"))
+
+
+def with_lookup(items: DataFrame, table: DataFrame, on: str = "url") -> DataFrame:
+    """``items`` left joined with ``table`` by link."""
+    table = table.withColumn("_lk", F.col(on).cast("string")).drop(on)
+    return items.withColumn("_lk", lookup_key(on)).join(table, "_lk", "left").drop("_lk")
+
+
 def bookmark_enrich(items: DataFrame, counts: DataFrame, comments: DataFrame,
                     on: str = "url") -> DataFrame:
     """Attach ``bookmark_count`` (text) and ``comment_count`` by raw link.
@@ -41,7 +54,7 @@ def bookmark_enrich(items: DataFrame, counts: DataFrame, comments: DataFrame,
     c = c.select(F.col(on), F.col("count").alias("_cnt"))
     cc = comment_counts(comments, on)
     base = items.drop(*[x for x in ("comment_count",) if x in items.columns])
-    j = base.join(c, on, "left").join(cc, on, "left")
+    j = with_lookup(with_lookup(base, c, on), cc, on)
     looked_up = F.coalesce(F.col(on), F.lit("")) != ""
     body = go_trim(F.col("_cnt"))
     count = F.when(~looked_up | F.col("_cnt").isNull(), F.lit("")).when(body == "", F.lit("0")).otherwise(body)
@@ -79,7 +92,7 @@ def comment_tags(comments: DataFrame, on: str = "url") -> DataFrame:
 def tag_enrich(items: DataFrame, comments: DataFrame, on: str = "url") -> DataFrame:
     """categories = existing ++ comment tags, trimmed, blanks dropped,
     case-sensitive distinct keeping first occurrence."""
-    j = items.join(comment_tags(comments, on), on, "left")
+    j = with_lookup(items, comment_tags(comments, on), on)
     merged = F.concat(F.coalesce(F.col("categories"), F.array().cast("array<string>")),
                       F.coalesce(F.col("_tags"), F.array().cast("array<string>")))
     merged = F.array_distinct(F.filter(F.transform(merged, lambda x: go_trim(x)), lambda x: x != ""))
@@ -127,7 +140,7 @@ def ogp_enrich(items: DataFrame, pages: DataFrame) -> DataFrame:
     when empty (og value first, then the plain one); a failed lookup sets
     ``ogp_error`` and keeps the row; empty links pass untouched."""
     meta = page_meta(pages).drop("status")
-    j = items.join(meta.withColumn("_hit", F.lit(True)), "url", "left")
+    j = with_lookup(items, meta.withColumn("_hit", F.lit(True)))
     looked = F.coalesce(F.col("url"), F.lit("")) != ""
     ok = looked & F.col("_hit").isNotNull() & F.col("_err").isNull()
     out = j.withColumn("ogp_error", F.when(looked & F.col("_hit").isNull(), F.lit(MISSING_PAGE_ERROR))
@@ -156,7 +169,7 @@ def content_enrich(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Left join readable text by link: overwrite ``content`` and set
     ``content_text`` (even when empty); a failure sets ``content_error``."""
     t = page_text(pages).withColumn("_hit", F.lit(True))
-    j = items.join(t, "url", "left")
+    j = with_lookup(items, t)
     looked = F.coalesce(F.col("url"), F.lit("")) != ""
     ok = looked & F.col("_hit").isNotNull() & F.col("_err").isNull()
     return (j.withColumn("content_error", F.when(looked & F.col("_hit").isNull(), F.lit(MISSING_PAGE_ERROR))

@@ -884,10 +884,125 @@ def q_archive_roundtrip(spark, sf_dir):
     items = _items(spark, sf_dir).withColumn(
         "feed_link", F.concat(F.lit("https://feeds.example.com/"), F.col("source")))
     _sink_tables.write_archive(items, path)
-    back = spark.read.parquet(f"{path}/v={_sink_tables.versions(spark, path)[-1]}")
+    schema = items.withColumn("feed_key", F.lit("")).schema
+    back = _sink_tables.read_archive(spark, path, schema)
     return back.select("pos", "url", "title", _fmt_ts(F.col("published_at")).alias("published"), "feed_key")
 
 
+@register("archive_of_feed", S.with_(S.ITEMS_CTE) + """
+select pos, url, strftime(published_at, '%Y-%m-%d %H:%M:%S') as published,
+  row_number() over (order by published_at desc nulls last, pos) as rank from items where source = 'src3'""")
+def q_archive_of_feed(spark, sf_dir):
+    """One feed of the archive, newest first."""
+    path = work_dir(spark, "archive")
+    items = _items(spark, sf_dir).withColumn("feed_link", F.concat(F.lit("https://feeds.example.com/"), F.col("source")))
+    _sink_tables.write_archive(items, path)
+    schema = items.withColumn("feed_key", F.lit("")).schema
+    feed = _sink_tables.read_archive(spark, path, schema, "feeds.example.com/src3")
+    ranked = rank.with_rank(feed, rank.rank_order(feed, "published"))
+    return ranked.select("pos", "url", _fmt_ts(F.col("published_at")).alias("published"), "rank")
+
+
+@register("function_stage", S.with_(S.ITEMS_CTE) + """
+select pos, url, upper(source) as source_label, 'of ' || upper(source) as reading_reason from items where source <> ''""")
+def q_function_stage(spark, sf_dir):
+    """User functions as stages, chained with a built-in one."""
+    chain = [_stages.FunctionStage("label", lambda df: df.withColumn("source", F.upper("source"))),
+             _stages.SourceLabelStage(""),
+             _stages.FunctionStage("reason", lambda df: df.filter(F.col("source_label").isNotNull()).withColumn(
+                 "reading_reason", F.concat(F.lit("of "), F.col("source_label"))))]
+    out = _stages.run_stages(_items(spark, sf_dir), chain, _stages.Context(now=NOW))
+    return out.select("pos", "url", "source_label", "reading_reason")
+
+
+@register("explain_edges", S.with_(S.ITEMS_CTE) + """
+select 'none' as which, 'rss' as output, true as kept, 'no filter/rank criteria' as reasons, count(*) as n from items
+union all select 'rank', 'atom', false, 'rank: unsupported rank sideways', count(*) from items
+union all select 'dry', 'rss', true, 'diff: would drop items present in the existing set', count(*) from items
+union all select 'error', 'rss', true, 'pipeline error: bad flag | no filter/rank criteria', count(*) from items""")
+def q_explain_edges(spark, sf_dir):
+    """Explain without stages, with an unsupported rank, with a dry-run stage,
+    with a builder error, and with another output name."""
+    from .. import reasons as R
+    items = _items(spark, sf_dir)
+    ctx = _stages.Context(now=NOW)
+    runs = {"none": _explain_items(items, [], ctx),
+            "rank": _explain_items(items, [_stages.RankStage("sideways")], ctx, output="atom"),
+            "dry": _explain_items(items, [_stages.DiffStage(items)], ctx),
+            "error": _explain_items(items, [], ctx, errors=["bad flag"])}
+    out = None
+    for which, ex in runs.items():
+        text = F.regexp_replace(F.array_join("reasons", " | "), "^" + R.BUILDER_ERROR, "pipeline error: ")
+        part = ex.groupBy(F.lit(which).alias("which"), "output", "kept", text.alias("reasons")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("null_rows", "select count(*) as n from documents")
+def q_null_rows(spark, sf_dir):
+    """Rows without an item among the documents' items are skipped."""
+    from ..operators.items import drop_null_rows
+    docs = tables.read_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit(tables.DOCUMENT_LINK), F.col("doc_id").cast("string")).alias("url"),
+        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("id"))
+    nothing = docs.select(*[F.lit(None).cast("string").alias(c) for c in docs.columns])
+    return drop_null_rows(docs.unionByName(nothing)).agg(F.count("*").alias("n"))
+
+
+@register("score_text", """
+select doc_id, cast(round(n_chars / 7.0, 3) as double) as score, 0.0::double as junk, 0.0::double as missing from documents""")
+def q_score_text(spark, sf_dir):
+    """Scores written as text and read back; junk and missing text count 0."""
+    from ..functions.text import format_score, parse_score
+    docs = tables.read_table(spark, sf_dir, "documents")
+    text = format_score(F.round(F.col("n_chars") / 7.0, 3).cast("double"))
+    return docs.select("doc_id", parse_score(text).alias("score"), parse_score(F.concat(F.lit("x"), text)).alias("junk"),
+                       parse_score(F.lit(None).cast("string")).alias("missing"))
+
+
+@register("strict_printable", r"""
+select doc_id, sha256(regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}\p{N}\p{P}\p{S} ]', '', 'g')) as printable from documents""")
+def q_strict_printable(spark, sf_dir):
+    from ..sources.feeds import clean_chunk
+    docs = tables.read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2(clean_chunk(F.coalesce("text", F.lit("")), strict_printable=True), 256).alias("printable"))
+
+
+@register("json_array", S.with_(S.ITEMS_CTE) + """
+select url, title, nkey as normalized_url, source from items""")
+def q_json_array(spark, sf_dir):
+    """Items as one JSON array, its element lines read back."""
+    doc = _jsonl.json_array_lines(_items(spark, sf_dir))
+    line = F.regexp_replace(F.col("line"), "^(  |, )", "")
+    get = lambda k: F.coalesce(F.get_json_object(line, f"$.{k}"), F.lit(""))
+    return doc.filter("k1 = 1").select(*[get(k).alias(k) for k in ("url", "title", "normalized_url", "source")])
+
+
+@register("feed_bodies", """
+select 'https://pier.test/' || doc_id as url, 'item ' || doc_id as title, 'feed ' || coalesce(source, '') as source from documents
+where coalesce(lang, '') <> 'es'""")
+def q_feed_bodies(spark, sf_dir):
+    """One captured feed per document; feeds that were not captured are skipped."""
+    docs = tables.read_table(spark, sf_dir, "documents")
+    id_text = F.col("doc_id").cast("string")
+    body = F.concat(F.lit('<rss version="2.0"><channel><title>feed '), F.coalesce("source", F.lit("")), F.lit("</title><item><title>item "),
+                    id_text, F.lit("</title><link>https://pier.test/"), id_text, F.lit("</link></item></channel></rss>"))
+    bodies = docs.select(F.concat(F.lit("https://pier.test/feed/"), id_text).alias("feed_url"),
+                         F.when(F.coalesce("lang", F.lit("")) != "es", body).alias("body"))
+    return _src_feeds.feed_bodies_items(bodies).select("url", "title", "source")
+
+
+@register("comment_bodies", S.with_(S.EVENTS_CTE) + """
+select url, "user", comment, ts_text as "timestamp", tag from comments""")
+def q_comment_bodies(spark, sf_dir):
+    """Captured comment responses, one comment each, read into the comments table."""
+    from ..sources.snapshots import comments_from_bodies
+    c = tables.comments_view(spark, sf_dir)
+    body = F.to_json(F.struct(F.array(F.struct("user", "comment", "timestamp", "tags")).alias("bookmarks")))
+    got = comments_from_bodies(c.select("url", body.alias("body")))
+    return got.select("url", "user", "comment", "timestamp", F.array_join("tags", ",").alias("tag"))
+
+
 def _atom_sql():
     from ..sinks.feeds import FEED_DESCRIPTION, FEED_TITLE
     head = ('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>'

@@ -90,3 +90,22 @@ def test_chain_stages_order():
     st = S.chain_stages({"stages": [{"type": "normalize"}, {"type": "merge"}]}, ["summary"],
                         include=["go"], rank_by="hotness")
     assert [s.name for s in st] == ["normalize", "merge", "summary", "keyword_filter", "hotness_score", "rank"]
+
+
+def test_time_window_runs_before_expensive_filters(spark, make_items, tmp_path):
+    import datetime as dt
+
+    from conftest import NOW
+    from feedloom.operators.explain import explain_items
+    df = make_items(dict(title="tide new", url="https://pier.test/1", published_at=NOW - dt.timedelta(hours=1)),
+                    dict(title="tide old", url="https://pier.test/2", published_at=NOW - dt.timedelta(hours=48)))
+    path = str(tmp_path / "items")
+    df.write.parquet(path)
+    stored = spark.read.parquet(path)
+    chain = S.filter_rank_stages(include=["tide"], include_domain=["pier.test"], since="24h", now=NOW)
+    out = S.run_stages(stored, chain, S.Context(now=NOW))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(published_at" in plan
+    assert [r.title for r in out.collect()] == ["tide new"]
+    first = explain_items(stored, chain, S.Context(now=NOW)).orderBy("pos").first()
+    assert [s.stage for s in first.stages] == ["keyword_filter", "domain_filter", "time_window_filter"]

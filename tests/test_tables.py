@@ -82,3 +82,66 @@ def test_feed_bodies_strict(spark):
     bodies = spark.createDataFrame([("https://f/1", None)], "feed_url string, body string")
     with pytest.raises(Exception, match="feed fetch failed"):
         feed_bodies_items(bodies, strict=True).collect()
+
+
+def test_a_broken_version_does_not_stop_later_saves(spark, tmp_path):
+    from feedloom.sinks import tables
+    path = str(tmp_path / "state")
+    df = spark.createDataFrame([("k", "t", "T1")], "entry_key string, last_comment_timestamp string, thread_id string")
+    assert tables.write_next(df, path) == 1
+    (tmp_path / "state" / "v=2").mkdir()
+    (tmp_path / "state" / "v=2" / "part-0").write_text("left behind")
+    assert tables.write_next(df, path) == 3
+    assert tables.versions(spark, path) == [1, 3]
+    assert tables.read_latest(spark, path, df.schema).count() == 1
+
+
+def test_outbox_keeps_one_of_equal_messages(spark, tmp_path):
+    from feedloom.sinks import tables
+    path = str(tmp_path / "outbox")
+    rows = spark.createDataFrame([("m1", "a"), ("m1", "a"), ("m2", "b")], "message_id string, text string")
+    tables.append_outbox(rows, path)
+    tables.append_outbox(rows, path)
+    assert sorted(r.message_id for r in spark.read.parquet(path).collect()) == ["m1", "m2"]
+
+
+def test_archive_of_one_feed_is_newest_first(spark, make_items, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from feedloom.sinks import tables
+    df = make_items(*[dict(url=f"https://pier.test/{i}", published_at=None if i == 3 else dt.datetime(2025, 1, 1 + i * 5 % 9))
+                      for i in range(8)]).withColumn("feed_link", F.lit("https://pier.test/feed"))
+    path = str(tmp_path / "archive")
+    tables.write_archive(df.unionByName(df.withColumn("feed_link", F.lit("https://other.test/feed"))), path)
+    got = tables.read_archive(spark, path, df.withColumn("feed_key", F.lit("")).schema, "pier.test/feed").collect()
+    times = [r.published_at for r in got]
+    assert len(got) == 8 and times[-1] is None and times[:-1] == sorted(times[:-1], reverse=True)
+
+
+def test_unions_of_unions_do_not_collide(make_items):
+    from feedloom.operators.dedup import merge_items
+    from feedloom.operators.items import union_ordered
+    one = lambda t, u="https://pier.test/a": make_items(dict(title=t, url=u))
+    three = union_ordered(union_ordered(one("first"), one("second")), one("third"))
+    assert [r.title for r in three.orderBy("pos").collect()] == ["first", "second", "third"]
+    assert three.select("pos").distinct().count() == 3
+    assert [r.title for r in merge_items(three).collect()] == ["first"]
+
+
+def test_many_files_are_read_in_order_of_name(spark, tmp_path):
+    from feedloom.operators.dedup import merge_items
+    from feedloom.sources.jsonl import read_items_jsonl
+    (tmp_path / "a.jsonl").write_text('{"url":"https://pier.test/a","title":"small"}\n')
+    (tmp_path / "b.jsonl").write_text("".join(
+        f'{{"url":"https://pier.test/{"a" if i == 900 else i}","title":"large {i}"}}\n' for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        items = read_items_jsonl(spark, str(tmp_path))
+        titles = [r.title for r in items.orderBy("pos").collect()]
+        won = {r.url: r.title for r in merge_items(items).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert titles == ["small"] + [f"large {i}" for i in range(2000)]
+    assert won["https://pier.test/a"] == "small"
