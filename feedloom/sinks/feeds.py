@@ -86,13 +86,15 @@ def feed_lines(items: DataFrame, comments: DataFrame | None = None, now: _dt.dat
                + FEED_TITLE + "</title><id></id><updated>" + now.strftime("%Y-%m-%dT%H:%M:%SZ")
                + "</updated><subtitle>" + FEED_DESCRIPTION + "</subtitle>"]
         bottom = ["</feed>"]
+    # both ends of an item come out of one pass over the enriched rows
+    ends = it.select("_ord", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("k3"), head.alias("line")),
+                                               F.struct(F.lit(1 << 62).alias("k3"), foot.alias("line")))).alias("_l"))
     parts = [D.header(spark, *top, k1=0),
-             D.lines(it, head, 1, F.col("_ord"), 0),
-             D.lines(it, foot, 1, F.col("_ord"), F.lit(1 << 62)),
+             D.lines(ends, F.col("_l.line"), 1, F.col("_ord"), F.col("_l.k3")),
              D.header(spark, *bottom, k1=2)]
     if comments is not None:
         c = comments.filter(F.coalesce(F.col("comment"), F.lit("")) != "").join(
-            it.select(on, "_ord"), on)
+            items.select(on, order.alias("_ord")), on)
         li = xml_escape(F.concat(F.lit("<li>"), F.col("user"), F.lit(" ("), F.col("timestamp"),
                                  F.lit("): "), F.col("comment"), F.lit("</li>")))
         parts.append(D.lines(c, li, 1, F.col("_ord"), F.col("ord") + 1))

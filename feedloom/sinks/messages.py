@@ -48,19 +48,18 @@ def dry_run_lines(items: DataFrame, channel: str = "") -> DataFrame:
     """Document rows of the posting plan: a header with the number of posts,
     then ``N. message title="..." url="..."`` per item in input order and,
     for items with a count, the count and comment-count line."""
-    spark = items.sparkSession
     ch = channel or FM.UNSET_CHANNEL
     head = items.agg(F.count("*").alias("n")).select(
         F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).cast("long").alias("k3"),
         F.format_string(FM.DRY_RUN_HEADER.replace("%s", ch.replace("%", "%%")), F.col("n")).alias("line"))
-    numbered = with_rank(items, [F.col("pos").asc()], "_n")
+    narrow = [c for c in ("pos", "title", "url", "bookmark_count", "comment_count") if c in items.columns]
+    numbered = with_rank(items.select(*narrow), [F.col("pos").asc()], "_n")
     cnt = F.coalesce(F.col("bookmark_count"), F.lit("")) if "bookmark_count" in items.columns else F.lit("")
     first = D.lines(numbered, F.concat(F.col("_n").cast("string"), F.lit(FM.DRY_RUN_ITEM), go_quote("title"),
                                        F.lit(" url="), go_quote("url")), 1, F.col("_n"), 0)
     second = D.lines(numbered.filter(cnt != ""),
                      F.concat(F.lit(FM.DRY_RUN_COUNT), cnt, F.lit(FM.DRY_RUN_COMMENTS),
                               comment_count_col(numbered).cast("string")), 1, F.col("_n"), 1)
-    del spark
     return head.unionByName(first).unionByName(second)
 
 
