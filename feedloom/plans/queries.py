@@ -743,20 +743,21 @@ def q_stream_jsonl_ingest(spark, sf_dir):
 select 'comment' as kind, entry_key, thread_id, "user", strftime(ct, '%Y-%m-%dT%H:%M:%SZ') as comment_time,
   '*' || "user" || '* さん: ' || comment as text,
   sha256(entry_key || '|' || "user" || '|' || ts_text || '|' || comment) as message_id
-from newc""")
+from newc
+union all select 'parent', entry_key, thread_id, null, null, description, thread_id from ent where not (by_key or by_url)""")
 def q_stream_comment_delta(spark, sf_dir):
     """Comments arrive as a stream; per-entry state (last time sent) lives
     in ``applyInPandasWithState``; entries/state lookups are static."""
     src, out, ck = work_dir(spark, "comments"), work_dir(spark, "outbox"), work_dir(spark, "ck")
     tables.comments_view(spark, sf_dir).repartitionByRange("ord").write.parquet(src)
     items = _items(spark, sf_dir)
-    entries = _delta._entries(items, tables.prior_state_view(spark, sf_dir))
+    entries = _delta._entries(items, tables.prior_state_view(spark, sf_dir)).checkpoint(eager=True)
     links = items.select("url", _delta.entry_key("url").alias("entry_key")).distinct()
     lookup = links.join(entries.select("entry_key", "last_time", "thread_id"), "entry_key")
     lookup = lookup.checkpoint(eager=True)   # static side: computed once, not per micro-batch
     stream = _stream.read_comments_stream(spark, src)
     _stream.run_available_now(_stream.comment_delta_stream(stream, lookup), ck, fmt="parquet", path=out)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).unionByName(_stream.opening_messages(entries))
 
 
 @register("stream_dedup_archive", S.with_(S.ITEMS_CTE) + """

@@ -103,6 +103,16 @@ def comment_delta_stream(comments_stream: DataFrame, entries: DataFrame) -> Data
         _delta_fn, DELTA_OUT, DELTA_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def opening_messages(entries: DataFrame) -> DataFrame:
+    """Parent messages of the entries without state, in ``DELTA_OUT`` shape: sent
+    once when the stream starts, so that replies find their thread.  ``entries``
+    is the lookup of the batch job, one row per entry."""
+    nothing = F.lit(None).cast("string")
+    return entries.filter(~F.col("exists")).select(
+        F.lit("parent").alias("kind"), "entry_key", "thread_id", nothing.alias("user"), nothing.alias("comment_time"),
+        F.col("description").alias("text"), F.col("thread_id").alias("message_id"))
+
+
 def read_comments_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(COMMENTS_SCHEMA)
     if max_files_per_trigger:
