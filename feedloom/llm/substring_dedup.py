@@ -118,8 +118,8 @@ def factors(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
     long_ones = placed.where("ref.doc_id < doc_id").select(
         "doc_id", "start", "n", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     # Stretches in the first document that has them: held against the block's other stretches by window.
-    several = first.groupBy("key").agg(F.min("ref.doc_id").alias("lo"), F.max("ref.doc_id").alias("hi")) \
-        .where("lo < hi").select("key")
+    several = saved(first.groupBy("key").agg(F.min("ref.doc_id").alias("lo"), F.max("ref.doc_id").alias("hi"))
+                    .where("lo < hi").select("key"), "several")
     open_ones = placed.where("ref.doc_id = doc_id").join(several, "key", "left_semi") \
         .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("todo"))
     single = saved(_windows(docs.join(open_ones, "doc_id"), window), "windows")
