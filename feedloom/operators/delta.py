@@ -139,6 +139,16 @@ def plan_totals(plan: DataFrame) -> DataFrame:
                     F.coalesce(F.sum("new_comments"), F.lit(0)).cast("long").alias("comment_posts"))
 
 
+def delivery_totals(outbox: DataFrame, delivered: DataFrame) -> DataFrame:
+    """One row: parents_sent, comments_sent, failed, job_failed.  A message that
+    ``delivered(message_id, ok)`` does not report has failed."""
+    ob = outbox.join(delivered, "message_id", "left").withColumn("ok", F.coalesce(F.col("ok"), F.lit(False)))
+    t = ob.agg(F.count_if(F.col("ok") & (F.col("kind") == "parent")).alias("parents_sent"),
+               F.count_if(F.col("ok") & (F.col("kind") == "comment")).alias("comments_sent"),
+               F.count_if(~F.col("ok")).alias("failed"))
+    return t.withColumn("job_failed", F.col("failed") > 0)
+
+
 def state_after_delivery(state: DataFrame, result: DeltaResult, delivered: DataFrame) -> DataFrame:
     """State after a delivery attempt.
 

@@ -38,6 +38,16 @@ def merge_lint(*results: DataFrame) -> DataFrame:
                  F.sum("invalid").alias("invalid")).withColumn("ok", F.col("invalid") == 0)
 
 
+def merge_lint_errors(*errors: DataFrame) -> DataFrame:
+    """Error lists of several lint runs as one: (run, source, n, error_line), the
+    runs in the order given."""
+    parts = [e.select(F.lit(i).alias("run"), "source", "n", "error_line") for i, e in enumerate(errors)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def lint_report(docs: DataFrame) -> DataFrame:
     """Report lines (ord, line): the counter line, then ``- feed N: msg``
     lines in source order; an ordered write of ``line`` gives the text."""

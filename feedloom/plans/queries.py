@@ -435,6 +435,20 @@ def q_plan_totals(spark, sf_dir):
     return _delta.plan_totals(_delta_result(spark, sf_dir).plan)
 
 
+@register("delivery_totals", _DELTA_CTE + """
+, sent as (select 'parent' as kind, not contains(entry_key, 'spam') as ok from ent where not (by_key or by_url)
+  union all select 'comment', not contains(comment, 'cart') from newc)
+select count(*) filter (where ok and kind = 'parent') as parents_sent, count(*) filter (where ok and kind = 'comment') as comments_sent,
+  count(*) filter (where not ok) as failed, count(*) filter (where not ok) > 0 as job_failed from sent""")
+def q_delivery_totals(spark, sf_dir):
+    """Totals of a delivery in which some messages failed or were not reported."""
+    outbox = _delta_result(spark, sf_dir).outbox
+    parent = F.col("kind") == "parent"
+    reported = outbox.filter(~parent | ~F.contains("entry_key", F.lit("spam"))).select(
+        "message_id", F.when(parent, F.lit(True)).otherwise(~F.contains("text", F.lit("cart"))).alias("ok")).distinct()
+    return _delta.delivery_totals(outbox, reported)
+
+
 @register("comment_delta_state", _DELTA_CTE + """
 select entry_key,
   case when mx is not null and mx > strptime(last_txt, '%Y-%m-%dT%H:%M:%SZ')
@@ -969,6 +983,31 @@ def q_strict_printable(spark, sf_dir):
     return docs.select("doc_id", F.sha2(clean_chunk(F.coalesce("text", F.lit("")), strict_printable=True), 256).alias("printable"))
 
 
+@register("config_run", S.with_(S.ITEMS_CTE) + """
+select url, title, nkey as normalized_url from (
+  select *, row_number() over (partition by nkey order by pos) as rn from items) where rn = 1""")
+def q_config_run(spark, sf_dir):
+    """A whole config: two item files in, stages, JSON Lines out."""
+    path = work_dir(spark, "config")
+    items = _items(spark, sf_dir)
+    for name, part in (("a", items), ("b", tables.tracking_variants_view(spark, sf_dir))):
+        _jsonl.jsonl_records(part).orderBy("pos").select("line").write.text(f"{path}/{name}")
+    config = {"input": {"format": "jsonl", "urls": [f"{path}/a", f"{path}/b"]}, "output": {"type": "jsonl"},
+              "stages": [{"type": "normalize"}, {"type": "merge"}]}
+    out = _stages.run_config(spark, config, _stages.Context(now=NOW))
+    get = lambda k: F.coalesce(F.get_json_object("line", f"$.{k}"), F.lit(""))
+    return out.select(*[get(k).alias(k) for k in ("url", "title", "normalized_url")])
+
+
+@register("lint_merged", S.with_(S.ITEMS_CTE) + _BAD_DOCS_CTE + """
+select run, count(*) as errors from docs, (values (0), (1)) v(run) where bad = 1 group by run""")
+def q_lint_merged(spark, sf_dir):
+    """Error lists of two runs over the same feeds, merged."""
+    docs = _src_feeds.parse_feeds(_src_feeds.read_feed_text(spark, _feed_stream_dir(spark, sf_dir)))
+    errors = _lint.lint_errors(docs)
+    return _lint.merge_lint_errors(errors, errors).groupBy("run").agg(F.count("*").alias("errors"))
+
+
 @register("json_array", S.with_(S.ITEMS_CTE) + """
 select url, title, nkey as normalized_url, source from items""")
 def q_json_array(spark, sf_dir):

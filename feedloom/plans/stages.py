@@ -359,52 +359,54 @@ STAGE_ALIASES = {
 }
 
 
-def stage_from_spec(spec: dict) -> Stage:
-    raw = (spec.get("type") or "").strip() or (spec.get("name") or "").strip()
-    kind = STAGE_ALIASES.get(raw.lower())
-    if kind is None:
-        raise ValueError(f"unsupported pipeline stage {raw!r}")
-    if kind == "normalize":
-        return NormalizeStage()
-    if kind == "merge":
-        return MergeStage()
-    if kind == "hatena_bookmark":
-        return BookmarkStage()
-    if kind == "keyword":
-        return KeywordStage(spec.get("include"), spec.get("exclude"), spec.get("min_score", 0))
-    if kind == "domain":
-        return DomainStage(spec.get("include"), spec.get("exclude"))
-    if kind == "time_window":
-        since = spec.get("since") or ""
-        if not str(since).strip():
-            raise ValueError(f"{raw.lower()} stage requires since")
-        return TimeWindowStage(since)
-    if kind == "hotness":
-        return HotnessStage()
-    if kind == "min_hotness":
-        return MinHotnessStage(spec.get("min", 0.0))
-    if kind == "fav_user":
-        return FavUserStage(spec.get("users"))
-    if kind == "rank":
-        return RankStage(spec.get("by", ""))
-    if kind == "source_label":
-        return SourceLabelStage(spec.get("default_source", ""))
-    if kind == "tag":
-        return TagStage()
-    if kind == "ogp":
-        return OgpStage()
-    if kind == "content":
-        return ContentStage()
-    if kind == "summary":
-        return SummaryStage()
-    timeout = spec.get("timeout") or ""
+def _window_from(spec: dict) -> Stage:
+    if not str(spec.get("since") or "").strip():
+        raise ValueError(f"{_kind_text(spec).lower()} stage requires since")
+    return TimeWindowStage(spec["since"])
+
+
+def _command_from(spec: dict) -> Stage:
+    text = str(spec.get("timeout") or "").strip()
     try:
-        t = parse_duration(timeout) if str(timeout).strip() else 0
+        limit = f"{parse_duration(text)}ns" if text and parse_duration(text) else None
     except ValueError as e:
-        raise ValueError(f"invalid timeout for stage {raw!r}: {e}") from None
-    name = (spec.get("name") or "").strip() or (spec.get("type") or "").strip()
-    return ExternalCommandStage(name, spec.get("command", ""), spec.get("args"), spec.get("env"),
-                                f"{t}ns" if t else None, spec.get("stderr_limit", 0))
+        raise ValueError(f"invalid timeout for stage {_kind_text(spec)!r}: {e}") from None
+    label = next((v for v in (str(spec.get(k) or "").strip() for k in ("name", "type")) if v), "")
+    return ExternalCommandStage(label, spec.get("command", ""), spec.get("args"), spec.get("env"), limit,
+                                spec.get("stderr_limit", 0))
+
+
+# How a stage is built from its spec, by kind.
+_BUILDERS: dict[str, Callable[[dict], Stage]] = {
+    "content": lambda spec: ContentStage(),
+    "domain": lambda spec: DomainStage(spec.get("include"), spec.get("exclude")),
+    "fav_user": lambda spec: FavUserStage(spec.get("users")),
+    "hatena_bookmark": lambda spec: BookmarkStage(),
+    "hotness": lambda spec: HotnessStage(),
+    "keyword": lambda spec: KeywordStage(spec.get("include"), spec.get("exclude"), spec.get("min_score", 0)),
+    "merge": lambda spec: MergeStage(),
+    "min_hotness": lambda spec: MinHotnessStage(spec.get("min", 0.0)),
+    "normalize": lambda spec: NormalizeStage(),
+    "ogp": lambda spec: OgpStage(),
+    "plugin": _command_from,
+    "rank": lambda spec: RankStage(spec.get("by", "")),
+    "source_label": lambda spec: SourceLabelStage(spec.get("default_source", "")),
+    "summary": lambda spec: SummaryStage(),
+    "tag": lambda spec: TagStage(),
+    "time_window": _window_from,
+}
+
+
+def _kind_text(spec: dict) -> str:
+    return (spec.get("type") or "").strip() or (spec.get("name") or "").strip()
+
+
+def stage_from_spec(spec: dict) -> Stage:
+    text = _kind_text(spec)
+    kind = STAGE_ALIASES.get(text.lower())
+    if kind is None:
+        raise ValueError(f"unsupported pipeline stage {text!r}")
+    return _BUILDERS[kind](spec)
 
 
 def build_stages(config) -> list[Stage]:
@@ -467,3 +469,64 @@ def chain_stages(config=None, enrich=None, **filter_rank) -> list[Stage]:
     evaluates them in)."""
     return [*(build_stages(config) if config else []), *enrich_stages(enrich or []),
             *filter_rank_stages(**filter_rank)]
+
+
+# ------------------------------------------------------------- whole config ---
+
+@dataclass
+class RunConfig:
+    """The ``input`` and ``output`` blocks of a chain config, and its stages."""
+    input_format: str = "feed"
+    paths: list[str] = field(default_factory=list)
+    output: str = "rss"
+    digest_title: str = ""
+    digest_window: str = "24h"
+    channel: str = ""
+    dry_run: bool = False
+    stages: list[Stage] = field(default_factory=list)
+
+
+def read_config(config) -> RunConfig:
+    """A whole chain config (dict, or JSON text); absent values keep their
+    defaults.  ``input.urls`` are paths of captured feeds or item files."""
+    config = json.loads(config) if isinstance(config, str) else config
+    into, out = config.get("input") or {}, config.get("output") or {}
+    named = lambda block, key, default: (block.get(key) or "").strip().lower() or default
+    run = RunConfig(named(into, "format", "feed"), list(into.get("urls") or []), named(out, "type", "rss"),
+                    out.get("digest_title") or "", out.get("digest_window") or "24h", out.get("slack_channel") or "",
+                    bool(out.get("slack_dry_run")), build_stages(config))
+    if run.input_format not in ("feed", "jsonl"):
+        raise ValueError(f"no reader for input format {run.input_format!r}")
+    try:
+        parse_duration(run.digest_window)
+    except ValueError as e:
+        raise ValueError(f"output.digest_window {run.digest_window!r}: {e}") from None
+    return run
+
+
+def run_config(spark, config, ctx: Context | None = None) -> DataFrame:
+    """Read, run the stages, and render: document rows (``k1, k2, k3, line``) of
+    the output type, or ``(pos, line)`` for JSON Lines."""
+    from ..operators.explain import explain_items
+    from ..operators.items import union_ordered
+    from ..sinks import digest, feeds, jsonl, messages
+    from ..sources.feeds import read_feeds
+    from ..sources.jsonl import read_items_jsonl
+    run, ctx = read_config(config), ctx or Context()
+    read = {"feed": read_feeds, "jsonl": read_items_jsonl}[run.input_format]
+    if not run.paths:
+        raise ValueError("the config names no input")
+    items = union_ordered(*[read(spark, p) for p in run.paths]) if len(run.paths) > 1 else read(spark, run.paths[0])
+    outputs = {
+        "rss": lambda df: feeds.rss_lines(df, ctx.comments, ctx.now),
+        "atom": lambda df: feeds.atom_lines(df, ctx.comments, ctx.now),
+        "json": jsonl.json_array_lines,
+        "jsonl": jsonl.jsonl_records,
+        "digest": lambda df: digest.digest_lines(df, ctx.now, run.digest_title, run.digest_window),
+        "slack": lambda df: messages.dry_run_lines(df, run.channel) if run.dry_run else messages.notification_messages(df),
+    }
+    if run.output == "explain":
+        return jsonl.explain_records(explain_items(items, run.stages, ctx))
+    if run.output not in outputs:
+        raise ValueError(f"no writer for output type {run.output!r}")
+    return outputs[run.output](run_stages(items, run.stages, ctx))

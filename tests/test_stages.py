@@ -109,3 +109,22 @@ def test_time_window_runs_before_expensive_filters(spark, make_items, tmp_path):
     assert [r.title for r in out.collect()] == ["tide new"]
     first = explain_items(stored, chain, S.Context(now=NOW)).orderBy("pos").first()
     assert [s.stage for s in first.stages] == ["keyword_filter", "domain_filter", "time_window_filter"]
+
+
+def test_whole_configs(spark, make_items, tmp_path):
+    from feedloom.sinks.jsonl import write_jsonl
+    with pytest.raises(ValueError, match="no reader"):
+        S.read_config({"input": {"format": "csv"}})
+    with pytest.raises(ValueError, match="digest_window"):
+        S.read_config({"output": {"type": "digest", "digest_window": "soon"}})
+    path = str(tmp_path / "in")
+    write_jsonl(make_items(dict(title="tide", url="https://pier.test/1"), dict(title="paid", url="https://pier.test/2")), path)
+    config = {"input": {"format": " JSONL ", "urls": [path]}, "stages": [{"type": "keyword", "exclude": ["paid"]}]}
+    for kind, want in (("rss", "<title>tide</title>"), ("atom", "<title>tide</title>"), ("json", '"title":"tide"'),
+                       ("jsonl", '"title":"tide"'), ("explain", "exclude=paid")):
+        lines = [r.line for r in S.run_config(spark, {**config, "output": {"type": kind}}).collect()]
+        assert any(want in x for x in lines), kind
+    plan = S.run_config(spark, {**config, "output": {"type": "slack", "slack_dry_run": True, "slack_channel": "#c"}})
+    assert any("#c" in r.line for r in plan.collect())
+    with pytest.raises(ValueError, match="no writer"):
+        S.run_config(spark, {**config, "output": {"type": "fax"}})
