@@ -37,7 +37,8 @@ def _masked(token: Column) -> Column:
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``(doc_id, line, leaf)`` of the lines that are long enough."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")) \
+    lines = docs.where("doc_id is not null") \
+        .select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")) \
         .select("doc_id", "line", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
     head = F.transform(F.slice("tokens", 1, depth), _masked)
     return lines.select("doc_id", "line", F.concat_ws(" ", F.size("tokens").cast("string"), head).alias("leaf"))
@@ -53,7 +54,8 @@ def templates(docs: DataFrame, min_docs: int = 20, depth: int = 3, similarity: f
     leaves = saved(lines.groupBy("leaf").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
                    .select("leaf"), "leaves")
     # Sorted merge at every size: the table of leaves grows with the corpus, and hot leaves can be split.
-    lines = saved(lines.join(leaves.hint("merge"), "leaf", "left_semi").distinct(), "leaf-lines")
+    lines = saved(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "leaf-lines")
+    lines = saved(lines.distinct(), "document-lines")  # of repeated rows; on its own, so that hot leaves stay split above
     kinds = saved(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")), "leaf-kinds")
     tokens = kinds.select("leaf", "line", "n", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("pos", "token"))
     constant = saved(tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
