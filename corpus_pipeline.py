@@ -46,7 +46,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, n_tokens, ids, round_trip)``."""
     tokenizer = byte_bpe.Tokenizer(spark, VOCABULARY, public_tokenizers.PATTERN)
     rows = docs.select(F.struct("doc_id", "lang", "source", "text").alias("row"), "text")
-    out = tokenizer.decode(tokenizer.encode(rows, id_col="row"))
+    out = tokenizer.encode(rows, id_col="row", decoded=True)
     return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       (F.col("decoded") == F.coalesce("row.text", F.lit("")).cast("binary")).alias("round_trip"))
 

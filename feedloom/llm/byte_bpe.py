@@ -147,9 +147,12 @@ class Codec:
         self.byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.first = [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
-        self.bytes: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
-            self.bytes[i] = t
+            tokens[i] = t
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -206,6 +209,15 @@ class Codec:
         return out, stops[np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)]
 
 
+    def decode(self, flat: np.ndarray, stops: np.ndarray) -> pa.Array:
+        """The bytes of each document's ids; ``stops`` are offsets into them."""
+        n = self.sizes[flat]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(int(ends[-1])) + np.repeat(self.begins[flat] - ends[:-1], n)
+        return pa.Array.from_buffers(pa.large_binary(), len(stops) - 1, [
+            None, pa.py_buffer(ends[stops].astype(np.int64)), pa.py_buffer(self.bytes[at])]).cast(pa.binary())
+
+
 _codecs: dict[int, Codec] = {}
 
 
@@ -228,10 +240,11 @@ class Tokenizer:
         ranks = read_ranks(path)
         self._shared = spark.sparkContext.broadcast((ranks, PerfectHash(ranks), pattern))
 
-    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
         """``(id_col, ids array<int>)``, one row per row: every match of the
         pattern encoded separately, no special tokens.  Null and empty texts
-        have no ids.  Other columns are ignored."""
+        have no ids.  ``decoded`` adds the bytes that the ids decode to, as
+        ``decode`` would, in the same pass.  Other columns are ignored."""
         shared = self._shared
 
         def run(batches):
@@ -240,13 +253,15 @@ class Tokenizer:
                 texts = pc.fill_null(batch.column(1), "")
                 for b in blocks(texts, 1 << 20):
                     flat, stops = codec.encode_block(b, texts.slice(b.lo, len(b)).to_pylist())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(b.lo, len(b)),
-                         pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(flat))], ["id", "ids"])
+                    ids = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(flat))
+                    columns = {"id": batch.column(0).slice(b.lo, len(b)), "ids": ids}
+                    if decoded:
+                        columns["decoded"] = codec.decode(flat, stops)
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         id_type = docs.select(id_col).schema[0].dataType.simpleString()
-        return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {id_type}, ids array<int>") \
-            .withColumnRenamed("id", id_col)
+        result = f"id {id_type}, ids array<int>" + ", decoded binary" * decoded
+        return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, result).withColumnRenamed("id", id_col)
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
         """Adds the bytes of the ids as a binary column; null ids give null."""
@@ -254,8 +269,11 @@ class Tokenizer:
 
         @F.pandas_udf("binary")
         def to_bytes(column: pd.Series) -> pd.Series:
-            get = _codec(shared).bytes.__getitem__
-            return column.map(lambda ids: None if ids is None else b"".join(map(get, ids.tolist())))
+            filled = [np.empty(0, np.int32) if ids is None else ids for ids in column]
+            stops = np.concatenate([[0], np.cumsum([len(x) for x in filled])]).astype(np.int64)
+            flat = np.concatenate(filled) if len(filled) else np.empty(0, np.int32)
+            out = pd.Series(_codec(shared).decode(flat, stops).to_pylist(), dtype=object)
+            return out.where(column.notna().to_numpy(), None)
 
         return encoded.withColumn(to, to_bytes(ids_col))
 
@@ -264,7 +282,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the encoded and
     again decoded texts."""
     tokenizer = Tokenizer(docs.sparkSession, path, pattern)
-    return tokenizer.decode(tokenizer.encode(docs)).select(
+    return tokenizer.encode(docs, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

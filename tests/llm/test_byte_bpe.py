@@ -39,6 +39,9 @@ def test_edges_round_trip(spark):
     for r in rows:
         t = texts[r.doc_id] or ""
         assert list(r.ids) == ENC.encode_ordinary(t) and bytes(r.decoded).decode() == t
+    assert sorted(map(str, rows)) == sorted(map(str, tok.encode(df, decoded=True).collect()))
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [64, 65])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in tok.decode(odd).orderBy("doc_id").collect()] == [None, b"", b"ab"]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.digests(empty, PATH, P.PATTERN).count() == 0
 
