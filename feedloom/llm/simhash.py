@@ -197,8 +197,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 
 
 def keep_one(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component (rows
-    without an id stay); same columns."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component; same
+    columns.  Rows without an id stay, and so do all rows of the id that is kept
+    (repeated rows are one document)."""
     groups = near_duplicates(docs, k, radius)
     drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")

@@ -26,7 +26,6 @@ def brute(rows):
     return sorted(out)
 
 
-
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
