@@ -128,7 +128,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], k: int, threshold: floa
     """``docs`` as struct ``row``, with the ``hits`` of one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     token = f"{id(shared)}-{shared._jbroadcast.id()}"
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    packed = docs.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("item_shingles", pa.int64())]))
 
     def run(batches):
@@ -137,7 +137,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], k: int, threshold: floa
             _indexes[token] = Index(shared.value, k, threshold)
         index = _indexes[token]
         for batch in batches:
-            lowered = pc.utf8_lower(pc.fill_null(batch.column(1), ""))
+            lowered = pc.utf8_lower(pc.fill_null(batch.column(0).field("text"), ""))
             for b in blocks(lowered):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, len(b)), pa.array(index.hits(b), kind)],
                                                  ["row", "hits"])

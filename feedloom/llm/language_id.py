@@ -294,13 +294,13 @@ def identify(docs: DataFrame, model: Model | None, tolerance: float = 12.0, slac
     spark = docs.sparkSession
     on_workers(spark)
     shared = spark.sparkContext.broadcast(model)
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    packed = docs.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"))
     row_type = packed.schema["row"].dataType.simpleString()
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(0).field("text")):
                 k = len(b)
                 langs, score = np.full(k, UNKNOWN, object), np.zeros(k)
                 value, bad = np.full(k, np.nan), np.ones(k, bool)
