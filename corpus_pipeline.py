@@ -7,7 +7,9 @@ one's ``docs``.  All stages but the last keep the columns of ``documents``.
 1. language ID: documents that the language models reject go.
 2. line dedup: lines of recurring templates go, everywhere but in the first
    document that has them; documents with nothing else go.
-3. SimHash near-dedup: of each group the document with the smallest id stays.
+3. SimHash near-dedup: of each group the document with the smallest id stays; of
+   passages (lines of 8 tokens or more) that these share, only the first copy, so
+   that it is in a document that stays.
 4. benchmark decontamination: documents that contain a benchmark item go.
 5. byte-level BPE: token ids, and whether they decode to the text again.
 
@@ -35,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, k=4, radius=4)
+    return line_dedup.without_repeated_passages(saved(simhash.keep_one(docs, k=4, radius=4), "one-of-each"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,11 @@ The usual parser of this kind updates templates line by line, in an order.
 Here each level is an aggregation over the whole table, so results do not depend
 on an order.  Leaves of fewer than ``min_docs`` documents end the search early;
 equal lines are counted once per document and collapsed before their tokens are
-looked at, so a line in a third of all documents is one row there."""
+looked at, so a line in a third of all documents is one row there.
+
+``without_repeated_passages`` is for what recurs in fewer documents: a line of
+passage length is no chance repetition, so an exact copy goes from the second
+document on, and a few documents are enough for a template."""
 
 from __future__ import annotations
 
@@ -75,6 +79,35 @@ def templates(docs: DataFrame, min_docs: int = 20, depth: int = 3, similarity: f
     return lines, recurring
 
 
+def _passage_key(line: Column) -> Column:
+    """128 bits of a line's tokens."""
+    text = F.concat_ws(" ", _tokens(line))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def without_copied_lines(docs: DataFrame, min_tokens: int = 8) -> DataFrame:
+    """``docs`` without lines of ``min_tokens`` tokens or more whose tokens are a
+    line of an earlier document too (smaller doc_id); rows and columns as in
+    ``without_recurring_lines``."""
+    lines = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line"))
+    keys = saved(lines.where(F.size(_tokens(F.col("line"))) >= min_tokens)
+                 .select("doc_id", _passage_key(F.col("line")).alias("key")).select("doc_id", "key.a", "key.b"), "passage-keys")
+    copied = saved(keys.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+                   .where("first_doc <> last_doc").select("a", "b", "first_doc"), "copied-passages")
+    # Sorted merge, so that the rows of a passage in very many documents can be split.
+    gone = keys.join(copied.hint("merge"), ["a", "b"]).where("doc_id <> first_doc") \
+        .groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    return _rest(_cut(docs, gone, _passage_key), docs.columns)
+
+
+def without_repeated_passages(docs: DataFrame, min_tokens: int = 8, min_docs: int = 5, **parameters) -> DataFrame:
+    """``without_copied_lines``, and of what it leaves no lines of templates of
+    ``min_tokens`` tokens or more that recur in ``min_docs`` documents."""
+    docs = saved(without_copied_lines(docs, min_tokens), "first-passages")
+    return without_recurring_lines(docs, min_docs=min_docs, min_tokens=min_tokens, **parameters)
+
+
 def dropped_lines(docs: DataFrame, **parameters) -> DataFrame:
     """``(doc_id, lines)``: the distinct lines to drop from each document."""
     lines, recurring = templates(docs, **parameters)
@@ -82,14 +115,27 @@ def dropped_lines(docs: DataFrame, **parameters) -> DataFrame:
         .groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def _split(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` as struct ``row`` with arrays ``all`` and ``kept`` of its lines."""
-    drop = dropped_lines(docs, **parameters).select(F.col("doc_id").alias("of"), "lines")
+def _cut(docs: DataFrame, gone: DataFrame, key=lambda line: line) -> DataFrame:
+    """``docs`` as struct ``row`` with arrays ``all`` and ``kept`` of its lines;
+    ``gone(of, gone)`` has the keys of the lines to drop."""
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     every = F.when(F.length("row.text") > 0, F.split("row.text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    return packed.join(drop, F.col("id") == F.col("of"), "left").select("row", "lines", every.alias("all")) \
-        .select("row", "all", F.when(F.col("lines").isNull(), F.col("all")).otherwise(
-            F.filter("all", lambda x: ~F.array_contains("lines", x))).alias("kept"))
+    return packed.join(gone, F.col("id") == F.col("of"), "left").select("row", "gone", every.alias("all")) \
+        .select("row", "all", F.when(F.col("gone").isNull(), F.col("all")).otherwise(
+            F.filter("all", lambda x: ~F.array_contains("gone", key(x)))).alias("kept"))
+
+
+def _split(docs: DataFrame, **parameters) -> DataFrame:
+    return _cut(docs, dropped_lines(docs, **parameters).select(F.col("doc_id").alias("of"), F.col("lines").alias("gone")))
+
+
+def _rest(cut: DataFrame, columns: list[str]) -> DataFrame:
+    cut = cut.withColumn("touched", F.size("all") > F.size("kept")) \
+        .withColumn("text", F.when(F.col("touched"), F.array_join("kept", "\n")).otherwise(F.col("row.text"))) \
+        .where(~F.col("touched") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("touched"), F.length("text").cast("long"))
+           .otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
+    return cut.select([new[c].alias(c) if new.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def dedup(docs: DataFrame, **parameters) -> DataFrame:
@@ -109,9 +155,4 @@ def without_recurring_lines(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the lines of recurring templates; same columns.  ``text``
     and, if there is one, ``n_chars`` change; a document of which nothing but
     white space is left goes, an untouched one stays as it is."""
-    cut = _split(docs, **parameters).withColumn("touched", F.size("all") > F.size("kept")) \
-        .withColumn("text", F.when(F.col("touched"), F.array_join("kept", "\n")).otherwise(F.col("row.text"))) \
-        .where(~F.col("touched") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("touched"), F.length("text").cast("long"))
-           .otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return cut.select([new[c].alias(c) if new.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return _rest(_split(docs, **parameters), docs.columns)
