@@ -9,6 +9,8 @@ recurs if it has lines in at least ``min_docs`` documents, is not generalised in
 more than ``1 - similarity`` of its positions, and at least half of its tokens
 are constant.  Lines of recurring templates are dropped everywhere but in the
 first document (smallest doc_id), so that no text is lost from the corpus.
+Lines of fewer than ``min_tokens`` tokens have no variable fields: with ``short``
+their tokens as they are make the leaf and the template.
 
 The usual parser of this kind updates templates line by line, in an order.
 Here each level is an aggregation over the whole table, so results do not depend
@@ -39,39 +41,45 @@ def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(token)
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``(doc_id, line, leaf)`` of the lines that are long enough."""
+def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool) -> DataFrame:
+    """``(doc_id, line, leaf)`` of the lines that are long enough, with ``short``
+    of all that have a token."""
     lines = docs.where("doc_id is not null") \
         .select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")) \
-        .select("doc_id", "line", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
+        .select("doc_id", "line", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= (1 if short else min_tokens))
     head = F.transform(F.slice("tokens", 1, depth), _masked)
+    head = F.when(F.size("tokens") < min_tokens, F.col("tokens")).otherwise(head) if short else head
     return lines.select("doc_id", "line", F.concat_ws(" ", F.size("tokens").cast("string"), head).alias("leaf"))
 
 
 def templates(docs: DataFrame, min_docs: int = 20, depth: int = 3, similarity: float = 0.8,
-              min_tokens: int = 3) -> tuple[DataFrame, DataFrame]:
+              min_tokens: int = 3, short: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(lines, recurring)``: the lines of frequent leaves as ``(doc_id, line,
     leaf, template)``, one row per document and distinct line, and the recurring
     templates as ``(leaf, template, n_docs, first_doc)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs, depth, min_tokens)
+    lines = _lines(docs, depth, min_tokens, short)
     leaves = saved(lines.groupBy("leaf").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
                    .select("leaf"), "leaves")
     # Sorted merge at every size: the table of leaves grows with the corpus, and hot leaves can be split.
     lines = saved(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "leaf-lines")
     lines = saved(lines.distinct(), "document-lines")  # of repeated rows; on its own, so that hot leaves stay split above
     kinds = saved(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")), "leaf-kinds")
-    tokens = kinds.select("leaf", "line", "n", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("pos", "token"))
+    is_short = F.substring_index("leaf", " ", 1).cast("int") < min_tokens
+    tokens = kinds.where(~is_short).select("leaf", "line", "n", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("pos", "token"))
     constant = saved(tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
                      .where((F.col("n") >= min_docs) | (F.col("token") == VARIABLE))
                      .select("leaf", "pos", "token", F.lit(True).alias("kept")), "leaf-constants")
     field = F.when(F.col("kept"), F.col("token")).otherwise(VARIABLE)
-    named = saved(tokens.join(constant, ["leaf", "pos", "token"], "left").groupBy("leaf", "line").agg(
+    named = tokens.join(constant, ["leaf", "pos", "token"], "left").groupBy("leaf", "line").agg(
         F.sort_array(F.collect_list(F.struct("pos", field.alias("field")))).alias("fields"),
         F.avg(F.when(F.col("kept"), 1.0).otherwise(0.0)).alias("kept"),
-        F.avg(F.when(F.col("kept") & (F.col("token") != VARIABLE), 1.0).otherwise(0.0)).alias("constant"))
-        .where((F.col("kept") >= similarity) & (F.col("constant") >= 0.5))
-        .select("leaf", "line", F.concat_ws(" ", F.col("fields.field")).alias("template")), "templates")
+        F.avg(F.when(F.col("kept") & (F.col("token") != VARIABLE), 1.0).otherwise(0.0)).alias("constant")) \
+        .where((F.col("kept") >= similarity) & (F.col("constant") >= 0.5)) \
+        .select("leaf", "line", F.concat_ws(" ", F.col("fields.field")).alias("template"))
+    if short:
+        named = named.union(kinds.where(is_short).select("leaf", "line", F.col("leaf").alias("template")))
+    named = saved(named, "templates")
     lines = saved(lines.join(named, ["leaf", "line"]), "template-lines")
     recurring = saved(lines.groupBy("leaf", "template").agg(
         F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
@@ -105,7 +113,7 @@ def without_repeated_passages(docs: DataFrame, min_tokens: int = 8, min_docs: in
     """``without_copied_lines``, and of what it leaves no lines of templates of
     ``min_tokens`` tokens or more that recur in ``min_docs`` documents."""
     docs = saved(without_copied_lines(docs, min_tokens), "first-passages")
-    return without_recurring_lines(docs, min_docs=min_docs, min_tokens=min_tokens, **parameters)
+    return without_recurring_lines(docs, min_docs=min_docs, min_tokens=min_tokens, short=False, **parameters)
 
 
 def dropped_lines(docs: DataFrame, **parameters) -> DataFrame:
