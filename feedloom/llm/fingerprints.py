@@ -9,6 +9,11 @@ which is then taken out of its other cells, and so on ("peeling"), until the
 digests that only one version has are recovered.  If cells remain, the sketches
 were too small: both are made anew with twice as many cells.
 
+Long paragraphs are cut further into pieces, by their content: before each place
+where the hash of the ``WINDOW`` bytes before it meets a mask (about every 64 bytes),
+and every ``LONGEST`` bytes where no such place comes.  So an edit changes only the
+pieces near it, also in a text without a line feed.  The cells hold pieces.
+
 All of this runs on whole blocks of documents at a time, in numpy."""
 
 from __future__ import annotations
@@ -26,12 +31,39 @@ CELLS = 24
 HASHES = 3
 LINE_FEED = 10
 ROWS_AT_ONCE = 512
+WINDOW = 32
+CUT_MASK = np.uint64(63)
+LONGEST = 256
 
 
 # --- digests and cells ------------------------------------------------------------------
 
-def digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph digests of all texts, and the text that each belongs to."""
+def _cut(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The paragraphs' pieces, ``(start, stop)`` and the paragraph of each."""
+    ends = np.arange(WINDOW, len(data))
+    meets = np.zeros(len(data) + 1, bool)
+    meets[WINDOW:len(data)] = (range_hashes(data, ends - WINDOW, ends) & CUT_MASK) == 0
+    meets[1:] &= ~meets[:-1]  # not everywhere in a run of one character
+    at = np.flatnonzero(meets)
+    long = np.flatnonzero(stop - start > WINDOW)
+    of = np.searchsorted(start[long], at, "right") - 1
+    at, of = at[of >= 0], long[of[of >= 0]]
+    inside = (at - start[of] >= WINDOW) & (at < stop[of])
+    at, of = at[inside], of[inside]
+    begin, owner = np.concatenate([start, at]), np.concatenate([np.arange(len(start)), of])
+    order = np.lexsort((begin, owner))
+    begin, owner = begin[order], owner[order]
+    last = np.concatenate([owner[1:] != owner[:-1], [True]])[:len(owner)]
+    end = np.where(last, stop[owner], np.concatenate([begin[1:], [0]])[:len(begin)])
+    n = np.maximum(1, -(-(end - begin) // LONGEST))
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(begin, n) + step * LONGEST
+    return begin, np.minimum(begin + LONGEST, np.repeat(end, n)), np.repeat(owner, n)
+
+
+def digests(texts: pa.Array, pieces: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the paragraphs of all texts, or of their pieces, and the text
+    that each belongs to."""
     keys, owners = [], []
     for b in blocks(texts):
         ends = np.flatnonzero(b.data == LINE_FEED)
@@ -42,6 +74,9 @@ def digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         stop = (stops + 1) // 2
         start = np.concatenate([[0], stop[:-1] + ~at_end[:-1]])[:len(stop)]
         owner = np.searchsorted(b.offsets, stop - at_end, "right") - 1
+        if pieces:
+            start, stop, of = _cut(b.data, start, stop)
+            owner = owner[of]
         keys.append(range_hashes(b.data, start, stop))
         owners.append(owner + b.lo)
     if not keys:
@@ -150,7 +185,7 @@ def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
 
 
 def likeness(n_a: np.ndarray, pair: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Shared paragraphs out of all of both, 1 for two texts without any."""
+    """Shared paragraphs (or pieces) out of all of both, 1 for two texts without any."""
     only_a = np.bincount(pair[sign > 0], minlength=len(n_a))
     only_b = np.bincount(pair[sign < 0], minlength=len(n_a))
     either = n_a + only_b
@@ -161,7 +196,7 @@ def likeness(n_a: np.ndarray, pair: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 def compare(pairs: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
     """Adds to each row the fingerprints of two text columns, their likeness, and
-    the digests of the paragraphs that only one has.  Null texts are empty."""
+    the digests of the pieces that only one has.  Null texts are empty."""
     on_workers(pairs.sparkSession)
     packed = pairs.select(F.struct("*").alias("row"), F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b"))
     kind = packed.schema["row"].dataType.simpleString()
@@ -171,7 +206,7 @@ def compare(pairs: DataFrame, first: str = "first", second: str = "second") -> D
             for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(lo, ROWS_AT_ONCE)
                 n = part.num_rows
-                a, b = digests(part.column(1)), digests(part.column(2))
+                a, b = digests(part.column(1), True), digests(part.column(2), True)
                 sa, sb = Sketches(n, CELLS).add(*a), Sketches(n, CELLS).add(*b)
                 key, pair, sign = differences(a, b, n, CELLS, sa, sb)
                 only = [[sorted(signed(key[(pair == i) & (sign == s)]).tolist()) for i in range(n)] for s in (1, -1)]
@@ -208,7 +243,7 @@ def in_order(docs: DataFrame, n_ranges: int) -> DataFrame:
 
 
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double")
+          "near_edited double, near_next double, near_edited_pieces double, near_next_pieces double")
 
 
 def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +252,10 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A text's edited version has its last half (rounded down) replaced by as many
     of the first code points of the next text, in descending order of id, the
     first one after the last.  Null texts are empty, rows without an id come last
-    and rows of one id are ordered by text.  Other columns are ignored."""
+    and rows of one id are ordered by text.  Other columns are ignored.
+
+    The fingerprints and ``near_edited_pieces`` and ``near_next_pieces`` are of
+    pieces, ``near_edited`` and ``near_next`` of whole paragraphs."""
     spark = docs.sparkSession
     on_workers(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -228,20 +266,24 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         """Result of all rows but the one behind the last, which is only compared to."""
         n = len(ids)
         edited = [t[:len(t) - len(t) // 2] + after[:len(t) // 2] for t, after in zip(texts, texts[1:])]
-        key, owner = digests(pa.array(texts, pa.large_string()))
-        e = digests(pa.array(edited, pa.large_string()))
-        own, after = owner < n, owner >= 1
-        a, b = (key[own], owner[own]), (key[after], owner[after] - 1)
-        sketches = Sketches(n + 1, CELLS).add(key, owner)
-        cut = lambda lo: _part(sketches, lo, n)
-        changed = Sketches(n, CELLS).add(*e)
-        size = np.bincount(a[1], minlength=n)
-        near = [likeness(size, *differences(a, other, n, CELLS, cut(0), sketch)[1:]) for other, sketch in ((e, changed), (b, cut(1)))]
+        own_texts, edited_texts = pa.array(texts, pa.large_string()), pa.array(edited, pa.large_string())
+        near = []
+        for pieces in (False, True):
+            key, owner = digests(own_texts, pieces)
+            e = digests(edited_texts, pieces)
+            own, after = owner < n, owner >= 1
+            a, b = (key[own], owner[own]), (key[after], owner[after] - 1)
+            sketches = Sketches(n + 1, CELLS).add(key, owner)
+            cut = lambda lo: _part(sketches, lo, n)  # noqa: B023, E731
+            changed = Sketches(n, CELLS).add(*e)
+            size = np.bincount(a[1], minlength=n)
+            near += [likeness(size, *differences(a, other, n, CELLS, cut(0), sketch)[1:]) for other, sketch in ((e, changed), (b, cut(1)))]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()),
              pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
              pa.array(cut(0).hex(), pa.string()), pa.array(changed.hex(), pa.string()), *map(pa.array, near)],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+             "near_edited_pieces", "near_next_pieces"])
 
     def run(batches):
         ids, texts, of, over = [], [], None, False
