@@ -1,17 +1,14 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
 from feedloom.schema import COMMENTS_SCHEMA, ITEM_SCHEMA  # noqa: E402
 from feedloom.session import build_session  # noqa: E402
 
-NOW = dt.datetime(2026, 5, 23, 12, 0, 0)
-
-
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[*]", shuffle_partitions=8, spark__driver__memory="8g")

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import NOW
+from helpers import NOW
 
 from feedloom.operators.explain import explain_items
 from feedloom.plans import stages as S

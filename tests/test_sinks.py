@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from conftest import NOW
+from helpers import NOW
 
 from feedloom.schema import ITEM_JSONL_VERSION
 from feedloom.sinks import digest, document, feeds, jsonl, messages

@@ -95,7 +95,7 @@ def test_chain_stages_order():
 def test_time_window_runs_before_expensive_filters(spark, make_items, tmp_path):
     import datetime as dt
 
-    from conftest import NOW
+    from helpers import NOW
     from feedloom.operators.explain import explain_items
     df = make_items(dict(title="tide new", url="https://pier.test/1", published_at=NOW - dt.timedelta(hours=1)),
                     dict(title="tide old", url="https://pier.test/2", published_at=NOW - dt.timedelta(hours=48)))
