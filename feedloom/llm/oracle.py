@@ -125,6 +125,31 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dr
        sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM cut
 """
 
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+tok AS (SELECT k, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS n FROM kept GROUP BY lang),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+tot AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN cnt USING (lang, source)
+        GROUP BY lang, source),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT // (t.n + 2 * l.v) AS p,
+    1 + 1000000000 * (k.n + 2)::HUGEINT // (l.n + 2 * l.v) AS q
+  FROM tot t JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN cnt c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (SELECT t.lang, t.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM tot t JOIN tot o ON t.lang = o.lang AND t.source <> o.source
+  LEFT JOIN pairs x ON x.lang = t.lang AND x.source = t.source AND x.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _OP1,
     "op3_decontamination": _OP3,
@@ -132,4 +157,5 @@ ORACLE: dict[str, str] = {
     "op6_warc": _OP6,
     "op7_sharding": _OP7,
     "op8_line_dedup": _OP8,
+    "op11_divergence": _OP11,
 }

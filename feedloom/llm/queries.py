@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, fingerprints, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup, warc
+from feedloom.llm import byte_bpe, decontamination, divergence, fingerprints, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup, warc
 from feedloom.llm.oracle import ORACLE
 
 
@@ -68,6 +68,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str,
     return byte_bpe.digests(docs, vocabulary, public_tokenizers.PATTERN)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents", "lang", "source", "text"), min_docs=10, top=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
     op2_fingerprints,
@@ -79,6 +83,7 @@ QUERIES = {f.__name__: f for f in (
     op8_line_dedup,
     op9_simhash_near_dedup,
     op10_byte_bpe,
+    op11_divergence,
 )}
 
 __all__ = ["ORACLE", "QUERIES"]
