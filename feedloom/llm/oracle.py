@@ -150,6 +150,33 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+# The checksum's byte table by its rule, as in _OP7; a node is named by the digests of its turns.
+_OP12 = """
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+h AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(encode(c::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 6 AS h FROM n, tab),
+convs AS (SELECT h.c, base, h, least(h, coalesce(n.n, 0)) AS given FROM h LEFT JOIN n ON n.c = base),
+r AS (SELECT convs.c, p AS depth, role, text FROM convs JOIN t ON t.c = base WHERE p <= h
+  UNION ALL SELECT convs.c, p - h + given, role, text FROM convs JOIN t USING (c) WHERE p > h),
+m AS (SELECT c, 0 AS depth, '' AS k, 0 AS w FROM convs
+  UNION ALL SELECT c, depth, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY depth), length(text) FROM r),
+size AS (SELECT c, max(depth) AS length FROM m GROUP BY c),
+nodes AS (SELECT k, depth, min(c) AS conv_id, count(*) AS n, any_value(w) AS w,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length = depth), '') AS ends FROM m JOIN size USING (c) GROUP BY k, depth),
+kids AS (SELECT substr(k, 1, 64 * (depth - 1)) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT substr(x.k, 1, 64 * d) AS k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * w) AS kept
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM nodes) x LEFT JOIN kids ON kids.k = x.k GROUP BY 1)
+SELECT x.conv_id, x.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+  leaves::BIGINT AS n_leaves, kept::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN below USING (k) LEFT JOIN kids ON kids.k = x.k
+  LEFT JOIN nodes up ON x.depth > 0 AND up.depth = x.depth - 1 AND up.k = substr(x.k, 1, 64 * (x.depth - 1))
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _OP1,
     "op3_decontamination": _OP3,
@@ -158,4 +185,5 @@ ORACLE: dict[str, str] = {
     "op7_sharding": _OP7,
     "op8_line_dedup": _OP8,
     "op11_divergence": _OP11,
+    "op12_prefix_trie": _OP12,
 }

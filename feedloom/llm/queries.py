@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, divergence, fingerprints, language_id, line_dedup, secret_scan, sharding, simhash, substring_dedup, warc
+from feedloom.llm import byte_bpe, decontamination, divergence, fingerprints, language_id, line_dedup, prefix_trie, secret_scan, sharding, simhash, substring_dedup, warc
 from feedloom.llm.oracle import ORACLE
 
 
@@ -72,6 +72,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents", "lang", "source", "text"), min_docs=10, top=10)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
     op2_fingerprints,
@@ -84,6 +88,7 @@ QUERIES = {f.__name__: f for f in (
     op9_simhash_near_dedup,
     op10_byte_bpe,
     op11_divergence,
+    op12_prefix_trie,
 )}
 
 __all__ = ["ORACLE", "QUERIES"]
