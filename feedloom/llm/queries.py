@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontamination, divergence, fingerprints, language_id, line_dedup, prefix_trie, secret_scan, sharding, simhash, substring_dedup, warc
+from feedloom.llm import byte_bpe, decontamination, divergence, fingerprints, language_id, line_crf, line_dedup, prefix_trie, secret_scan, sharding, simhash, substring_dedup, warc
 from feedloom.llm.oracle import ORACLE
 
 
@@ -76,6 +76,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.predict(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup,
     op2_fingerprints,
@@ -89,6 +93,7 @@ QUERIES = {f.__name__: f for f in (
     op10_byte_bpe,
     op11_divergence,
     op12_prefix_trie,
+    op13_quality,
 )}
 
 __all__ = ["ORACLE", "QUERIES"]
