@@ -43,13 +43,15 @@ def _cut(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     ends = np.arange(WINDOW, len(data))
     meets = np.zeros(len(data) + 1, bool)
     meets[WINDOW:len(data)] = (range_hashes(data, ends - WINDOW, ends) & CUT_MASK) == 0
-    meets[1:] &= ~meets[:-1]  # not everywhere in a run of one character
     at = np.flatnonzero(meets)
     long = np.flatnonzero(stop - start > WINDOW)
     of = np.searchsorted(start[long], at, "right") - 1
     at, of = at[of >= 0], long[of[of >= 0]]
     inside = (at - start[of] >= WINDOW) & (at < stop[of])
     at, of = at[inside], of[inside]
+    # not everywhere in a run of one character; a window of another paragraph has no say
+    alone = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0)])[:len(at)]
+    at, of = at[alone], of[alone]
     begin, owner = np.concatenate([start, at]), np.concatenate([np.arange(len(start)), of])
     order = np.lexsort((begin, owner))
     begin, owner = begin[order], owner[order]
@@ -243,7 +245,7 @@ def in_order(docs: DataFrame, n_ranges: int) -> DataFrame:
 
 
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double, near_edited_pieces double, near_next_pieces double")
+          "near_edited double, near_next double")
 
 
 def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,8 +256,9 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first one after the last.  Null texts are empty, rows without an id come last
     and rows of one id are ordered by text.  Other columns are ignored.
 
-    The fingerprints and ``near_edited_pieces`` and ``near_next_pieces`` are of
-    pieces, ``near_edited`` and ``near_next`` of whole paragraphs."""
+    ``near_edited`` and ``near_next`` are the shared pieces out of all pieces of
+    both texts, from subtracting and peeling the returned fingerprints (larger
+    ones where these do not suffice)."""
     spark = docs.sparkSession
     on_workers(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -267,23 +270,20 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n = len(ids)
         edited = [t[:len(t) - len(t) // 2] + after[:len(t) // 2] for t, after in zip(texts, texts[1:])]
         own_texts, edited_texts = pa.array(texts, pa.large_string()), pa.array(edited, pa.large_string())
-        near = []
-        for pieces in (False, True):
-            key, owner = digests(own_texts, pieces)
-            e = digests(edited_texts, pieces)
-            own, after = owner < n, owner >= 1
-            a, b = (key[own], owner[own]), (key[after], owner[after] - 1)
-            sketches = Sketches(n + 1, CELLS).add(key, owner)
-            cut = lambda lo: _part(sketches, lo, n)  # noqa: B023, E731
-            changed = Sketches(n, CELLS).add(*e)
-            size = np.bincount(a[1], minlength=n)
-            near += [likeness(size, *differences(a, other, n, CELLS, cut(0), sketch)[1:]) for other, sketch in ((e, changed), (b, cut(1)))]
+        key, owner = digests(own_texts, True)
+        e = digests(edited_texts, True)
+        own, after = owner < n, owner >= 1
+        a, b = (key[own], owner[own]), (key[after], owner[after] - 1)
+        sketches = Sketches(n + 1, CELLS).add(key, owner)
+        changed = Sketches(n, CELLS).add(*e)
+        first, size = _part(sketches, 0, n), np.bincount(a[1], minlength=n)
+        near = [likeness(size, *differences(a, other, n, CELLS, first, sketch)[1:])
+                for other, sketch in ((e, changed), (b, _part(sketches, 1, n)))]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()),
              pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-             pa.array(cut(0).hex(), pa.string()), pa.array(changed.hex(), pa.string()), *map(pa.array, near)],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-             "near_edited_pieces", "near_next_pieces"])
+             pa.array(first.hex(), pa.string()), pa.array(changed.hex(), pa.string()), *map(pa.array, near)],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches):
         ids, texts, of, over = [], [], None, False
