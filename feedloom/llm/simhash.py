@@ -196,10 +196,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def repeated_ids(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
+    """``(doc_id)``: the ids that are not the smallest of their component, once each."""
+    return near_duplicates(docs, k, radius).where("doc_id <> component_id").select("doc_id").distinct()
+
+
 def keep_one(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; same
     columns.  Rows without an id stay, and so do all rows of the id that is kept
     (repeated rows are one document)."""
-    groups = near_duplicates(docs, k, radius)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")
+    ids = repeated_ids(docs, k, radius).select(F.col("doc_id").alias("of"))
+    return docs.join(ids, docs["doc_id"] == ids["of"], "left_anti")
