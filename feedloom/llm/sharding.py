@@ -20,6 +20,7 @@ MULTIPLIER = 2862933555777941757
 MODULUS = 1 << 64
 FIRST_STEPS = 64
 CHUNK_IDS = 1 << 18
+PLACE = ["doc_id", "text_crc32", "size"]
 
 
 def jump_hash(key: str, shards: int) -> Column:
@@ -50,7 +51,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     decide, ``grown_shard`` is the shard with one more.  Null ids count as key 0
     and come first.  ``slot`` numbers a shard's rows from 0 by id, checksum and
     size.  Equal rows are counted before they are numbered and listed again
-    afterwards, and the numbering is done by ranges of ids: each range counts
+    afterwards, and the numbering is done by ranges of about as many rows: each range counts
     its rows per shard, and offsets come from these counts.  Other columns are
     ignored."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -58,16 +59,14 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
                        F.crc32(text.cast("binary")).alias("text_crc32")) \
         .groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     rows = saved(rows, "shard-rows")
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = 1 if low is None else max(1, math.ceil((high - low + 1) / max(1, count / CHUNK_IDS)))
-    away = F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")
-    rows = rows.withColumn("chunk", F.coalesce(F.floor(away / width).cast("long"), F.lit(-1))) \
-        .withColumn("key", F.coalesce("doc_id", F.lit(0))) \
+    chunks = max(1, math.ceil(rows.count() / CHUNK_IDS))
+    rows = saved(rows.repartitionByRange(chunks, *PLACE).withColumn("chunk", F.spark_partition_id()), "shard-chunks")
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(0))) \
         .withColumn("shard", jump_hash("key", shards)).withColumn("grown_shard", jump_hash("key", shards + 1)).drop("key")
     counts = rows.groupBy("shard", "chunk").agg(F.sum("n").alias("own"))
     upto = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = counts.select("shard", "chunk", (F.sum("own").over(upto) - F.col("own")).alias("offset"))
-    within = W.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("shard", "chunk").orderBy(*PLACE).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.withColumn("last", F.sum("n").over(within)).join(offsets, ["shard", "chunk"])
     first = F.col("offset") + F.col("last") - F.col("n")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
