@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import (blocks, on_workers, range_hashes, run_hashes, saved, signed, sliding_min,
                                  words_of)
 
-RUNS = "doc_id long, key long, stretch long, start int, n int"
-WINDOWS = "doc_id long, h1 long, h2 long, start int"
+RUNS = "doc_id long, text_id long, key long, stretch long, start int, n int"
+WINDOWS = "doc_id long, text_id long, h1 long, h2 long, start int"
 FACTOR = "struct<start:int,n:int,ref_doc:bigint,ref_start:int>"
 
 
@@ -61,28 +61,27 @@ def _stretches(words, block, window: int, anchor: int):
 def _runs(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for b in blocks(batch.column(1)):
+            ids, text_ids = batch.column(0), batch.column(1)
+            for b in blocks(batch.column(2)):
                 w = words_of(b)
                 wh, doc, at, n, key = _stretches(w, b, window, anchor)
                 if not len(at):
                     continue
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(doc + b.lo)), pa.array(signed(key)),
+                    ids.take(pa.array(doc + b.lo)), text_ids.take(pa.array(doc + b.lo)), pa.array(signed(key)),
                     pa.array(signed(range_hashes(wh, at, at + n + window - 1, 1))),
                     pa.array((at - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["doc_id", "key", "stretch", "start", "n"])
+                    ["doc_id", "text_id", "key", "stretch", "start", "n"])
 
     return docs.mapInArrow(run, RUNS)
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """``docs(doc_id, text, todo array<struct<start, n>>)`` -> a row per window."""
+    """``docs(doc_id, text_id, text, todo array<struct<start, n>>)`` -> a row per window."""
     def run(batches):
         for batch in batches:
-            ids, todo = batch.column(0), batch.column(2)
-            lists = todo.to_pylist()
-            for b in blocks(batch.column(1)):
+            ids, text_ids, lists = batch.column(0), batch.column(1), batch.column(3).to_pylist()
+            for b in blocks(batch.column(2)):
                 w = words_of(b)
                 wh = range_hashes(b.data, w.starts, w.ends)
                 wh2 = range_hashes(b.data, w.starts, w.ends, 1)
@@ -92,18 +91,20 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 at = np.concatenate(at)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(doc + b.lo)), pa.array(signed(range_hashes(wh, at, at + window))),
+                    ids.take(pa.array(doc + b.lo)), text_ids.take(pa.array(doc + b.lo)),
+                    pa.array(signed(range_hashes(wh, at, at + window))),
                     pa.array(signed(range_hashes(wh2, at, at + window, 1))),
-                    pa.array((at - w.first[doc]).astype(np.int32))], ["doc_id", "h1", "h2", "start"])
+                    pa.array((at - w.first[doc]).astype(np.int32))], ["doc_id", "text_id", "h1", "h2", "start"])
 
     return docs.mapInArrow(run, WINDOWS)
 
 
 def factors(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, start, n, ref_doc, ref_start)``:
-    pieces of factors, as ``n`` consecutive windows from word ``start`` on that
-    also lie at ``ref_start`` of the smaller ``ref_doc``.  Rows without an id
-    are no reference and have none."""
+    """``docs(doc_id, text_id, text)`` -> ``(doc_id, text_id, start, n, ref_doc,
+    ref_start)``: pieces of factors, as ``n`` consecutive windows from word ``start`` on that
+    also lie at ``ref_start`` of the smaller ``ref_doc``.  ``text_id`` tells rows of
+    one id with different texts apart.  Rows without an id are no reference and
+    have none."""
     if not 0 < anchor <= window:
         raise ValueError("the anchor must be at most the window")
     on_workers(docs.sparkSession)
@@ -116,18 +117,18 @@ def factors(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
         F.min(F.struct("doc_id", "start")).alias("ref")), "stretches")
     placed = runs.join(first, ["key", "stretch"])
     long_ones = placed.where("ref.doc_id < doc_id").select(
-        "doc_id", "start", "n", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
+        "doc_id", "text_id", "start", "n", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     # Stretches in the first document that has them: held against the block's other stretches by window.
     several = saved(first.groupBy("key").agg(F.min("ref.doc_id").alias("lo"), F.max("ref.doc_id").alias("hi"))
                     .where("lo < hi").select("key"), "several")
     open_ones = placed.where("ref.doc_id = doc_id").join(several, "key", "left_semi") \
-        .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("todo"))
-    single = saved(_windows(docs.join(open_ones, "doc_id"), window), "windows")
+        .groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "n")).alias("todo"))
+    single = saved(_windows(docs.join(open_ones, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "todo"), window), "windows")
     place = saved(single.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("ref"),
                                                  F.max("doc_id").alias("hi"))
                   .where("ref.doc_id < hi").select("h1", "h2", "ref"), "places")
     short_ones = single.join(place, ["h1", "h2"]).where("ref.doc_id < doc_id").select(
-        "doc_id", "start", F.lit(1).alias("n"), F.col("ref.doc_id").alias("ref_doc"),
+        "doc_id", "text_id", "start", F.lit(1).alias("n"), F.col("ref.doc_id").alias("ref_doc"),
         F.col("ref.start").alias("ref_start"))
     return long_ones.union(short_ones)
 
@@ -163,11 +164,12 @@ def dedup(docs: DataFrame, window: int = 50, anchor: int = 16, id_col: str = "do
     Words are runs of other than ASCII white space.  A word goes if a window of
     ``window`` words over it also starts in a row with a smaller id; windows are
     judged on the input.  ``kept`` joins the rest by one space, ``factors`` lists
-    the parse.  Null and empty texts have no words.  Rows with one id (repeated
-    rows) do not remove each other; rows without an id stay whole.  Other
+    the parse.  Null and empty texts have no words.  Rows with one id, whether
+    their texts are equal or not, do not remove each other; rows without an id stay whole.  Other
     columns are ignored."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = factors(docs, window, anchor).groupBy("doc_id").agg(
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
+    found = factors(docs, window, anchor).groupBy("doc_id", "text_id").agg(
         F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("pieces"))
     out_type = ("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, "
                 "factors array<struct<start:int,n:int,ref_doc:bigint,ref_start:int>>")
@@ -205,4 +207,4 @@ def dedup(docs: DataFrame, window: int = 50, anchor: int = 16, id_col: str = "do
                     pa.array(sha, pa.string()), pa.array(kept, pa.string()), pa.array(parsed, factor)],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "factors"])
 
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "pieces").mapInArrow(run, out_type)
+    return docs.join(found, ["doc_id", "text_id"], "left").select("doc_id", "text", "pieces").mapInArrow(run, out_type)
