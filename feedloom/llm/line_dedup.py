@@ -15,8 +15,11 @@ their tokens as they are make the leaf and the template.
 The usual parser of this kind updates templates line by line, in an order.
 Here each level is an aggregation over the whole table, so results do not depend
 on an order.  Leaves of fewer than ``min_docs`` documents end the search early;
-equal lines are counted once per document and collapsed before their tokens are
-looked at, so a line in a third of all documents is one row there.
+lines of equal tokens are counted once per document and collapsed before their
+tokens are looked at, so a line in a third of all documents is one row there.
+(A token's count sums the documents of its distinct lines.)  Lines, leaves and
+templates travel as 128-bit keys; a text leaves its task only for leaves that can
+be frequent.
 
 ``without_repeated_passages`` is for what recurs in fewer documents: a line of
 passage length is no chance repetition, so an exact copy goes from the second
@@ -27,9 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import saved
+from feedloom.llm.common import Workspace, saved
 
 VARIABLE = "<*>"
+LEAF_BUCKETS = 1 << 20
+TEMPLATE = ["la", "lb", "ta", "tb"]
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -42,99 +47,135 @@ def _masked(token: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool) -> DataFrame:
-    """``(doc_id, line, leaf)`` of the lines that are long enough, with ``short``
-    of all that have a token."""
-    lines = docs.where("doc_id is not null") \
-        .select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")) \
-        .select("doc_id", "line", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= (1 if short else min_tokens))
+    """``(doc_id, text, leaf, short)`` of the lines that are long enough, with
+    ``short`` of all that have a token; ``text`` is the tokens joined by one space."""
+    lines = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")) \
+        .select("doc_id", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= (1 if short else min_tokens))
     head = F.transform(F.slice("tokens", 1, depth), _masked)
     head = F.when(F.size("tokens") < min_tokens, F.col("tokens")).otherwise(head) if short else head
-    return lines.select("doc_id", "line", F.concat_ws(" ", F.size("tokens").cast("string"), head).alias("leaf"))
+    return lines.select("doc_id", F.concat_ws(" ", "tokens").alias("text"),
+                        F.concat_ws(" ", F.size("tokens").cast("string"), head).alias("leaf"),
+                        (F.size("tokens") < min_tokens).alias("short"))
 
 
-def templates(docs: DataFrame, min_docs: int = 20, depth: int = 3, similarity: float = 0.8,
-              min_tokens: int = 3, short: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(lines, recurring)``: the lines of frequent leaves as ``(doc_id, line,
-    leaf, template)``, one row per document and distinct line, and the recurring
-    templates as ``(leaf, template, n_docs, first_doc)``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs, depth, min_tokens, short)
-    leaves = saved(lines.groupBy("leaf").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
-                   .select("leaf"), "leaves")
+def _bits(text: Column, first: str, second: str) -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(text).alias(first), F.xxhash64(F.lit(1), text).alias(second)]
+
+
+def _keys(lines: DataFrame) -> DataFrame:
+    """``(doc_id, a, b, la, lb, short)``: lines and leaves by 128-bit keys."""
+    return lines.select("doc_id", *_bits(F.col("text"), "a", "b"), *_bits(F.col("leaf"), "la", "lb"), "short")
+
+
+def _templates(lines: DataFrame, keys: DataFrame, work: Workspace, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``keys`` with their templates, and the recurring templates.  The texts of
+    ``lines`` are read for the keys of frequent leaves only."""
+    leaves = work.saved(keys.groupBy("la", "lb").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
+                        .select("la", "lb"), "leaves")
     # Sorted merge at every size: the table of leaves grows with the corpus, and hot leaves can be split.
-    lines = saved(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "leaf-lines")
-    lines = saved(lines.distinct(), "document-lines")  # of repeated rows; on its own, so that hot leaves stay split above
-    kinds = saved(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")), "leaf-kinds")
-    is_short = F.substring_index("leaf", " ", 1).cast("int") < min_tokens
-    tokens = kinds.where(~is_short).select("leaf", "line", "n", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("pos", "token"))
-    constant = saved(tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
-                     .where((F.col("n") >= min_docs) | (F.col("token") == VARIABLE))
-                     .select("leaf", "pos", "token", F.lit(True).alias("kept")), "leaf-constants")
+    keys = work.saved(keys.join(leaves.hint("merge"), ["la", "lb"], "left_semi"), "leaf-lines")
+    keys = work.saved(keys.distinct(), "document-lines")  # on its own, so that hot leaves stay split above
+    kinds = work.saved(keys.groupBy("a", "b", "la", "lb", "short").agg(F.count("*").alias("n")), "leaf-kinds")
+    # Texts leave their task only if their leaf's bucket has a frequent leaf: at most LEAF_BUCKETS numbers to broadcast.
+    hot = leaves.select(F.pmod("la", F.lit(LEAF_BUCKETS)).alias("bucket")).distinct()
+    texts = lines.where(~F.col("short")).select("text", *_bits(F.col("text"), "a", "b"),
+                                                F.pmod(F.xxhash64("leaf"), F.lit(LEAF_BUCKETS)).alias("bucket")) \
+        .join(F.broadcast(hot), "bucket", "left_semi").groupBy("a", "b").agg(F.first("text").alias("text"))
+    long_kinds = work.saved(texts.join(kinds.where(~F.col("short")).hint("merge"), ["a", "b"]), "kind-texts")
+    tokens = long_kinds.select("a", "b", "la", "lb", "n", F.posexplode(F.transform(_tokens(F.col("text")), _masked)).alias("pos", "token"))
+    constant = work.saved(tokens.groupBy("la", "lb", "pos", "token").agg(F.sum("n").alias("n"))
+                          .where((F.col("n") >= min_docs) | (F.col("token") == VARIABLE))
+                          .select("la", "lb", "pos", "token", F.lit(True).alias("kept")), "leaf-constants")
     field = F.when(F.col("kept"), F.col("token")).otherwise(VARIABLE)
-    named = tokens.join(constant, ["leaf", "pos", "token"], "left").groupBy("leaf", "line").agg(
+    named = tokens.join(constant, ["la", "lb", "pos", "token"], "left").groupBy("a", "b").agg(
         F.sort_array(F.collect_list(F.struct("pos", field.alias("field")))).alias("fields"),
         F.avg(F.when(F.col("kept"), 1.0).otherwise(0.0)).alias("kept"),
         F.avg(F.when(F.col("kept") & (F.col("token") != VARIABLE), 1.0).otherwise(0.0)).alias("constant")) \
         .where((F.col("kept") >= similarity) & (F.col("constant") >= 0.5)) \
-        .select("leaf", "line", F.concat_ws(" ", F.col("fields.field")).alias("template"))
-    if short:
-        named = named.union(kinds.where(is_short).select("leaf", "line", F.col("leaf").alias("template")))
-    named = saved(named, "templates")
-    lines = saved(lines.join(named, ["leaf", "line"]), "template-lines")
-    recurring = saved(lines.groupBy("leaf", "template").agg(
+        .select("a", "b", *_bits(F.concat_ws(" ", F.col("fields.field")), "ta", "tb"))
+    named = named.union(kinds.where("short").select("a", "b", F.col("la").alias("ta"), F.col("lb").alias("tb")))
+    named = work.saved(named, "templates")
+    found = work.saved(keys.join(named, ["a", "b"]).select("doc_id", "a", "b", *TEMPLATE), "template-lines")
+    recurring = work.saved(found.groupBy(*TEMPLATE).agg(
         F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
         .where(F.col("n_docs") >= min_docs), "recurring")
-    return lines, recurring
+    return found, recurring
+
+
+def _later(found: DataFrame, recurring: DataFrame) -> DataFrame:
+    """``(doc_id, a, b)`` of the lines of recurring templates outside the first document."""
+    return found.join(recurring, TEMPLATE).where("doc_id <> first_doc").select("doc_id", "a", "b")
+
+
+def _by_document(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
-def _passage_key(line: Column) -> Column:
-    """128 bits of a line's tokens."""
-    text = F.concat_ws(" ", _tokens(line))
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+def dropped_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, similarity: float = 0.8,
+                  min_tokens: int = 3, short: bool = True) -> DataFrame:
+    """``(doc_id, gone)``: the 128-bit keys ``(a, b)`` of the tokens of the lines
+    to drop from each document."""
+    lines = _lines(docs, depth, min_tokens, short)
+    with Workspace(docs.sparkSession, "lines") as work:
+        found, recurring = _templates(lines, work.saved(_keys(lines), "line-keys"), work, min_docs, similarity)
+        return saved(_by_document(_later(found, recurring)), "dropped-lines")
+
+
+def _copies(keys: DataFrame, work: Workspace) -> DataFrame:
+    """``keys`` with ``copy``: whether an earlier document has the line too."""
+    keys = work.saved(keys, "passage-keys")
+    copied = work.saved(keys.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+                        .where("first_doc <> last_doc").select("a", "b", "first_doc"), "copied-passages")
+    # Sorted merge, so that the rows of a passage in very many documents can be split.
+    return work.saved(keys.join(copied.hint("merge"), ["a", "b"], "left").withColumn(
+        "copy", F.coalesce(F.col("doc_id") != F.col("first_doc"), F.lit(False))).drop("first_doc"), "marked-passages")
 
 
 def without_copied_lines(docs: DataFrame, min_tokens: int = 8) -> DataFrame:
     """``docs`` without lines of ``min_tokens`` tokens or more whose tokens are a
     line of an earlier document too (smaller doc_id); rows and columns as in
     ``without_recurring_lines``."""
-    lines = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line"))
-    keys = saved(lines.where(F.size(_tokens(F.col("line"))) >= min_tokens)
-                 .select("doc_id", _passage_key(F.col("line")).alias("key")).select("doc_id", "key.a", "key.b"), "passage-keys")
-    copied = saved(keys.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-                   .where("first_doc <> last_doc").select("a", "b", "first_doc"), "copied-passages")
-    # Sorted merge, so that the rows of a passage in very many documents can be split.
-    gone = keys.join(copied.hint("merge"), ["a", "b"]).where("doc_id <> first_doc") \
-        .groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    return _rest(_cut(docs, gone, _passage_key), docs.columns)
+    with Workspace(docs.sparkSession, "copies") as work:
+        keys = _copies(_keys(_lines(docs, 0, min_tokens, False)), work)
+        gone = saved(_by_document(keys.where("copy")), "dropped-copies")
+    return _rest(_cut(docs, gone), docs.columns)
 
 
-def without_repeated_passages(docs: DataFrame, min_tokens: int = 8, min_docs: int = 5, **parameters) -> DataFrame:
+def without_repeated_passages(docs: DataFrame, min_tokens: int = 8, min_docs: int = 5, depth: int = 3,
+                              similarity: float = 0.8, without: DataFrame | None = None) -> DataFrame:
     """``without_copied_lines``, and of what it leaves no lines of templates of
-    ``min_tokens`` tokens or more that recur in ``min_docs`` documents."""
-    docs = saved(without_copied_lines(docs, min_tokens), "first-passages")
-    return without_recurring_lines(docs, min_docs=min_docs, min_tokens=min_tokens, short=False, **parameters)
-
-
-def dropped_lines(docs: DataFrame, **parameters) -> DataFrame:
-    """``(doc_id, lines)``: the distinct lines to drop from each document."""
-    lines, recurring = templates(docs, **parameters)
-    return lines.join(recurring, ["leaf", "template"]).where("doc_id <> first_doc") \
-        .groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-
-
-def _cut(docs: DataFrame, gone: DataFrame, key=lambda line: line) -> DataFrame:
+    ``min_tokens`` tokens or more that recur in ``min_docs`` documents.  Documents
+    whose id is in ``without(doc_id)`` go whole and do not count.  Texts are
+    shuffled for the join that cuts them, lines only where their leaf is frequent."""
+    lines = _lines(docs, depth, min_tokens, False)
+    with Workspace(docs.sparkSession, "passages") as work:
+        keys = _keys(lines)
+        if without is not None:
+            keys = keys.join(without.select("doc_id"), "doc_id", "left_anti")
+        keys = _copies(keys, work)
+        found, recurring = _templates(lines, keys.where("not copy").drop("copy"), work, min_docs, similarity)
+        gone = saved(_by_document(keys.where("copy").select("doc_id", "a", "b").union(_later(found, recurring))), "dropped-passages")
+    if without is not None:
+        ids = without.select(F.col("doc_id").alias("of"))
+        docs = docs.join(ids, docs["doc_id"] == ids["of"], "left_anti")
+    return _rest(_cut(docs, gone), docs.columns)
+
+
+def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` as struct ``row`` with arrays ``all`` and ``kept`` of its lines;
-    ``gone(of, gone)`` has the keys of the lines to drop."""
+    ``gone(doc_id, gone)`` has the keys of the lines to drop."""
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     every = F.when(F.length("row.text") > 0, F.split("row.text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    return packed.join(gone, F.col("id") == F.col("of"), "left").select("row", "gone", every.alias("all")) \
+    return packed.join(gone.withColumnRenamed("doc_id", "of"), F.col("id") == F.col("of"), "left") \
+        .select("row", "gone", every.alias("all")) \
         .select("row", "all", F.when(F.col("gone").isNull(), F.col("all")).otherwise(
-            F.filter("all", lambda x: ~F.array_contains("gone", key(x)))).alias("kept"))
+            F.filter("all", lambda x: ~F.array_contains("gone", F.struct(*_bits(F.concat_ws(" ", _tokens(x)), "a", "b"))))).alias("kept"))
 
 
 def _split(docs: DataFrame, **parameters) -> DataFrame:
-    return _cut(docs, dropped_lines(docs, **parameters).select(F.col("doc_id").alias("of"), F.col("lines").alias("gone")))
+    return _cut(docs, dropped_lines(docs, **parameters))
 
 
 def _rest(cut: DataFrame, columns: list[str]) -> DataFrame:
