@@ -37,7 +37,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeated_passages(saved(simhash.keep_one(docs, k=4, radius=4), "one-of-each"))
+    repeated = saved(simhash.repeated_ids(docs, k=4, radius=4), "repeated-ids")
+    return line_dedup.without_repeated_passages(docs, without=repeated)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
