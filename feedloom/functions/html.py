@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
+from collections.abc import Generator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,9 +26,12 @@ REMOVED_ELEMENTS = ["script", "style", "nav", "footer", "header", "noscript"]
 READABLE_CONTAINERS = ["article", "main", "body"]
 META_KEYS = ["og:title", "og:description", "og:image", "og:site_name", "description"]
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+# What can start a markup token; a name ends at white space, "/", "<" or ">".
+_OPENER = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/<>]*+))")
+_ATTRIBUTES = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_DELIMITER = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW_TEXT = {"script", "style", "textarea", "title"}
+_RAW_TEXT = {n: re.compile(rf"</{n}\s*+>", re.I) for n in ("script", "style", "textarea", "title")}
 _PARTS = T.StructType([
     T.StructField("containers", T.ArrayType(T.StringType())),
     T.StructField("metas", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))),
@@ -40,6 +45,63 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _tag_ends(page: str, start: int) -> tuple[list[int], list[int]]:
+    """The places of ``>``, ``"`` and ``'`` from ``start`` on, and for each of them
+    where a tag ends that is outside of quotes there (-1: nowhere)."""
+    places = [m.start() for m in _DELIMITER.finditer(page, start)]
+    ends = [-1] * len(places)
+    outside = in_double = in_single = -1
+    for k in range(len(places) - 1, -1, -1):
+        mark = page[places[k]]
+        if mark == ">":
+            outside = places[k]
+        elif mark == '"':
+            outside, in_double = in_double, outside
+        else:
+            outside, in_single = in_single, outside
+        ends[k] = outside
+    return places, ends
+
+
+def _tokens(page: str) -> Generator[tuple[int, int, bool, str, str], int | None, None]:
+    """``(start, end, closes, name, attributes)`` of the tags, comments and
+    declarations (these two without a name), in order.  The consumer may send a
+    place from which to go on.
+
+    Each character is looked at a bounded number of times: a tag that nothing
+    ends is text, and the first of them has the ends of all later tags worked out
+    in one pass from the back; a declaration without an end has no ``>`` behind it."""
+    at, last_end, known = 0, page.rfind(">"), None
+    while m := _OPENER.search(page, at):
+        start, at, rest = m.start(), m.end(), ""
+        if m[1]:
+            end = page.find("-->", at)
+            end = len(page) if end < 0 else end + 3
+        elif start > last_end:
+            continue
+        elif m[2]:
+            end = page.index(">", at) + 1
+        else:
+            if known is None and not (a := _ATTRIBUTES.match(page, at)):
+                known = _tag_ends(page, at)
+            if known is None:
+                rest, end = a[1], a.end()
+            else:
+                places, ends = known
+                k = bisect_left(places, at)
+                if k == len(places) or ends[k] < 0:
+                    continue
+                rest, end = page[at:ends[k]], ends[k] + 1
+        at = (yield start, end, bool(m[3]), m[4] or "", rest) or end
+
+
+def _next(tokens: Generator, resume: int | None) -> tuple | None:
+    try:
+        return next(tokens) if resume is None else tokens.send(resume)
+    except StopIteration:
+        return None
+
+
 def _page_parts(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     """Texts of the containers, and (key, value) of the meta tags."""
     texts = {name: [] for name in READABLE_CONTAINERS}
@@ -55,25 +117,24 @@ def _page_parts(page: str) -> tuple[list[str], list[tuple[str, str]]]:
             if not depth["head"]:
                 outside.append(piece)
 
-    while m := _TOKEN.search(page, at):
-        text(m.start())
-        at = m.end()
-        if not m[2]:
-            continue
-        name, opens = m[2].lower(), not m[1]
-        if name == "meta" and opens:
-            a = _attributes(m[3])
+    tokens, resume = _tokens(page), None
+    while token := _next(tokens, resume):
+        start, end, closes, name, attributes = token
+        text(start)
+        at, name, resume = end, name.lower(), None
+        if name == "meta" and not closes:
+            a = _attributes(attributes)
             metas.append((a.get("property", "").strip() or a.get("name", "").strip(), a.get("content", "")))
-        if opens and name in _RAW_TEXT and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        if not closes and name in _RAW_TEXT and not attributes.rstrip().endswith("/"):
+            close = _RAW_TEXT[name].search(page, at)
             if name == "textarea":
-                text(end.start() if end else len(page))
-            at = end.end() if end else len(page)
+                text(close.start() if close else len(page))
+            at = resume = close.end() if close else len(page)
         elif name in depth:
-            if opens and name not in closed:
+            if not closes and name not in closed:
                 depth[name] += 1
                 seen_body |= name == "body"
-            elif not opens and depth[name]:
+            elif closes and depth[name]:
                 depth[name] -= 1
                 if not depth[name] and name in texts:
                     closed.add(name)
@@ -112,5 +173,8 @@ def meta_value(pairs: Column, key: str) -> Column:
 
 def page_title(html) -> Column:
     """Trimmed text of the first ``<title>``."""
-    raw = F.regexp_extract(F.coalesce(col_(html), F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    # the first <title always matches, to the end of the page if need be: no second try further on
+    page = F.coalesce(col_(html), F.lit(""))
+    pattern = r"(?is)<title\b[^>]*+(?:>(.*?)(?:(</title\s*+>)|\z)|\z)"
+    raw = F.when(F.regexp_extract(page, pattern, 2) != "", F.regexp_extract(page, pattern, 1)).otherwise("")
     return go_trim(html_unescape(raw))

@@ -122,3 +122,34 @@ def test_pages_are_read_whole(spark, make_items):
     pages = spark.createDataFrame([("https://e/1", 200, long)], PAGES_SCHEMA)
     assert enrich.content_enrich(make_items(dict(url="https://e/1")), pages).first().content == "behind it"
     assert enrich.ogp_enrich(make_items(dict(url="https://e/1")), pages).first().meta_description == "last"
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    from feedloom.functions.html import _page_parts
+    start = time.monotonic()
+    for unit in ('<a href="x', "<!", "<a<a", '<a "', "<p a='\"", "</a b='", "<script", "<!--"):
+        _page_parts(unit * 200_000)
+    assert time.monotonic() - start < 60  # each try reaching to the end would take hours
+
+
+def test_markup_tokens_as_by_a_search_for_each():
+    import random
+    import re
+
+    from feedloom.functions.html import _tokens
+    markup = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+    rng = random.Random(5)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<", "<a", "</a", ">", '"', "'", " ", "x", "<!", "--", "<!--", "<b ", "/"]) for _ in range(rng.randint(0, 18)))
+        assert [(s, e, c, n) for s, e, c, n, _ in _tokens(page)] \
+            == [(m.start(), m.end(), bool(m[1]), m[2] or "") for m in markup.finditer(page)], page
+
+
+def test_title_of_pages_without_an_end_tag(spark):
+    from feedloom.functions.html import page_title
+    pages = ["<title>a</title>", "<title x='1'> b </TITLE >", "<title>open", "<title", "<title>" * 50_000, "no title", None,
+             "<title a <title>c</title>"]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").select("i", page_title("p").alias("t"))
+    assert [r.t for r in got.orderBy("i").collect()] == ["a", "b", "", "", "", "", "", "c"]
