@@ -8,6 +8,8 @@ when even that is higher than what the language's own texts of its length have.
 
 Training uses a bounded sample: about ``per_language`` labelled rows of each
 language, chosen by a hash of doc_id; a quarter of it calibrates the rejection.
+Each letter of the sample is a symbol of its own; if it has more than ``ALPHABET``
+different ones (4,091, so only beyond alphabets), the rarest share one.
 The n-gram counts of the sample are summed by Spark; the model is built from
 the counts and broadcast, its size bounded by the sample."""
 
@@ -25,7 +27,8 @@ from feedloom.llm.common import blocks, mix, on_workers, saved
 
 ORDER = 5
 EDGE, SPACE, DIGIT, SIGN, LETTER = range(5)  # symbols below those of the alphabet
-ALPHABET = 240
+SYMBOL_BITS = 12   # ORDER symbols fill 60 bits of a key
+ALPHABET = (1 << SYMBOL_BITS) - LETTER - 1
 UNKNOWN = "und"
 MAX_BROADCAST_LANGUAGES = 10_000
 
@@ -35,7 +38,7 @@ MAX_BROADCAST_LANGUAGES = 10_000
 def symbol_table(letters: list[str]) -> np.ndarray:
     """Symbol of each code point: letters by their lower-case form."""
     known = {c: LETTER + 1 + i for i, c in enumerate(letters)}
-    table = np.full(0x110000, SIGN, np.uint8)
+    table = np.full(0x110000, SIGN, np.uint16)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
@@ -55,7 +58,7 @@ def _code_points(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The ``ORDER`` symbols that end at each position, packed 8 bits each, with
+    """The ``ORDER`` symbols that end at each position, packed ``SYMBOL_BITS`` each, with
     EDGE before a document's first character."""
     n_docs = len(first) - 1
     pad = ORDER - 1
@@ -65,14 +68,14 @@ def _grams(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     padded[at] = symbols
     packed = padded.copy()
     for back in range(1, ORDER):
-        packed[back:] |= padded[:-back] << np.uint64(8 * back)
+        packed[back:] |= padded[:-back] << np.uint64(SYMBOL_BITS * back)
     return packed[at]
 
 
 # --- the model ------------------------------------------------------------------------
 
 def _hashed(keys: np.ndarray, order: int) -> np.ndarray:
-    return mix(keys | np.uint64(order << 56))
+    return mix(keys | np.uint64(order << (SYMBOL_BITS * ORDER)))
 
 
 class SortedTable:
@@ -122,10 +125,10 @@ class Model:
             todo, keys = todo[~hit], keys[~hit]
             if not len(todo):
                 return out
-            row = self.contexts[order - 1].find(keys >> np.uint64(8))
+            row = self.contexts[order - 1].find(keys >> np.uint64(SYMBOL_BITS))
             seen = row >= 0
             out[todo[seen]] += self.contexts[order - 1].values[row[seen]]
-            keys = keys & np.uint64((1 << (8 * (order - 1))) - 1)
+            keys = keys & np.uint64((1 << (SYMBOL_BITS * (order - 1))) - 1)
         out[todo] += np.float32(self.unseen)
         return out
 
@@ -161,22 +164,22 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.nda
         keys, n = counts[lang]
         levels[ORDER - 1].append((keys, n.astype(float)))
         for order in range(ORDER - 1, 0, -1):
-            shorter, n = np.unique(keys & np.uint64((1 << (8 * order)) - 1), return_counts=True)
+            shorter, n = np.unique(keys & np.uint64((1 << (SYMBOL_BITS * order)) - 1), return_counts=True)
             levels[order - 1].append((shorter, n.astype(float)))
             keys = shorter
     lower_keys, lower_p = np.zeros(1, np.uint64), np.full((1, n_lang), 1.0 / vocabulary)
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([k for k, _ in levels[order - 1]]))
         p = np.empty((len(union), n_lang))
-        context = union >> np.uint64(8)
+        context = union >> np.uint64(SYMBOL_BITS)
         union_contexts = np.unique(context)
         weight = np.ones((len(union_contexts), n_lang))
-        suffix = union & np.uint64((1 << (8 * (order - 1))) - 1)
+        suffix = union & np.uint64((1 << (SYMBOL_BITS * (order - 1))) - 1)
         below = lower_p[np.searchsorted(lower_keys, suffix)]
         for i, (keys, n) in enumerate(levels[order - 1]):
             ones, twos = (n == 1).sum(), (n == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.75
-            own, where = np.unique(keys >> np.uint64(8), return_inverse=True)
+            own, where = np.unique(keys >> np.uint64(SYMBOL_BITS), return_inverse=True)
             total, kinds = np.bincount(where, n), np.bincount(where)
             gamma = discount * kinds / total
             row = np.searchsorted(union_contexts, own)

@@ -64,9 +64,12 @@ def _bits(text: Column, first: str, second: str) -> list[Column]:
     return [F.xxhash64(text).alias(first), F.xxhash64(F.lit(1), text).alias(second)]
 
 
-def _keys(lines: DataFrame) -> DataFrame:
-    """``(doc_id, a, b, la, lb, short)``: lines and leaves by 128-bit keys."""
-    return lines.select("doc_id", *_bits(F.col("text"), "a", "b"), *_bits(F.col("leaf"), "la", "lb"), "short")
+def _keys(lines: DataFrame, passage: int | None = None) -> DataFrame:
+    """``(doc_id, a, b, la, lb, short)``: lines and leaves by 128-bit keys; with
+    ``passage`` also whether the line has so many tokens."""
+    n_tokens = F.substring_index("leaf", " ", 1).cast("int")
+    return lines.select("doc_id", *_bits(F.col("text"), "a", "b"), *_bits(F.col("leaf"), "la", "lb"), "short",
+                        *([] if passage is None else [(n_tokens >= passage).alias("passage")]))
 
 
 def _templates(lines: DataFrame, keys: DataFrame, work: Workspace, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -114,23 +117,31 @@ def _by_document(gone: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, similarity: float = 0.8,
-                  min_tokens: int = 3, short: bool = True) -> DataFrame:
+                  min_tokens: int = 3, short: bool = True, passage: int | None = None) -> DataFrame:
     """``(doc_id, gone)``: the 128-bit keys ``(a, b)`` of the tokens of the lines
-    to drop from each document."""
+    to drop from each document.  With ``passage`` also copies of lines of that
+    many tokens or more, from the second document on."""
     lines = _lines(docs, depth, min_tokens, short)
     with Workspace(docs.sparkSession, "lines") as work:
-        found, recurring = _templates(lines, work.saved(_keys(lines), "line-keys"), work, min_docs, similarity)
-        return saved(_by_document(_later(found, recurring)), "dropped-lines")
+        keys = work.saved(_keys(lines, passage), "line-keys")
+        found, recurring = _templates(lines, keys.drop("passage"), work, min_docs, similarity)
+        gone = _later(found, recurring)
+        if passage is not None:
+            gone = gone.union(_marked(keys.where("passage").select("doc_id", "a", "b"), work).where("copy").select("doc_id", "a", "b"))
+        return saved(_by_document(gone), "dropped-lines")
 
 
 def _copies(keys: DataFrame, work: Workspace) -> DataFrame:
     """``keys`` with ``copy``: whether an earlier document has the line too."""
-    keys = work.saved(keys, "passage-keys")
+    return work.saved(_marked(work.saved(keys, "passage-keys"), work), "marked-passages")
+
+
+def _marked(keys: DataFrame, work: Workspace) -> DataFrame:
     copied = work.saved(keys.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
                         .where("first_doc <> last_doc").select("a", "b", "first_doc"), "copied-passages")
     # Sorted merge, so that the rows of a passage in very many documents can be split.
-    return work.saved(keys.join(copied.hint("merge"), ["a", "b"], "left").withColumn(
-        "copy", F.coalesce(F.col("doc_id") != F.col("first_doc"), F.lit(False))).drop("first_doc"), "marked-passages")
+    return keys.join(copied.hint("merge"), ["a", "b"], "left").withColumn(
+        "copy", F.coalesce(F.col("doc_id") != F.col("first_doc"), F.lit(False))).drop("first_doc")
 
 
 def without_copied_lines(docs: DataFrame, min_tokens: int = 8) -> DataFrame:

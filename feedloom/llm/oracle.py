@@ -103,22 +103,27 @@ _OP8 = r"""
 WITH docs AS (SELECT doc_id, text, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS ls FROM documents),
 l0 AS (SELECT DISTINCT doc_id, unnest(ls) AS line FROM docs),
 l1 AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ts FROM l0),
-l2 AS (SELECT doc_id, line, list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts
-       FROM l1 WHERE len(ts) >= 3),
-l3 AS (SELECT *, concat(len(ts), ' ', array_to_string(ts[1:3], ' ')) AS leaf FROM l2),
+l2 AS (SELECT doc_id, line, array_to_string(ts, ' ') AS words,
+         list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts
+       FROM l1 WHERE len(ts) >= 1),
+l3 AS (SELECT *, concat(len(ts), ' ', CASE WHEN len(ts) < 3 THEN words ELSE array_to_string(ts[1:3], ' ') END) AS leaf FROM l2),
 leaves AS (SELECT leaf FROM l3 GROUP BY leaf HAVING count(DISTINCT doc_id) >= 20),
 l4 AS (SELECT * FROM l3 SEMI JOIN leaves USING (leaf)),
-kinds AS (SELECT leaf, line, any_value(ts) AS ts, count(*) AS n FROM l4 GROUP BY leaf, line),
+kinds AS (SELECT leaf, line, any_value(ts) AS ts, count(*) AS n FROM l4 WHERE len(ts) >= 3 GROUP BY leaf, line),
 tok AS (SELECT leaf, line, n, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM kinds),
 keep AS (SELECT leaf, pos, token FROM tok GROUP BY ALL HAVING sum(n) >= 20 OR token = '<*>'),
 named AS (SELECT t.leaf, t.line,
     string_agg(CASE WHEN k.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.pos) AS template
   FROM tok t LEFT JOIN keep k ON t.leaf = k.leaf AND t.pos = k.pos AND t.token = k.token GROUP BY t.leaf, t.line
   HAVING avg(CASE WHEN k.token IS NULL THEN 0.0 ELSE 1.0 END) >= 0.8
-     AND avg(CASE WHEN k.token IS NULL OR t.token = '<*>' THEN 0.0 ELSE 1.0 END) >= 0.5),
+     AND avg(CASE WHEN k.token IS NULL OR t.token = '<*>' THEN 0.0 ELSE 1.0 END) >= 0.5
+  UNION ALL SELECT DISTINCT leaf, line, leaf FROM l4 WHERE len(ts) < 3),
 lines AS (SELECT l4.doc_id, leaf, line, template FROM l4 JOIN named USING (leaf, line)),
 recurring AS (SELECT leaf, template, min(doc_id) AS first_doc FROM lines GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 20),
-drops AS (SELECT doc_id, list(DISTINCT line) AS gone FROM lines JOIN recurring USING (leaf, template) WHERE doc_id <> first_doc GROUP BY doc_id),
+copied AS (SELECT words, min(doc_id) AS first_doc FROM l2 WHERE len(ts) >= 8 GROUP BY words HAVING count(DISTINCT doc_id) >= 2),
+later AS (SELECT doc_id, line FROM lines JOIN recurring USING (leaf, template) WHERE doc_id <> first_doc
+  UNION ALL SELECT doc_id, line FROM l2 JOIN copied USING (words) WHERE doc_id <> first_doc),
+drops AS (SELECT doc_id, list(DISTINCT line) AS gone FROM later GROUP BY doc_id),
 cut AS (SELECT d.doc_id, ls, CASE WHEN gone IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(gone, x)) END AS kept
         FROM docs d LEFT JOIN drops USING (doc_id))
 SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dropped,

@@ -102,3 +102,13 @@ def test_edges_and_rejection(spark):
     assert L.predict(empty).count() == 0
     unlabelled = df.withColumn("lang", L.F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.predict(unlabelled).collect()} == {"und"}
+
+
+def test_many_letters_are_told_apart():
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    symbols = L.symbol_table(letters)
+    assert len({int(symbols[ord(c)]) for c in letters}) == 3000
+    packed = L._grams(symbols[np.array([ord(c) for c in letters[-5:]])], np.array([0, 5]))
+    last = int(packed[-1])
+    assert [last >> (L.SYMBOL_BITS * k) & ((1 << L.SYMBOL_BITS) - 1) for k in range(4, -1, -1)] \
+        == [int(symbols[ord(c)]) for c in letters[-5:]]
