@@ -35,7 +35,10 @@ def entry_key(url) -> Column:
 
 
 def message_id(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+    """Digest of the parts, each with its length before it, so that different
+    parts never make up one text."""
+    texts = [F.coalesce(p, F.lit("")) for p in parts]
+    return F.sha2(F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]), 256)
 
 
 @dataclass

@@ -26,6 +26,14 @@ def order_value(file: Column, place: Column, row: Column) -> Column:
     return ((placed * step(ROW_BITS)).cast(ORDER) + number(row)).cast(ORDER)
 
 
+def stream_order_value(rank: Column, place: Column) -> Column:
+    """``pos`` of the lines of a block of a streamed file, from the file's rank (63
+    bits) and the place of the block.  The line's number in its block is added
+    later: a line takes a byte at least, so it stays before the next block."""
+    number = lambda c: c.cast("decimal(20,0)").cast(ORDER)
+    return ((number(rank) * F.lit(str(1 << PLACE_BITS)).cast(ORDER)).cast(ORDER) + number(place)).cast(ORDER)
+
+
 def key_col(df: DataFrame) -> Column:
     """Dedup key of each row (normalized_url, else normalize(url), else url)."""
     n = F.col("normalized_url") if "normalized_url" in df.columns else F.lit("")

@@ -387,7 +387,7 @@ ent as (
          else '1970-01-01T00:00:00Z' end as last_txt,
     case when s1.entry_key is not null then s1.thread_id
          when f.url <> f.entry_key and s2.entry_key is not null then s2.thread_id
-         else sha256('parent|' || f.entry_key) end as thread_id
+         else sha256('6:parent' || length(f.entry_key) || ':' || f.entry_key) end as thread_id
   from first f left join prior s1 on s1.entry_key = f.entry_key left join prior s2 on s2.entry_key = f.url),
 links as (select distinct url, entry_key from e0),
 newc as (
@@ -415,7 +415,7 @@ select 'parent' as kind, entry_key, thread_id, null as "user", null as comment_t
 from ent where not (by_key or by_url)
 union all
 select 'comment', entry_key, thread_id, "user", strftime(ct, '%Y-%m-%dT%H:%M:%SZ'),
-  '*' || "user" || '* さん: ' || comment, sha256(entry_key || '|' || "user" || '|' || ts_text || '|' || comment)
+  '*' || "user" || '* さん: ' || comment, sha256(length(entry_key) || ':' || entry_key || length("user") || ':' || "user" || length(ts_text) || ':' || ts_text || length(comment) || ':' || comment)
 from newc""")
 def q_comment_delta(spark, sf_dir):
     r = _delta_result(spark, sf_dir)
@@ -435,6 +435,13 @@ def q_plan_totals(spark, sf_dir):
     return _delta.plan_totals(_delta_result(spark, sf_dir).plan)
 
 
+def _reported(outbox: DataFrame) -> DataFrame:
+    """Stand-in for a delivery report: parents of spam links are missing, comments with "cart" failed."""
+    parent = F.col("kind") == "parent"
+    return outbox.filter(~parent | ~F.contains("entry_key", F.lit("spam"))).select(
+        "message_id", F.when(parent, F.lit(True)).otherwise(~F.contains("text", F.lit("cart"))).alias("ok")).distinct()
+
+
 @register("delivery_totals", _DELTA_CTE + """
 , sent as (select 'parent' as kind, not contains(entry_key, 'spam') as ok from ent where not (by_key or by_url)
   union all select 'comment', not contains(comment, 'cart') from newc)
@@ -443,10 +450,27 @@ select count(*) filter (where ok and kind = 'parent') as parents_sent, count(*)
 def q_delivery_totals(spark, sf_dir):
     """Totals of a delivery in which some messages failed or were not reported."""
     outbox = _delta_result(spark, sf_dir).outbox
-    parent = F.col("kind") == "parent"
-    reported = outbox.filter(~parent | ~F.contains("entry_key", F.lit("spam"))).select(
-        "message_id", F.when(parent, F.lit(True)).otherwise(~F.contains("text", F.lit("cart"))).alias("ok")).distinct()
-    return _delta.delivery_totals(outbox, reported)
+    return _delta.delivery_totals(outbox, _reported(outbox))
+
+
+@register("state_after_delivery", _DELTA_CTE + """
+, cm as (select entry_key, ct, not contains("user" || comment, 'cart') as ok from newc),
+failed as (select entry_key, min(ct) as ct from cm where not ok group by entry_key),
+sent as (select cm.entry_key, max(cm.ct) as mx from cm left join failed f on f.entry_key = cm.entry_key
+  where ok and (f.ct is null or cm.ct < f.ct) group by cm.entry_key)
+select n.entry_key,
+  case when mx > strptime(last_txt, '%Y-%m-%dT%H:%M:%SZ') then strftime(mx, '%Y-%m-%dT%H:%M:%SZ') else last_txt end as last_comment_timestamp,
+  thread_id
+from ent n left join sent s on s.entry_key = n.entry_key where by_key or by_url or not contains(n.entry_key, 'spam')
+union all
+select p.entry_key, p.last_comment_timestamp, p.thread_id from prior p
+where not exists (select 1 from ent n where n.entry_key = p.entry_key)
+  and not exists (select 1 from ent n where n.by_url and n.url = p.entry_key)""")
+def q_state_after_delivery(spark, sf_dir):
+    """State after a delivery in which some parents were not reported and some
+    comments failed: what comes after an entry's first failure is offered again."""
+    result = _delta_result(spark, sf_dir)
+    return _delta.state_after_delivery(tables.prior_state_view(spark, sf_dir), result, _reported(result.outbox))
 
 
 @register("comment_delta_state", _DELTA_CTE + """
@@ -756,7 +780,7 @@ def q_stream_jsonl_ingest(spark, sf_dir):
 @register("stream_comment_delta", _DELTA_CTE + """
 select 'comment' as kind, entry_key, thread_id, "user", strftime(ct, '%Y-%m-%dT%H:%M:%SZ') as comment_time,
   '*' || "user" || '* さん: ' || comment as text,
-  sha256(entry_key || '|' || "user" || '|' || ts_text || '|' || comment) as message_id
+  sha256(length(entry_key) || ':' || entry_key || length("user") || ':' || "user" || length(ts_text) || ':' || ts_text || length(comment) || ':' || comment) as message_id
 from newc
 union all select 'parent', entry_key, thread_id, null, null, description, thread_id from ent where not (by_key or by_url)""")
 def q_stream_comment_delta(spark, sf_dir):
@@ -805,7 +829,7 @@ select i.pos, 'post' as kind, '<' || i.url || '|' || i.title || '>' as text,
   i.description || chr(10) || chr(10)
   || case when b.n is not null and cast(b.n as varchar) <> '0' then 'Hatena Bookmark: *' || cast(b.n as varchar) || '*' || chr(10) else '' end
   || case when coalesce(c.n, 0) > 0 then 'Hatena Comments: ' || cast(c.n as varchar) || chr(10) else '' end as attachment,
-  sha256('post|' || cast(i.pos as varchar) || '|' || i.url) as message_id
+  sha256('4:post' || length(cast(i.pos as varchar)) || ':' || cast(i.pos as varchar) || length(i.url) || ':' || i.url) as message_id
 from items i left join bcounts b on b.url = i.url left join ccounts c on c.url = i.url""")
 def q_notification_messages(spark, sf_dir):
     return _messages.notification_messages(_enriched(spark, sf_dir))
@@ -964,6 +988,18 @@ def q_null_rows(spark, sf_dir):
     return drop_null_rows(docs.unionByName(nothing)).agg(F.count("*").alias("n"))
 
 
+@register("null_rows_kept", """
+select * from (select doc_id, case when n_chars % 2 = 0 then 'u' || doc_id end as url, case when n_chars % 3 = 0 then coalesce(lang, '') end as title,
+  case when n_chars % 5 = 0 then '' end as id from documents) where url is not null or title is not null or id is not null""")
+def q_null_rows_kept(spark, sf_dir):
+    """Items with each choice of missing fields: only those without any go."""
+    from ..operators.items import drop_null_rows
+    some = lambda k, value: F.when(F.col("n_chars") % k == 0, value)
+    return drop_null_rows(tables.read_table(spark, sf_dir, "documents").select(
+        "doc_id", some(2, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("url"),
+        some(3, F.coalesce("lang", F.lit(""))).alias("title"), some(5, F.lit("")).alias("id")))
+
+
 @register("score_text", """
 select doc_id, cast(round(n_chars / 7.0, 3) as double) as score, 0.0::double as junk, 0.0::double as missing from documents""")
 def q_score_text(spark, sf_dir):
@@ -1133,7 +1169,7 @@ select 'parent' as kind, entry_key, thread_id, null as "user", null as comment_t
 from ent where not (by_key or by_url)
 union all
 select 'comment', entry_key, thread_id, "user", strftime(ct, '%Y-%m-%dT%H:%M:%SZ'),
-  '*' || "user" || '* さん: ' || comment, sha256(entry_key || '|' || "user" || '|' || ts_text || '|' || comment)
+  '*' || "user" || '* さん: ' || comment, sha256(length(entry_key) || ':' || entry_key || length("user") || ':' || "user" || length(ts_text) || ':' || ts_text || length(comment) || ':' || comment)
 from newc""")
 def q_stream_delta_batches(spark, sf_dir):
     """Comments arrive as a stream; every micro-batch runs the batch delta

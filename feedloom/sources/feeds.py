@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.text import NON_WS
 from ..functions.times import parse_feed_time
@@ -71,12 +70,11 @@ def read_feed_text(spark: SparkSession, path, strict_printable: bool = False,
 def _with_ordinal(df: DataFrame, name_col: str) -> DataFrame:
     """Add ``_f``: the 0-based rank of ``name_col`` among distinct names.
 
-    The ranking window runs over the distinct names only (one short row per
-    file or feed), never over the rows carrying the text, and the ordinal
-    table is joined back by name."""
-    names = df.select(name_col).distinct()
-    ords = names.withColumn("_f", F.row_number().over(Window.orderBy(name_col)) - 1)
-    return df.join(ords, name_col)
+    The distinct names (one short row per file or feed) are sorted by ranges and
+    numbered from the counts of the ranges; the ordinals are joined back by name."""
+    from ..operators.rank import with_rank
+    ords = with_rank(df.select(name_col).distinct(), [F.col(name_col).asc()], "_n")
+    return df.join(ords.select(name_col, (F.col("_n") - 1).alias("_f")), name_col)
 
 
 def chunk_text(df: DataFrame, col: str = "value", strict_printable: bool = False,

@@ -25,7 +25,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.times import comment_time
 from ..operators.delta import COMMENT_TEXT_MIDDLE, COMMENT_TEXT_PREFIX, message_id
 from ..operators.dedup import merge_items
-from ..operators.items import ORDER, key_col, order_value
+from ..operators.items import ORDER, key_col, stream_order_value
 from ..schema import COMMENTS_SCHEMA
 from ..sources.jsonl import parse_item_lines, row_in_task
 
@@ -36,12 +36,12 @@ def ingest_items_stream(spark: SparkSession, path: str, max_files_per_trigger: i
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = r.load(path)
-    # files in order of their time (milliseconds; at one time by a hash of the
-    # name), blocks in order of their place; a stream cannot number lines, so
-    # lines of one block get their order in the micro-batch (with_line_order)
+    # files in order of their time (milliseconds, 42 bits; at one time by 21 bits
+    # of a hash of the name), blocks in order of their place; a stream cannot number
+    # lines, so lines of one block get their order in the micro-batch (with_line_order)
     file = F.col("_metadata.file_path")
-    rank = F.unix_millis(F.col("_metadata.file_modification_time")) * 2048 + F.pmod(F.xxhash64(file), F.lit(2048))
-    return parse_item_lines(lines, pos=order_value(rank, F.col("_metadata.file_block_start"), F.lit(0)))
+    rank = F.unix_millis(F.col("_metadata.file_modification_time")) * (1 << 21) + F.pmod(F.xxhash64(file), F.lit(1 << 21))
+    return parse_item_lines(lines, pos=stream_order_value(rank, F.col("_metadata.file_block_start")))
 
 
 DELTA_OUT = T.StructType([

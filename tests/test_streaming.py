@@ -51,3 +51,16 @@ def test_delta_batches_replay_is_idempotent(spark, make_items, make_comments):
     out = spark.read.parquet(outbox_path)
     assert sorted((r.kind, r.user) for r in out.collect()) == [("comment", "a"), ("comment", "b"), ("parent", None)]
     assert StateStore(spark, state_path).load().first().last_comment_timestamp == "2026-05-20T12:05:00Z"
+
+
+def test_positions_of_streamed_files_stay_in_their_field(spark):
+    from pyspark.sql import functions as F
+
+    from feedloom.operators.items import SOURCE_STEP, stream_order_value
+    late = 4_102_444_800_000  # the year 2100
+    rows = [(1_700_000_000_000 * (1 << 21), 0), (1_700_000_000_000 * (1 << 21), 128 << 20), (1_700_000_000_000 * (1 << 21) + 1, 0),
+            (1_700_000_000_001 * (1 << 21), 0), (late * (1 << 21) + (1 << 21) - 1, 1 << 39)]
+    got = [int(r.p) for r in spark.createDataFrame(rows, "rank long, place long").select(
+        stream_order_value(F.col("rank"), F.col("place")).alias("p")).collect()]
+    assert got == sorted(set(got)) and got[-1] < SOURCE_STEP
+    assert got[1] - got[0] == 128 << 20  # room for every line of the block before
