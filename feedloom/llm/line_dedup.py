@@ -168,18 +168,23 @@ def without_repeated_passages(docs: DataFrame, min_tokens: int = 8, min_docs: in
         keys = _copies(keys, work)
         found, recurring = _templates(lines, keys.where("not copy").drop("copy"), work, min_docs, similarity)
         gone = saved(_by_document(keys.where("copy").select("doc_id", "a", "b").union(_later(found, recurring))), "dropped-passages")
-    if without is not None:
-        ids = without.select(F.col("doc_id").alias("of"))
-        docs = docs.join(ids, docs["doc_id"] == ids["of"], "left_anti")
+    if without is not None:  # in one join with the lines, so that texts are shuffled once
+        whole = without.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
+        gone = gone.withColumn("whole", F.lit(False)).union(whole.withColumn("whole", F.lit(True)))
     return _rest(_cut(docs, gone), docs.columns)
 
 
 def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` as struct ``row`` with arrays ``all`` and ``kept`` of its lines;
-    ``gone(doc_id, gone)`` has the keys of the lines to drop."""
+    ``gone(doc_id, gone)`` has the keys of the lines to drop, and ``whole`` (if
+    there is such a column) says that the document goes.  A sorted merge at every
+    size: ``gone`` grows with the corpus."""
+    if "whole" not in gone.columns:
+        gone = gone.withColumn("whole", F.lit(False))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     every = F.when(F.length("row.text") > 0, F.split("row.text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    return packed.join(gone.withColumnRenamed("doc_id", "of"), F.col("id") == F.col("of"), "left") \
+    return packed.join(gone.withColumnRenamed("doc_id", "of").hint("merge"), F.col("id") == F.col("of"), "left") \
+        .where(~F.coalesce("whole", F.lit(False))) \
         .select("row", "gone", every.alias("all")) \
         .select("row", "all", F.when(F.col("gone").isNull(), F.col("all")).otherwise(
             F.filter("all", lambda x: ~F.array_contains("gone", F.struct(*_bits(F.concat_ws(" ", _tokens(x)), "a", "b"))))).alias("kept"))
