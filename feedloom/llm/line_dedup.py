@@ -36,6 +36,7 @@ VARIABLE = "<*>"
 LEAF_BUCKETS = 1 << 20
 TEMPLATE = ["la", "lb", "ta", "tb"]
 _SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _tokens(line: Column) -> Column:
@@ -49,9 +50,11 @@ def _masked(token: Column) -> Column:
 def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool) -> DataFrame:
     """``(doc_id, text, leaf, short)`` of the lines that are long enough, with
     ``short`` of all that have a token; ``text`` is the tokens joined by one space."""
+    # by a pattern: a filter on the number of tokens would cut each line into tokens twice
+    enough = rf"^(?:{_SPACE}+)?(?:{_WORD}++{_SPACE}+){{{0 if short else min_tokens - 1}}}{_WORD}"
     lines = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")) \
-        .select("doc_id", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= (1 if short else min_tokens))
+        .where(F.col("line").rlike(enough)).select("doc_id", _tokens(F.col("line")).alias("tokens"))
     head = F.transform(F.slice("tokens", 1, depth), _masked)
     head = F.when(F.size("tokens") < min_tokens, F.col("tokens")).otherwise(head) if short else head
     return lines.select("doc_id", F.concat_ws(" ", "tokens").alias("text"),
@@ -83,9 +86,8 @@ def _templates(lines: DataFrame, keys: DataFrame, work: Workspace, min_docs: int
     kinds = work.saved(keys.groupBy("a", "b", "la", "lb", "short").agg(F.count("*").alias("n")), "leaf-kinds")
     # Texts leave their task only if their leaf's bucket has a frequent leaf: at most LEAF_BUCKETS numbers to broadcast.
     hot = leaves.select(F.pmod("la", F.lit(LEAF_BUCKETS)).alias("bucket")).distinct()
-    texts = lines.where(~F.col("short")).select("text", *_bits(F.col("text"), "a", "b"),
-                                                F.pmod(F.xxhash64("leaf"), F.lit(LEAF_BUCKETS)).alias("bucket")) \
-        .join(F.broadcast(hot), "bucket", "left_semi").groupBy("a", "b").agg(F.first("text").alias("text"))
+    texts = lines.where(~F.col("short")).select("text", F.pmod(F.xxhash64("leaf"), F.lit(LEAF_BUCKETS)).alias("bucket")) \
+        .join(F.broadcast(hot), "bucket", "left_semi").select("text", *_bits(F.col("text"), "a", "b")).groupBy("a", "b").agg(F.first("text").alias("text"))
     long_kinds = work.saved(texts.join(kinds.where(~F.col("short")).hint("merge"), ["a", "b"]), "kind-texts")
     tokens = long_kinds.select("a", "b", "la", "lb", "n", F.posexplode(F.transform(_tokens(F.col("text")), _masked)).alias("pos", "token"))
     constant = work.saved(tokens.groupBy("la", "lb", "pos", "token").agg(F.sum("n").alias("n"))
