@@ -20,11 +20,12 @@ SUMMARY_LIMIT = 180
 _MAX_LONG = (1 << 63) - 1
 
 
-def digest_summary(c):
+def digest_summary(c, plain: bool = False):
     """Unescape, trim, collapse white space, cut at 180 characters + '...'
-    (the digest keeps 180 characters and takes no room for the dots)."""
+    (the digest keeps 180 characters and takes no room for the dots).  With
+    ``plain`` the text is unescaped and clean already."""
     n = SUMMARY_LIMIT
-    return F.transform(F.array(clean_text(html_unescape(c))), lambda t: F.when(F.char_length(t) <= n, t).otherwise(
+    return F.transform(F.array(c if plain else clean_text(html_unescape(c))), lambda t: F.when(F.char_length(t) <= n, t).otherwise(
         F.concat(F.substring(t, 1, n), F.lit("..."))))[0]
 
 
