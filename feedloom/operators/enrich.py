@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import meta_pairs, meta_value, page_title, readable_text
 from ..functions.text import clean_truncate, first_non_blank, first_non_empty, go_trim, has_count
-from ..session import ship_package
+from ..session import send_pages
 
 # Reason texts of the extractive summary.
 SUMMARY_REASON_COUNT = "Hatena Bookmark: "
@@ -115,7 +115,7 @@ def latest_captures(pages: DataFrame) -> DataFrame:
 
 def page_meta(pages: DataFrame) -> DataFrame:
     """Per captured page: the whitelisted meta values and the title."""
-    ship_package(pages.sparkSession)
+    send_pages(pages.sparkSession)
     pages = latest_captures(pages)
     ok = (F.col("status") >= 200) & (F.col("status") < 300)
     p = pages.select("url", "status", F.col("html").alias("_html"), meta_pairs("html").alias("_pairs"))
@@ -157,7 +157,7 @@ def ogp_enrich(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_text(pages: DataFrame) -> DataFrame:
     """Per captured page: readable text (or the lookup error)."""
-    ship_package(pages.sparkSession)
+    send_pages(pages.sparkSession)
     pages = latest_captures(pages)
     ok = (F.col("status") >= 200) & (F.col("status") < 300)
     return pages.select("url", "status", readable_text("html").alias("_text")).select(

@@ -1,6 +1,8 @@
 """Work and memory of queries whose figures grew too fast with their tables."""
 
+from feedloom.operators import enrich
 from feedloom.plans import queries
+from feedloom.schema import PAGES_SCHEMA
 
 
 def _plan(df):
@@ -28,3 +30,11 @@ def test_many_references_of_rare_names(spark):
     df = spark.range(1).select(html_unescape(F.expr("repeat('&zwnj; &zscr;&notit;&zzz; ', 1000)")).alias("t"))
     assert df.select(F.sha2("t", 256)).first()[0] == spark.range(1).select(
         F.sha2(F.expr("repeat('‌ \U0001d4cf¬it;&zzz; ', 1000)"), 256)).first()[0]
+
+
+def test_page_metadata_leaves_texts_and_large_batches_out(spark):
+    pages = spark.createDataFrame([("https://e/1", 200, "<meta name=description content=d><body>text</body>"), ("https://e/2", 200, None)], PAGES_SCHEMA)
+    got = enrich.page_meta(pages)
+    assert "containers" not in str(_plan(got)) and "page_metas" in _plan(got)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
+    assert {r.url: r.meta_description for r in got.collect()} == {"https://e/1": "d", "https://e/2": ""}
