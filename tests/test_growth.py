@@ -38,3 +38,10 @@ def test_page_metadata_leaves_texts_and_large_batches_out(spark):
     assert "containers" not in str(_plan(got)) and "page_metas" in _plan(got)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
     assert {r.url: r.meta_description for r in got.collect()} == {"https://e/1": "d", "https://e/2": ""}
+
+
+def test_merged_lint_parses_the_feeds_once(spark, tmp_path):
+    _tables(spark, tmp_path, ["text"] * 60)
+    got = queries.q_lint_merged(spark, str(tmp_path))
+    assert "from_xml" not in _plan(got)
+    assert {r.run: r.errors for r in got.collect()} == {0: 1, 1: 1}
