@@ -40,7 +40,15 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda t: t != "")
+    # by a single character: Java cuts at that without a pattern, which it would compile anew for every line
+    return F.filter(F.split(F.regexp_replace(line, r"[\x09-\x0D]", " "), " "), lambda t: t != "")
+
+
+def _joined(line: Column) -> Column:
+    """The line's tokens joined by one space.  Most lines are that already, and
+    telling so is cheaper than cutting them."""
+    spaced = line.rlike(r"[\x09-\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(spaced, F.array_join(_tokens(line), " ")).otherwise(line)
 
 
 def _masked(token: Column) -> Column:
@@ -54,12 +62,13 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool) -> DataFra
     enough = rf"^(?:{_SPACE}+)?(?:{_WORD}++{_SPACE}+){{{0 if short else min_tokens - 1}}}{_WORD}"
     lines = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")) \
-        .where(F.col("line").rlike(enough)).select("doc_id", _tokens(F.col("line")).alias("tokens"))
-    head = F.transform(F.slice("tokens", 1, depth), _masked)
-    head = F.when(F.size("tokens") < min_tokens, F.col("tokens")).otherwise(head) if short else head
-    return lines.select("doc_id", F.concat_ws(" ", "tokens").alias("text"),
-                        F.concat_ws(" ", F.size("tokens").cast("string"), head).alias("leaf"),
-                        (F.size("tokens") < min_tokens).alias("short"))
+        .where(F.col("line").rlike(enough)).select("doc_id", _joined(F.col("line")).alias("text"))
+    # selects of their own, so that each line is joined and counted once
+    lines = lines.select("doc_id", "text", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    head = F.transform(F.split(F.substring_index("text", " ", depth), " "), _masked) if depth else F.array().cast("array<string>")
+    head = F.when(F.col("n") < min_tokens, F.split("text", " ")).otherwise(head) if short else head
+    return lines.select("doc_id", "text", F.concat_ws(" ", F.col("n").cast("string"), head).alias("leaf"),
+                        (F.col("n") < min_tokens).alias("short"))
 
 
 def _bits(text: Column, first: str, second: str) -> list[Column]:
@@ -189,7 +198,7 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
         .where(~F.coalesce("whole", F.lit(False))) \
         .select("row", "gone", every.alias("all")) \
         .select("row", "all", F.when(F.col("gone").isNull(), F.col("all")).otherwise(
-            F.filter("all", lambda x: ~F.array_contains("gone", F.struct(*_bits(F.concat_ws(" ", _tokens(x)), "a", "b"))))).alias("kept"))
+            F.filter("all", lambda x: ~F.array_contains("gone", F.struct(*_bits(_joined(x), "a", "b"))))).alias("kept"))
 
 
 def _split(docs: DataFrame, **parameters) -> DataFrame:
